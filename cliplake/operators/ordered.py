@@ -1,28 +1,52 @@
-"""Ordered scans that never put one whole key into one task.
-
-A plain window sorts all rows of a key in a single task; one key holding a large
-share of the table would stall the job. Here every key is cut into blocks that
-follow the sort order: rows are scanned inside ``(key, block)``, blocks are
-summarised (partial aggregation happens before the shuffle), and the summaries of
-the earlier blocks are joined back. Only one summary row per block is ever ordered
-per key. When all keys fit into their first block the carry side is empty and
-adaptive execution drops the join.
-
-``block`` must be a non-null expression that never decreases along ``order``;
-key and order columns must be non-null, ``order`` ascending and unique per key.
+"""Ordered scans with a way out for very large keys.
+
+A window sorts all rows of a key in one task. That is the cheapest plan while every
+key is of moderate size, and a stall when one key holds a large share of the table.
+So the largest group is measured first (a scan of the key columns, combined on the
+map side). Up to :func:`group_limit` rows a plain window is used; beyond it every key
+is cut into blocks that follow the sort order: rows are scanned inside
+``(key, block)``, blocks are summarised, and the summaries of the earlier blocks are
+joined back. Only one row per block is then ever ordered within a key. Both ways give
+the same rows.
+
+``block`` must be a non-null expression that never decreases along ``order``; key and
+order columns must be non-null, ``order`` ascending and unique per key. Scans that
+follow each other along the same order share one shuffle: attach the block once with
+:func:`with_block` and pass ``block=None``. ``blocked`` skips the measurement when the
+caller knows its answer.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cliplake.session import cut_lineage
+
 BLOCK = "__block"
+GROUP_ROWS = 2_000_000
+GROUP_ROWS_SETTING = "spark.cliplake.groupRows"
 _MERGE = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
+def group_limit(spark: SparkSession) -> int:
+    """Rows one task may hold of a single key."""
+    return int(spark.conf.get(GROUP_ROWS_SETTING, str(GROUP_ROWS)))
+
+
+def is_hot(df: DataFrame, keys: Sequence[str]) -> bool:
+    """True if some key has more rows than one task should hold."""
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    largest = sizes.agg(F.max("n")).first()[0] or 0
+    return largest > group_limit(df.sparkSession)
+
+
+def with_block(df: DataFrame, block: Column) -> DataFrame:
+    return df.withColumn(BLOCK, block)
+
+
 def _combine(how: str, carried: Column, local: Column) -> Column:
     if how == "sum":
         return F.coalesce(carried + local, carried, local)
@@ -33,9 +57,10 @@ def scan(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    block: Column,
+    block: Column | None,
     *,
     inclusive: bool = False,
+    blocked: bool | None = None,
     **values: tuple[str, Column],
 ) -> DataFrame:
     """Add a running ``sum``, ``max`` or ``min`` per key for every named value.
@@ -43,9 +68,12 @@ def scan(
     Exclusive scans (the default) leave the first row of a key null.
     """
     keys, order = list(keys), list(order)
-    kb = [*keys, BLOCK]
-    rows = df.withColumn(BLOCK, block)
     end = 0 if inclusive else -1
+    if not (is_hot(df, keys) if blocked is None else blocked):
+        whole = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
+        return df.withColumns({n: _MERGE[how](v).over(whole) for n, (how, v) in values.items()})
+    kb = [*keys, BLOCK]
+    rows = cut_lineage(df if block is None else df.withColumn(BLOCK, block))
     inside = Window.partitionBy(*kb).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
     local = rows.withColumns(
         {f"__l_{n}": _MERGE[how](value).over(inside) for n, (how, value) in values.items()}
@@ -62,8 +90,7 @@ def scan(
         .filter("__later")
         .drop("__later")
     )
-    out = local.join(carry, kb, "left")
-    return out.select(
+    return local.join(carry, kb, "left").select(
         *df.columns,
         *[
             _combine(how, F.col(f"__c_{n}"), F.col(f"__l_{n}")).alias(n)
@@ -73,25 +100,34 @@ def scan(
 
 
 def number_rows(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column, name: str
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    block: Column | None,
+    name: str,
+    blocked: bool | None = None,
 ) -> DataFrame:
     """1-based dense numbering along ``order``."""
-    return scan(df, keys, order, block, inclusive=True, **{name: ("sum", F.lit(1).cast("bigint"))})
+    one = ("sum", F.lit(1).cast("bigint"))
+    return scan(df, keys, order, block, inclusive=True, blocked=blocked, **{name: one})
 
 
 def previous_row(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    block: Column,
+    block: Column | None,
     columns: Sequence[str],
     name: str = "prev",
+    blocked: bool | None = None,
 ) -> DataFrame:
     """Add a struct ``name`` with ``columns`` of the preceding row, null for the first."""
     keys, order, columns = list(keys), list(order), list(columns)
-    kb = [*keys, BLOCK]
-    rows = df.withColumn(BLOCK, block)
     payload = F.struct(*columns)
+    if not (is_hot(df, keys) if blocked is None else blocked):
+        return df.withColumn(name, F.lag(payload).over(Window.partitionBy(*keys).orderBy(*order)))
+    kb = [*keys, BLOCK]
+    rows = cut_lineage(df if block is None else df.withColumn(BLOCK, block))
     local = rows.withColumn("__l", F.lag(payload).over(Window.partitionBy(*kb).orderBy(*order)))
     before = Window.partitionBy(*keys).orderBy(BLOCK)
     carry = (
@@ -100,9 +136,23 @@ def previous_row(
         .select(*kb, F.lag("__t").over(before).alias("__c"))
         .filter(F.col("__c").isNotNull())
     )
-    return local.join(carry, kb, "left").select(
-        *df.columns, F.coalesce("__l", "__c").alias(name)
-    )
+    return local.join(carry, kb, "left").select(*df.columns, F.coalesce("__l", "__c").alias(name))
+
+
+def group_values(
+    df: DataFrame, keys: Sequence[str], blocked: bool | None = None, **values: Column
+) -> DataFrame:
+    """Add aggregates of the whole group to every row.
+
+    One window when groups are moderate; else an aggregate (combined on the map side)
+    joined back, where adaptive execution splits the large side of a skewed key.
+    """
+    keys = list(keys)
+    if not (is_hot(df, keys) if blocked is None else blocked):
+        whole = Window.partitionBy(*keys)
+        return df.withColumns({n: v.over(whole) for n, v in values.items()})
+    rows = cut_lineage(df)
+    return rows.join(rows.groupBy(*keys).agg(*[v.alias(n) for n, v in values.items()]), keys)
 
 
 def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int = 1) -> DataFrame:

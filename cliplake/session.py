@@ -24,17 +24,15 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, **conf:
     return spark
 
 
-def cut_lineage(df: DataFrame, fallback_dir: str | None = None) -> DataFrame:
-    """Checkpoint into the folder named by ``spark.checkpoint.dir``.
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoint into the shared folder named by ``spark.checkpoint.dir``.
 
-    The folder is only set from here when the session names none, and then it
-    must be given by the caller (tests do that); a cluster always names one.
+    A session without such a folder (a small local one) keeps the lineage.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or fallback_dir
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+            return df
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
