@@ -199,7 +199,7 @@ def h14(spark, sf):
 @query(
     "H15_clock_spec",
     """SELECT event_id, round(CASE event_id % 5 WHEN 0 THEN (event_id % 24) * 3600 + (event_id % 60) * 60 + event_id % 59 + 0.25 WHEN 1 THEN (event_id % 99) * 60 + event_id % 60
-    WHEN 2 THEN event_id + 0.5 END, 6) AS seconds FROM events""",
+    WHEN 2 THEN event_id + 0.5 END::DOUBLE, 6) AS seconds FROM events""",
 )
 def h15(spark, sf):
     text = F.expr(

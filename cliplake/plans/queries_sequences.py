@@ -110,8 +110,8 @@ def e6(spark, sf):
 @query(
     "E7_fade_flags",
     f"""WITH {ALL_GROUPS}, n AS (SELECT *, count(*) OVER (PARTITION BY batch, group_id) AS n, min(idx) OVER (PARTITION BY batch) AS lo, max(idx) OVER (PARTITION BY batch) AS hi FROM grouped)
-    SELECT batch, idx, 'clip' AS role, CASE WHEN idx = lo THEN 0.0 WHEN member = 1 THEN 0.75 ELSE 0.0 END AS fade_in, CASE WHEN idx = hi THEN 0.0 WHEN member = n THEN 0.75 ELSE 0.0 END AS fade_out FROM n
-    UNION ALL SELECT DISTINCT batch, lo - 1, 'intro', 0.75, 0.0 FROM n UNION ALL SELECT DISTINCT batch, hi + 1, 'outro', 0.0, 0.75 FROM n""",
+    SELECT batch, idx, 'clip' AS role, CASE WHEN idx = lo THEN 0.0::DOUBLE WHEN member = 1 THEN 0.75::DOUBLE ELSE 0.0::DOUBLE END AS fade_in, CASE WHEN idx = hi THEN 0.0::DOUBLE WHEN member = n THEN 0.75::DOUBLE ELSE 0.0::DOUBLE END AS fade_out FROM n
+    UNION ALL SELECT DISTINCT batch, lo - 1, 'intro', 0.75::DOUBLE, 0.0::DOUBLE FROM n UNION ALL SELECT DISTINCT batch, hi + 1, 'outro', 0.0::DOUBLE, 0.75::DOUBLE FROM n""",
 )
 def e7(spark, sf):
     return E.fade_flags(_grouped(spark, sf), 0.75, intro=True, outro=True)

@@ -137,8 +137,9 @@ def sql(body: str) -> str:
         return body.strip()
     body = body.strip()
     head = ",\n".join(f"{v} AS (\n{SQL[v]})" for v in wanted)
-    if re.match(r"(?i)with\b", body):
-        return f"WITH {head},\n" + re.sub(r"(?i)^with\b", "", body, count=1)
+    own = re.match(r"(?i)with\s+(recursive\s+)?", body)
+    if own:
+        return f"WITH {own.group(1) or ''}{head},\n" + body[own.end() :]
     return f"WITH {head}\n{body}"
 
 
