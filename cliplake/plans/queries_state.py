@@ -169,7 +169,7 @@ def a7d(spark, sf):
 
 # ----------------------------------------------------------------------- G
 @query(
-    "G1_backup_targets",
+    "G1s_backup_targets",
     """WITH t AS (SELECT id AS merge_job_id, output_path AS source_path, 'output' AS source_type FROM merges UNION ALL SELECT l_orderkey, '/out/' || l_orderkey || '_' || l_partkey || '.mp4', 'split' FROM lineitem
       UNION ALL SELECT id, '/lapse/' || id || '.mp4', 'timelapse' FROM merges UNION ALL SELECT id, '/media/' || (id % 2000) || '.mp4', 'original' FROM merges),
     inv AS (SELECT DISTINCT output_path AS path FROM merges WHERE status = 'completed' UNION SELECT source_path FROM backup_history WHERE success UNION SELECT original_path FROM archive_history WHERE operation = 'move')
@@ -193,7 +193,7 @@ def g1(spark, sf):
 
 
 @query(
-    "G2_snapshot_rows",
+    "G2s_snapshot_rows",
     """SELECT 'projects' AS tbl, CAST(json_object('id', id, 'name', name) AS VARCHAR) AS row FROM projects
     UNION ALL SELECT 'merge_jobs', CAST(json_object('id', id, 'output_path', output_path, 'youtube_id', youtube_id) AS VARCHAR) FROM merges
     UNION ALL SELECT 'backup_history', CAST(json_object('id', id, 'source_path', source_path, 'success', success) AS VARCHAR) FROM backup_history""",
@@ -209,7 +209,7 @@ def g2(spark, sf):
 
 
 @query(
-    "G3_target_union",
+    "G3s_target_union",
     f"""SELECT path, {ts('min(t)')} AS creation_time, max(size_bytes) AS size_bytes FROM (SELECT original_path AS path, creation_time AS t, size_bytes FROM videos
     UNION ALL SELECT original_path, archived_at, 1 FROM archive_history UNION ALL SELECT output_path, created_at, total_size_bytes FROM merges) GROUP BY 1""",
 )

@@ -93,13 +93,19 @@ def _notices(spark, sf):
     return V.load(spark, sf, "events").selectExpr("event_id", f"{_TYPES_SQL} AS event_type")
 
 
-def _channels(spark, sf):
-    """Channel settings kept in the nation table's rows: four names, some incomplete."""
-    return V.load(spark, sf, "nation").filter("n_nationkey < 4").selectExpr(
-        "element_at(array('macos', 'telegram', 'discord', 'slack'), n_nationkey + 1) AS channel",
-        "CASE WHEN n_nationkey > 0 THEN true END AS enabled",
-        "CASE n_nationkey WHEN 1 THEN map('bot_token', n_name, 'chat_id', n_name) WHEN 2 THEN map('webhook_url', n_name) WHEN 3 THEN map('webhook_url', '') END AS settings",
-    )
+def _channels(spark):
+    """Channel configuration: one is on by default, one lacks its setting."""
+    rows = [
+        ("macos", None, None),
+        ("telegram", True, {"bot_token": "t", "chat_id": "c"}),
+        ("discord", True, {"webhook_url": "w"}),
+        ("slack", True, {"webhook_url": ""}),
+    ]
+    return spark.createDataFrame(rows, "channel string, enabled boolean, settings map<string,string>")
+
+
+def _rules(spark, **enabled):
+    return spark.createDataFrame(list(enabled.items()) or [], "event_type string, enabled boolean")
 
 
 @query(
@@ -107,11 +113,8 @@ def _channels(spark, sf):
     f"SELECT event_id, event_type, channel FROM (SELECT event_id, {_TYPES_SQL} AS event_type FROM events), (SELECT unnest(['macos', 'telegram', 'discord']) AS channel) WHERE event_type IN ('on_transcode_complete', 'on_merge_complete', 'on_error')",
 )
 def l4(spark, sf):
-    rules = V.load(spark, sf, "region").selectExpr(
-        "element_at(array('on_transcode_complete', 'on_upload_complete', 'on_error', 'on_other', 'on_none'), r_regionkey + 1) AS event_type",
-        "CASE r_regionkey WHEN 0 THEN true WHEN 1 THEN false END AS enabled",
-    )
-    return R.route(_notices(spark, sf), R.subscriptions(rules, _channels(spark, sf)))
+    rules = _rules(spark, on_transcode_complete=True, on_upload_complete=False, on_error=None)
+    return R.route(_notices(spark, sf), R.subscriptions(rules, _channels(spark)))
 
 
 @query(
@@ -135,13 +138,11 @@ def l5(spark, sf):
 def l6(spark, sf):
     """Each batch is routed with the rules as they stand when it starts."""
     notices = _notices(spark, sf).withColumn("batch", c("event_id") % 3)
-    rules = V.load(spark, sf, "region").selectExpr(
-        "element_at(array('on_error', 'on_merge_complete', 'on_none', 'on_none', 'on_none'), r_regionkey + 1) AS event_type", "false AS enabled", "r_regionkey"
-    )
-    one_channel = _channels(spark, sf).filter("channel = 'macos'")
+    one_channel = _channels(spark).filter("channel = 'macos'")
+    versions = [{}, {"on_error": False}, {"on_error": False, "on_merge_complete": False}]
     out = None
-    for batch in range(3):
-        active = rules.filter(c("r_regionkey") < batch)
+    for batch, enabled in enumerate(versions):
+        active = _rules(spark, **enabled)
         routed = R.route(notices.filter(c("batch") == batch), R.subscriptions(active, one_channel)).drop("channel")
         out = routed if out is None else out.unionByName(routed)
     return out
