@@ -118,12 +118,16 @@ def folder_topic(path: Column, default: str = "") -> Column:
     folder = F.when(is_file, parent_folder(path)).otherwise(file_name(path))
     folder = F.when(folder.isin("", "."), F.lit(default)).otherwise(folder)
     dated = r"^(\d{4})[-_](\d{2})[-_](\d{2})\s+(.+)$"
-    hit = folder.rlike(dated)
-    day = F.concat_ws("-", *[F.regexp_extract(folder, dated, g) for g in (1, 2, 3)])
-    return F.struct(
-        F.when(hit, day).alias("date"),
-        F.when(hit, F.trim(F.regexp_extract(folder, dated, 4))).otherwise(folder).alias("topic"),
-    )
+
+    def split(f: Column) -> Column:
+        day = F.concat_ws("-", *[F.regexp_extract(f, dated, g) for g in (1, 2, 3)])
+        return F.struct(
+            F.when(f.rlike(dated), day).alias("date"),
+            F.coalesce(F.nullif(F.trim(F.regexp_extract(f, dated, 4)), F.lit("")), f).alias("topic"),
+        )
+
+    # an array of one binds the folder name, so that it is worked out once per row
+    return F.get(F.transform(F.array(folder), split), F.lit(0))
 
 
 def dated_title(title: Column) -> Column:

@@ -6,6 +6,8 @@ Inputs are tables of (media_id, raw) or log lines; rows that cannot be read keep
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from cliplake.functions.labels import clock_label, subtitle_clock
 from cliplake.functions.media import is_portrait, progress_percent
 from cliplake.functions.predicates import needs_device_scan
 from cliplake.functions.specs import frame_rate
-from cliplake.operators.ordered import number_rows
+from cliplake.operators.ordered import group_values, is_hot, number_rows
 from cliplake.operators.sequences import (
     chapters,
     device_line,
@@ -55,6 +57,10 @@ PLACE_KEYS = "location|gps|address|venue|geo"
 LOUDNESS_BLOCK = r"(?s)\[Parsed_loudnorm.*?\].*?(\{.*?\})"
 LOUDNESS_FIELDS = ("input_i", "input_tp", "input_lra", "input_thresh", "target_offset")
 SCORE = r"([0-9.+eE-]+|inf|nan)"
+VMAF_LAYOUT = (
+    "metrics map<string,string>, `metrics.vmaf` string, pooled_metrics map<string,string>,"
+    " frames array<struct<metrics:map<string,string>>>"
+)
 METRICS = ("ssim", "psnr", "vmaf")
 
 LINES_PER_DOCUMENT = 1000
@@ -368,26 +374,29 @@ def _numeric_or_first(text: Column) -> Column:
     return F.coalesce(_finite(text), _first(members, _finite))
 
 
-def _vmaf_member(text: Column) -> Column:
-    """Score of the first key naming VMAF in a JSON object; a bare number counts as well."""
-    members = F.map_entries(F.from_json(text, "map<string,string>"))
-    named = _first(members, lambda e: _numeric_or_first(e["value"]), lambda e: F.lower(e["key"]).contains("vmaf"))
-    return F.coalesce(_finite(text), named)
-
-
-def _vmaf_of_json(text: Column) -> Column:
-    """Score in one JSON log line, for the layouts the tool writes."""
+def _vmaf_member(members: Column) -> Column:
+    """Score of the first key naming VMAF in a map of JSON values."""
+    return _first(
+        F.map_entries(members),
+        lambda e: _numeric_or_first(e["value"]),
+        lambda e: F.lower(e["key"]).contains("vmaf"),
+    )
 
-    def at(path: str) -> Column:
-        return F.get_json_object(text, path)
 
-    frames = F.from_json(at("$.frames"), "array<struct<metrics:string>>")
-    return F.coalesce(
-        _vmaf_member(at("$.metrics")),
-        _vmaf_member(at("$['metrics.vmaf']")),
-        _vmaf_member(at("$.pooled_metrics")),
-        _vmaf_member(text),
-        _first(frames, lambda f: _vmaf_member(f["metrics"])),
+def _vmaf_of_lines(lines: Column) -> Column:
+    """Scores of JSON log lines, for the layouts the tool writes; each line is parsed once."""
+    parsed = F.transform(
+        lines, lambda x: F.struct(F.from_json(x, VMAF_LAYOUT).alias("j"), x.alias("text"))
+    )
+    return F.transform(
+        parsed,
+        lambda p: F.coalesce(
+            _vmaf_member(p["j"]["metrics"]),
+            _numeric_or_first(p["j"]["metrics.vmaf"]),
+            _vmaf_member(p["j"]["pooled_metrics"]),
+            _first(p["j"]["frames"], lambda f: _vmaf_member(f["metrics"])),
+            _vmaf_member(F.from_json(p["text"], "map<string,string>")),
+        ),
     )
 
 
@@ -395,10 +404,8 @@ def quality_scores(raw: DataFrame) -> DataFrame:
     """SSIM, PSNR and VMAF per log: the last finite score of each."""
     text = F.col("raw")
     json_lines = F.filter(F.split(text, "\n"), lambda x: x.contains("{"))
-    from_json = F.filter(
-        F.transform(json_lines, lambda x: _vmaf_of_json(F.trim(x.substr(F.locate("{", x), F.length(x))))),
-        lambda x: x.isNotNull(),
-    )
+    bodies = F.transform(json_lines, lambda x: F.trim(x.substr(F.locate("{", x), F.length(x))))
+    from_json = F.filter(_vmaf_of_lines(bodies), lambda x: x.isNotNull())
     return raw.select(
         "media_id",
         _last_score(text, "All:").alias("ssim"),
@@ -461,23 +468,36 @@ def flatten_clips(merges: DataFrame, clips_per_row: int = CLIPS_PER_DOCUMENT) ->
     )
 
 
-def pack_lines(lines: DataFrame, key: str, order: list[str], per_row: int = LINES_PER_DOCUMENT) -> DataFrame:
+def pack_lines(
+    lines: DataFrame,
+    key: Sequence[str],
+    order: Sequence[str],
+    head: Column | None = None,
+    tail: Column | None = None,
+    per_row: int = LINES_PER_DOCUMENT,
+    blocked: bool | None = None,
+) -> DataFrame:
     """Lines of a document joined into rows of at most ``per_row`` lines.
 
-    An ordinary document is one row (``part`` 0); the parts of a very long one, put
-    one after the other, are the whole text.
+    ``head`` goes before the first line and ``tail`` behind the last one. An ordinary
+    document is one row (``part`` 0); the parts of a very long one, put one after the
+    other, are the whole text.
     """
+    key, order = list(key), list(order)
+    blocked = is_hot(lines, key) if blocked is None else blocked
     block = F.struct(*order[:-1], position_block(order[-1]))
-    numbered = number_rows(lines, [key], order, block, "line_no")
+    rows = number_rows(lines, key, order, block, "line_no", blocked)
+    line = F.col("line")
+    if head is not None:
+        line = F.when(F.col("line_no") == 1, F.concat(head, line)).otherwise(line)
+    if tail is not None:
+        rows = group_values(rows, key, blocked, __n=F.count(F.lit(1)))
+        line = F.when(F.col("line_no") == F.col("__n"), F.concat(line, tail)).otherwise(line)
     part = F.floor((F.col("line_no") - 1) / per_row).cast("bigint")
-    return numbered.groupBy(key, part.alias("part")).agg(
-        F.array_join(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]
-            ),
-            "\n",
-        ).alias("body")
+    packed = rows.groupBy(*key, part.alias("part")).agg(
+        F.array_sort(F.collect_list(F.struct("line_no", line.alias("line")))).alias("l")
     )
+    return packed.select(*key, "part", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("body"))
 
 
 def subtitle_lines(segments: DataFrame, kind: str = "srt") -> DataFrame:
@@ -506,27 +526,29 @@ def subtitle_documents(segments: DataFrame, kind: str = "srt", cues_per_row: int
     return packed.withColumn("body", F.concat(head, "body"))
 
 
-CLIP_HEAD = ("## 클립 정보", "", "| # | 파일명 | 기종 | 촬영시간 | 길이 |", "|---|--------|------|----------|------|")
-CHAPTER_HEAD = ("", "## YouTube 챕터", "", "```")
-DEVICE_LINE = ("이 영상은 ", "로 촬영됨")
+CLIP_HEAD = "\n".join(
+    ("## 클립 정보", "", "| # | 파일명 | 기종 | 촬영시간 | 길이 |", "|---|--------|------|----------|------|", "")
+)
+CHAPTER_HEAD = "\n".join(("", "## YouTube 챕터", "", "```", ""))
+CHAPTER_TAIL = "\n```"
+DEVICE_LINE = ("\n\n이 영상은 ", "로 촬영됨")
 
 
-def _constant(keys: DataFrame, block: int, lines: tuple[str, ...]) -> DataFrame:
-    items = F.array(*[F.lit(x) for x in lines])
-    return keys.select(
-        "merge_id", F.lit(block).alias("block"), F.posexplode(items).alias("pos", "line")
-    ).withColumn("pos", F.col("pos").cast("bigint"))
+def _chapter_lines(clips: DataFrame, blocked: bool | None) -> DataFrame:
+    return chapters(clips, ["merge_id"], blocked=blocked).select(
+        "merge_id", F.lit(1).alias("block"), F.col("run").alias("pos"), F.concat("clock", F.lit(" "), "title").alias("line")
+    )
 
 
-def _chapter_lines(clips: DataFrame, block: int) -> DataFrame:
-    return chapters(clips, ["merge_id"]).select(
-        "merge_id", F.lit(block).alias("block"), F.col("run").alias("pos"), F.concat("clock", F.lit(" "), "title").alias("line")
+def _device_tail() -> Column:
+    return F.when(F.col("devices").isNull(), F.lit("")).otherwise(
+        F.concat(F.lit(DEVICE_LINE[0]), "devices", F.lit(DEVICE_LINE[1]))
     )
 
 
-def clip_summaries(clips: DataFrame) -> DataFrame:
+def clip_summaries(clips: DataFrame, blocked: bool | None = None) -> DataFrame:
     """Clip table and chapter list of every merge as a document."""
-    merges = clips.select("merge_id").distinct()
+    blocked = is_hot(clips, ["merge_id"]) if blocked is None else blocked
 
     def shown(c: str) -> Column:
         return F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("-"))
@@ -539,50 +561,33 @@ def clip_summaries(clips: DataFrame) -> DataFrame:
         shown("shot_time"),
         F.concat(clock_label(F.col("duration"), half_even=True), F.lit(" |")),
     )
-    table = clips.select("merge_id", F.lit(1).alias("block"), F.col("position").alias("pos"), row.alias("line"))
-    lines = (
-        _constant(merges, 0, CLIP_HEAD)
-        .unionByName(table)
-        .unionByName(_constant(merges, 2, CHAPTER_HEAD))
-        .unionByName(_chapter_lines(clips, 3))
-        .unionByName(_constant(merges, 4, ("```",)))
+    table = clips.select("merge_id", F.lit(0).alias("block"), F.col("position").alias("pos"), row.alias("line"))
+    listed = _chapter_lines(clips, blocked).withColumn(
+        "line", F.when(F.col("pos") == 1, F.concat(F.lit(CHAPTER_HEAD), "line")).otherwise(F.col("line"))
+    )
+    return pack_lines(
+        table.unionByName(listed),
+        ["merge_id"],
+        ["block", "pos"],
+        head=F.lit(CLIP_HEAD),
+        tail=F.lit(CHAPTER_TAIL),
+        blocked=blocked,
     )
-    return pack_lines(lines, "merge_id", ["block", "pos"])
 
 
-def descriptions(clips: DataFrame) -> DataFrame:
+def descriptions(clips: DataFrame, blocked: bool | None = None) -> DataFrame:
     """Chapter list of every merge, followed by the line naming its devices."""
-    devices = device_line(clips, ["merge_id"]).select(
-        "merge_id",
-        F.lit(1).alias("block"),
-        F.inline(
-            F.array(
-                F.struct(F.lit(0).cast("bigint").alias("pos"), F.lit("").alias("line")),
-                F.struct(
-                    F.lit(1).cast("bigint").alias("pos"),
-                    F.concat(F.lit(DEVICE_LINE[0]), "devices", F.lit(DEVICE_LINE[1])).alias("line"),
-                ),
-            )
-        ),
-    )
-    return pack_lines(_chapter_lines(clips, 0).unionByName(devices), "merge_id", ["block", "pos"])
+    blocked = is_hot(clips, ["merge_id"]) if blocked is None else blocked
+    lines = _chapter_lines(clips, blocked).join(device_line(clips, ["merge_id"]), "merge_id", "left")
+    return pack_lines(lines, ["merge_id"], ["block", "pos"], tail=_device_tail(), blocked=blocked)
 
 
-def part_descriptions(parts: DataFrame, clips: DataFrame) -> DataFrame:
+def part_descriptions(parts: DataFrame, clips: DataFrame, blocked: bool | None = None) -> DataFrame:
     """Description per split part, from its chapters (merge_id, part_no, run, clock, title)."""
-    lines = parts.select(
-        "merge_id", "part_no", F.lit(0).alias("block"), F.col("run").alias("pos"), F.concat("clock", F.lit(" "), "title").alias("line")
-    )
-    named = parts.select("merge_id", "part_no").distinct().join(device_line(clips, ["merge_id"]), "merge_id")
-    tail = named.select(
-        "merge_id",
-        "part_no",
-        F.lit(1).alias("block"),
-        F.lit(0).cast("bigint").alias("pos"),
-        F.concat(F.lit("\n" + DEVICE_LINE[0]), "devices", F.lit(DEVICE_LINE[1])).alias("line"),
-    )
-    keyed = lines.unionByName(tail).withColumn("doc", F.concat_ws("/", "merge_id", "part_no"))
-    return pack_lines(keyed.select("doc", "block", "pos", "line"), "doc", ["block", "pos"])
+    blocked = is_hot(parts, ["merge_id", "part_no"]) if blocked is None else blocked
+    lines = parts.select("merge_id", "part_no", "run", F.concat("clock", F.lit(" "), "title").alias("line"))
+    lines = lines.join(device_line(clips, ["merge_id"]), "merge_id", "left")
+    return pack_lines(lines, ["merge_id", "part_no"], ["run"], tail=_device_tail(), blocked=blocked)
 
 
 def single_description(device: Column, shot_time: Column) -> Column:

@@ -16,8 +16,8 @@ from cliplake.functions.labels import clock_label, file_stem
 from cliplake.operators.ordered import (
     BLOCK,
     group_values,
-    hour_of,
     is_hot,
+    micros,
     number_rows,
     previous_row,
     scan,
@@ -86,9 +86,11 @@ def merge_runs(
     )
 
 
-def chapters(clips: DataFrame, keys: Sequence[str], group: str = "grp") -> DataFrame:
+def chapters(
+    clips: DataFrame, keys: Sequence[str], group: str = "grp", blocked: bool | None = None
+) -> DataFrame:
     """Start offset, clock label and title of every run."""
-    blocked = is_hot(clips, keys)
+    blocked = is_hot(clips, keys) if blocked is None else blocked
     runs = timeline(merge_runs(clips, keys, group, blocked), keys, "run", blocked=blocked)
     return runs.select(
         *keys,
@@ -100,9 +102,9 @@ def chapters(clips: DataFrame, keys: Sequence[str], group: str = "grp") -> DataF
     )
 
 
-def split_parts(parts: DataFrame, title: Column) -> DataFrame:
+def split_parts(parts: DataFrame, title: Column, blocked: bool | None = None) -> DataFrame:
     """Boundaries and titles of the parts (merge_id, part_no, length) of a split."""
-    blocked = is_hot(parts, ["merge_id"])
+    blocked = is_hot(parts, ["merge_id"]) if blocked is None else blocked
     laid = timeline(parts, ["merge_id"], "part_no", "length", blocked)
     laid = group_values(laid, ["merge_id"], blocked, parts=F.count(F.lit(1)))
     return laid.withColumn(
@@ -110,7 +112,9 @@ def split_parts(parts: DataFrame, title: Column) -> DataFrame:
     )
 
 
-def overlap_parts(clips: DataFrame, parts: DataFrame, seconds_per_block: float = 600.0) -> DataFrame:
+def overlap_parts(
+    clips: DataFrame, parts: DataFrame, seconds_per_block: float = 600.0, blocked: bool | None = None
+) -> DataFrame:
     """Clips (merge_id, run, name, start_s, end_s) that share time with parts (merge_id, part_no, ...).
 
     Parts follow each other without gaps, so the parts a clip touches are a range of
@@ -139,6 +143,7 @@ def overlap_parts(clips: DataFrame, parts: DataFrame, seconds_per_block: float =
         ["merge_id"],
         ["at", "kind", "no"],
         F.floor(F.col("at") / F.lit(seconds_per_block)).cast("bigint"),
+        blocked=blocked,
         ended=("sum", (kind == 0).cast("bigint")),
         begun=("sum", (kind == 3).cast("bigint")),
         edge=("max", F.when(kind == 0, F.col("at"))),
@@ -167,29 +172,58 @@ def overlap_parts(clips: DataFrame, parts: DataFrame, seconds_per_block: float =
 
 
 # ------------------------------------------------------------------ sessions
-def sequence_sessions(files: DataFrame) -> DataFrame:
-    """Islands of sequence-numbered files inside a batch.
+def session_family(name: Column) -> Column:
+    """``dji`` for sequence-numbered files, ``gopro_<session>`` for chaptered ones, else ``s``."""
+    numbered, first, further = CHAPTER_PATTERNS
+    session = (
+        F.when(name.rlike(numbered), F.regexp_extract(name, numbered, 2))
+        .when(name.rlike(first), F.regexp_extract(name, first, 1))
+        .when(name.rlike(further), F.regexp_extract(name, further, 2))
+    )
+    return F.when(name.rlike(SEQUENCE_PATTERN), F.lit("dji")).otherwise(
+        F.coalesce(F.concat(F.lit("gopro_"), session), F.lit("s"))
+    )
+
+
+def sessions(files: DataFrame, grouping: bool = True, blocked: bool | None = None) -> DataFrame:
+    """Every file of a batch with its session (``group_id``) and place in it (``member``).
 
-    A file continues the previous one if its number follows, the previous size lies
-    near a card split size, and the clock gap is 0 to 3 hours (unknown clocks fit).
+    Chaptered files of one recording form a session in chapter order. Sequence-numbered
+    files form islands: a file continues the previous one if its number follows, the
+    previous size lies near a card split size, and the clock gap is 0 to 3 hours
+    (unknown clocks fit). Other files are sessions of their own, ``s_1``, ``s_2``... in
+    input order; without grouping all are, from ``s_0``.
+
+    The three kinds differ only in what they are sorted by, so one partitioning and
+    one sort serve all of them.
     """
-    stamp = F.regexp_extract("name", SEQUENCE_PATTERN, 1)
-    hits = files.filter(F.col("name").rlike(SEQUENCE_PATTERN)).select(
-        "*",
-        F.regexp_extract("name", SEQUENCE_PATTERN, 2).cast("int").alias("__seq"),
-        F.try_to_timestamp(stamp, F.lit("yyyyMMddHHmmss")).alias("__clock"),
+    if not grouping:
+        return files.withColumn("group_id", F.concat(F.lit("s_"), "idx")).withColumn(
+            "member", F.lit(1).cast("bigint")
+        )
+    blocked = is_hot(files, ["batch"]) if blocked is None else blocked
+    rows = files.withColumn("__family", session_family(F.col("name")))
+    dji, single = F.col("__family") == "dji", F.col("__family") == "s"
+    stamp = F.when(dji, F.regexp_extract("name", SEQUENCE_PATTERN, 1))
+    number = F.when(dji, F.regexp_extract("name", SEQUENCE_PATTERN, 2)).when(
+        ~single, F.regexp_extract("name", r"(?i)^G[HP](\d{2})\d{4}\.", 1)
+    )
+    rows = rows.withColumns(
+        {
+            "__clock": F.try_to_timestamp(stamp, F.lit("yyyyMMddHHmmss")),
+            "__seq": F.coalesce(number.try_cast("int"), F.lit(0)),
+        }
     )
-    hits = hits.withColumn("__at", F.coalesce("__clock", F.col("creation_time").cast("timestamp")))
-    order = ["__at", "__seq", "idx"]
-    blocked = is_hot(files, ["batch"])
+    at = F.when(dji, micros(F.coalesce("__clock", F.col("creation_time").cast("timestamp")))).otherwise(F.lit(0))
+    rows = rows.withColumn("__at", at)
+    block = F.struct(
+        F.floor(F.col("__at") / F.lit(3_600_000_000)).cast("bigint").alias("hour"),
+        F.when(dji, F.lit(0)).otherwise(F.col("__seq")).alias("chapter"),
+        F.when(dji, F.lit(0).cast("bigint")).otherwise(position_block("idx")).alias("stretch"),
+    )
+    keys, order = ["batch", "__family"], ["__at", "__seq", "idx"]
     rows = previous_row(
-        with_block(hits, hour_of(F.col("__at"))),
-        ["batch"],
-        order,
-        None,
-        ["__seq", "__clock", "size_bytes"],
-        "__prev",
-        blocked,
+        with_block(rows, block), keys, order, None, ["__seq", "__clock", "size_bytes"], "__prev", blocked
     )
     near = F.lit(False)
     for size in SPLIT_SIZES:
@@ -200,16 +234,16 @@ def sequence_sessions(files: DataFrame) -> DataFrame:
         & near
         & F.coalesce(gap.between(0, MAX_GAP_SECONDS), F.lit(True))
     )
-    starts = F.col("__prev").isNull() | ~follows
-    rows = rows.withColumn("__starts", starts)
+    rows = number_rows(rows, keys, order, None, "__no", blocked).withColumn(
+        "__starts", F.col("__prev").isNull() | (dji & ~follows)
+    )
     lead = F.when(
         F.col("__starts"),
-        F.struct(*order, F.date_format("__clock", "yyyyMMddHHmmss").alias("stamp"), F.col("__no").alias("no")),
+        F.struct(*order, F.col("__no").alias("no"), F.date_format("__clock", "yyyyMMddHHmmss").alias("stamp")),
     )
-    numbered = number_rows(rows, ["batch"], order, None, "__no", blocked)
-    islands = scan(
-        numbered,
-        ["batch"],
+    rows = scan(
+        rows,
+        keys,
         order,
         None,
         inclusive=True,
@@ -217,71 +251,37 @@ def sequence_sessions(files: DataFrame) -> DataFrame:
         __island=("sum", F.col("__starts").cast("bigint")),
         __lead=("max", lead),
     )
-    return islands.select(
-        *files.columns,
-        F.concat_ws("_", F.lit("dji"), F.col("__lead.stamp"), F.col("__island").cast("string")).alias("group_id"),
-        (F.col("__no") - F.col("__lead.no") + 1).alias("member"),
+    group = (
+        F.when(dji, F.concat_ws("_", "__family", "__lead.stamp", F.col("__island").cast("string")))
+        .when(single, F.concat(F.lit("s_"), "__no"))
+        .otherwise(F.col("__family"))
     )
+    member = F.when(single, F.lit(1).cast("bigint")).otherwise(F.col("__no") - F.col("__lead.no") + 1)
+    return rows.select(*files.columns, group.alias("group_id"), member.alias("member"))
 
 
-def chapter_sessions(files: DataFrame) -> DataFrame:
-    """Chaptered files of one recording, in chapter order then input order."""
-    name = F.col("name")
-    numbered, first, further = CHAPTER_PATTERNS
-    session = (
-        F.when(name.rlike(numbered), F.regexp_extract(name, numbered, 2))
-        .when(name.rlike(first), F.regexp_extract(name, first, 1))
-        .when(name.rlike(further), F.regexp_extract(name, further, 2))
-    )
-    chapter = (
-        F.when(name.rlike(numbered), F.regexp_extract(name, numbered, 1))
-        .when(name.rlike(first), F.lit("0"))
-        .when(name.rlike(further), F.regexp_extract(name, further, 1))
-    ).cast("int")
-    hits = (
-        files.withColumn("group_id", F.concat(F.lit("gopro_"), session))
-        .withColumn("__chapter", chapter)
-        .filter(F.col("group_id").isNotNull())
-    )
-    block = F.struct("__chapter", position_block("idx"))
-    return number_rows(hits, ["batch", "group_id"], ["__chapter", "idx"], block, "member").drop("__chapter")
-
-
-def is_single(name: Column) -> Column:
-    return ~name.rlike("|".join(f"(?:{p})" for p in (*CHAPTER_PATTERNS, SEQUENCE_PATTERN)))
+def sequence_sessions(files: DataFrame) -> DataFrame:
+    return sessions(files.filter(session_family(F.col("name")) == "dji"))
 
 
-def single_sessions(files: DataFrame, grouping: bool = True) -> DataFrame:
-    """Files of no session: ``s_1``, ``s_2``... in input order; all as ``s_0``... without grouping."""
-    if not grouping:
-        return files.withColumn("group_id", F.concat(F.lit("s_"), "idx")).withColumn(
-            "member", F.lit(1).cast("bigint")
-        )
-    alone = files.filter(is_single(F.col("name")))
-    numbered = number_rows(alone, ["batch"], ["idx"], position_block("idx"), "__n")
-    return numbered.select(
-        *files.columns, F.concat(F.lit("s_"), "__n").alias("group_id"), F.lit(1).cast("bigint").alias("member")
-    )
+def chapter_sessions(files: DataFrame) -> DataFrame:
+    return sessions(files.filter(session_family(F.col("name")).startswith("gopro_")))
 
 
-def sessions(files: DataFrame, grouping: bool = True) -> DataFrame:
-    """Every file with its session (``group_id``) and place in it (``member``)."""
-    if not grouping:
-        return single_sessions(files, grouping=False)
-    return (
-        sequence_sessions(files).unionByName(chapter_sessions(files)).unionByName(single_sessions(files))
-    )
+def single_sessions(files: DataFrame) -> DataFrame:
+    return sessions(files.filter(session_family(F.col("name")) == "s"))
 
 
-def session_list(grouped: DataFrame) -> DataFrame:
+def session_list(grouped: DataFrame, blocked: bool | None = None) -> DataFrame:
     """One row per session, ranked by its first input index."""
+    blocked = is_hot(grouped, ["batch"]) if blocked is None else blocked
     groups = grouped.groupBy("batch", "group_id").agg(
         F.min("idx").alias("first_idx"), F.count(F.lit(1)).alias("files")
     )
-    return number_rows(groups, ["batch"], ["first_idx"], position_block("first_idx"), "group_no")
+    return number_rows(groups, ["batch"], ["first_idx"], position_block("first_idx"), "group_no", blocked)
 
 
-def reorder(grouped: DataFrame) -> DataFrame:
+def reorder(grouped: DataFrame, blocked: bool | None = None) -> DataFrame:
     """New list position with every session contiguous at its first index.
 
     Single files that lie inside a session's span move behind it. Spans that overlap
@@ -289,7 +289,7 @@ def reorder(grouped: DataFrame) -> DataFrame:
     stretch covers a gapless index range, so the new position is its start plus the
     rank inside it, and no file is ever lost.
     """
-    blocked = is_hot(grouped, ["batch"])
+    blocked = is_hot(grouped, ["batch"]) if blocked is None else blocked
     rows = group_values(
         grouped,
         ["batch", "group_id"],
@@ -323,7 +323,11 @@ def reorder(grouped: DataFrame) -> DataFrame:
 
 
 def fade_flags(
-    grouped: DataFrame, fade: float = 0.5, intro: bool = False, outro: bool = False
+    grouped: DataFrame,
+    fade: float = 0.5,
+    intro: bool = False,
+    outro: bool = False,
+    blocked: bool | None = None,
 ) -> DataFrame:
     """Fade lengths per file: only at the outer edges of a session.
 
@@ -331,34 +335,28 @@ def fade_flags(
     one no fade-out, and both templates appear as rows of their own.
     """
     length = max(float(fade), 0.0)
-    blocked = is_hot(grouped, ["batch"])
-    ends = grouped.groupBy("batch").agg(F.min("idx").alias("__lo"), F.max("idx").alias("__hi"))
+    blocked = is_hot(grouped, ["batch"]) if blocked is None else blocked
     rows = group_values(grouped, ["batch", "group_id"], blocked, __n=F.count(F.lit(1)))
     rows = group_values(rows, ["batch"], blocked, __lo=F.min("idx"), __hi=F.max("idx"))
+    first, last = F.col("idx") == F.col("__lo"), F.col("idx") == F.col("__hi")
     fade_in = F.when(F.col("member") == 1, length).otherwise(0.0)
     fade_out = F.when(F.col("member") == F.col("__n"), length).otherwise(0.0)
     if intro:
-        fade_in = F.when(F.col("idx") == F.col("__lo"), 0.0).otherwise(fade_in)
+        fade_in = F.when(first, 0.0).otherwise(fade_in)
     if outro:
-        fade_out = F.when(F.col("idx") == F.col("__hi"), 0.0).otherwise(fade_out)
-    out = rows.select(
-        "batch", "idx", F.lit("clip").alias("role"), fade_in.alias("fade_in"), fade_out.alias("fade_out")
-    )
-    for wanted, role, at, f_in, f_out in (
-        (intro, "intro", F.col("__lo") - 1, length, 0.0),
-        (outro, "outro", F.col("__hi") + 1, 0.0, length),
-    ):
-        if wanted:
-            out = out.unionByName(
-                ends.select(
-                    "batch",
-                    at.alias("idx"),
-                    F.lit(role).alias("role"),
-                    F.lit(f_in).alias("fade_in"),
-                    F.lit(f_out).alias("fade_out"),
-                )
-            )
-    return out
+        fade_out = F.when(last, 0.0).otherwise(fade_out)
+
+    def entry(role: str, idx: Column, f_in: Column, f_out: Column) -> Column:
+        return F.struct(
+            idx.alias("idx"), F.lit(role).alias("role"), f_in.alias("fade_in"), f_out.alias("fade_out")
+        )
+
+    entries = [entry("clip", F.col("idx"), fade_in, fade_out)]
+    if intro:
+        entries.append(F.when(first, entry("intro", F.col("idx") - 1, F.lit(length), F.lit(0.0))))
+    if outro:
+        entries.append(F.when(last, entry("outro", F.col("idx") + 1, F.lit(0.0), F.lit(length))))
+    return rows.select("batch", F.inline(F.array_compact(F.array(*entries))))
 
 
 # ------------------------------------------------------------------ edit lists

@@ -514,13 +514,15 @@ def append_backups(history: DataFrame, results: DataFrame, now: Column) -> DataF
 
 
 # ------------------------------------------------------------------ merges
-def merge_records(clips: DataFrame, clips_per_row: int = CLIPS_PER_DOCUMENT) -> DataFrame:
+def merge_records(
+    clips: DataFrame, clips_per_row: int = CLIPS_PER_DOCUMENT, blocked: bool | None = None
+) -> DataFrame:
     """Totals and timeline JSON per merge from its clips (merge_id, position, ...).
 
     The timeline is packed into rows of at most ``clips_per_row`` clips; an ordinary
     merge is one row (``part`` 0).
     """
-    laid = timeline(clips, ["merge_id"])
+    laid = timeline(clips, ["merge_id"], blocked=blocked)
     item = F.struct(
         "position",
         F.struct("name", "duration", F.col("start_s").alias("start"), F.col("end_s").alias("end"), "device", "shot_time").alias("clip"),
@@ -546,8 +548,14 @@ def split_plan(merges: DataFrame) -> DataFrame:
     A duration rules over a size; a size needs a bitrate. One row per part, or one row
     with a reason.
     """
-    by_time = duration_spec(F.col("duration_spec"))
-    size = size_spec(F.col("size_spec"))
+    merges = merges.select(
+        "id",
+        "total_s",
+        "bitrate",
+        duration_spec(F.col("duration_spec")).alias("by_time"),
+        size_spec(F.col("size_spec")).alias("size"),
+    )
+    by_time, size = F.col("by_time"), F.col("size")
     by_size = F.when(F.col("bitrate") > 0, F.floor(size * 8 / F.col("bitrate")).cast("bigint"))
     seconds = F.coalesce(by_time, by_size)
     reason = (

@@ -593,7 +593,7 @@ def k15(spark, sf):
     SELECT merge_id, (position - 1) // 1000 AS part, count(*) AS clip_count, sum(duration) AS total_duration, '[' || string_agg(CAST(json_object('name', name, 'duration', duration, 'start', s, 'end', s + duration, 'device', device, 'shot_time', shot_time) AS VARCHAR), ',' ORDER BY position) || ']' AS clips_info_json FROM t GROUP BY 1, 2""",
 )
 def k16(spark, sf):
-    return K.merge_records(V.clips(spark, sf))
+    return K.merge_records(V.clips(spark, sf), blocked=V.hot_merge(spark, sf))
 
 
 @query(
