@@ -31,12 +31,9 @@ HEADLINE = (
     "H9_clean_description",
     "I1_probe_metadata",
     "I4_progress_log",
-    "I7_quality_scores",
-    "I11_clip_summary",
     "J2_transient_peaks",
     "J6_best_segment",
     "K2_job_events",
-    "K11_upsert_ignore",
     "L2_stability_gate",
 )
 

@@ -366,48 +366,56 @@ def apply_edits(df: DataFrame, size: str, edits: Sequence[tuple], position: str
     Edits are ``("swap", a, b)``, ``("move", a, b)``, ``("remove", n)`` and
     ``("order", [..])``. An edit that does not fit a list (out of range, repeated or
     missing numbers, removing the last clip) leaves that list as it is.
+
+    Every row folds the edit list over its own position; no list is ever gathered.
     """
-    out = df.withColumn("new_position", F.col(position).cast("bigint")).withColumn(
-        "__size", F.col(size).cast("bigint")
-    )
-    p, n = F.col("new_position"), F.col("__size")
+
+    def step(kind: str, a: int, b: int, target: list[int]) -> Column:
+        # where a full reordering sends each old position
+        sent = [target.index(i) + 1 for i in range(1, len(target) + 1)]
+        return F.struct(
+            F.lit(kind).alias("kind"),
+            F.lit(a).cast("bigint").alias("a"),
+            F.lit(b).cast("bigint").alias("b"),
+            F.array(*[F.lit(x) for x in sent]).cast("array<bigint>").alias("sent"),
+        )
+
+    steps = []
     for kind, *args in edits:
         if kind == "order":
             wanted = [int(x) for x in args[0]]
-            valid = sorted(wanted) == list(range(1, len(wanted) + 1))
-            if not valid:
-                continue
-            target = F.element_at(
-                F.create_map(*[F.lit(v).cast("bigint") for i, s in enumerate(wanted, 1) for v in (s, i)]), p
-            )
-            out = out.withColumn("new_position", F.when(n == len(wanted), target).otherwise(p))
-            continue
-        numbers = [int(a) for a in args]
-        fits = F.lit(min(numbers) >= 1) & (n >= max(numbers))
-        if kind == "swap":
-            a, b = numbers
-            moved = F.when(p == a, F.lit(b)).when(p == b, F.lit(a)).otherwise(p)
-            out = out.withColumn("new_position", F.when(fits, moved).otherwise(p).cast("bigint"))
-        elif kind == "move":
-            a, b = numbers
-            moved = (
-                F.when(p == a, F.lit(b))
-                .when((p > a) & (p <= b), p - 1)
-                .when((p < a) & (p >= b), p + 1)
-                .otherwise(p)
-            )
-            out = out.withColumn("new_position", F.when(fits, moved).otherwise(p).cast("bigint"))
-        elif kind == "remove":
-            (k,) = numbers
-            fits = fits & (n > 1)
-            out = (
-                out.filter(~(fits & (p == k)))
-                .withColumn("new_position", F.when(fits & (p > k), p - 1).otherwise(p))
-                .withColumn("__size", F.when(fits, n - 1).otherwise(n))
-            )
+            if sorted(wanted) == list(range(1, len(wanted) + 1)):
+                steps.append(step(kind, 0, 0, wanted))
+        elif kind in ("swap", "move", "remove"):
+            numbers = [int(x) for x in args]
+            steps.append(step(kind, numbers[0], numbers[-1], []))
         else:
             raise ValueError(f"unknown edit {kind!r}")
-    return out.drop("__size")
+
+    def apply(acc: Column, e: Column) -> Column:
+        p, n, a, b = acc["p"], acc["n"], e["a"], e["b"]
+        fits = (F.least(a, b) >= 1) & (F.greatest(a, b) <= n)
+        gone = (e["kind"] == "remove") & fits & (n > 1)
+        swapped = F.when(p == a, b).when(p == b, a).otherwise(p)
+        moved = (
+            F.when(p == a, b)
+            .when((p > a) & (p <= b), p - 1)
+            .when((p < a) & (p >= b), p + 1)
+            .otherwise(p)
+        )
+        closed = F.when(p > a, p - 1).when(p < a, p)
+        new = (
+            F.when((e["kind"] == "swap") & fits, swapped)
+            .when((e["kind"] == "move") & fits, moved)
+            .when(gone, closed)
+            .when((e["kind"] == "order") & (F.size(e["sent"]) == n), F.get(e["sent"], (p - 1).cast("int")))
+            .otherwise(p)
+        )
+        return F.struct(new.alias("p"), F.when(gone, n - 1).otherwise(n).alias("n"))
+
+    start = F.struct(F.col(position).cast("bigint").alias("p"), F.col(size).cast("bigint").alias("n"))
+    final = F.aggregate(F.array(*steps), start, apply, lambda acc: acc["p"]) if steps else start["p"]
+    return df.withColumn("new_position", final).filter("new_position IS NOT NULL")
 
 
 def device_line(clips: DataFrame, keys: Sequence[str]) -> DataFrame:
