@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cliplake.functions.labels import file_suffix
 from cliplake.functions.predicates import AUDIO_EXTENSIONS
-from cliplake.operators.ordered import micros, scan
+from cliplake.operators.ordered import is_hot, micros, scan
 
 # White-balance presets in kelvin, default keywords, score weights.
 KELVIN_PRESETS = {
@@ -112,6 +112,7 @@ def match_recordings(
         usable.select("folder", "length", F.lit(1).alias("kind"), "id"), allowMissingColumns=True
     )
     mixed = mixed.withColumn("down", -F.col("length"))
+    blocked = is_hot(videos.select("folder").unionAll(recordings.select("folder")), ["folder"])
     is_rec = F.col("kind") == 0
     value = F.struct("length", "rec")
     below = scan(
@@ -119,6 +120,7 @@ def match_recordings(
         ["folder"],
         ["length", "kind", "id"],
         F.floor(F.col("length") / 10).cast("bigint"),
+        blocked=blocked,
         near=("max", F.when(is_rec, F.struct(F.col("length").alias("k"), value.alias("v")))),
     )
     above = scan(
@@ -126,6 +128,7 @@ def match_recordings(
         ["folder"],
         ["down", "kind", "id"],
         F.floor(F.col("down") / 10).cast("bigint"),
+        blocked=blocked,
         near=("max", F.when(is_rec, F.struct(F.col("down").alias("k"), value.alias("v")))),
     )
     by_length = (

@@ -14,6 +14,10 @@ order columns must be non-null, ``order`` ascending and unique per key. Scans th
 follow each other along the same order share one shuffle: attach the block once with
 :func:`with_block` and pass ``block=None``. ``blocked`` skips the measurement when the
 caller knows its answer.
+
+Scans over a whole table (no keys) balance better: rows are range-partitioned along
+the order and the partition is the block. Its number must not change between uses, so
+this needs the checkpoint folder; without one the given block serves.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cliplake.session import cut_lineage
+from cliplake.session import cut_lineage, has_checkpoint_folder
 
 BLOCK = "__block"
 GROUP_ROWS = 2_000_000
@@ -47,6 +51,12 @@ def with_block(df: DataFrame, block: Column) -> DataFrame:
     return df.withColumn(BLOCK, block)
 
 
+def _in_blocks(df: DataFrame, keys: list[str], order: list[str], block: Column | None) -> DataFrame:
+    if not keys and has_checkpoint_folder(df.sparkSession):
+        block, df = F.spark_partition_id(), df.repartitionByRange(*order)
+    return cut_lineage(df if block is None else df.withColumn(BLOCK, block))
+
+
 def _combine(how: str, carried: Column, local: Column) -> Column:
     if how == "sum":
         return F.coalesce(carried + local, carried, local)
@@ -73,7 +83,7 @@ def scan(
         whole = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
         return df.withColumns({n: _MERGE[how](v).over(whole) for n, (how, v) in values.items()})
     kb = [*keys, BLOCK]
-    rows = cut_lineage(df if block is None else df.withColumn(BLOCK, block))
+    rows = _in_blocks(df, keys, order, block)
     inside = Window.partitionBy(*kb).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
     local = rows.withColumns(
         {f"__l_{n}": _MERGE[how](value).over(inside) for n, (how, value) in values.items()}
@@ -127,7 +137,7 @@ def previous_row(
     if not (is_hot(df, keys) if blocked is None else blocked):
         return df.withColumn(name, F.lag(payload).over(Window.partitionBy(*keys).orderBy(*order)))
     kb = [*keys, BLOCK]
-    rows = cut_lineage(df if block is None else df.withColumn(BLOCK, block))
+    rows = _in_blocks(df, keys, order, block)
     local = rows.withColumn("__l", F.lag(payload).over(Window.partitionBy(*kb).orderBy(*order)))
     before = Window.partitionBy(*keys).orderBy(BLOCK)
     carry = (

@@ -440,8 +440,9 @@ def silence_pairs(lines: DataFrame) -> DataFrame:
         (start != "").alias("is_start"),
         F.when(start != "", start).otherwise(end).try_cast("double").alias("at"),
     ).filter(F.col("at").isNotNull())
+    blocked = is_hot(lines, ["media_id"])
     rows = previous_row(
-        marks, ["media_id"], ["line_no"], position_block("line_no"), ["is_start", "at"], name="prev"
+        marks, ["media_id"], ["line_no"], position_block("line_no"), ["is_start", "at"], "prev", blocked
     )
     return rows.filter(~F.col("is_start") & F.col("prev.is_start")).select(
         "media_id",
@@ -455,4 +456,5 @@ def silence_pairs(lines: DataFrame) -> DataFrame:
 def number_subtitles(segments: DataFrame) -> DataFrame:
     """Non-blank segments numbered from 1 per media."""
     kept = segments.filter(F.trim("text") != "")
-    return number_rows(kept, ["media_id"], ["seq"], position_block("seq"), "number")
+    blocked = is_hot(segments, ["media_id"])
+    return number_rows(kept, ["media_id"], ["seq"], position_block("seq"), "number", blocked)

@@ -34,11 +34,11 @@ def _block(c: str = "idx", size: int = SAMPLES_PER_BLOCK) -> Column:
 
 
 # ------------------------------------------------------------------ peaks
-def noise_floor(samples: DataFrame, keys: Sequence[str]) -> DataFrame:
+def noise_floor(samples: DataFrame, keys: Sequence[str], blocked: bool | None = None) -> DataFrame:
     """Exact median magnitude per key, not below 1e-6, and the peak threshold."""
     keys = list(keys)
     size = F.abs("sample")
-    if is_hot(samples, keys):
+    if is_hot(samples, keys) if blocked is None else blocked:
         # the middle rows by rank; magnitude blocks keep one key on many tasks
         rows = samples.select(*keys, "idx", size.alias("m"))
         block = F.struct(F.floor(F.col("m") * 4096).cast("bigint"), _block())
@@ -77,7 +77,7 @@ def transient_peaks(
     if window > gap:
         raise ValueError("the peak window must not exceed the minimum gap")
     blocked = is_hot(samples, keys)
-    floors = noise_floor(samples, keys).select(*keys, "noise_floor")
+    floors = noise_floor(samples, keys, blocked).select(*keys, "noise_floor")
     loud = (
         samples.join(floors, keys)
         .withColumn("m", F.abs("sample"))
@@ -279,6 +279,7 @@ def chained_segments(
     keys: Sequence[str],
     ref_key: str,
     min_confidence: float = MIN_CONFIDENCE,
+    blocked: bool | None = None,
 ) -> DataFrame:
     """References of a recording placed in order, each search starting where the last ended.
 
@@ -294,6 +295,7 @@ def chained_segments(
         [*keys, ref_key],
         ["from_end"],
         _block("from_end", FRAMES_PER_CHUNK),
+        blocked=blocked,
         after=("max", F.col("corr")),
     )
     records = later.filter("after IS NULL OR corr >= after").select(

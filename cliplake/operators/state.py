@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from cliplake.functions.labels import clock_label, file_stem
 from cliplake.functions.specs import duration_spec, size_spec
-from cliplake.operators.ordered import hour_of, number_rows, scan, top_rows
+from cliplake.operators.ordered import hour_of, is_hot, number_rows, scan, top_rows
 from cliplake.operators.sequences import position_block, timeline
 from cliplake.schemas import (
     ALLOWED,
@@ -403,9 +403,11 @@ def number_destinations(requests: DataFrame, existing: DataFrame) -> DataFrame:
             }
         )
 
-    asked = number_rows(parts(requests), family, ["order_no"], position_block("order_no"), "n")
-    asked = asked.withColumn("i", F.col("n") - 1).drop("n")
+    named = parts(requests)
     names = parts(existing).select(*family)
+    blocked = is_hot(named, family) or is_hot(existing, ["dest"])
+    asked = number_rows(named, family, ["order_no"], position_block("order_no"), "n", blocked)
+    asked = asked.withColumn("i", F.col("n") - 1).drop("n")
     numbered = names.select(
         "dest",
         F.regexp_extract("stem", r"^(.+)_([1-9]\d*)$", 1).alias("stem"),
@@ -415,7 +417,7 @@ def number_destinations(requests: DataFrame, existing: DataFrame) -> DataFrame:
     taken = names.withColumn("slot", F.lit(0).cast("bigint")).unionByName(numbered)
     taken = taken.join(asked.select(*family).distinct(), family, "left_semi").distinct()
     while True:
-        ranked = number_rows(taken, family, ["slot"], position_block("slot"), "j")
+        ranked = number_rows(taken, family, ["slot"], position_block("slot"), "j", blocked)
         marks = ranked.select(
             *family, (F.col("slot") - F.col("j") + 1).alias("at"), F.lit(0).alias("kind"), F.col("slot").alias("tie")
         ).unionByName(
@@ -425,7 +427,12 @@ def number_destinations(requests: DataFrame, existing: DataFrame) -> DataFrame:
             allowMissingColumns=True,
         )
         placed = scan(
-            marks, family, ["at", "kind", "tie"], position_block("at"), skipped=("sum", (F.col("kind") == 0).cast("bigint"))
+            marks,
+            family,
+            ["at", "kind", "tie"],
+            position_block("at"),
+            blocked=blocked,
+            skipped=("sum", (F.col("kind") == 0).cast("bigint")),
         ).filter("kind = 1")
         slot = F.col("at") + F.coalesce("skipped", F.lit(0).cast("bigint"))
         final = placed.select(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cliplake.operators import batches as B
 from cliplake.operators import matching as M
 from cliplake.operators import signals as S
+from cliplake.operators.ordered import is_hot
 from cliplake.plans import views as V
 from cliplake.plans.registry import query
 
@@ -298,5 +299,7 @@ def j7(spark, sf):
     ref = S.normal_envelope(rows.filter("ref_no IS NOT NULL"), ["session", "ref_no"], RATE)
     ext = S.normal_envelope(rows.filter("ref_no IS NULL").drop("ref_no"), ["session"], RATE)
     corr = S.lag_correlation(ref, ext, ["session"], ["ref_no"])
-    out = S.chained_segments(corr, ["session"], "ref_no", min_confidence=0.5)
+    # a recording has fewer lags than samples, so the samples bound the scan
+    blocked = is_hot(rows, ["session"])
+    out = S.chained_segments(corr, ["session"], "ref_no", min_confidence=0.5, blocked=blocked)
     return out.withColumn("confidence", F.round("confidence", 5))

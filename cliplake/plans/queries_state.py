@@ -15,7 +15,11 @@ from cliplake.sources import snapshot as SNAP
 from cliplake.sources import tables as T
 
 c = F.col
-NOW = F.lit("2025-01-01 00:00:00").cast("timestamp_ntz")
+
+
+def _now():
+    """A fixed present, so that reruns give the same rows."""
+    return F.lit("2025-01-01 00:00:00").cast("timestamp_ntz")
 
 
 def _tables(spark, sf):
@@ -477,7 +481,7 @@ def _link_sql(unlink: bool) -> str:
 
 def _linked(spark, sf, unlink):
     pairs = V.load(spark, sf, "lineitem").select(c("l_suppkey").alias("project_id"), c("l_orderkey").alias("merge_job_id"))
-    projects, links = K.link_merges(_dated_projects(spark, sf), V.links(spark, sf), V.merges(spark, sf), pairs, NOW, unlink)
+    projects, links = K.link_merges(_dated_projects(spark, sf), V.links(spark, sf), V.merges(spark, sf), pairs, _now(), unlink)
     counts = links.groupBy(c("project_id").alias("id")).agg(F.count(F.lit(1)).alias("links"))
     return projects.join(counts, "id", "left").select(
         "id", "date_range_start", "date_range_end", "updated_at", F.coalesce("links", F.lit(0)).alias("links")
@@ -558,7 +562,7 @@ def k13(spark, sf):
     """SELECT user_id AS video_id, 'delete' AS operation, '/media/' || event_id || '/x.mp4' AS original_path, CAST(NULL AS VARCHAR) AS destination_path, '2025-01-01 00:00:00.000000' AS archived_at FROM events WHERE event_type <> 'error'""",
 )
 def k13h(spark, sf):
-    return K.archive_history_rows(K.archive_files(_archive_request(spark, sf), "delete"), NOW)
+    return K.archive_history_rows(K.archive_files(_archive_request(spark, sf), "delete"), _now())
 
 
 @query(
@@ -575,7 +579,7 @@ def k14(spark, sf):
         (c("status") == "completed").alias("success"),
         F.lit(None).cast("string").alias("error_message"),
     )
-    out = K.append_backups(V.backup_history(spark, sf), results, NOW)
+    out = K.append_backups(V.backup_history(spark, sf), results, _now())
     return out.orderBy("merge_job_id", F.desc("backed_up_at"), F.desc("id")).select(
         "id", "merge_job_id", "source_path", "success", "backed_up_at"
     )

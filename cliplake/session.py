@@ -24,15 +24,17 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, **conf:
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint into the shared folder named by ``spark.checkpoint.dir``.
-
-    A session without such a folder (a small local one) keeps the lineage.
-    """
-    context = df.sparkSession.sparkContext
+def has_checkpoint_folder(spark: SparkSession) -> bool:
+    """Whether ``spark.checkpoint.dir`` (or the context) names a shared folder."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            return df
+            return False
         context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    return True
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoint into the shared folder; a session without one keeps the lineage."""
+    return df.checkpoint(eager=True) if has_checkpoint_folder(df.sparkSession) else df
