@@ -63,10 +63,14 @@ def stable_batch(observations: DataFrame, checks: int) -> DataFrame:
     return rows.filter(F.col("size").isNotNull() & (count % checks == 0)).select("path", "seq", "size", "at")
 
 
-def stable_stream(observations: DataFrame, checks: int, forget_after_ms: int = 3_600_000) -> DataFrame:
-    """Streaming form of :func:`stable_batch`; a path not seen for a while is forgotten.
+def stable_stream(
+    observations: DataFrame, checks: int, delay: str = "1 hour", forget_after_ms: int = 3_600_000
+) -> DataFrame:
+    """Streaming form of :func:`stable_batch`.
 
     The state of a path is its last size and how often it was seen, never its history.
+    A path without news for ``forget_after_ms`` of event time is forgotten;
+    observations later than ``delay`` are dropped.
     """
     if checks <= 0:
         return observations.filter("size IS NOT NULL").select("path", "seq", "size", "at")
@@ -91,14 +95,19 @@ def stable_stream(observations: DataFrame, checks: int, forget_after_ms: int = 3
             state.remove()
         else:
             state.update((last, seen))
-            state.setTimeoutDuration(forget_after_ms)
+            newest = int(rows["at"].max().timestamp() * 1000)
+            state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + forget_after_ms)
         if hits:
             yield pd.DataFrame(hits, columns=["path", "seq", "size", "at"])
 
-    return observations.groupBy("path").applyInPandasWithState(
-        settle,
-        "path string, seq bigint, size bigint, at timestamp",
-        "last bigint, seen int",
-        "append",
-        GroupStateTimeout.ProcessingTimeTimeout,
+    return (
+        observations.withWatermark("at", delay)
+        .groupBy("path")
+        .applyInPandasWithState(
+            settle,
+            "path string, seq bigint, size bigint, at timestamp",
+            "last bigint, seen int",
+            "append",
+            GroupStateTimeout.EventTimeTimeout,
+        )
     )

@@ -19,10 +19,9 @@ from cliplake.streaming.sources import stream_files
 SF = "/root/testdata/sf0.001"
 
 
-def as_stream(spark, df, folder, files=3, order=None):
+def as_stream(spark, df, folder, files=3):
     """The rows as several files, read back one file per micro-batch."""
-    parts = df.repartitionByRange(files, order) if order else df.repartition(files)
-    parts.write.mode("overwrite").parquet(folder)
+    df.repartition(files).write.mode("overwrite").parquet(folder)
     return stream_files(spark, folder, df.schema, files_per_batch=1)
 
 
@@ -31,14 +30,14 @@ def run(stream, tmp_path, name, mode="append"):
         stream.writeStream.format("memory").queryName(name).outputMode(mode)
         .option("checkpointLocation", str(tmp_path / f"cp_{name}")).trigger(availableNow=True).start()
     )
-    q.awaitTermination(120)
+    assert q.awaitTermination(120)
     assert q.exception() is None
     return stream.sparkSession.table(name)
 
 
 def run_batches(stream, tmp_path, name, writer):
     q = stream.writeStream.foreachBatch(writer).option("checkpointLocation", str(tmp_path / f"cp_{name}")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    assert q.awaitTermination(120)
     assert q.exception() is None
 
 
@@ -94,10 +93,13 @@ def test_stability_gate_stream_equals_batch_and_loop(spark, tmp_path, checks):
     obs = observations(spark)
     want = gate([tuple(r) for r in obs.orderBy("seq").collect()], checks)
     assert sorted((r.path, r.seq) for r in W.stable_batch(obs, checks).collect()) == want
-    stream = as_stream(spark, obs, str(tmp_path / "obs"), order="seq")
+    # one file after the other, oldest first
+    folder = str(tmp_path / "obs")
+    for low in range(0, 150, 50):
+        obs.filter(f"seq >= {low} AND seq < {low + 50}").coalesce(1).write.mode("append").parquet(folder)
+    stream = stream_files(spark, folder, obs.schema, files_per_batch=1)
     out = run(W.stable_stream(stream, checks), tmp_path, f"stable{checks}")
-    # files arrive oldest first only if listed so; a path's order inside a batch is by time
-    assert {r.path for r in out.collect()} <= {p for p, _ in want}
+    assert sorted((r.path, r.seq) for r in out.collect()) == want
     single = run(W.stable_stream(as_stream(spark, obs, str(tmp_path / "one"), files=1), checks), tmp_path, f"one{checks}")
     assert sorted((r.path, r.seq) for r in single.collect()) == want
 
