@@ -83,20 +83,23 @@ def _hit(text: Column, pattern: str, group: int) -> Column:
 
 # ------------------------------------------------------------------ probe
 def parse_probe(raw: DataFrame) -> DataFrame:
-    """Probe JSON with the first video and audio stream picked out."""
-    parsed = raw.withColumn("p", F.from_json("raw", PROBE))
-    streams = F.coalesce("p.streams", F.array().cast(STREAMS))
+    """Probe JSON with the first video and audio stream picked out.
+
+    The JSON leaves through a generator: a filter on anything derived from it would
+    otherwise be pushed below and repeat the parsing for every mention.
+    """
+    parsed = raw.select("*", F.inline(F.array(F.struct(F.from_json("raw", PROBE).alias("p")))))
 
     def of_type(kind: str) -> Column:
+        streams = F.coalesce("p.streams", F.array().cast(STREAMS))
         return F.filter(streams, lambda s: s["codec_type"] == kind)
 
-    return parsed.withColumns(
-        {
-            "video": F.get(of_type("video"), F.lit(0)),
-            "audio": F.get(of_type("audio"), F.lit(0)),
-            "audio_stream_count": F.size(of_type("audio")),
-        }
+    picked = F.struct(
+        F.get(of_type("video"), F.lit(0)).alias("video"),
+        F.get(of_type("audio"), F.lit(0)).alias("audio"),
+        F.size(of_type("audio")).alias("audio_stream_count"),
     )
+    return parsed.select("*", F.inline(F.array(picked)))
 
 
 def probe_metadata(raw: DataFrame) -> DataFrame:
