@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cliplake.llm import jaccard, licenses, mixing, pieces, repetition, toxicity, urls, warc
+from cliplake.llm import embeddings, jaccard, licenses, lines, mixing, pieces, repetition, toxicity, urls, warc
 from cliplake.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,16 +63,16 @@ _ASCII_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqr
         SELECT doc_id, {_WORDS.format(_ASCII_LOWER.format("coalesce(text, '')"))} AS w FROM documents
     ), s AS (
         SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
-            ELSE list_distinct(list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS g
+            ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS g
         FROM d
     ), u AS (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM s),
     p AS (
         SELECT a.doc_id AS a, b.doc_id AS b FROM u a JOIN u b ON a.x = b.x AND a.doc_id < b.doc_id AND 10 * least(a.n, b.n) >= 9 * greatest(a.n, b.n)
         GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
     ), e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
-    r AS (SELECT doc_id AS id, doc_id AS at FROM documents UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.at)
+    r AS (SELECT doc_id AS id, doc_id AS reached FROM documents UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.reached)
     SELECT s.doc_id, len(s.g) AS n_shingles, c.component_id
-    FROM s JOIN (SELECT id, min(at) AS component_id FROM r GROUP BY id) c ON c.id = s.doc_id
+    FROM s JOIN (SELECT id, min(reached) AS component_id FROM r GROUP BY id) c ON c.id = s.doc_id
     """,
 )
 def ngram_jaccard_join(spark, sf_dir):
@@ -81,6 +81,62 @@ def ngram_jaccard_join(spark, sf_dir):
     return found.withColumnRenamed("id", "doc_id")
 
 
+@query(
+    "op2_embedding_near_dedup",
+    """
+    WITH RECURSIVE v AS (
+        SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+            AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+    ), p AS (
+        SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+        WHERE list_cosine_similarity(a.e, b.e) >= 0.95
+    ), r AS (SELECT vec_id AS id, vec_id AS reached FROM embeddings UNION SELECT r.id, p.b FROM r JOIN p ON p.a = r.reached)
+    SELECT e.vec_id, coalesce(l.n, 0) AS n_links, c.component_id, e.vec_id = c.component_id AS kept
+    FROM embeddings e JOIN (SELECT id, min(reached) AS component_id FROM r GROUP BY id) c ON c.id = e.vec_id
+    LEFT JOIN (SELECT a, count(*) AS n FROM p GROUP BY a) l ON l.a = e.vec_id
+    """,
+)
+def embedding_near_dedup(spark, sf_dir):
+    """Links at cosine 0.95 and the vectors that stay."""
+    found = embeddings.embedding_links(table(spark, sf_dir, "embeddings"))
+    return found.select(
+        F.col("id").alias("vec_id"), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept")
+    )
+
+
+@query(
+    "op3_line_dedup",
+    f"""
+    WITH l AS (
+        SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i
+        FROM documents WHERE text IS NOT NULL
+    ), s AS (
+        SELECT doc_id, i, list_sort(list_distinct({_WORDS.format(_ASCII_LOWER.format("line"))})) AS w FROM l
+    ), d AS (  -- different sets, each with its first line
+        SELECT w, len(w) AS n, min(doc_id * 1000000 + i) AS k FROM s WHERE len(w) > 0 GROUP BY w
+    ), f AS (SELECT x, count(*) AS c FROM (SELECT unnest(w) AS x FROM d) GROUP BY x),
+    o AS (
+        SELECT k, n, x, row_number() OVER (PARTITION BY k ORDER BY c, x) AS p FROM (SELECT k, n, unnest(w) AS x FROM d) JOIN f USING (x)
+    ), h AS (SELECT * FROM o WHERE p <= n - (n * 4 + 4) // 5 + 1),
+    c AS (SELECT DISTINCT a.k AS a, b.k AS b FROM h a JOIN h b ON a.x = b.x AND a.k < b.k AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)),
+    m AS (
+        SELECT DISTINCT c.b AS k FROM c JOIN d a ON a.k = c.a JOIN d b ON b.k = c.b
+        WHERE 5 * len(list_intersect(a.w, b.w)) >= 4 * (a.n + b.n - len(list_intersect(a.w, b.w)))
+    ), g AS (
+        SELECT s.doc_id, s.i FROM s JOIN d ON d.w = s.w WHERE s.doc_id * 1000000 + s.i > d.k OR d.k IN (SELECT k FROM m)
+    ), t AS (SELECT doc_id, count(*) AS n_removed, string_agg(i, ',' ORDER BY i) AS removed FROM g GROUP BY doc_id)
+    SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN 0 ELSE len(string_split(text, chr(10))) END AS n_lines,
+        coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS removed
+    FROM documents LEFT JOIN t USING (doc_id)
+    """,
+)
+def line_dedup(spark, sf_dir):
+    """Lines that go from each document because an earlier line is nearly the same."""
+    found = lines.line_report(table(spark, sf_dir, "documents"))
+    return found.withColumn("removed", F.array_join(F.col("removed").cast("array<string>"), ","))
+
+
 @query("op4_toxicity")
 def toxicity_scores(spark, sf_dir):
     """Scores of all documents, learnt from the labels of the other folds."""
@@ -125,7 +181,7 @@ _HOSTED = "regexp_replace(regexp_replace({0}, '#[\\s\\S]*$', ''), '^[A-Za-z][A-Z
     "op6_warc_revisits",
     rf"""
     WITH c AS (
-        SELECT page_id * 2 AS record_id, url, page_id AS at, true AS full_response, '"' || md5(html) || '"' AS etag,
+        SELECT page_id * 2 AS record_id, url, page_id AS t, true AS full_response, '"' || md5(html) || '"' AS etag,
             page_id::VARCHAR AS modified, length(html)::VARCHAR AS content_length, NULL AS expires FROM pages
         UNION ALL
         SELECT page_id * 2 + 1, regexp_replace(regexp_replace(url, '^http://', 'https://WWW.'), '#.*$', '') || '#again',
@@ -137,18 +193,18 @@ _HOSTED = "regexp_replace(regexp_replace({0}, '#[\\s\\S]*$', ''), '^[A-Za-z][A-Z
         SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(rest, '^[^/?]*')), ':(80|443)$', ''), '^www\.', '')
             || regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/+$', '') AS page,
             list_sort(list_filter(string_split(regexp_extract(rest, '\?([\s\S]*)$', 1), '&'),
-                p -> p <> '' AND NOT regexp_matches(p, '^(utm_[^=]*|fbclid|gclid)(=.*)?$'))) AS q FROM r
+                lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[^=]*|fbclid|gclid)(=.*)?$'))) AS q FROM r
     ), k AS (SELECT *, page || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS canonical FROM n),
     w AS (
-        SELECT *, max(CASE WHEN full_response THEN {{'at': at, 'record_id': record_id, 'etag': etag, 'modified': modified, 'content_length': content_length}} END)
-            OVER (PARTITION BY canonical ORDER BY at, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS f FROM k
+        SELECT *, max(CASE WHEN full_response THEN {{'t': t, 'record_id': record_id, 'etag': etag, 'modified': modified, 'content_length': content_length}} END)
+            OVER (PARTITION BY canonical ORDER BY t, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS f FROM k
     ), s AS (
         SELECT *, CASE WHEN f IS NULL THEN 'missing'
             WHEN etag IS NOT NULL THEN CASE WHEN regexp_replace(etag, '^W/', '') = f.etag THEN 'resolved' ELSE 'changed' END
             WHEN modified = f.modified THEN 'resolved' ELSE 'changed' END AS status
         FROM w WHERE NOT full_response
     )
-    SELECT record_id, canonical, at, status,
+    SELECT record_id, canonical, t AS "at", status,
         CASE WHEN status = 'resolved' THEN f.record_id END AS response_id,
         CASE WHEN status = 'resolved' THEN coalesce(etag, f.etag) END AS etag,
         CASE WHEN status = 'resolved' THEN f.modified END AS last_modified,

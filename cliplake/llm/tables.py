@@ -43,3 +43,22 @@ def word_count(text: Column) -> Column:
 def crc_fold(doc_id: Column, folds: int = 3) -> Column:
     """crc32 of the id as text, modulo ``folds``."""
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
+
+
+SIEVE = 1 << 20
+
+
+def sieve(df: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """``df`` without most rows whose ``key`` is not in ``wanted``, before any shuffle.
+
+    Hash buckets of the wanted keys, at most ``SIEVE`` of them whatever the input, go to
+    the driver and out again as one bitmap. Rows that pass still need a join.
+    """
+    buckets = [r[0] for r in wanted.select(F.pmod(F.xxhash64(key), F.lit(SIEVE)).alias("b")).distinct().collect()]
+    words = [0] * (SIEVE // 32)
+    for b in buckets:
+        words[b >> 5] |= 1 << (b & 31)
+    mask = F.broadcast(df.sparkSession.createDataFrame([(words,)], "mask array<bigint>"))  # 256 kB
+    at = F.pmod(F.xxhash64(key), F.lit(SIEVE))
+    bit = F.call_function("shiftright", F.get("mask", F.floor(at / 32).cast("int")), (at % 32).cast("int"))
+    return df.crossJoin(mask).where(bit.bitwiseAND(1) == 1).drop("mask")
