@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from cliplake.llm.text import LOWER, U, Texts, grams, hash_ranges, runs, slices
 
 K, WINDOW = 3, 2  # tokens of a fingerprint, fingerprints of a window: runs of 4 tokens are seen
-BAND = 8  # tokens inserted or left out between two hits of one candidate
+BAND = 8  # most tokens inserted or left out between two hits of one candidate, a quarter of a short template
 INDEX_TOKENS = 1_000_000  # most tokens of all templates together
 TOKEN = np.zeros(256, bool)  # a-z, 0-9 and all non-ASCII bytes
 TOKEN[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
@@ -119,6 +119,7 @@ class Index:
         if len(doc) > INDEX_TOKENS:
             raise ValueError(f"{len(doc)} template tokens; at most {INDEX_TOKENS} travel with a task")
         self.tokens = [hashes[doc == i] for i in range(len(self.names))]
+        self.band = np.array([min(BAND, max(1, len(t) // 4)) for t in self.tokens])
         prints, at = grams(hashes, doc, K)
         start = np.searchsorted(doc, np.arange(len(self.names)))
         # every fingerprint of a template is indexed, so any winnowed one of a text meets it
@@ -162,11 +163,11 @@ def matches(texts: Texts, index: Index, coverage: float) -> Iterator[tuple[int,
     order = np.lexsort((diagonal, t, d))
     d, t, diagonal = d[order], t[order], diagonal[order]
     fresh = np.ones(len(d), bool)
-    fresh[1:] = (d[1:] != d[:-1]) | (t[1:] != t[:-1]) | (np.diff(diagonal) > BAND)
+    fresh[1:] = (d[1:] != d[:-1]) | (t[1:] != t[:-1]) | (np.diff(diagonal) > index.band[t[1:]])
     groups, found = np.append(np.flatnonzero(fresh), len(d)), []
     for g, h in zip(groups[:-1], groups[1:]):
         template = index.tokens[t[g]]
-        low, high = int(diagonal[g]) - BAND, int(diagonal[h - 1]) + BAND
+        low, high = int(diagonal[g] - index.band[t[g]]), int(diagonal[h - 1] + index.band[t[g]])
         a, b = max(bounds[d[g]], low), min(bounds[d[g] + 1], high + len(template))
         matched, first, last = align(template, hashes[a:b], int(a), low, high)
         if matched >= coverage * len(template):
@@ -183,7 +184,7 @@ def license_spans(
     the one with most matched tokens is reported.
 
     Spans are code points, the end exclusive. Places of one template whose diagonals are
-    within ``BAND`` tokens are one. Null and empty texts and texts of fewer than ``K``
+    within its band are one. Null and empty texts and texts of fewer than ``K``
     tokens match nothing; repeated rows each give their rows; ids may be null; other
     columns are not read.
     """
