@@ -34,9 +34,9 @@ from cliplake.llm.text import slices
 
 MARK = "▁"
 MODEL = "piece_bpe_32k.model"
-SLICE = 4 << 20  # bytes of text at a time
-CHUNK = 1 << 17  # cut pieces encoded together
-MEMORY = 500_000  # different cut pieces remembered by a task
+SLICE = 2 << 20  # bytes of text at a time
+CHUNK = 1 << 14  # cut pieces encoded together
+MEMORY = 300_000  # different cut pieces remembered by a task
 
 
 def merge(symbols: list[str], rank: dict[str, int]) -> list[str]:
