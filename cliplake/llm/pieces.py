@@ -372,29 +372,35 @@ def _shipped(spark, model_path: str) -> str:
     return model_path.rsplit("/", 1)[-1]
 
 
-def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(
+    docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", round_trip: bool = False
+) -> DataFrame:
     """``(doc_id, ids array<int>)``, a row for each row of ``docs``; no begin or end ids.
 
-    Null and empty texts have no ids. Characters without a piece become byte pieces. Ids
-    of documents may be null or repeat; other columns are not read.
+    With ``round_trip`` a column ``decoded`` follows: the ids decoded again in the same
+    pass. Null and empty texts have no ids. Characters without a piece become byte pieces.
+    Ids of documents may be null or repeat; other columns are not read.
     """
     name = _shipped(docs.sparkSession, model_path)
+    names = ["doc_id", "ids", *["decoded"] * round_trip]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = load(SparkFiles.get(name)).encoder()
+        pieces = load(SparkFiles.get(name))
+        encoder = pieces.encoder()
         for batch in batches:
             column = pc.fill_null(batch.column(1), "")
             for texts in slices(column, SLICE):
                 ids, offsets = encoder(column.slice(texts.first, len(texts)))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(texts.first, len(texts)),
-                        pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32())),
-                    ],
-                    ["doc_id", "ids"],
-                )
-
-    return docs.select(F.col(id_col).cast("bigint"), F.col(text_col)).mapInArrow(run, "doc_id bigint, ids array<int>")
+                out = [
+                    batch.column(0).slice(texts.first, len(texts)),
+                    pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32())),
+                ]
+                if round_trip:
+                    out.append(pa.array([pieces.decode(ids[a:b].tolist()) for a, b in zip(offsets[:-1], offsets[1:])], pa.string()))
+                yield pa.RecordBatch.from_arrays(out, names)
+
+    schema = "doc_id bigint, ids array<int>" + ", decoded string" * round_trip
+    return docs.select(F.col(id_col).cast("bigint"), F.col(text_col)).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:

@@ -241,8 +241,7 @@ def url_filters(spark, sf_dir):
 @query("op9_sentencepiece")
 def sentencepiece(spark, sf_dir):
     """Ids of all texts and the texts decoded from them, as digests."""
-    model = tokenizer()
-    both = pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), model), model)
+    both = pieces.encode(table(spark, sf_dir, "documents"), tokenizer(), round_trip=True)
     return both.select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),

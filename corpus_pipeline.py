@@ -48,8 +48,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    model = tokenizer()
-    both = pieces.decode(pieces.encode(docs, model), model)
+    both = pieces.encode(docs, tokenizer(), round_trip=True)
     return both.select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),
