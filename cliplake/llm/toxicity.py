@@ -25,6 +25,7 @@ BUCKETS = 1 << 18
 LENGTHS = (3, 4, 5)
 PER_CLASS = 1_500
 THRESHOLD = 0.7
+LEAST_RATIO = 0.4
 
 
 def presence(texts: Texts) -> Iterator[np.ndarray]:
@@ -65,13 +66,16 @@ def fit(features: list[np.ndarray], toxic: np.ndarray, alpha: float = 1.0, ridge
     n1, n0 = int(toxic.sum()), int((1 - toxic).sum())
     if not n1 or not n0:
         return Model(np.zeros(BUCKETS, np.float32), 60.0 if n1 else -60.0)
+    p, q = np.full(BUCKETS, alpha), np.full(BUCKETS, alpha)
+    for f, t in zip(features, toxic):  # a text has every feature once
+        (p if t else q)[f] += 1
+    ratio = np.log(p / (n1 + 2 * alpha)) - np.log(q / (n0 + 2 * alpha))
+    # features that say next to nothing, or were seen in less than three texts, weigh nothing
+    ratio[(np.abs(ratio) < LEAST_RATIO) | (p + q - 2 * alpha < 3)] = 0.0
+    features = [f[ratio[f] != 0] for f in features]
     flat = np.concatenate(features)
-    row = np.repeat(np.arange(len(features)), [len(f) for f in features])
+    row = np.repeat(np.arange(len(features), dtype=np.int32), [len(f) for f in features])
     weight = np.where(toxic == 1, 0.5 / n1, 0.5 / n0)
-    p = alpha + np.bincount(flat, weights=toxic[row], minlength=BUCKETS)
-    q = alpha + np.bincount(flat, weights=1 - toxic[row], minlength=BUCKETS)
-    ratio = np.log(p / (n1 + 2 * alpha)) - np.log(q / (n0 + 2 * alpha))
-    ratio[(p == alpha) & (q == alpha)] = 0.0
     scaled = ratio[flat]
     step = 4.0 / max(1e-9, np.max(np.bincount(row, weights=scaled**2, minlength=len(features))) ** 0.5)
     w, b = np.zeros(BUCKETS), 0.0
