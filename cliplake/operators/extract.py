@@ -15,7 +15,7 @@ from cliplake.functions.labels import clock_label, subtitle_clock
 from cliplake.functions.media import is_portrait, progress_percent
 from cliplake.functions.predicates import needs_device_scan
 from cliplake.functions.specs import frame_rate
-from cliplake.operators.ordered import group_values, is_hot, number_rows
+from cliplake.operators.ordered import group_values, number_rows
 from cliplake.operators.sequences import (
     chapters,
     device_line,
@@ -478,7 +478,6 @@ def pack_lines(
     head: Column | None = None,
     tail: Column | None = None,
     per_row: int = LINES_PER_DOCUMENT,
-    blocked: bool | None = None,
 ) -> DataFrame:
     """Lines of a document joined into rows of at most ``per_row`` lines.
 
@@ -487,14 +486,13 @@ def pack_lines(
     other, are the whole text.
     """
     key, order = list(key), list(order)
-    blocked = is_hot(lines, key) if blocked is None else blocked
     block = F.struct(*order[:-1], position_block(order[-1]))
-    rows = number_rows(lines, key, order, block, "line_no", blocked)
+    rows = number_rows(lines, key, order, block, "line_no")
     line = F.col("line")
     if head is not None:
         line = F.when(F.col("line_no") == 1, F.concat(head, line)).otherwise(line)
     if tail is not None:
-        rows = group_values(rows, key, blocked, __n=F.count(F.lit(1)))
+        rows = group_values(rows, key, __n=F.count(F.lit(1)))
         line = F.when(F.col("line_no") == F.col("__n"), F.concat(line, tail)).otherwise(line)
     part = F.floor((F.col("line_no") - 1) / per_row).cast("bigint")
     packed = rows.groupBy(*key, part.alias("part")).agg(
@@ -537,8 +535,8 @@ CHAPTER_TAIL = "\n```"
 DEVICE_LINE = ("\n\n이 영상은 ", "로 촬영됨")
 
 
-def _chapter_lines(clips: DataFrame, blocked: bool | None) -> DataFrame:
-    return chapters(clips, ["merge_id"], blocked=blocked).select(
+def _chapter_lines(clips: DataFrame) -> DataFrame:
+    return chapters(clips, ["merge_id"]).select(
         "merge_id", F.lit(1).alias("block"), F.col("run").alias("pos"), F.concat("clock", F.lit(" "), "title").alias("line")
     )
 
@@ -549,9 +547,8 @@ def _device_tail() -> Column:
     )
 
 
-def clip_summaries(clips: DataFrame, blocked: bool | None = None) -> DataFrame:
+def clip_summaries(clips: DataFrame) -> DataFrame:
     """Clip table and chapter list of every merge as a document."""
-    blocked = is_hot(clips, ["merge_id"]) if blocked is None else blocked
 
     def shown(c: str) -> Column:
         return F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("-"))
@@ -565,7 +562,7 @@ def clip_summaries(clips: DataFrame, blocked: bool | None = None) -> DataFrame:
         F.concat(clock_label(F.col("duration"), half_even=True), F.lit(" |")),
     )
     table = clips.select("merge_id", F.lit(0).alias("block"), F.col("position").alias("pos"), row.alias("line"))
-    listed = _chapter_lines(clips, blocked).withColumn(
+    listed = _chapter_lines(clips).withColumn(
         "line", F.when(F.col("pos") == 1, F.concat(F.lit(CHAPTER_HEAD), "line")).otherwise(F.col("line"))
     )
     return pack_lines(
@@ -574,23 +571,20 @@ def clip_summaries(clips: DataFrame, blocked: bool | None = None) -> DataFrame:
         ["block", "pos"],
         head=F.lit(CLIP_HEAD),
         tail=F.lit(CHAPTER_TAIL),
-        blocked=blocked,
     )
 
 
-def descriptions(clips: DataFrame, blocked: bool | None = None) -> DataFrame:
+def descriptions(clips: DataFrame) -> DataFrame:
     """Chapter list of every merge, followed by the line naming its devices."""
-    blocked = is_hot(clips, ["merge_id"]) if blocked is None else blocked
-    lines = _chapter_lines(clips, blocked).join(device_line(clips, ["merge_id"]), "merge_id", "left")
-    return pack_lines(lines, ["merge_id"], ["block", "pos"], tail=_device_tail(), blocked=blocked)
+    lines = _chapter_lines(clips).join(device_line(clips, ["merge_id"]), "merge_id", "left")
+    return pack_lines(lines, ["merge_id"], ["block", "pos"], tail=_device_tail())
 
 
-def part_descriptions(parts: DataFrame, clips: DataFrame, blocked: bool | None = None) -> DataFrame:
+def part_descriptions(parts: DataFrame, clips: DataFrame) -> DataFrame:
     """Description per split part, from its chapters (merge_id, part_no, run, clock, title)."""
-    blocked = is_hot(parts, ["merge_id", "part_no"]) if blocked is None else blocked
     lines = parts.select("merge_id", "part_no", "run", F.concat("clock", F.lit(" "), "title").alias("line"))
     lines = lines.join(device_line(clips, ["merge_id"]), "merge_id", "left")
-    return pack_lines(lines, ["merge_id", "part_no"], ["run"], tail=_device_tail(), blocked=blocked)
+    return pack_lines(lines, ["merge_id", "part_no"], ["run"], tail=_device_tail())
 
 
 def single_description(device: Column, shot_time: Column) -> Column:

@@ -1,60 +1,44 @@
-"""Ordered scans with a way out for very large keys.
+"""Ordered scans that never hold a whole key in one task.
 
-A window sorts all rows of a key in one task. That is the cheapest plan while every
-key is of moderate size, and a stall when one key holds a large share of the table.
-So the largest group is measured first (a scan of the key columns, combined on the
-map side). Up to :func:`group_limit` rows a plain window is used; beyond it every key
-is cut into blocks that follow the sort order: rows are scanned inside
-``(key, block)``, blocks are summarised, and the summaries of the earlier blocks are
-joined back. Only one row per block is then ever ordered within a key. Both ways give
-the same rows.
+Every key is cut into blocks that follow the sort order: rows are scanned inside
+``(key, block)``, each block gives one summary row, and the summaries of the earlier
+blocks are joined back. Only summary rows are ever ordered within a key, so a key may hold
+any share of the table. There is one plan for all sizes: rows are dealt out by
+``(key, block)`` once, and the scan and the summaries read the same exchange. Building a
+plan with keys starts no job.
 
 ``block`` must be a non-null expression that never decreases along ``order``; key and
 order columns must be non-null, ``order`` ascending and unique per key. Scans that
-follow each other along the same order share one shuffle: attach the block once with
-:func:`with_block` and pass ``block=None``. ``blocked`` skips the measurement when the
-caller knows its answer.
+follow each other along the same order may keep the block: attach it once with
+:func:`with_block` and pass ``block=None``.
 
-Scans over a whole table (no keys) balance better: rows are range-partitioned along
-the order and the partition is the block. Its number must not change between uses, so
-this needs the checkpoint folder; without one the given block serves.
+Scans over a whole table (no keys) take balanced range partitions along the order as
+blocks, written to the checkpoint folder when the plan is built.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cliplake.session import cut_lineage, has_checkpoint_folder
+from cliplake.session import cut_lineage
 
 BLOCK = "__block"
-GROUP_ROWS = 2_000_000
-GROUP_ROWS_SETTING = "spark.cliplake.groupRows"
 _MERGE = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
-def group_limit(spark: SparkSession) -> int:
-    """Rows one task may hold of a single key."""
-    return int(spark.conf.get(GROUP_ROWS_SETTING, str(GROUP_ROWS)))
-
-
-def is_hot(df: DataFrame, keys: Sequence[str]) -> bool:
-    """True if some key has more rows than one task should hold."""
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.agg(F.max("n")).first()[0] or 0
-    return largest > group_limit(df.sparkSession)
-
-
 def with_block(df: DataFrame, block: Column) -> DataFrame:
     return df.withColumn(BLOCK, block)
 
 
 def _in_blocks(df: DataFrame, keys: list[str], order: list[str], block: Column | None) -> DataFrame:
-    if not keys and has_checkpoint_folder(df.sparkSession):
-        block, df = F.spark_partition_id(), df.repartitionByRange(*order)
-    return cut_lineage(df if block is None else df.withColumn(BLOCK, block))
+    if not keys:
+        # the partition's number must not change between uses, so the rows are written once
+        return cut_lineage(df.repartitionByRange(*order).withColumn(BLOCK, F.spark_partition_id()))
+    rows = df if block is None else df.withColumn(BLOCK, block)
+    return rows.repartition(*keys, BLOCK)
 
 
 def _combine(how: str, carried: Column, local: Column) -> Column:
@@ -70,7 +54,6 @@ def scan(
     block: Column | None,
     *,
     inclusive: bool = False,
-    blocked: bool | None = None,
     **values: tuple[str, Column],
 ) -> DataFrame:
     """Add a running ``sum``, ``max`` or ``min`` per key for every named value.
@@ -79,9 +62,6 @@ def scan(
     """
     keys, order = list(keys), list(order)
     end = 0 if inclusive else -1
-    if not (is_hot(df, keys) if blocked is None else blocked):
-        whole = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
-        return df.withColumns({n: _MERGE[how](v).over(whole) for n, (how, v) in values.items()})
     kb = [*keys, BLOCK]
     rows = _in_blocks(df, keys, order, block)
     inside = Window.partitionBy(*kb).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
@@ -115,11 +95,10 @@ def number_rows(
     order: Sequence[str],
     block: Column | None,
     name: str,
-    blocked: bool | None = None,
 ) -> DataFrame:
     """1-based dense numbering along ``order``."""
     one = ("sum", F.lit(1).cast("bigint"))
-    return scan(df, keys, order, block, inclusive=True, blocked=blocked, **{name: one})
+    return scan(df, keys, order, block, inclusive=True, **{name: one})
 
 
 def previous_row(
@@ -129,13 +108,10 @@ def previous_row(
     block: Column | None,
     columns: Sequence[str],
     name: str = "prev",
-    blocked: bool | None = None,
 ) -> DataFrame:
     """Add a struct ``name`` with ``columns`` of the preceding row, null for the first."""
     keys, order, columns = list(keys), list(order), list(columns)
     payload = F.struct(*columns)
-    if not (is_hot(df, keys) if blocked is None else blocked):
-        return df.withColumn(name, F.lag(payload).over(Window.partitionBy(*keys).orderBy(*order)))
     kb = [*keys, BLOCK]
     rows = _in_blocks(df, keys, order, block)
     local = rows.withColumn("__l", F.lag(payload).over(Window.partitionBy(*kb).orderBy(*order)))
@@ -149,20 +125,14 @@ def previous_row(
     return local.join(carry, kb, "left").select(*df.columns, F.coalesce("__l", "__c").alias(name))
 
 
-def group_values(
-    df: DataFrame, keys: Sequence[str], blocked: bool | None = None, **values: Column
-) -> DataFrame:
+def group_values(df: DataFrame, keys: Sequence[str], **values: Column) -> DataFrame:
     """Add aggregates of the whole group to every row.
 
-    One window when groups are moderate; else an aggregate (combined on the map side)
-    joined back, where adaptive execution splits the large side of a skewed key.
+    An aggregate (combined on the map side) joined back; adaptive execution splits the
+    large side of a skewed key.
     """
     keys = list(keys)
-    if not (is_hot(df, keys) if blocked is None else blocked):
-        whole = Window.partitionBy(*keys)
-        return df.withColumns({n: v.over(whole) for n, v in values.items()})
-    rows = cut_lineage(df)
-    return rows.join(rows.groupBy(*keys).agg(*[v.alias(n) for n, v in values.items()]), keys)
+    return df.join(df.groupBy(*keys).agg(*[v.alias(n) for n, v in values.items()]), keys)
 
 
 def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int = 1) -> DataFrame:

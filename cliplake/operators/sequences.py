@@ -16,7 +16,6 @@ from cliplake.functions.labels import clock_label, file_stem
 from cliplake.operators.ordered import (
     BLOCK,
     group_values,
-    is_hot,
     micros,
     number_rows,
     previous_row,
@@ -50,24 +49,22 @@ def timeline(
     keys: Sequence[str],
     position: str = "position",
     length: str = "duration",
-    blocked: bool | None = None,
 ) -> DataFrame:
     """Add ``start_s`` and ``end_s``: lengths laid end to end in list order."""
-    out = scan(df, keys, [position], position_block(position), blocked=blocked, start_s=("sum", F.col(length)))
+    out = scan(df, keys, [position], position_block(position), start_s=("sum", F.col(length)))
     start = F.coalesce("start_s", F.lit(0.0))
     return out.withColumn("end_s", start + F.col(length)).withColumn("start_s", start)
 
 
 def merge_runs(
-    clips: DataFrame, keys: Sequence[str], group: str = "grp", blocked: bool | None = None
+    clips: DataFrame, keys: Sequence[str], group: str = "grp"
 ) -> DataFrame:
     """Collapse consecutive clips of one group; clips without a group stand alone.
 
     A group that comes back later starts a new run. One row per run, numbered from 1.
     """
-    blocked = is_hot(clips, keys) if blocked is None else blocked
     rows = previous_row(
-        with_block(clips, position_block()), keys, ["position"], None, [group], "__prev", blocked
+        with_block(clips, position_block()), keys, ["position"], None, [group], "__prev"
     )
     starts = ~F.coalesce(F.col(f"__prev.{group}") == F.col(group), F.lit(False))
     numbered = scan(
@@ -76,7 +73,6 @@ def merge_runs(
         ["position"],
         None,
         inclusive=True,
-        blocked=blocked,
         run=("sum", starts.cast("bigint")),
     )
     return numbered.groupBy(*keys, "run").agg(
@@ -87,11 +83,10 @@ def merge_runs(
 
 
 def chapters(
-    clips: DataFrame, keys: Sequence[str], group: str = "grp", blocked: bool | None = None
+    clips: DataFrame, keys: Sequence[str], group: str = "grp"
 ) -> DataFrame:
     """Start offset, clock label and title of every run."""
-    blocked = is_hot(clips, keys) if blocked is None else blocked
-    runs = timeline(merge_runs(clips, keys, group, blocked), keys, "run", blocked=blocked)
+    runs = timeline(merge_runs(clips, keys, group), keys, "run")
     return runs.select(
         *keys,
         "run",
@@ -102,18 +97,17 @@ def chapters(
     )
 
 
-def split_parts(parts: DataFrame, title: Column, blocked: bool | None = None) -> DataFrame:
+def split_parts(parts: DataFrame, title: Column) -> DataFrame:
     """Boundaries and titles of the parts (merge_id, part_no, length) of a split."""
-    blocked = is_hot(parts, ["merge_id"]) if blocked is None else blocked
-    laid = timeline(parts, ["merge_id"], "part_no", "length", blocked)
-    laid = group_values(laid, ["merge_id"], blocked, parts=F.count(F.lit(1)))
+    laid = timeline(parts, ["merge_id"], "part_no", "length")
+    laid = group_values(laid, ["merge_id"], parts=F.count(F.lit(1)))
     return laid.withColumn(
         "title", F.concat(title, F.lit(" (Part "), "part_no", F.lit("/"), "parts", F.lit(")"))
     )
 
 
 def overlap_parts(
-    clips: DataFrame, parts: DataFrame, seconds_per_block: float = 600.0, blocked: bool | None = None
+    clips: DataFrame, parts: DataFrame, seconds_per_block: float = 600.0
 ) -> DataFrame:
     """Clips (merge_id, run, name, start_s, end_s) that share time with parts (merge_id, part_no, ...).
 
@@ -143,7 +137,6 @@ def overlap_parts(
         ["merge_id"],
         ["at", "kind", "no"],
         F.floor(F.col("at") / F.lit(seconds_per_block)).cast("bigint"),
-        blocked=blocked,
         ended=("sum", (kind == 0).cast("bigint")),
         begun=("sum", (kind == 3).cast("bigint")),
         edge=("max", F.when(kind == 0, F.col("at"))),
@@ -185,7 +178,7 @@ def session_family(name: Column) -> Column:
     )
 
 
-def sessions(files: DataFrame, grouping: bool = True, blocked: bool | None = None) -> DataFrame:
+def sessions(files: DataFrame, grouping: bool = True) -> DataFrame:
     """Every file of a batch with its session (``group_id``) and place in it (``member``).
 
     Chaptered files of one recording form a session in chapter order. Sequence-numbered
@@ -201,7 +194,6 @@ def sessions(files: DataFrame, grouping: bool = True, blocked: bool | None = Non
         return files.withColumn("group_id", F.concat(F.lit("s_"), "idx")).withColumn(
             "member", F.lit(1).cast("bigint")
         )
-    blocked = is_hot(files, ["batch"]) if blocked is None else blocked
     rows = files.withColumn("__family", session_family(F.col("name")))
     dji, single = F.col("__family") == "dji", F.col("__family") == "s"
     stamp = F.when(dji, F.regexp_extract("name", SEQUENCE_PATTERN, 1))
@@ -223,7 +215,7 @@ def sessions(files: DataFrame, grouping: bool = True, blocked: bool | None = Non
     )
     keys, order = ["batch", "__family"], ["__at", "__seq", "idx"]
     rows = previous_row(
-        with_block(rows, block), keys, order, None, ["__seq", "__clock", "size_bytes"], "__prev", blocked
+        with_block(rows, block), keys, order, None, ["__seq", "__clock", "size_bytes"], "__prev"
     )
     near = F.lit(False)
     for size in SPLIT_SIZES:
@@ -234,7 +226,7 @@ def sessions(files: DataFrame, grouping: bool = True, blocked: bool | None = Non
         & near
         & F.coalesce(gap.between(0, MAX_GAP_SECONDS), F.lit(True))
     )
-    rows = number_rows(rows, keys, order, None, "__no", blocked).withColumn(
+    rows = number_rows(rows, keys, order, None, "__no").withColumn(
         "__starts", F.col("__prev").isNull() | (dji & ~follows)
     )
     lead = F.when(
@@ -247,7 +239,6 @@ def sessions(files: DataFrame, grouping: bool = True, blocked: bool | None = Non
         order,
         None,
         inclusive=True,
-        blocked=blocked,
         __island=("sum", F.col("__starts").cast("bigint")),
         __lead=("max", lead),
     )
@@ -272,16 +263,15 @@ def single_sessions(files: DataFrame) -> DataFrame:
     return sessions(files.filter(session_family(F.col("name")) == "s"))
 
 
-def session_list(grouped: DataFrame, blocked: bool | None = None) -> DataFrame:
+def session_list(grouped: DataFrame) -> DataFrame:
     """One row per session, ranked by its first input index."""
-    blocked = is_hot(grouped, ["batch"]) if blocked is None else blocked
     groups = grouped.groupBy("batch", "group_id").agg(
         F.min("idx").alias("first_idx"), F.count(F.lit(1)).alias("files")
     )
-    return number_rows(groups, ["batch"], ["first_idx"], position_block("first_idx"), "group_no", blocked)
+    return number_rows(groups, ["batch"], ["first_idx"], position_block("first_idx"), "group_no")
 
 
-def reorder(grouped: DataFrame, blocked: bool | None = None) -> DataFrame:
+def reorder(grouped: DataFrame) -> DataFrame:
     """New list position with every session contiguous at its first index.
 
     Single files that lie inside a session's span move behind it. Spans that overlap
@@ -289,11 +279,9 @@ def reorder(grouped: DataFrame, blocked: bool | None = None) -> DataFrame:
     stretch covers a gapless index range, so the new position is its start plus the
     rank inside it, and no file is ever lost.
     """
-    blocked = is_hot(grouped, ["batch"]) if blocked is None else blocked
     rows = group_values(
         grouped,
         ["batch", "group_id"],
-        blocked,
         __first=F.min("idx"),
         __end=F.max("idx"),
         __n=F.count(F.lit(1)),
@@ -303,10 +291,10 @@ def reorder(grouped: DataFrame, blocked: bool | None = None) -> DataFrame:
         {c: F.when(~alone, F.col(c)) for c in ("__first", "__end")}
     )
     rows = with_block(rows, position_block("idx"))
-    reached = scan(rows, ["batch"], ["idx"], None, blocked=blocked, __reach=("max", F.col("__end")))
+    reached = scan(rows, ["batch"], ["idx"], None, __reach=("max", F.col("__end")))
     opens = F.when(F.coalesce(F.col("idx") > F.col("__reach"), F.lit(True)), F.col("idx"))
     placed = scan(
-        reached, ["batch"], ["idx"], None, inclusive=True, blocked=blocked, __stretch=("max", opens)
+        reached, ["batch"], ["idx"], None, inclusive=True, __stretch=("max", opens)
     ).drop(BLOCK)
     placed = placed.withColumns(
         {
@@ -317,7 +305,7 @@ def reorder(grouped: DataFrame, blocked: bool | None = None) -> DataFrame:
     )
     block = F.struct("__phase", "__lead", position_block("__rank"))
     ranked = number_rows(
-        placed, ["batch", "__stretch"], ["__phase", "__lead", "__rank"], block, "__no", blocked
+        placed, ["batch", "__stretch"], ["__phase", "__lead", "__rank"], block, "__no"
     )
     return ranked.select(*grouped.columns, (F.col("__stretch") + F.col("__no") - 1).alias("new_idx"))
 
@@ -327,7 +315,6 @@ def fade_flags(
     fade: float = 0.5,
     intro: bool = False,
     outro: bool = False,
-    blocked: bool | None = None,
 ) -> DataFrame:
     """Fade lengths per file: only at the outer edges of a session.
 
@@ -335,9 +322,8 @@ def fade_flags(
     one no fade-out, and both templates appear as rows of their own.
     """
     length = max(float(fade), 0.0)
-    blocked = is_hot(grouped, ["batch"]) if blocked is None else blocked
-    rows = group_values(grouped, ["batch", "group_id"], blocked, __n=F.count(F.lit(1)))
-    rows = group_values(rows, ["batch"], blocked, __lo=F.min("idx"), __hi=F.max("idx"))
+    rows = group_values(grouped, ["batch", "group_id"], __n=F.count(F.lit(1)))
+    rows = group_values(rows, ["batch"], __lo=F.min("idx"), __hi=F.max("idx"))
     first, last = F.col("idx") == F.col("__lo"), F.col("idx") == F.col("__hi")
     fade_in = F.when(F.col("member") == 1, length).otherwise(0.0)
     fade_out = F.when(F.col("member") == F.col("__n"), length).otherwise(0.0)
@@ -440,9 +426,8 @@ def silence_pairs(lines: DataFrame) -> DataFrame:
         (start != "").alias("is_start"),
         F.when(start != "", start).otherwise(end).try_cast("double").alias("at"),
     ).filter(F.col("at").isNotNull())
-    blocked = is_hot(lines, ["media_id"])
     rows = previous_row(
-        marks, ["media_id"], ["line_no"], position_block("line_no"), ["is_start", "at"], "prev", blocked
+        marks, ["media_id"], ["line_no"], position_block("line_no"), ["is_start", "at"], "prev"
     )
     return rows.filter(~F.col("is_start") & F.col("prev.is_start")).select(
         "media_id",
@@ -456,5 +441,4 @@ def silence_pairs(lines: DataFrame) -> DataFrame:
 def number_subtitles(segments: DataFrame) -> DataFrame:
     """Non-blank segments numbered from 1 per media."""
     kept = segments.filter(F.trim("text") != "")
-    blocked = is_hot(segments, ["media_id"])
-    return number_rows(kept, ["media_id"], ["seq"], position_block("seq"), "number", blocked)
+    return number_rows(kept, ["media_id"], ["seq"], position_block("seq"), "number")

@@ -9,11 +9,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cliplake.operators.ordered import group_values, is_hot, number_rows, previous_row, scan
+from cliplake.operators.ordered import previous_row, scan
 
 # Detector and matcher settings.
 FLOOR_MINIMUM = 1e-6
@@ -34,20 +34,30 @@ def _block(c: str = "idx", size: int = SAMPLES_PER_BLOCK) -> Column:
 
 
 # ------------------------------------------------------------------ peaks
-def noise_floor(samples: DataFrame, keys: Sequence[str], blocked: bool | None = None) -> DataFrame:
-    """Exact median magnitude per key, not below 1e-6, and the peak threshold."""
+def noise_floor(samples: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Exact median magnitude per key, not below 1e-6, and the peak threshold.
+
+    Equal magnitudes are counted together before any shuffle. Counts per band of
+    magnitude (a 32nd of an octave, so a key has a few thousand bands at most) tell in
+    which band the middle ranks lie; only the values of that band are ordered.
+    """
     keys = list(keys)
-    size = F.abs("sample")
-    if is_hot(samples, keys) if blocked is None else blocked:
-        # the middle rows by rank; magnitude blocks keep one key on many tasks
-        rows = samples.select(*keys, "idx", size.alias("m"))
-        block = F.struct(F.floor(F.col("m") * 4096).cast("bigint"), _block())
-        ranked = number_rows(rows, keys, ["m", "idx"], block, "rank", blocked=True)
-        ranked = group_values(ranked, keys, True, n=F.count(F.lit(1)))
-        middle = ranked.filter("rank = (n + 1) div 2 OR rank = n div 2 + 1")
-        floors = middle.groupBy(*keys).agg(F.avg("m").alias("m"))
-    else:
-        floors = samples.groupBy(*keys).agg(F.median(size).alias("m"))
+    values = samples.groupBy(*keys, F.abs("sample").alias("m")).agg(F.count(F.lit(1)).alias("c"))
+    band = F.floor(F.log2(F.greatest(F.col("m").cast("double"), F.lit(1e-30))) * 32).cast("bigint")
+    values = values.withColumn("band", band)
+    bands = values.groupBy(*keys, "band").agg(F.sum("c").alias("c"))
+    before = Window.partitionBy(*keys).orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = bands.withColumns(
+        {"low": F.coalesce(F.sum("c").over(before), F.lit(0)), "n": F.sum("c").over(Window.partitionBy(*keys))}
+    )
+    first, second = "(n + 1) div 2", "n div 2 + 1"
+    middle = ranked.filter(f"({first} > low AND {first} <= low + c) OR ({second} > low AND {second} <= low + c)")
+    inside = Window.partitionBy(*keys, "band").orderBy("m").rowsBetween(Window.unboundedPreceding, -1)
+    placed = values.join(middle.select(*keys, "band", "low", "n"), [*keys, "band"]).withColumn(
+        "low", F.col("low") + F.coalesce(F.sum("c").over(inside), F.lit(0))
+    )
+    at = lambda rank: F.max(F.when(F.expr(f"{rank} > low AND {rank} <= low + c"), F.col("m")))
+    floors = placed.groupBy(*keys).agg(((at(first) + at(second)) / 2).alias("m"))
     floor = F.greatest(F.col("m"), F.lit(FLOOR_MINIMUM))
     return floors.select(
         *keys, floor.alias("noise_floor"), (floor * THRESHOLD_RATIO).alias("threshold")
@@ -76,17 +86,16 @@ def transient_peaks(
     window = max(1, int(rate * window_ms / 1000))
     if window > gap:
         raise ValueError("the peak window must not exceed the minimum gap")
-    blocked = is_hot(samples, keys)
-    floors = noise_floor(samples, keys, blocked).select(*keys, "noise_floor")
+    floors = noise_floor(samples, keys).select(*keys, "noise_floor")
     loud = (
         samples.join(floors, keys)
         .withColumn("m", F.abs("sample"))
         .filter(F.col("m") >= F.col("noise_floor") * threshold_ratio)
         .select(*keys, "idx", "m", "noise_floor")
     )
-    loud = previous_row(loud, keys, ["idx"], _block(), ["idx"], "prev", blocked)
+    loud = previous_row(loud, keys, ["idx"], _block(), ["idx"], "prev")
     fresh = F.coalesce(F.col("idx") - F.col("prev.idx") >= gap, F.lit(True)).cast("bigint")
-    islands = scan(loud, keys, ["idx"], _block(), inclusive=True, blocked=blocked, island=("sum", fresh))
+    islands = scan(loud, keys, ["idx"], _block(), inclusive=True, island=("sum", fresh))
     ordered = (
         islands.select(*keys, "island", "idx", "m", "noise_floor")
         .repartition(*keys, "island")
@@ -239,6 +248,34 @@ def lag_correlation(
     )
 
 
+def audio_reasons(
+    reference: DataFrame, external: DataFrame, keys: Sequence[str], ref_keys: Sequence[str] = ()
+) -> DataFrame:
+    """Every pair of a reference and its recording with the reason it can't be placed, or null.
+
+    Inputs are normal envelopes; a reference without a recording is a pair too.
+    """
+    keys, ref_keys = list(keys), list(ref_keys)
+
+    def sizes(frames: DataFrame, by: list[str], prefix: str) -> DataFrame:
+        return frames.groupBy(*by).agg(F.max("frames").alias(f"{prefix}_n"), F.count("z").alias(f"{prefix}_z"))
+
+    pairs = sizes(reference, [*keys, *ref_keys], "r").join(sizes(external, keys, "e"), keys, "left")
+    reason = (
+        F.when(F.col("e_n").isNull(), F.lit("no recording"))
+        .when((F.col("r_n") < 2) | (F.col("e_n") < 2), F.lit("audio too short"))
+        .when(F.col("e_n") < F.col("r_n"), F.lit("recording shorter than the clip"))
+        .when((F.col("r_z") == 0) | (F.col("e_z") == 0), F.lit("envelope too flat"))
+    )
+    return pairs.select(*keys, *ref_keys, reason.alias("reason"))
+
+
+def with_reasons(placed: DataFrame, pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """All pairs of :func:`audio_reasons`, with their placement where there is one."""
+    own = pairs.withColumnRenamed("reason", "__why")
+    return own.join(placed, list(keys), "left").withColumn("reason", F.coalesce("__why", "reason")).select(*placed.columns)
+
+
 def confidence(corr: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (corr + 1.0) / 2.0))
 
@@ -279,7 +316,6 @@ def chained_segments(
     keys: Sequence[str],
     ref_key: str,
     min_confidence: float = MIN_CONFIDENCE,
-    blocked: bool | None = None,
 ) -> DataFrame:
     """References of a recording placed in order, each search starting where the last ended.
 
@@ -295,7 +331,6 @@ def chained_segments(
         [*keys, ref_key],
         ["from_end"],
         _block("from_end", FRAMES_PER_CHUNK),
-        blocked=blocked,
         after=("max", F.col("corr")),
     )
     records = later.filter("after IS NULL OR corr >= after").select(

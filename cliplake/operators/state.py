@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from cliplake.functions.labels import clock_label, file_stem
 from cliplake.functions.specs import duration_spec, size_spec
-from cliplake.operators.ordered import hour_of, is_hot, number_rows, scan, top_rows
+from cliplake.operators.ordered import number_rows, scan, top_rows
 from cliplake.operators.sequences import position_block, timeline
 from cliplake.schemas import (
     ALLOWED,
@@ -30,9 +30,13 @@ def _max_id(df: DataFrame) -> DataFrame:
     return df.agg(F.coalesce(F.max("id"), F.lit(0).cast("bigint")).alias("__max"))
 
 
-def _with_new_ids(rows: DataFrame, current: DataFrame, order: Sequence[str], block: Column) -> DataFrame:
-    """Ids after the largest one in use, in the given order."""
-    numbered = number_rows(rows, [], order, block, "__n")
+def _with_new_ids(rows: DataFrame, current: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Ids after the largest one in use, in the given order.
+
+    Range partitions along the order are numbered on their own; counts per partition give
+    the offsets.
+    """
+    numbered = number_rows(rows, [], order, None, "__n")
     # one row, so the broadcast side has a fixed size
     return numbered.join(F.broadcast(_max_id(current)), F.lit(True)).select(
         *rows.columns, (F.col("__max") + F.col("__n")).alias("id")
@@ -48,7 +52,7 @@ def register_videos(videos: DataFrame, incoming: DataFrame) -> DataFrame:
     once = incoming.groupBy("original_path").agg(F.min("creation_time").alias("creation_time"))
     known = videos.select("original_path", "id")
     fresh = once.join(known, "original_path", "left_anti")
-    new = _with_new_ids(fresh, videos, ["creation_time", "original_path"], hour_of(F.col("creation_time")))
+    new = _with_new_ids(fresh, videos, ["creation_time", "original_path"])
     old = once.join(known, "original_path")
     return old.withColumn("is_new", F.lit(False)).unionByName(new.withColumn("is_new", F.lit(True)))
 
@@ -62,7 +66,7 @@ def get_or_create_jobs(jobs: DataFrame, wanted: DataFrame) -> DataFrame:
     newest = top_rows(open_jobs, ["video_id"], [F.desc("created_at"), F.desc("id")]).drop("created_at")
     found = videos.join(newest, "video_id").withColumn("created", F.lit(False))
     missing = videos.join(newest, "video_id", "left_anti")
-    new = _with_new_ids(missing, jobs, ["video_id"], position_block("video_id")).select(
+    new = _with_new_ids(missing, jobs, ["video_id"]).select(
         "video_id", "id", F.lit("pending").alias("status"), F.lit(True).alias("created")
     )
     return found.unionByName(new)
@@ -208,31 +212,48 @@ def reset_build(tables: Mapping[str, DataFrame], paths: DataFrame) -> dict[str,
 
 
 # ------------------------------------------------------------------ uploads
+def _upload_order(uploads: DataFrame, value: str) -> Column:
+    """Order of several uploads for one row: ``order_no`` where there is one, then the id."""
+    number = F.col("order_no") if "order_no" in uploads.columns else F.lit(0)
+    return F.struct(number.alias("n"), F.col(value).alias("v"))
+
+
 def set_uploads(merges: DataFrame, uploads: DataFrame) -> DataFrame:
-    """Store upload ids (merge_job_id, youtube_id); a null id clears, a set one completes."""
-    new = uploads.select(
-        F.col("merge_job_id").alias("id"), F.col("youtube_id").alias("__yt"), F.lit(True).alias("__hit")
+    """Store upload ids (merge_job_id, youtube_id[, order_no]); a null id clears, a set one completes.
+
+    Several uploads for one merge are one change: the last id stays, and any id that was
+    set has completed it.
+    """
+    order = _upload_order(uploads, "youtube_id")
+    new = uploads.groupBy(F.col("merge_job_id").alias("id")).agg(
+        F.max_by(F.struct("youtube_id"), order).alias("__new"), F.max(F.col("youtube_id").isNotNull()).alias("__set")
     )
-    hit = F.coalesce(F.col("__hit"), F.lit(False))
+    hit = F.col("__new").isNotNull()
     return (
         merges.join(new, "id", "left")
-        .withColumn("status", F.when(hit & F.col("__yt").isNotNull(), F.lit("completed")).otherwise(F.col("status")))
-        .withColumn("youtube_id", F.when(hit, F.col("__yt")).otherwise(F.col("youtube_id")))
+        .withColumn("status", F.when(hit & F.col("__set"), F.lit("completed")).otherwise(F.col("status")))
+        .withColumn("youtube_id", F.when(hit, F.col("__new.youtube_id")).otherwise(F.col("youtube_id")))
         .select(*merges.columns)
     )
 
 
 def append_split_uploads(splits: DataFrame, uploads: DataFrame) -> DataFrame:
-    """Append a part's upload id (split_id, youtube_id) to the list; bad lists start anew."""
-    new = uploads.select(F.col("split_id").alias("id"), F.col("youtube_id").alias("__yt"))
+    """Append upload ids (split_id, youtube_id[, order_no]) to a part's list; bad lists start anew.
+
+    Several uploads for one part are appended together, in order.
+    """
+    order = _upload_order(uploads, "youtube_id")
+    new = uploads.filter("youtube_id IS NOT NULL").groupBy(F.col("split_id").alias("id")).agg(
+        F.array_sort(F.collect_list(order)).alias("__new")
+    )
     listed = F.coalesce(F.from_json("youtube_ids", "array<string>"), F.array().cast("array<string>"))
     return (
         splits.join(new, "id", "left")
         .withColumn(
             "youtube_ids",
-            F.when(F.col("__yt").isNotNull(), F.to_json(F.array_append(listed, F.col("__yt")))).otherwise(
-                F.col("youtube_ids")
-            ),
+            F.when(
+                F.col("__new").isNotNull(), F.to_json(F.concat(listed, F.transform("__new", lambda x: x["v"])))
+            ).otherwise(F.col("youtube_ids")),
         )
         .select(*splits.columns)
     )
@@ -378,8 +399,7 @@ def get_or_create_projects(projects: DataFrame, names: DataFrame) -> DataFrame:
     wanted = names.select("name").distinct()
     known = wanted.join(projects.select("name", "id"), "name")
     fresh = wanted.join(projects.select("name"), "name", "left_anti")
-    block = F.ascii(F.substring("name", 1, 1))
-    new = _with_new_ids(fresh.withColumn("__a", block), projects, ["__a", "name"], F.col("__a")).drop("__a")
+    new = _with_new_ids(fresh, projects, ["name"])
     return known.withColumn("created", F.lit(False)).unionByName(new.withColumn("created", F.lit(True)))
 
 
@@ -405,8 +425,7 @@ def number_destinations(requests: DataFrame, existing: DataFrame) -> DataFrame:
 
     named = parts(requests)
     names = parts(existing).select(*family)
-    blocked = is_hot(named, family) or is_hot(existing, ["dest"])
-    asked = number_rows(named, family, ["order_no"], position_block("order_no"), "n", blocked)
+    asked = number_rows(named, family, ["order_no"], position_block("order_no"), "n")
     asked = asked.withColumn("i", F.col("n") - 1).drop("n")
     numbered = names.select(
         "dest",
@@ -417,7 +436,7 @@ def number_destinations(requests: DataFrame, existing: DataFrame) -> DataFrame:
     taken = names.withColumn("slot", F.lit(0).cast("bigint")).unionByName(numbered)
     taken = taken.join(asked.select(*family).distinct(), family, "left_semi").distinct()
     while True:
-        ranked = number_rows(taken, family, ["slot"], position_block("slot"), "j", blocked)
+        ranked = number_rows(taken, family, ["slot"], position_block("slot"), "j")
         marks = ranked.select(
             *family, (F.col("slot") - F.col("j") + 1).alias("at"), F.lit(0).alias("kind"), F.col("slot").alias("tie")
         ).unionByName(
@@ -431,7 +450,6 @@ def number_destinations(requests: DataFrame, existing: DataFrame) -> DataFrame:
             family,
             ["at", "kind", "tie"],
             position_block("at"),
-            blocked=blocked,
             skipped=("sum", (F.col("kind") == 0).cast("bigint")),
         ).filter("kind = 1")
         slot = F.col("at") + F.coalesce("skipped", F.lit(0).cast("bigint"))
@@ -514,7 +532,7 @@ def backup_targets(
 
 def append_backups(history: DataFrame, results: DataFrame, now: Column) -> DataFrame:
     """Backup results (merge_job_id, source_path, remote, source_type, success, error_message) as new rows."""
-    rows = _with_new_ids(results, history, ["merge_job_id", "source_type", "source_path"], position_block("merge_job_id"))
+    rows = _with_new_ids(results, history, ["merge_job_id", "source_type", "source_path"])
     return history.unionByName(
         rows.withColumn("backed_up_at", now.cast(history.schema["backed_up_at"].dataType)).select(*history.columns)
     )
@@ -522,25 +540,24 @@ def append_backups(history: DataFrame, results: DataFrame, now: Column) -> DataF
 
 # ------------------------------------------------------------------ merges
 def merge_records(
-    clips: DataFrame, clips_per_row: int = CLIPS_PER_DOCUMENT, blocked: bool | None = None
+    clips: DataFrame, clips_per_row: int = CLIPS_PER_DOCUMENT
 ) -> DataFrame:
     """Totals and timeline JSON per merge from its clips (merge_id, position, ...).
 
-    The timeline is packed into rows of at most ``clips_per_row`` clips; an ordinary
-    merge is one row (``part`` 0).
+    The timeline is a table of parts of ``clips_per_row`` clips, numbered from 0; every
+    part carries the totals of the whole merge.
     """
-    laid = timeline(clips, ["merge_id"], blocked=blocked)
+    laid = timeline(clips, ["merge_id"])
     item = F.struct(
         "position",
         F.struct("name", "duration", F.col("start_s").alias("start"), F.col("end_s").alias("end"), "device", "shot_time").alias("clip"),
     )
     part = F.floor((F.col("position") - 1) / clips_per_row).cast("bigint")
-    packed = laid.groupBy("merge_id", part.alias("part")).agg(
-        F.count(F.lit(1)).alias("clip_count"),
-        F.sum("duration").alias("total_duration"),
-        F.array_sort(F.collect_list(item)).alias("items"),
+    packed = laid.groupBy("merge_id", part.alias("part")).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    totals = clips.groupBy("merge_id").agg(
+        F.count(F.lit(1)).alias("clip_count"), F.sum("duration").alias("total_duration")
     )
-    return packed.select(
+    return packed.join(totals, "merge_id").select(
         "merge_id",
         "part",
         "clip_count",

@@ -209,7 +209,7 @@ def i8(spark, sf):
     "SELECT merge_id, position, name, duration, coalesce(device, '-') AS device, shot_time FROM clips WHERE merge_id % 10 < 9",
 )
 def i9(spark, sf):
-    records = K.merge_records(V.clips(spark, sf), blocked=V.hot_merge(spark, sf))
+    records = K.merge_records(V.clips(spark, sf))
     merges = records.select(
         c("merge_id").alias("id"),
         "part",
@@ -256,7 +256,7 @@ _DEV = """dev AS (SELECT merge_id, string_agg(device, ', ' ORDER BY pos) AS devi
     FROM t JOIN k USING (merge_id)""",
 )
 def i11(spark, sf):
-    return I.clip_summaries(V.clips(spark, sf), V.hot_merge(spark, sf))
+    return I.clip_summaries(V.clips(spark, sf))
 
 
 @query(
@@ -265,7 +265,7 @@ def i11(spark, sf):
     SELECT k.merge_id, 0 AS part, k.body || CASE WHEN devices IS NULL THEN '' ELSE {_NL} || {_NL} || '이 영상은 ' || devices || '로 촬영됨' END AS body FROM k LEFT JOIN dev ON dev.merge_id = k.merge_id""",
 )
 def i11d(spark, sf):
-    return I.descriptions(V.clips(spark, sf), V.hot_merge(spark, sf))
+    return I.descriptions(V.clips(spark, sf))
 
 
 @query(
@@ -278,7 +278,7 @@ def i11p(spark, sf):
     chapters = part_chapters(spark, sf).select(
         "merge_id", "part_no", "run", clock_label(c("relative_s"), True).alias("clock"), file_stem(c("name")).alias("title")
     )
-    out = I.part_descriptions(chapters, V.clips(spark, sf), V.hot_merge(spark, sf))
+    out = I.part_descriptions(chapters, V.clips(spark, sf))
     return out.select(F.concat_ws("/", "merge_id", "part_no").alias("doc"), "part", "body")
 
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from cliplake.operators import batches as B
 from cliplake.operators import matching as M
 from cliplake.operators import signals as S
-from cliplake.operators.ordered import is_hot
 from cliplake.plans import views as V
 from cliplake.plans.registry import query
 
@@ -250,14 +249,32 @@ def c11(spark, sf):
     return _correlations(spark, sf).select("session", "lag", F.round("corr", 5).alias("corr"))
 
 
+# sessions with unusable audio: a flat recording, one shorter than the clip, a clip of one
+# frame, no recording
+_UNUSABLE = {"flat": "session % 7 = 2", "cut": "session % 7 = 3", "tiny": "session % 7 = 4", "none": "session % 7 = 5"}
+_USED = f"""role = 'reference' AND (idx < 4 OR NOT {_UNUSABLE['tiny']})
+    OR role = 'external' AND NOT {_UNUSABLE['none']} AND (idx < 12 OR NOT {_UNUSABLE['cut']})"""
+_SOUND = f"CASE WHEN role = 'external' AND {_UNUSABLE['flat']} THEN 0.5 ELSE sample END"
+
+
 @query(
     "J6_best_segment",
-    f"""WITH {_CORR}, b AS (SELECT session, min_by(lag, (-round(corr, 9), lag)) AS lag, max(corr) AS corr FROM cc GROUP BY 1),
-    k AS (SELECT *, greatest(0, least(1, (corr + 1) / 2)) AS conf FROM b)
-    SELECT session, round(CASE WHEN conf >= 0.7 THEN lag * 0.1::DOUBLE END, 6) AS start_s, round(conf, 5) AS confidence, CASE WHEN conf < 0.7 THEN 'confidence too low' END AS reason FROM k""",
+    f"""WITH mixed AS (SELECT session, role, idx, {_SOUND} AS sample FROM samples WHERE {_USED}),
+    {_CORR.replace("FROM samples", "FROM mixed")},
+    sz AS (SELECT session, role, max(frames) AS n, count(z) AS z FROM norm GROUP BY 1, 2),
+    pr AS (SELECT r.session, CASE WHEN e.n IS NULL THEN 'no recording' WHEN r.n < 2 OR e.n < 2 THEN 'audio too short' WHEN e.n < r.n THEN 'recording shorter than the clip' WHEN r.z = 0 OR e.z = 0 THEN 'envelope too flat' END AS why
+      FROM (SELECT * FROM sz WHERE role = 'reference') r LEFT JOIN (SELECT * FROM sz WHERE role = 'external') e ON e.session = r.session),
+    b AS (SELECT session, min_by(lag, (-round(corr, 9), lag)) AS lag, max(corr) AS corr FROM cc WHERE corr IS NOT NULL GROUP BY 1),
+    k AS (SELECT pr.session, why, lag, greatest(0, least(1, (corr + 1) / 2)) AS conf FROM pr LEFT JOIN b ON b.session = pr.session AND why IS NULL)
+    SELECT session, round(CASE WHEN conf >= 0.7 THEN lag * 0.1::DOUBLE END, 6) AS start_s, round(CASE WHEN why IS NULL THEN conf END, 5) AS confidence,
+      CASE WHEN why IS NOT NULL THEN why WHEN conf < 0.7 THEN 'confidence too low' END AS reason FROM k""",
 )
 def j6(spark, sf):
-    out = S.best_segment(_correlations(spark, sf), ["session"], min_confidence=0.7)
+    mixed = V.samples(spark, sf).filter(_USED).selectExpr("session", "role", "idx", f"cast({_SOUND} AS double) AS sample")
+    env = S.normal_envelope(mixed, ["session", "role"], RATE)
+    ref, ext = env.filter("role = 'reference'").drop("role"), env.filter("role = 'external'").drop("role")
+    best = S.best_segment(S.lag_correlation(ref, ext, ["session"]), ["session"], min_confidence=0.7)
+    out = S.with_reasons(best, S.audio_reasons(ref, ext, ["session"]), ["session"])
     return out.withColumn("confidence", F.round("confidence", 5))
 
 
@@ -300,6 +317,5 @@ def j7(spark, sf):
     ext = S.normal_envelope(rows.filter("ref_no IS NULL").drop("ref_no"), ["session"], RATE)
     corr = S.lag_correlation(ref, ext, ["session"], ["ref_no"])
     # a recording has fewer lags than samples, so the samples bound the scan
-    blocked = is_hot(rows, ["session"])
-    out = S.chained_segments(corr, ["session"], "ref_no", min_confidence=0.5, blocked=blocked)
+    out = S.chained_segments(corr, ["session"], "ref_no", min_confidence=0.5)
     return out.withColumn("confidence", F.round("confidence", 5))

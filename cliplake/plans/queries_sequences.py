@@ -52,7 +52,7 @@ def _cam(spark, sf):
 
 
 def _grouped(spark, sf):
-    return E.sessions(_cam(spark, sf), blocked=V.hot_user(spark, sf)).select("id", "batch", "idx", "name", "group_id", "member")
+    return E.sessions(_cam(spark, sf)).select("id", "batch", "idx", "name", "group_id", "member")
 
 
 @query(
@@ -69,7 +69,7 @@ def e1(spark, sf):
     sum(duration) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS end_s FROM clips WINDOW w AS (PARTITION BY merge_id ORDER BY position)""",
 )
 def e2(spark, sf):
-    return E.timeline(V.clips(spark, sf), ["merge_id"], blocked=V.hot_merge(spark, sf)).select("merge_id", "position", "name", "start_s", "end_s")
+    return E.timeline(V.clips(spark, sf), ["merge_id"]).select("merge_id", "position", "name", "start_s", "end_s")
 
 
 @query("E3_sequence_sessions", f"WITH {islands_sql('seqfiles')} SELECT * FROM seq_groups")
@@ -93,7 +93,7 @@ def e5(spark, sf):
     SELECT *, row_number() OVER (PARTITION BY batch ORDER BY first_idx) AS group_no FROM g""",
 )
 def e5l(spark, sf):
-    return E.session_list(_grouped(spark, sf), V.hot_user(spark, sf))
+    return E.session_list(_grouped(spark, sf))
 
 
 @query(
@@ -104,7 +104,7 @@ def e5l(spark, sf):
     SELECT id, batch, idx, group_id, member, row_number() OVER (PARTITION BY batch ORDER BY stretch, (f IS NULL)::INT, coalesce(f, 0), CASE WHEN f IS NULL THEN idx ELSE member END) - 1 AS new_idx FROM st""",
 )
 def e6(spark, sf):
-    return E.reorder(_grouped(spark, sf).drop("name"), V.hot_user(spark, sf))
+    return E.reorder(_grouped(spark, sf).drop("name"))
 
 
 @query(
@@ -114,12 +114,12 @@ def e6(spark, sf):
     UNION ALL SELECT DISTINCT batch, lo - 1, 'intro', 0.75::DOUBLE, 0.0::DOUBLE FROM n UNION ALL SELECT DISTINCT batch, hi + 1, 'outro', 0.0::DOUBLE, 0.75::DOUBLE FROM n""",
 )
 def e7(spark, sf):
-    return E.fade_flags(_grouped(spark, sf), 0.75, intro=True, outro=True, blocked=V.hot_user(spark, sf))
+    return E.fade_flags(_grouped(spark, sf), 0.75, intro=True, outro=True)
 
 
 @query("E8_merge_runs", f"WITH {runs_sql()} SELECT merge_id, run, name, duration, clip_count FROM runs")
 def e8(spark, sf):
-    return E.merge_runs(V.clips(spark, sf), ["merge_id"], blocked=V.hot_merge(spark, sf))
+    return E.merge_runs(V.clips(spark, sf), ["merge_id"])
 
 
 @query(
@@ -127,7 +127,7 @@ def e8(spark, sf):
     f"WITH {runs_sql()} SELECT merge_id, run, start_s, start_s + duration AS end_s, {clock_sql('start_s')} AS clock, replace(name, '.mp4', '') AS title FROM laid",
 )
 def e9(spark, sf):
-    return E.chapters(V.clips(spark, sf), ["merge_id"], blocked=V.hot_merge(spark, sf))
+    return E.chapters(V.clips(spark, sf), ["merge_id"])
 
 
 # parts of a merge: its clips cut again at every second clip's length plus ten
@@ -143,10 +143,10 @@ def _parts(clips):
 
 
 def part_chapters(spark, sf):
-    clips, blocked = V.clips(spark, sf), V.hot_merge(spark, sf)
-    parts = E.timeline(_parts(clips), ["merge_id"], "part_no", "length", blocked)
-    runs = E.timeline(E.merge_runs(clips, ["merge_id"], "grp", blocked), ["merge_id"], "run", blocked=blocked)
-    return E.overlap_parts(runs, parts, blocked=blocked)
+    clips = V.clips(spark, sf)
+    parts = E.timeline(_parts(clips), ["merge_id"], "part_no", "length")
+    runs = E.timeline(E.merge_runs(clips, ["merge_id"], "grp"), ["merge_id"], "run")
+    return E.overlap_parts(runs, parts)
 
 
 @query(
@@ -154,7 +154,7 @@ def part_chapters(spark, sf):
     f"WITH {PARTS_SQL} SELECT merge_id, part_no, ps AS start_s, pe AS end_s, parts, 'Trip ' || merge_id || ' (Part ' || part_no || '/' || parts || ')' AS title FROM part_spans",
 )
 def e10(spark, sf):
-    out = E.split_parts(_parts(V.clips(spark, sf)), F.concat(F.lit("Trip "), "merge_id"), V.hot_merge(spark, sf))
+    out = E.split_parts(_parts(V.clips(spark, sf)), F.concat(F.lit("Trip "), "merge_id"))
     return out.select("merge_id", "part_no", "start_s", "end_s", "parts", "title")
 
 

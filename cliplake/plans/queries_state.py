@@ -391,25 +391,35 @@ def k8(spark, sf):
 
 @query(
     "K9_uploads",
-    """SELECT id, CASE WHEN id % 3 = 0 THEN 'completed' ELSE status END AS status, CASE WHEN id % 3 = 0 THEN 'up' || id WHEN id % 3 = 1 THEN NULL ELSE youtube_id END AS youtube_id FROM merges""",
+    """SELECT id, CASE WHEN id % 3 = 0 THEN 'completed' ELSE status END AS status, CASE WHEN id % 6 = 0 THEN NULL WHEN id % 3 = 0 THEN 'up' || id WHEN id % 3 = 1 THEN NULL ELSE youtube_id END AS youtube_id FROM merges""",
 )
 def k9(spark, sf):
     merges = V.merges(spark, sf)
     uploads = merges.filter("id % 3 <> 2").select(
-        c("id").alias("merge_job_id"), F.when(c("id") % 3 == 0, F.concat(F.lit("up"), "id")).alias("youtube_id")
+        c("id").alias("merge_job_id"), F.when(c("id") % 3 == 0, F.concat(F.lit("up"), "id")).alias("youtube_id"), F.lit(1).alias("order_no")
     )
+    # some merges are uploaded and taken back in one go
+    again = merges.filter("id % 6 = 0").select(
+        c("id").alias("merge_job_id"), F.lit(None).cast("string").alias("youtube_id"), F.lit(2).alias("order_no")
+    )
+    uploads = again.unionByName(uploads)
     return K.set_uploads(merges, uploads).select("id", "status", "youtube_id")
 
 
 @query(
     "K9_split_uploads",
-    """SELECT id, CASE WHEN split_criterion = 'duration' THEN CASE WHEN youtube_ids IS NULL OR NOT json_valid(youtube_ids) THEN '["n' || id || '"]' ELSE replace(youtube_ids, ']', ',"n' || id || '"]') END ELSE youtube_ids END AS youtube_ids FROM splits""",
+    """SELECT id, CASE WHEN split_criterion = 'duration' THEN CASE WHEN youtube_ids IS NULL OR NOT json_valid(youtube_ids) THEN '["n' || id || '"' || t || ']' ELSE replace(youtube_ids, ']', ',"n' || id || '"' || t || ']') END ELSE youtube_ids END AS youtube_ids FROM (SELECT *, CASE WHEN id % 2 = 0 THEN ',"a' || id || '"' ELSE '' END AS t FROM splits)""",
 )
 def k9s(spark, sf):
     splits = V.splits(spark, sf)
     uploads = splits.filter("split_criterion = 'duration'").select(
-        c("id").alias("split_id"), F.concat(F.lit("n"), "id").alias("youtube_id")
+        c("id").alias("split_id"), F.concat(F.lit("n"), "id").alias("youtube_id"), F.lit(1).alias("order_no")
+    )
+    # parts with even numbers have two uploads
+    second = uploads.filter("split_id % 2 = 0").select(
+        "split_id", F.concat(F.lit("a"), "split_id").alias("youtube_id"), F.lit(2).alias("order_no")
     )
+    uploads = second.unionByName(uploads)
     return K.append_split_uploads(splits, uploads).select("id", "youtube_ids")
 
 
@@ -593,11 +603,11 @@ def k15(spark, sf):
 
 @query(
     "K16_merge_records",
-    """WITH t AS (SELECT *, coalesce(sum(duration) OVER (PARTITION BY merge_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS s FROM clips)
-    SELECT merge_id, (position - 1) // 1000 AS part, count(*) AS clip_count, sum(duration) AS total_duration, '[' || string_agg(CAST(json_object('name', name, 'duration', duration, 'start', s, 'end', s + duration, 'device', device, 'shot_time', shot_time) AS VARCHAR), ',' ORDER BY position) || ']' AS clips_info_json FROM t GROUP BY 1, 2""",
+    """WITH t AS (SELECT *, coalesce(sum(duration) OVER (PARTITION BY merge_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS s, count(*) OVER (PARTITION BY merge_id) AS n, sum(duration) OVER (PARTITION BY merge_id) AS total FROM clips)
+    SELECT merge_id, (position - 1) // 1000 AS part, any_value(n) AS clip_count, any_value(total) AS total_duration, '[' || string_agg(CAST(json_object('name', name, 'duration', duration, 'start', s, 'end', s + duration, 'device', device, 'shot_time', shot_time) AS VARCHAR), ',' ORDER BY position) || ']' AS clips_info_json FROM t GROUP BY 1, 2""",
 )
 def k16(spark, sf):
-    return K.merge_records(V.clips(spark, sf), blocked=V.hot_merge(spark, sf))
+    return K.merge_records(V.clips(spark, sf))
 
 
 @query(

@@ -11,26 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cliplake.operators.ordered import group_limit, hour_of, is_hot, number_rows, scan
-
-_MEASURED: dict[tuple, bool] = {}
-
-
-def hot(spark: SparkSession, sf: str, table: str, key: str) -> bool:
-    """Whether a key of a driver table is too large for one task; measured once per table."""
-    at = (sf, table, key, group_limit(spark))
-    if at not in _MEASURED:
-        _MEASURED[at] = is_hot(load(spark, sf, table), [key])
-    return _MEASURED[at]
-
-
-def hot_merge(spark: SparkSession, sf: str) -> bool:
-    return hot(spark, sf, "lineitem", "l_orderkey")
-
-
-def hot_user(spark: SparkSession, sf: str) -> bool:
-    return hot(spark, sf, "events", "user_id")
-
+from cliplake.operators.ordered import hour_of, number_rows, scan
 
 def load(spark: SparkSession, sf: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{table}.parquet")
@@ -257,7 +238,7 @@ def clips(spark: SparkSession, sf: str) -> DataFrame:
     order = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity"]
     rows = load(spark, sf, "lineitem").select("l_orderkey", "l_returnflag", *order)
     block = F.expr("struct(l_linenumber, l_partkey div 4096)")
-    return number_rows(rows, ["l_orderkey"], order, block, "position", hot_merge(spark, sf)).selectExpr(
+    return number_rows(rows, ["l_orderkey"], order, block, "position").selectExpr(
         "l_orderkey AS merge_id",
         "position",
         "l_partkey AS video_id",
@@ -272,7 +253,7 @@ def clips(spark: SparkSession, sf: str) -> DataFrame:
 def ranked_events(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
     rows = load(spark, sf, "events").select("event_id", "ts", "user_id", *columns)
     return number_rows(
-        rows, ["user_id"], ["ts", "event_id"], hour_of(F.col("ts")), "rn", hot_user(spark, sf)
+        rows, ["user_id"], ["ts", "event_id"], hour_of(F.col("ts")), "rn"
     )
 
 
@@ -340,7 +321,6 @@ def segments(spark: SparkSession, sf: str) -> DataFrame:
         ["media_id"],
         ["seq"],
         F.expr("seq div 1024"),
-        blocked=hot(spark, sf, "conversations", "conv_id"),
         __chars=("sum", F.length("text").cast("bigint")),
     ).selectExpr(
         "media_id",

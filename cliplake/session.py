@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -24,17 +26,11 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, **conf:
     return spark
 
 
-def has_checkpoint_folder(spark: SparkSession) -> bool:
-    """Whether ``spark.checkpoint.dir`` (or the context) names a shared folder."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            return False
-        context.setCheckpointDir(folder)
-    return True
-
-
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint into the shared folder; a session without one keeps the lineage."""
-    return df.checkpoint(eager=True) if has_checkpoint_folder(df.sparkSession) else df
+    """Checkpoint into the folder that ``spark.checkpoint.dir`` names; a session without
+    one, as in tests, gets a temporary folder."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="cliplake-"))
+    return df.checkpoint(eager=True)

@@ -9,7 +9,6 @@ ROOT = Path(__file__).resolve().parent.parent
 sys.path.insert(0, str(ROOT))
 sys.path.insert(0, str(ROOT / "tools"))
 
-from cliplake.operators.ordered import GROUP_ROWS_SETTING  # noqa: E402
 from cliplake.session import build_session  # noqa: E402
 
 
@@ -22,21 +21,5 @@ def spark(tmp_path_factory):
     session.stop()
 
 
-@pytest.fixture
-def blocked(spark):
-    """Treat every key as too large for one task."""
-    spark.conf.set(GROUP_ROWS_SETTING, "1")
-    yield
-    spark.conf.unset(GROUP_ROWS_SETTING)
-
-
-@pytest.fixture(params=["plain", "blocked"])
-def either(request, spark):
-    if request.param == "blocked":
-        spark.conf.set(GROUP_ROWS_SETTING, "1")
-    yield request.param
-    spark.conf.unset(GROUP_ROWS_SETTING)
-
-
 def rows(df, *columns):
     return sorted((tuple(r) for r in (df.select(*columns) if columns else df).collect()), key=repr)

@@ -103,7 +103,7 @@ def test_device_names(spark):
     ]
 
 
-def test_long_documents_come_in_parts(spark, either):
+def test_long_documents_come_in_parts(spark):
     lines = spark.createDataFrame([(1, 0, i, f"l{i}") for i in range(1, 8)], "merge_id bigint, block int, pos bigint, line string")
     out = I.pack_lines(lines, ["merge_id"], ["block", "pos"], F.lit("H\n"), F.lit("\nT"), per_row=3)
     parts = [r.body for r in out.orderBy("part").collect()]

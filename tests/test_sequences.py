@@ -21,7 +21,7 @@ def files(spark, names, sizes=None, start=datetime(2025, 9, 20, 19, 48, 30)):
     return spark.createDataFrame(data, FILE)
 
 
-def test_scan_matches_a_plain_loop(spark, either):
+def test_scan_matches_a_plain_loop(spark):
     rng = random.Random(3)
     data = [(rng.randrange(3), i, rng.randrange(50)) for i in range(400)]
     df = spark.createDataFrame(data, "k int, pos bigint, v bigint")
@@ -42,7 +42,7 @@ def test_scan_matches_a_plain_loop(spark, either):
     assert {tuple(r) for r in out.select("k", "total").collect()} == {(k, sum(v)) for k, v in seen.items()}
 
 
-def test_near_split_size_keeps_one_session(spark, either):
+def test_near_split_size_keeps_one_session(spark):
     names = [f"DJI_20250920194830_000{i}_D.MP4" for i in (1, 2, 3)]
     one = E.sessions(files(spark, names, [int(0.98 * 16 * GIB)] * 2 + [2 * GIB]))
     assert rows(one, "idx", "group_id", "member") == [
@@ -50,7 +50,7 @@ def test_near_split_size_keeps_one_session(spark, either):
     ]
 
 
-def test_small_parts_and_repeated_numbers_split_sessions(spark, either):
+def test_small_parts_and_repeated_numbers_split_sessions(spark):
     small = E.sessions(files(spark, ["DJI_20250920194830_0001_D.MP4", "DJI_20250920194831_0002_D.MP4"]))
     assert len({r[0] for r in rows(small, "group_id")}) == 2
     again = E.sessions(files(spark, ["DJI_20250920194830_0001_D.MP4", "DJI_20250920194831_0001_D.MP4"], [16 * GIB] * 2))
@@ -69,7 +69,7 @@ def test_unknown_clock_counts_as_contiguous(spark):
     assert rows(out, "idx", "group_id") == [(0, "dji_1"), (1, "dji_1")]
 
 
-def test_chapters_and_singles(spark, either):
+def test_chapters_and_singles(spark):
     names = ["GP020128.mp4", "IMG_0001.MOV", "GOPR0128.MP4", "gh010128.mp4", "x.mp4", "GH010129.MP4"]
     out = E.sessions(files(spark, names))
     assert rows(out, "idx", "group_id", "member") == [
@@ -98,11 +98,11 @@ def placed(spark, groups):
     return [r[1] for r in rows(out, "new_idx", "idx")]
 
 
-def test_reorder_moves_singles_behind_the_session(spark, either):
+def test_reorder_moves_singles_behind_the_session(spark):
     assert placed(spark, ["s1", "a", "s2", "a", "s3", "a", "s4"]) == [0, 1, 3, 5, 2, 4, 6]
 
 
-def test_reorder_never_loses_files_of_overlapping_sessions(spark, either):
+def test_reorder_never_loses_files_of_overlapping_sessions(spark):
     assert placed(spark, ["a", "b", "a", "b"]) == [0, 2, 1, 3]
     assert placed(spark, ["a", "s1", "b", "b", "a", "s2"]) == [0, 4, 2, 3, 1, 5]
     rng = random.Random(5)
@@ -111,7 +111,7 @@ def test_reorder_never_loses_files_of_overlapping_sessions(spark, either):
         assert sorted(placed(spark, groups)) == list(range(30))
 
 
-def test_fades(spark, either):
+def test_fades(spark):
     data = [(1, 0, "a", 1), (1, 1, "a", 2), (1, 2, "a", 3), (1, 3, "s_1", 1)]
     df = spark.createDataFrame(data, GROUPED)
     assert rows(E.fade_flags(df), "idx", "fade_in", "fade_out") == [(0, 0.5, 0.0), (1, 0.0, 0.0), (2, 0.0, 0.5), (3, 0.5, 0.5)]
@@ -126,14 +126,14 @@ def test_fades(spark, either):
 CLIPS = "merge_id bigint, position bigint, name string, duration double, grp string"
 
 
-def test_runs_and_chapters(spark, either):
+def test_runs_and_chapters(spark):
     data = [(1, 1, "a.mp4", 60.5, "g"), (1, 2, "b.mp4", 60.0, "g"), (1, 3, "c.mp4", 10.0, None), (1, 4, "d.mp4", 3600.0, "g"), (1, 5, "e.mp4", 1.0, None)]
     out = E.chapters(spark.createDataFrame(data, CLIPS), ["merge_id"])
     # 120.5 s and 130.5 s round half to even
     assert rows(out, "run", "clock", "title") == [(1, "0:00", "a"), (2, "2:00", "c"), (3, "2:10", "d"), (4, "1:02:10", "e")]
 
 
-def test_overlap_with_parts_matches_all_pairs(spark, either):
+def test_overlap_with_parts_matches_all_pairs(spark):
     rng = random.Random(11)
     for _ in range(2):
         clips = [float(rng.randrange(0, 5)) for _ in range(25)]
@@ -183,7 +183,7 @@ def test_edit_lists_match_list_operations(spark, edits):
     assert got == list(enumerate(clips, 1))
 
 
-def test_silence_pairs(spark, either):
+def test_silence_pairs(spark):
     lines = ["silence_end: 1.0", "silence_start: 2.0", "noise", "silence_start: 3.5", "silence_end: 5.0 | x", "silence_end: 6.0", "silence_start: 7"]
     df = spark.createDataFrame([(1, i, t) for i, t in enumerate(lines)], "media_id bigint, line_no bigint, line string")
     assert rows(E.silence_pairs(df), "start_s", "end_s", "length_s") == [(3.5, 5.0, 1.5)]

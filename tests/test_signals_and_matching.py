@@ -30,7 +30,7 @@ def peaks_of(samples, rate, ratio, gap_s=0.25, window_ms=20.0):
     return out
 
 
-def test_clap_offset_of_two_pulses(spark, either):
+def test_clap_offset_of_two_pulses(spark):
     data = []
     for role, at in (("reference", 2100), ("external", 1600)):
         wave = [0.01] * 5000
@@ -42,7 +42,7 @@ def test_clap_offset_of_two_pulses(spark, either):
     assert out.confidence == 1.0
 
 
-def test_peaks_match_the_walk(spark, either):
+def test_peaks_match_the_walk(spark):
     rng = random.Random(2)
     data, want = [], []
     for session in range(4):
@@ -99,7 +99,7 @@ def best_match(video, recordings, window, least):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_scored_match_is_the_optimum(spark, either, seed):
+def test_scored_match_is_the_optimum(spark, seed):
     rng = random.Random(seed)
     videos = [(i, rng.randrange(0, 5000), rng.choice([30.0, 60.0, 61.0, 500.0])) for i in range(30)]
     recs = [(f"/r/{i:03d}.wav", rng.randrange(0, 5000), rng.choice([10.0, 29.0, 60.0, 62.0, 480.0])) for i in range(25)]
