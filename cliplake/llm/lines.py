@@ -9,12 +9,13 @@ whole sets.
 
 * Lines with equal sets are one node, represented by its first line; the later ones go
   without any join of pairs.
-* Within the lines of a prefix word, all are first compared with the earliest (linear).
-  Lines that this removes need no further partner; only the others are compared with all
-  earlier lines of the word. So a large group of near copies costs its size, not its
-  square.
-* Very frequent words are cut into salts of about ``SALT`` lines for the first comparison;
-  the second is a plain join, which adaptive execution splits.
+* Lines that share a prefix word meet in one group. Each takes the earliest line of the
+  group that passes the filters, among them the Hamming distance of 64 parity bits, which
+  never exceeds the symmetric difference; so a group of near copies gives as many pairs as
+  lines. A line whose first candidates fail the exact test, and that had more, asks for
+  all of them in a second pass over the groups of its words.
+* A frequent word's lines are cut into chunks, and every pair of chunks is a group of its
+  own, so no group is larger than two chunks and none loses a pair.
 """
 
 from __future__ import annotations
@@ -24,14 +25,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cliplake.llm.tables import sieve, stash
 from cliplake.llm.text import U, Texts, mix, runs, slices, words
 
-BITS = 18  # buckets of the word counts: two megabytes travel with a task
-SALT = 1_000_000
+BITS = 22  # buckets of the word counts: 16 megabytes travel with a task, whatever the input
+PIECE = 1 << 12  # buckets in a row
+CHUNK = 50_000  # lines of a word in one chunk, about
+SMALL = 64  # lines of a group that is compared all at once
 _KEY = "decimal(38,0)"  # doc_id * 2**32 + number of the line, so keys are in text order
 
 
@@ -67,61 +70,288 @@ def needed(n: np.ndarray | int, num: int, den: int):
     return -(-n * num // den)
 
 
+def _pieces(total: np.ndarray) -> pa.RecordBatch:
+    rows = np.minimum(total, 2**31 - 1).astype(np.int32).reshape(-1, PIECE)
+    used = np.flatnonzero(rows.any(1))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(used, pa.int32()), pa.array([rows[i].tobytes() for i in used], pa.binary())], ["piece", "counts"]
+    )
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(1 << BITS, np.int64)
     for batch in batches:
         for texts in slices(batch.column(0)):
-            bucket = (words(texts, lower=True).hash >> U(64 - BITS)).astype(np.int64)
-            total += np.bincount(bucket, minlength=len(total))
-    some = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["bucket", "n"])
+            np.add.at(total, (words(texts, lower=True).hash >> U(64 - BITS)).astype(np.int64), 1)
+    yield _pieces(total)
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of the same pieces summed, per task."""
+    total: np.ndarray | None = None
+    for batch in batches:
+        if total is None:
+            total = np.zeros((1 << BITS) // PIECE * PIECE, np.int64).reshape(-1, PIECE)
+        for piece, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            total[piece] += np.frombuffer(counts, np.int32)
+    if total is not None:
+        yield _pieces(total.reshape(-1))
 
 
 def word_counts(docs: DataFrame, text_col: str) -> Broadcast:
-    """Occurrences of words by hash bucket over all texts, ``2**BITS`` numbers."""
-    rows = docs.select(text_col).mapInArrow(_counts, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
-    total = np.zeros(1 << BITS, np.int64)
-    for bucket, n in rows.collect():
-        total[bucket] = n
+    """Occurrences of words by hash bucket over all texts, ``2**BITS`` numbers.
+
+    Tasks send their counts in pieces; those of a piece are added where they meet.
+    """
+    schema = "piece int, counts binary"
+    rows = docs.select(text_col).mapInArrow(_counts, schema).repartition("piece").mapInArrow(_added, schema)
+    total = np.zeros(1 << BITS, np.int32)
+    for piece, counts in rows.collect():
+        total[piece * PIECE : (piece + 1) * PIECE] = np.frombuffer(counts, np.int32)
     return docs.sparkSession.sparkContext.broadcast(total)
 
 
+def _line_sets(texts: Texts, rarity: np.ndarray | None):
+    """Text and number of every line with a word, and its distinct words: hash, line,
+    occurrences; sorted by line, then rarest first."""
+    doc, number, token, line = line_tokens(texts)
+    seen = np.zeros(len(token), np.int32) if rarity is None else rarity[(token >> U(64 - BITS)).astype(np.int64)]
+    order = np.lexsort((token, seen, line))
+    token, line, seen = token[order], line[order], seen[order]
+    fresh = np.ones(len(token), bool)
+    fresh[1:] = (token[1:] != token[:-1]) | (line[1:] != line[:-1])
+    return doc, number, token[fresh], line[fresh], seen[fresh]
+
+
+def _prints(token: np.ndarray, first: np.ndarray) -> list[pa.Array]:
+    return [
+        pa.array(np.add.reduceat(mix(token, 4), first).view(np.int64)),
+        pa.array(np.bitwise_xor.reduceat(mix(token, 5), first).view(np.int64)),
+    ]
+
+
+def _outlines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, n, fp1, fp2) of every line with a word."""
+    for batch in batches:
+        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        for texts in slices(batch.column(1)):
+            doc, number, token, line, _ = _line_sets(texts, None)
+            if len(doc):
+                n = np.bincount(line, minlength=len(doc))
+                yield pa.RecordBatch.from_arrays(
+                    [_keys(ids[texts.first + doc], number), pa.array(n, pa.int32()), *_prints(token, np.cumsum(n) - n)],
+                    ["key", "n", "fp1", "fp2"],
+                )
+
+
 def _described(counts: Broadcast, num: int, den: int):
+    """As :func:`_outlines`, with parity bits and the prefix: words and their positions."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rarity = counts.value
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for texts in slices(batch.column(1)):
-                doc, number, token, line = line_tokens(texts)
+                doc, number, token, line, seen = _line_sets(texts, rarity)
                 if not len(doc):
                     continue
-                seen = rarity[(token >> U(64 - BITS)).astype(np.int64)]
-                order = np.lexsort((token, seen, line))
-                token, line, seen = token[order], line[order], seen[order]
-                fresh = np.ones(len(token), bool)
-                fresh[1:] = (token[1:] != token[:-1]) | (line[1:] != line[:-1])
-                token, line, seen = token[fresh], line[fresh], seen[fresh]
                 n = np.bincount(line, minlength=len(doc))
                 first = np.cumsum(n) - n
                 at = np.arange(len(token)) - first[line]
-                prefix = at < (n - needed(n, num, den) + 1)[line]
+                # a word that occurs once in all texts is in no other line
+                prefix = (at < (n - needed(n, num, den) + 1)[line]) & (seen > 1)
                 sizes = np.concatenate(([0], np.cumsum(np.bincount(line[prefix], minlength=len(doc)))))
-                salts = (seen[prefix] // SALT + 1).astype(np.int32)
+                bits = np.bitwise_xor.reduceat(U(1) << (mix(token, 9) & U(63)), first)
                 yield pa.RecordBatch.from_arrays(
                     [
                         _keys(ids[texts.first + doc], number),
                         pa.array(n, pa.int32()),
-                        pa.array(np.add.reduceat(mix(token, 4), first).view(np.int64)),
-                        pa.array(np.bitwise_xor.reduceat(mix(token, 5), first).view(np.int64)),
+                        *_prints(token, first),
+                        pa.array(bits.view(np.int64)),
                         pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(token[prefix].view(np.int64))),
-                        pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(salts)),
+                        pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(at[prefix], pa.int32())),
                     ],
-                    ["key", "n", "fp1", "fp2", "prefix", "salts"],
+                    ["key", "n", "fp1", "fp2", "bits", "prefix", "at"],
                 )
 
     return run
 
 
+def _dealt(counts: Broadcast, asked: Broadcast | None, words_asked: Broadcast | None):
+    """A row for every prefix word of a line and every group that it is in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rarity = counts.value
+        for batch in batches:
+            prefix = batch.column("prefix")
+            row = np.repeat(np.arange(batch.num_rows), prefix.value_lengths().to_numpy(zero_copy_only=False))
+            token = prefix.flatten().to_numpy(zero_copy_only=False)
+            at = batch.column("at").flatten().to_numpy(zero_copy_only=False)
+            if words_asked is not None:
+                keep = _passes(words_asked.value, token)
+                row, token, at = row[keep], token[keep], at[keep]
+            chunks = rarity[(token.view(U) >> U(64 - BITS)).astype(np.int64)].astype(np.int64) // CHUNK + 1
+            fp = batch.column("fp1").to_numpy()
+            own = (mix(fp.view(U), 8) >> U(1)).astype(np.int64)[row] % chunks
+            other = np.arange(chunks.sum()) - np.repeat(np.cumsum(chunks) - chunks, chunks)
+            row, token, at, own = (np.repeat(x, chunks) for x in (row, token, at, own))
+            ask = np.zeros(len(row), bool) if asked is None else _passes(asked.value, fp)[row]
+            take = pa.array(row)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(token),
+                    pa.array(np.minimum(own, other), pa.int32()),
+                    pa.array(np.maximum(own, other), pa.int32()),
+                    batch.column("key").take(take),
+                    batch.column("n").take(take),
+                    pa.array(at, pa.int32()),
+                    pa.array(own, pa.int32()),
+                    batch.column("bits").take(take),
+                    pa.array(ask),
+                ],
+                ["token", "low", "high", "key", "n", "at", "own", "bits", "ask"],
+            )
+
+    return run
+
+
+_DEALT = f"token bigint, low int, high int, key {_KEY}, n int, at int, own int, bits bigint, ask boolean"
+
+
+def _passes(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    h = mix(keys.view(U), 11) & U(len(bitmap) * 8 - 1)
+    return (bitmap[(h >> U(3)).astype(np.int64)] >> (h & U(7)).astype(np.uint8)) & 1 == 1
+
+
+def bitmap_of(keys: DataFrame, bits: int = 1 << 22) -> Broadcast:
+    """A bitmap of hashed keys (one bigint column), 512 kB whatever their number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(bits // 8, np.uint8)
+        for batch in batches:
+            h = mix(batch.column(0).to_numpy().view(U), 11) & U(bits - 1)
+            np.bitwise_or.at(own, (h >> U(3)).astype(np.int64), (U(1) << (h & U(7))).astype(np.uint8))
+        used = np.flatnonzero(own)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(own[used], pa.uint8()).cast(pa.int32())], ["at", "b"])
+
+    out = np.zeros(bits // 8, np.uint8)
+    for at, b in keys.mapInArrow(run, "at int, b int").groupBy("at").agg(F.bit_or("b")).collect():
+        out[at] = b
+    return keys.sparkSession.sparkContext.broadcast(out)
+
+
+class _Rows:
+    """Columns of sorted rows in numpy; keys as two words."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        col = lambda name: batch.column(name).to_numpy(zero_copy_only=False)
+        self.batch = batch
+        self.token, self.low, self.high = col("token"), col("low"), col("high")
+        self.n, self.at, self.own, self.ask = col("n").astype(np.int64), col("at").astype(np.int64), col("own"), col("ask")
+        self.bits = col("bits").view(U)
+        key = batch.column("key")
+        self.key = np.frombuffer(key.buffers()[1], np.int64).reshape(-1, 2)[key.offset : key.offset + len(key)]
+
+    def fit(self, a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
+        """Which of the pairs of rows pass all filters."""
+        total, less = self.n[a] + self.n[b], np.minimum(self.n[a], self.n[b])
+        ok = less * den >= (total - less) * num
+        ok &= np.minimum(self.n[a] - self.at[a], self.n[b] - self.at[b]) >= -(-total * num // (num + den))
+        ok &= (self.low[a] == self.high[a]) | (self.own[a] != self.own[b])
+        ok &= (self.key[a] != self.key[b]).any(1)
+        near = np.bitwise_count(self.bits[a] ^ self.bits[b]).astype(np.int64)
+        return ok & (near <= total * (den - num) // (den + num))
+
+
+def _small_groups(rows: _Rows, start: np.ndarray, later: np.ndarray, num: int, den: int):
+    """All passing pairs of the rows ``later`` with the rows before them in their group."""
+    width = later - start
+    cut = np.searchsorted(np.cumsum(width), np.arange(1 << 20, int(width.sum()) + (1 << 20), 1 << 20), "left") + 1
+    at = 0
+    for end in np.unique(np.minimum(cut, len(later))):
+        w, s = width[at:end], start[at:end]
+        b = np.repeat(later[at:end], w)
+        a = np.arange(len(b)) - np.repeat(np.cumsum(w) - w, w) + np.repeat(s, w)
+        ok = rows.fit(a, b, num, den)
+        yield a[ok], b[ok]
+        at = end
+
+
+def _large_group(rows: _Rows, first: int, end: int, everything: bool, num: int, den: int):
+    """The first passing pair of every row of a group, or all pairs with rows that ask."""
+    for at in range(first, end, 512):
+        b = np.arange(at, min(end, at + 512))
+        for low in range(first, end if everything else b[-1] + 1, 4096):
+            a = np.arange(low, min(low + 4096, end if everything else b[-1]))
+            x, y = np.tile(a, len(b)), np.repeat(b, len(a))
+            chosen = x < y
+            if everything:
+                chosen &= rows.ask[x] | rows.ask[y]
+            x, y = x[chosen], y[chosen]
+            ok = rows.fit(x, y, num, den)
+            x, y = x[ok], y[ok]
+            if everything:
+                yield x, y
+                continue
+            y, where = np.unique(y, return_index=True)
+            yield x[where], y
+            b = np.setdiff1d(b, y)
+            if not len(b):
+                break
+
+
+def _candidates(num: int, den: int, everything: bool):
+    """(a, b, more): pairs of keys, ``a`` earlier; ``more`` if ``b`` may have other candidates."""
+
+    def pairs(rows: _Rows) -> Iterator[pa.RecordBatch]:
+        n = len(rows.token)
+        same = (rows.token[1:] == rows.token[:-1]) & (rows.low[1:] == rows.low[:-1]) & (rows.high[1:] == rows.high[:-1])
+        begin = np.flatnonzero(np.concatenate(([True], ~same)))
+        size = np.diff(np.append(begin, n))
+        start = np.repeat(begin, size)
+        small = np.repeat(size <= SMALL, size)
+        later = np.flatnonzero(small & (np.arange(n) > start))
+        found = list(_small_groups(rows, start[later], later, num, den))
+        for g in np.flatnonzero(size > SMALL):
+            found += _large_group(rows, int(begin[g]), int(begin[g] + size[g]), everything, num, den)
+        if not found:
+            return
+        a, b = (np.concatenate(x) for x in zip(*found))
+        if everything:
+            keep = rows.ask[a] | rows.ask[b]
+            a, b, more = a[keep], b[keep], np.zeros(int(keep.sum()), bool)
+        else:
+            order = np.lexsort((a, b))
+            a, b = a[order], b[order]
+            first = np.concatenate(([True], b[1:] != b[:-1])) if len(b) else np.zeros(0, bool)
+            count = np.diff(np.append(np.flatnonzero(first), len(b)))
+            a, b = a[first], b[first]
+            more = (count > 1) | ~small[b]
+        key = rows.batch.column("key")
+        yield pa.RecordBatch.from_arrays([key.take(pa.array(a)), key.take(pa.array(b)), pa.array(more)], ["a", "b", "more"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            token, low, high = (batch.column(c).to_numpy() for c in ("token", "low", "high"))
+            cut = np.flatnonzero((token != token[-1]) | (low != low[-1]) | (high != high[-1]))
+            if not len(cut) and not kept:
+                kept = [batch]
+                continue
+            if not len(cut) and tuple(kept[-1].column(c)[-1].as_py() for c in ("token", "low", "high")) == (token[0], low[0], high[0]):
+                kept.append(batch)  # the group goes on
+                continue
+            end = int(cut[-1]) + 1 if len(cut) else 0
+            yield from pairs(_Rows(pa.Table.from_batches([*kept, batch.slice(0, end)]).combine_chunks().to_batches()[0]))
+            kept = [batch.slice(end)]
+        if kept:
+            yield from pairs(_Rows(pa.Table.from_batches(kept).combine_chunks().to_batches()[0]))
+
+    return run
+
+
 def _wanted_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, sorted distinct word hashes) of the wanted lines of (doc_id, text, wanted)."""
     for batch in batches:
@@ -182,41 +412,30 @@ def repeated_lines(docs: DataFrame, num: int = 4, den: int = 5, id_col: str = "d
     """
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     counts = word_counts(texts, "text")
-    schema = f"key {_KEY}, n int, fp1 bigint, fp2 bigint, prefix array<bigint>, salts array<int>"
-    lines = stash(texts.mapInArrow(_described(counts, num, den), schema))
+    outlines = stash(texts.mapInArrow(_outlines, f"key {_KEY}, n int, fp1 bigint, fp2 bigint"))
     same = ["n", "fp1", "fp2"]
-    nodes = lines.groupBy(*same).agg(F.min("key").alias("first"))
-    placed = lines.join(nodes, same)
-    copies = placed.where("key > first").select("key")
-    rows = (
-        placed.where("key = first")
-        .select("key", "n", F.posexplode(F.arrays_zip("prefix", "salts")).alias("at", "x"))
-        .select(
-            F.col("x.prefix").alias("token"), F.pmod(F.xxhash64("key"), F.col("x.salts")).alias("salt"), "key", "n", "at", (F.col("x.salts") > 1).alias("cut")
-        )
-    )
-    group = Window.partitionBy("token", "salt")
-    shared = stash(
-        rows.withColumns({"head": F.min("key").over(group), "tail": F.max("key").over(group)})
-        .where("head < tail or cut")
-        .select("token", "salt", "key", "n", "at", "head")
-    )
-    # overlap needed by both sizes; words that remain after the shared one on either side
-    fits = F.expr(
-        f"l.key < r.key and least(l.n, r.n) * {den} >= greatest(l.n, r.n) * {num}"
-        f" and least(l.n - l.at, r.n - r.at) >= ((l.n + r.n) * {num} + {num + den} - 1) div {num + den}"
-    )
-    pair = [F.col("l.key").alias("a"), F.col("r.key").alias("b")]
-    heads, members = shared.where("key = head").alias("l"), shared.where("key > head").alias("r")
-    star = heads.join(members, F.expr("l.token = r.token and l.salt = r.salt") & fits).select(*pair)
-    gone = stash(_verified(star, texts, num, den).select(F.col("b").alias("key")).distinct())
-    rest = shared.join(gone, "key", "left_anti").alias("r")
-    others = shared.alias("l")
-    tested = F.expr("l.key = l.head and l.salt = r.salt")
-    more = others.join(rest, F.expr("l.token = r.token") & fits & ~tested).select(*pair)
-    later = _verified(more, texts, num, den).select(F.col("b").alias("key"))
-    # copies of a node that goes are copies already, so its first line is all that is added
-    removed = copies.union(gone).union(later).distinct()
+    nodes = stash(outlines.groupBy(*same).agg(F.min("key").alias("key"), F.count("*").alias("lines")))
+    copies = outlines.join(nodes.where("lines > 1").withColumnRenamed("key", "first"), same).where("key > first").select("key")
+    full = f"key {_KEY}, n int, fp1 bigint, fp2 bigint, bits bigint, prefix array<bigint>, at array<int>"
+    lines = texts.mapInArrow(_described(counts, num, den), full).join(nodes.select(*same, "key"), [*same, "key"], "left_semi")
+
+    def candidates(asked: Broadcast | None = None, words_asked: Broadcast | None = None) -> DataFrame:
+        group = ["token", "low", "high"]
+        dealt = lines.select(*("key", "n", "fp1", "bits", "prefix", "at")).mapInArrow(_dealt(counts, asked, words_asked), _DEALT)
+        met = dealt.repartition(*group).sortWithinPartitions(*group, "key")
+        found = met.mapInArrow(_candidates(num, den, asked is not None), f"a {_KEY}, b {_KEY}, more boolean")
+        return stash(found.groupBy("a", "b").agg(F.max("more").alias("more")))
+
+    tried = candidates()
+    gone = stash(_verified(tried.select("a", "b"), texts, num, den).select(F.col("b").alias("key")).distinct())
+    removed = copies.union(gone)
+    open_ = tried.where("more").select(F.col("b").alias("key")).distinct().join(gone, "key", "left_anti")
+    open_ = stash(open_.join(nodes, "key").select("key", "fp1"))
+    if not open_.isEmpty():
+        prefixes = lines.join(open_.select("key"), "key", "left_semi").select(F.explode("prefix").alias("token"))
+        rest = candidates(bitmap_of(open_.select("fp1")), bitmap_of(prefixes)).join(tried.select("a", "b"), ["a", "b"], "left_anti")
+        removed = removed.union(_verified(rest.select("a", "b"), texts, num, den).select(F.col("b").alias("key")))
+    removed = removed.distinct()
     return removed.select(
         F.floor(F.col("key") / F.lit(2**32)).cast("bigint").alias("doc_id"), F.pmod("key", F.lit(2**32)).cast("bigint").alias("line")
     )
