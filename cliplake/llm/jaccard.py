@@ -18,9 +18,13 @@ join on single blocks finds the pair.
   exceeds the symmetric difference; candidates above D are dropped before any set moves.
   The survivors are verified on the sets.
 * Groups of copies: texts with equal sets are one representative. Candidates of a block
-  are first its members against its smallest id (linear). What these links leave apart is
-  then compared pair by pair, only across different components, so the components are
-  those of all links.
+  are first its members against its smallest id (linear). Blocks whose members these links
+  leave in different components are then compared across components, by their sketches,
+  where they meet: first every member names its earliest partner (linear again), and once
+  these links have joined what they can, all partners left in other components. A block
+  with many members is cut into chunks, every pair of chunks compared on its own. Every
+  pair is decided, so the components are those of all links; pairs that fail the Hamming
+  bound never leave a task.
 """
 
 from __future__ import annotations
@@ -33,9 +37,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cliplake.llm.components import components
-from cliplake.llm.tables import stash
+from cliplake.llm.groups import starts, whole_groups
+from cliplake.llm.tables import sieve, stash
 from cliplake.llm.text import U, mix, shingle_sets, slices
 
+CHUNK = 2_000  # members of a block in one chunk, about
 SPARE = 8  # one block in SPARE is added to M, so that poor blocks can be left out
 _SKETCH = "id bigint, n_shingles bigint, fp1 bigint, fp2 bigint, sketch binary, blocks array<bigint>"
 
@@ -136,6 +142,64 @@ def _near(num: int, den: int):
     return run
 
 
+def _across(num: int, den: int, everything: bool):
+    """(a, b) of rows (block, low, high, own, id, label, n, sketch): pairs of different
+    components within the bounds; unless ``everything``, the earliest ``a`` for every ``b``."""
+
+    def group(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        ids, label, n, own = (rows.column(c).to_numpy() for c in ("id", "label", "n", "own"))
+        cross = rows.column("low")[0].as_py() != rows.column("high")[0].as_py()
+        raw = rows.column("sketch").to_pylist()
+        width = min(map(len, raw))
+        bits = np.stack([_fold(np.frombuffer(r, np.uint8), width) for r in raw]).view(U)
+        out = []
+        step = max(1, (1 << 19) // (len(ids) * bits.shape[1]))
+        for at in range(0, len(ids), step):
+            b = np.arange(at, min(at + step, len(ids)))
+            total, less = n[b, None] + n[None, :], np.minimum(n[b, None], n[None, :])
+            ok = (ids[b, None] > ids[None, :]) & (label[b, None] != label[None, :]) & (less * den >= (total - less) * num)
+            if cross:
+                ok &= own[b, None] != own[None, :]
+            x, y = np.nonzero(ok)
+            far = np.bitwise_count(bits[b[x]] ^ bits[y]).sum(1, dtype=np.int64)
+            near = far <= total[x, y] * (den - num) // (den + num)
+            x, y = b[x[near]], y[near]
+            if not everything and len(x):  # rows are sorted by id
+                x, first = np.unique(x, return_index=True)
+                y = y[first]
+            out.append((ids[y], ids[x]))
+        return tuple(np.concatenate(p) for p in zip(*out))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = ("block", "low", "high")
+        for batch in whole_groups(batches, keys):
+            edges = starts(batch, keys)
+            found = [group(batch.slice(i, j - i)) for i, j in zip(edges[:-1], edges[1:]) if j - i > 1]
+            if found:
+                a, b = (np.concatenate(p) for p in zip(*found))
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return run
+
+
+def _crossing(shared: DataFrame, found: DataFrame, sketches: DataFrame, num: int, den: int, everything: bool) -> DataFrame:
+    """Candidates between the components ``found`` among the members of common blocks."""
+    placed = shared.join(found, "id", "left").withColumn("label", F.coalesce("component_id", "id")).select("block", "id", "label")
+    apart = placed.groupBy("block").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("size")).where("x < y")
+    chunks = F.ceil(F.col("size") / CHUNK).cast("int")
+    own = F.pmod(F.xxhash64("id", F.lit("chunk")), chunks).cast("int")
+    dealt = (
+        placed.join(apart.select("block", "size"), "block")
+        .withColumn("own", own)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+        .join(sketches.select("id", F.col("n_shingles").alias("n"), "sketch"), "id")
+        .select("block", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "id", "label", "n", "sketch")
+    )
+    keys = ["block", "low", "high"]
+    met = dealt.repartition(*keys).sortWithinPartitions(*keys, "id")
+    return met.mapInArrow(_across(num, den, everything), "a bigint, b bigint").distinct()
+
+
 def _verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Those of the candidate pairs ``(a, b)`` that link."""
     s = sketches.select("id", "n_shingles", "sketch")
@@ -145,7 +209,8 @@ def _verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, k: int, n
     near = pairs.where(f"least(na, nb) * {den} >= greatest(na, nb) * {num}").select("a", "b", "na", "sa", "nb", "sb")
     near = stash(near.mapInArrow(_near(num, den), "a bigint, b bigint").distinct())
     ends = near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct()
-    members = stash(texts.join(ends, "id", "left_semi").select("id", "text").mapInArrow(_sets(k), "id bigint, members array<bigint>"))
+    ends = stash(ends)
+    members = stash(sieve(texts, ends, "id").join(ends, "id", "left_semi").select("id", "text").mapInArrow(_sets(k), "id bigint, members array<bigint>"))
     for end in "ba":
         near = near.join(members.select(F.col("id").alias(end), F.col("members").alias(f"m{end}")), end)
     both = F.size(F.array_intersect("ma", "mb")).cast("bigint")
@@ -177,24 +242,20 @@ def jaccard_components(
     ).where("a < b")
     chosen = full.join(classes.select("n_shingles", "fp1", "fp2", F.col("rep").alias("id")), ["n_shingles", "fp1", "fp2", "id"], "left_semi")
 
+    facts = stash(chosen.select("id", "n_shingles", "sketch").distinct())
     rows = chosen.select("id", F.explode("blocks").alias("block"))
     heads = rows.groupBy("block").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head < last")
-    shared = stash(rows.join(heads.select("block", "head"), "block"))
+    shared = stash(rows.join(heads.select("block", "head"), "block").distinct())
     star = shared.where("head < id").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
-    links = stash(_verified(star, chosen, texts, k, num, den).union(copies))
+    links = stash(_verified(star, facts, texts, k, num, den).union(copies))
     found = components(links)
 
-    placed = shared.join(found, "id", "left").withColumn("label", F.coalesce("component_id", "id"))
-    apart = placed.groupBy("block").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y")
-    open_ = stash(placed.join(apart.select("block"), "block").select("block", "id", "label", "head"))
-    left, right = open_.alias("l"), open_.alias("r")
-    crossing = (
-        left.join(right, F.expr("l.block = r.block and l.id < r.id and l.label <> r.label and l.id <> l.head"))
-        .select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
-        .distinct()
-    )
-    more = stash(_verified(crossing, chosen, texts, k, num, den))
-    nodes = components(links.union(more))
-    return sketches.select("id", "n_shingles").join(nodes, "id", "left").select(
+    for everything in (False, True):
+        candidates = stash(_crossing(shared, found, facts, num, den, everything))
+        if candidates.isEmpty():
+            break
+        links = stash(links.union(_verified(candidates, facts, texts, k, num, den)))
+        found = components(links)
+    return sketches.select("id", "n_shingles").join(found, "id", "left").select(
         "id", "n_shingles", F.coalesce("component_id", "id").alias("component_id")
     )

@@ -28,6 +28,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cliplake.llm.groups import starts, whole_groups
 from cliplake.llm.tables import sieve, stash
 from cliplake.llm.text import U, Texts, mix, runs, slices, words
 
@@ -246,7 +247,7 @@ class _Rows:
     def __init__(self, batch: pa.RecordBatch):
         col = lambda name: batch.column(name).to_numpy(zero_copy_only=False)
         self.batch = batch
-        self.token, self.low, self.high = col("token"), col("low"), col("high")
+        self.low, self.high = col("low"), col("high")
         self.n, self.at, self.own, self.ask = col("n").astype(np.int64), col("at").astype(np.int64), col("own"), col("ask")
         self.bits = col("bits").view(U)
         key = batch.column("key")
@@ -304,10 +305,9 @@ def _candidates(num: int, den: int, everything: bool):
     """(a, b, more): pairs of keys, ``a`` earlier; ``more`` if ``b`` may have other candidates."""
 
     def pairs(rows: _Rows) -> Iterator[pa.RecordBatch]:
-        n = len(rows.token)
-        same = (rows.token[1:] == rows.token[:-1]) & (rows.low[1:] == rows.low[:-1]) & (rows.high[1:] == rows.high[:-1])
-        begin = np.flatnonzero(np.concatenate(([True], ~same)))
-        size = np.diff(np.append(begin, n))
+        n = rows.batch.num_rows
+        edges = starts(rows.batch, ("token", "low", "high"))
+        begin, size = edges[:-1], np.diff(edges)
         start = np.repeat(begin, size)
         small = np.repeat(size <= SMALL, size)
         later = np.flatnonzero(small & (np.arange(n) > start))
@@ -331,23 +331,8 @@ def _candidates(num: int, den: int, everything: bool):
         yield pa.RecordBatch.from_arrays([key.take(pa.array(a)), key.take(pa.array(b)), pa.array(more)], ["a", "b", "more"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            token, low, high = (batch.column(c).to_numpy() for c in ("token", "low", "high"))
-            cut = np.flatnonzero((token != token[-1]) | (low != low[-1]) | (high != high[-1]))
-            if not len(cut) and not kept:
-                kept = [batch]
-                continue
-            if not len(cut) and tuple(kept[-1].column(c)[-1].as_py() for c in ("token", "low", "high")) == (token[0], low[0], high[0]):
-                kept.append(batch)  # the group goes on
-                continue
-            end = int(cut[-1]) + 1 if len(cut) else 0
-            yield from pairs(_Rows(pa.Table.from_batches([*kept, batch.slice(0, end)]).combine_chunks().to_batches()[0]))
-            kept = [batch.slice(end)]
-        if kept:
-            yield from pairs(_Rows(pa.Table.from_batches(kept).combine_chunks().to_batches()[0]))
+        for batch in whole_groups(batches, ("token", "low", "high")):
+            yield from pairs(_Rows(batch))
 
     return run
 
