@@ -32,10 +32,12 @@ from cliplake.llm.tables import stash
 
 BLOCK = 8  # dimensions of a block, about
 CELL = 6_400  # vectors in a cell of evenly spread data, about
-CHUNK = 2_048  # homes that a task holds
+CHUNK = 8_192  # homes that a task holds, about
+PART = 2_048  # vectors unpacked together
 HEAVY = 100_000  # most cells that are cut into chunks; a cell must be above its share for that
 PAIRS = 1 << 16  # candidates tested together
 SLACK = 1e-9
+ROOM = 1e-5  # error of single precision on squared distances of unit vectors
 
 
 class Space:
@@ -117,8 +119,8 @@ def _by_dim(batch: pa.RecordBatch, kind: str) -> Iterator[tuple[int, np.ndarray,
     dims = batch.column("dim").to_numpy()
     for dim in np.unique(dims):
         rows = np.flatnonzero(dims == dim)
-        for at in range(0, len(rows), CHUNK):
-            part = rows[at : at + CHUNK]
+        for at in range(0, len(rows), PART):
+            part = rows[at : at + PART]
             raw = np.frombuffer(b"".join(batch.column("raw").take(pa.array(part)).to_pylist()), kind).reshape(len(part), dim)
             yield int(dim), part, raw, unit(raw)
 
@@ -201,8 +203,8 @@ def _test(kind: str, bits: int, cosine: float):
             keys = np.stack([batch.column(n).to_numpy().astype(np.int64) for n in [*names, "side"]], 1)
             cuts = np.append(np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(1))), len(keys))
             for a, b in zip(cuts[:-1], cuts[1:]):
-                for at in range(a, b, CHUNK):
-                    part = batch.slice(at, min(CHUNK, b - at))
+                for at in range(a, b, PART):
+                    part = batch.slice(at, min(PART, b - at))
                     key = tuple(keys[a][:4].tolist())
                     dim, block = key[:2]
                     s = space(dim, bits, cosine)
@@ -231,13 +233,18 @@ def _compare(s: Space, block: int, cosine: float, probes: tuple, homes: tuple) -
     home_ids, weights, v, z = homes
     dims = s.blocks[block]
     p, h = y[:, dims], z[:, dims]
-    step = max(1, (1 << 20) // len(h))
+    # |p|^2 + |h|^2 - 2 p.h as one product, in single precision with room for its error
+    one = np.ones((len(p), 1)), np.ones((len(h), 1))
+    p32 = np.hstack((-2 * p, (p * p).sum(1, keepdims=True), one[0])).astype(np.float32)
+    h32 = np.hstack((h, one[1], (h * h).sum(1, keepdims=True))).astype(np.float32).T
+    limit = np.float32(s.budgets[block] + ROOM)
+    step = max(1, (1 << 18) // len(h))
     left, right = [], []
     for at in range(0, len(p), step):
-        q = p[at : at + step]
-        near = (q * q).sum(1)[:, None] + (h * h).sum(1)[None, :] - 2 * (q @ h.T) <= s.budgets[block] + SLACK
-        i, j = np.nonzero(near)
-        i += at
+        found = np.flatnonzero(p32[at : at + step] @ h32 <= limit)
+        if not len(found):
+            continue
+        i, j = found // len(h) + at, found % len(h)
         other = ids[i] != home_ids[j]
         i, j = i[other], j[other]
         for c in range(0, len(i), PAIRS):
