@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cliplake.functions import predicates as P
@@ -473,17 +474,31 @@ def f1p(spark, sf):
     )
 
 
-@query("F1_clip_sort", "SELECT id, batch, idx, coalesce(device, '') AS device_key FROM camfiles")
+_SORTS = {
+    "by_time": "creation_time, idx", "by_name": "lower(name), idx", "by_size": "size_bytes, idx",
+    "by_device": "coalesce(device, ''), creation_time, idx", "by_device_back": "coalesce(device, '') DESC, creation_time DESC, idx",
+}
+
+
+@query(
+    "F1_clip_sort",
+    f"SELECT id, batch, idx, {', '.join(f'row_number() OVER (PARTITION BY batch ORDER BY {o}) AS {n}' for n, o in _SORTS.items())} FROM camfiles",
+)
 def f1(spark, sf):
-    files = V.camfiles(spark, sf)
-    return files.orderBy(*C.clip_sort("device", reverse=True)).select(
-        "id", "batch", "idx", F.coalesce("device", F.lit("")).alias("device_key")
-    )
+    """The position of every file in its batch under each order."""
+    orders = {n: C.clip_sort(n.split("_")[1], reverse=n.endswith("back")) for n in _SORTS}
+    places = {n: F.row_number().over(Window.partitionBy("batch").orderBy(*o)) for n, o in orders.items()}
+    return V.camfiles(spark, sf).withColumns(places).select("id", "batch", "idx", *_SORTS)
 
 
-@query("F2_grouped_order", catalogue_sql())
+@query(
+    "F2_grouped_order",
+    """SELECT id, device_model, row_number() OVER (PARTITION BY coalesce(device_model, '') ORDER BY device_model NULLS FIRST, creation_time DESC, id DESC) AS position FROM videos""",
+)
 def f2(spark, sf):
-    return C.catalogue(V.videos(spark, sf), V.jobs(spark, sf), grouped=True)
+    """The position of every video below its device in the grouped catalogue order."""
+    group = Window.partitionBy(F.coalesce("device_model", F.lit(""))).orderBy(*C.grouped_order())
+    return V.videos(spark, sf).select("id", "device_model", F.row_number().over(group).alias("position"))
 
 
 @query("F3_newest_merges", "SELECT id, output_path FROM merges ORDER BY created_at DESC, id DESC LIMIT 10")

@@ -8,6 +8,7 @@ from cliplake.functions.labels import clock_label, file_stem
 from cliplake.operators import catalog as C
 from cliplake.operators import sequences as E
 from cliplake.operators.ordered import top_rows
+from cliplake.session import cut_lineage
 from cliplake.plans import views as V
 from cliplake.plans.registry import query
 
@@ -52,7 +53,8 @@ def _cam(spark, sf):
 
 
 def _grouped(spark, sf):
-    return E.sessions(_cam(spark, sf)).select("id", "batch", "idx", "name", "group_id", "member")
+    # the sessions are stored before other jobs read them, as a user would
+    return cut_lineage(E.sessions(_cam(spark, sf)).select("id", "batch", "idx", "name", "group_id", "member"))
 
 
 @query(

@@ -64,9 +64,19 @@ def a1(spark, sf):
     return T.violations(_tables(spark, sf))
 
 
-@query("A2_file_inventory")
+@query(
+    "A2_file_inventory",
+    """WITH f AS (SELECT CASE WHEN id % 4 = 0 THEN replace(original_path, '.mp4', '.MOV') WHEN id % 4 = 1 THEN replace(original_path, '.mp4', '.txt') ELSE original_path END AS path, creation_text AS creation_time, size_bytes FROM videos)
+    SELECT path, min(creation_time) AS creation_time, max(size_bytes) AS size_bytes FROM f WHERE path NOT LIKE '%.txt' GROUP BY 1""",
+)
 def a2(spark, sf):
-    return INV.scan_files(spark, [sf], extensions=[".PARQUET"])
+    # the paths of the videos as a listing, some with other suffixes, each met twice
+    listing = V.videos(spark, sf).selectExpr(
+        "CASE id % 4 WHEN 0 THEN replace(original_path, '.mp4', '.MOV') WHEN 1 THEN replace(original_path, '.mp4', '.txt') ELSE original_path END AS path",
+        "creation_text AS creation_time",
+        "size_bytes",
+    )
+    return INV.wanted_files(listing.unionByName(listing), extensions=[".mp4", ".mov"])
 
 
 _ROOT_SQL = """SELECT id, size_bytes, CASE id % 5 WHEN 0 THEN '/Volumes/card' || (id % 7) || original_path WHEN 1 THEN '/mnt/nas' || (id % 3) || original_path WHEN 2 THEN '/mnt' WHEN 3 THEN '/mntx/a.mp4' ELSE original_path END AS path FROM videos"""
@@ -90,12 +100,10 @@ def a3(spark, sf):
     "A4_snapshot_manifest",
     """SELECT * FROM (VALUES (0, 'projects', 1), (1, 'videos', 1), (2, 'transcoding_jobs', 1), (3, 'merge_jobs', 1), (4, 'split_jobs', 1), (5, 'archive_history', 1), (6, 'backup_history', 1), (7, 'project_merge_jobs', 1)) AS t(position, tbl, format_version)
     JOIN (SELECT 0 AS position, count(*) AS row_count FROM projects UNION ALL SELECT 1, count(*) FROM videos UNION ALL SELECT 2, count(*) FROM jobs UNION ALL SELECT 3, count(*) FROM merges
-      UNION ALL SELECT 4, count(*) FROM splits UNION ALL SELECT 5, count(*) FROM archive_history UNION ALL SELECT 6, count(*) FROM backup_history UNION ALL SELECT 7, 0) USING (position)""",
+      UNION ALL SELECT 4, count(*) FROM splits UNION ALL SELECT 5, count(*) FROM archive_history UNION ALL SELECT 6, count(*) FROM backup_history UNION ALL SELECT 7, count(*) FROM links) USING (position)""",
 )
 def a4(spark, sf):
-    tables = _tables(spark, sf)
-    del tables["project_merge_jobs"]
-    return SNAP.manifest(tables)
+    return SNAP.manifest(_tables(spark, sf))
 
 
 @query(
@@ -144,18 +152,13 @@ def a6c(spark, sf):
 
 @query(
     "A7_project_list",
-    """SELECT p.id, CAST(json_object('id', p.id, 'name', p.name, 'description', p.description, 'merge_job_count', count(l.merge_job_id), 'total_duration_seconds', 0.5::DOUBLE,
+    """SELECT p.id, CAST(json_object('id', p.id, 'name', p.name, 'description', p.description, 'merge_job_count', count(l.merge_job_id), 'total_duration_seconds', coalesce(sum(floor(m.total_duration_seconds)), 0)::DOUBLE,
       'uploaded_count', count(m.youtube_id)) AS VARCHAR) AS item FROM projects p LEFT JOIN links l ON l.project_id = p.id LEFT JOIN merges m ON m.id = l.merge_job_id GROUP BY p.id, p.name, p.description""",
 )
 def a7(spark, sf):
-    # half a second in total per project keeps the text free of float rounding
-    merges = V.merges(spark, sf)
-    links = V.links(spark, sf)
-    firsts = links.groupBy("project_id").agg(F.min("merge_job_id").alias("id"))
-    half = merges.join(firsts.select("id", F.lit(0.5).alias("half")), "id", "left").withColumn(
-        "total_duration_seconds", F.coalesce("half", F.lit(0.0))
-    )
-    return R.project_list_json(V.projects(spark, sf), links, half)
+    # whole seconds, so that the sums do not depend on the order of rows
+    merges = V.merges(spark, sf).withColumn("total_duration_seconds", F.floor("total_duration_seconds").cast("double"))
+    return R.project_list_json(V.projects(spark, sf), V.links(spark, sf), merges)
 
 
 @query(

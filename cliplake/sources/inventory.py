@@ -33,8 +33,14 @@ def scan_files(
             F.col("length").alias("size_bytes"),
         )
     )
+    return wanted_files(listed, extensions)
+
+
+def wanted_files(listing: DataFrame, extensions: Sequence[str] = VIDEO_EXTENSIONS) -> DataFrame:
+    """Rows of a listing (path, creation_time, size_bytes) with one of the suffixes, every
+    path once, oldest first."""
     wanted = F.lower(file_suffix(F.col("path"))).isin(*[e.lower() for e in extensions])
-    return listed.filter(wanted).dropDuplicates(["path"]).orderBy("creation_time", "path")
+    return listing.filter(wanted).dropDuplicates(["path"]).orderBy("creation_time", "path")
 
 
 def storage_root(path: Column) -> Column:

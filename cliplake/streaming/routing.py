@@ -65,10 +65,10 @@ def outbox_writer(
             try:
                 deliver(stored.filter(F.col("channel") == channel), batch_id)
             except Exception as exc:  # noqa: BLE001 - one channel must not stop the others
-                failures.append((channel, str(exc)[:500]))
-        if failures:
-            spark.createDataFrame(failures, "channel string, error string").write.mode("overwrite").parquet(
-                f"{folder}/failures/batch={batch_id}"
-            )
+                failures.append((channel, str(exc)))
+        # also without failures, so that a retry that succeeds leaves none behind
+        spark.createDataFrame(failures, "channel string, error string").write.mode("overwrite").parquet(
+            f"{folder}/failures/batch={batch_id}"
+        )
 
     return write

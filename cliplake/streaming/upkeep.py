@@ -26,7 +26,9 @@ def _changes(spark: SparkSession, folder: str, ddl: str, before: int | None = No
     schema = T._parse_datatype_string(f"{ddl}, batch bigint")
     try:
         rows = spark.read.schema(schema).option("basePath", folder).parquet(folder)
-    except AnalysisException:  # nothing written yet
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":  # only that means that nothing is written yet
+            raise
         return spark.createDataFrame([], schema)
     return rows if before is None else rows.filter(F.col("batch") < before)
 
