@@ -1,0 +1,23 @@
+from __future__ import annotations
+
+import pytest
+
+from cliplake.llm.queries import ship
+
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+@pytest.fixture(scope="session", autouse=True)
+def shipped(spark):
+    ship(spark)
+
+
+@pytest.fixture
+def documents(spark):
+    """Make documents from (id, text) or (id, text, source); other columns follow."""
+
+    def make(rows, **extra):
+        full = [(r[0], r[1], "en", r[2] if len(r) > 2 else "s", None if r[1] is None else len(r[1])) for r in rows]
+        return spark.createDataFrame(full, DOCS)
+
+    return make
