@@ -171,7 +171,7 @@ def mixed_documents(docs: DataFrame, max_copies: int = 3) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it, with the same columns."""
     plan = (
         mix_sources(docs, max_copies)
-        .select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("size").alias("__z"), "copies")
+        .select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("size").alias("__z"), F.col("copies").alias("__copies"))
         .distinct()
     )
     return (
@@ -179,7 +179,7 @@ def mixed_documents(docs: DataFrame, max_copies: int = 3) -> DataFrame:
             plan,
             F.col("doc_id").eqNullSafe(F.col("__d")) & F.col("source").eqNullSafe(F.col("__s")) & (word_count(F.col("text")) == F.col("__z")),
         )
-        .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-        .where("copies > 0")
+        .where("__copies > 0")
+        .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
         .select(*docs.columns)
     )
