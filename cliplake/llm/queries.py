@@ -223,7 +223,41 @@ def warc_revisits(spark, sf_dir):
     )
 
 
-@query("op7_quality_rules")
+def _window_sql(n: int) -> str:
+    """Words of each text inside windows of ``n`` words that it has twice or more."""
+    ahead = ", ".join(["x", *[f"lead(x, {k}) OVER o" for k in range(1, n)]])
+    return f"""g{n} AS (SELECT doc_id, i, concat_ws(' ', {ahead}) AS s, m FROM t WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+    r{n} AS (SELECT doc_id, i FROM g{n} WHERE i + {n - 1} <= m QUALIFY count(*) OVER (PARTITION BY doc_id, s) > 1),
+    p{n} AS (SELECT DISTINCT doc_id, unnest(range(i, i + {n})) AS i FROM r{n}),
+    c{n} AS (SELECT doc_id, count(*) AS words, sum(length(x)) AS chars FROM p{n} JOIN t USING (doc_id, i) GROUP BY doc_id)"""
+
+
+_LIMITS = repetition.GRAM_LIMITS
+
+
+@query(
+    "op7_quality_rules",
+    f"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+    t AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i, len(w) AS m FROM d),
+    {", ".join(_window_sql(n) for n in _LIMITS)},
+    l AS (
+        SELECT doc_id, line, count(*) AS n, any_value(length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g'))) AS chars
+        FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id, line
+    ), ll AS (SELECT doc_id, sum(n) AS lines, sum(n - 1) AS again, sum((n - 1) * chars) AS again_chars FROM l GROUP BY doc_id),
+    b AS (
+        SELECT d.doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+            length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(again, 0)::BIGINT AS n_dup_lines,
+            coalesce(c5.words, 0) AS n_repeat_words, len(w) < 10 OR 100 * coalesce(c5.words, 0) > 20 * len(w) AS base_failed,
+            coalesce(lines, 0) AS lines, coalesce(again_chars, 0) AS again_chars, {", ".join(f"coalesce(c{n}.chars, 0) AS g{n}" for n in _LIMITS)}
+        FROM d LEFT JOIN ll USING (doc_id) {" ".join(f"LEFT JOIN c{n} USING (doc_id)" for n in _LIMITS)}
+    )
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+        NOT (base_failed OR n_dup_lines > {repetition.LINE_LIMIT}::DOUBLE * lines OR again_chars > {repetition.LINE_CHARS_LIMIT}::DOUBLE * word_chars
+            OR {" OR ".join(f"g{n} > {limit}::DOUBLE * word_chars" for n, limit in _LIMITS.items())}) AS kept
+    FROM b
+    """,
+)
 def quality_rules(spark, sf_dir):
     """Repetition measures and verdicts of all documents."""
     return repetition.repetition(table(spark, sf_dir, "documents")).select(
