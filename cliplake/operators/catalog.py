@@ -141,13 +141,16 @@ def merge_members(merges: DataFrame, videos: DataFrame) -> DataFrame:
     )
 
 
-def clip_sort(key: str = "time", reverse: bool = False) -> list[Column]:
-    """Stable clip order: ties keep the input order, also when reversed."""
+def clip_sort(key: str = "time", reverse: bool = False, device: str = "device") -> list[Column]:
+    """Stable clip order: ties keep the input order, also when reversed.
+
+    ``device`` names the column that holds the device.
+    """
     keys = {
         "time": [F.col("creation_time")],
         "name": [F.lower("name")],
         "size": [F.col("size_bytes")],
-        "device": [F.coalesce("device", F.lit("")), F.col("creation_time")],
+        "device": [F.coalesce(device, F.lit("")), F.col("creation_time")],
     }
     parts = keys.get(key, keys["time"])
     return [*[p.desc() if reverse else p.asc() for p in parts], F.asc("idx")]

@@ -395,6 +395,28 @@ def link_merges(
     )
 
 
+def update_projects(projects: DataFrame, changes: DataFrame, now: Column) -> DataFrame:
+    """Set descriptions and playlists (id, description, playlist_id[, order_no]).
+
+    A null leaves the stored value. Several changes of one project are one: of each field
+    the last value that is set. A project that is changed gets a new date.
+    """
+    number = F.col("order_no") if "order_no" in changes.columns else F.lit(0)
+    fields = ("description", "playlist_id")
+    # values break ties, so that the result does not depend on the order of rows
+    last = changes.groupBy("id").agg(
+        *[F.max_by(f, F.when(F.col(f).isNotNull(), F.struct(number.alias("n"), F.col(f).alias("v")))).alias(f"__{f}") for f in fields]
+    )
+    hit = F.coalesce(*[F.col(f"__{f}") for f in fields]).isNotNull()
+    kind = projects.schema["updated_at"].dataType
+    return (
+        projects.join(last, "id", "left")
+        .withColumn("updated_at", F.when(hit, now.cast(kind)).otherwise(F.col("updated_at")))
+        .withColumns({f: F.coalesce(f"__{f}", f) for f in fields})
+        .select(*projects.columns)
+    )
+
+
 def get_or_create_projects(projects: DataFrame, names: DataFrame) -> DataFrame:
     wanted = names.select("name").distinct()
     known = wanted.join(projects.select("name", "id"), "name")

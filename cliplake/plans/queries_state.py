@@ -511,6 +511,23 @@ def k12u(spark, sf):
     return _linked(spark, sf, True)
 
 
+@query(
+    "K12_update_projects",
+    """WITH c AS (SELECT o_custkey AS id, max_by(o_orderpriority, o_orderkey) FILTER (o_orderkey % 3 = 0) AS d, max_by('PL' || o_orderkey, o_orderkey) FILTER (o_orderkey % 5 = 0) AS l FROM orders GROUP BY 1)
+    SELECT p.id, coalesce(d, description) AS description, l AS playlist_id, d IS NOT NULL OR l IS NOT NULL AS changed FROM projects p LEFT JOIN c USING (id)""",
+)
+def k12p(spark, sf):
+    changes = V.load(spark, sf, "orders").selectExpr(
+        "o_custkey AS id",
+        "o_orderkey AS order_no",
+        "CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority END AS description",
+        "CASE WHEN o_orderkey % 5 = 0 THEN concat('PL', o_orderkey) END AS playlist_id",
+    )
+    projects = V.projects(spark, sf).withColumn("playlist_id", F.lit(None).cast("string"))
+    out = K.update_projects(projects, changes, F.expr("timestamp_ntz'2030-01-01 00:00:00'"))
+    return out.select("id", "description", "playlist_id", (F.year("updated_at") == 2030).alias("changed"))
+
+
 @query(
     "K12_get_or_create_project",
     """WITH w AS (SELECT DISTINCT CASE WHEN s_suppkey % 2 = 0 THEN 'Customer#' || lpad(CAST(s_suppkey AS VARCHAR), 9, '0') ELSE s_name END AS name FROM supplier), x AS (SELECT w.name, p.id FROM w LEFT JOIN projects p USING (name)),
