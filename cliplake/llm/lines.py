@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -302,7 +303,8 @@ def _large_group(rows: _Rows, first: int, end: int, everything: bool, num: int,
 
 
 def _candidates(num: int, den: int, everything: bool):
-    """(a, b, more): pairs of keys, ``a`` earlier; ``more`` if ``b`` may have other candidates."""
+    """(a, b, word): pairs of keys, ``a`` earlier; the group's word if ``b`` may have other
+    candidates there, else null."""
 
     def pairs(rows: _Rows) -> Iterator[pa.RecordBatch]:
         n = rows.batch.num_rows
@@ -328,7 +330,10 @@ def _candidates(num: int, den: int, everything: bool):
             a, b = a[first], b[first]
             more = (count > 1) | ~small[b]
         key = rows.batch.column("key")
-        yield pa.RecordBatch.from_arrays([key.take(pa.array(a)), key.take(pa.array(b)), pa.array(more)], ["a", "b", "more"])
+        token = rows.batch.column("token").take(pa.array(b))
+        yield pa.RecordBatch.from_arrays(
+            [key.take(pa.array(a)), key.take(pa.array(b)), pc.if_else(pa.array(more), token, None)], ["a", "b", "word"]
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in whole_groups(batches, ("token", "low", "high")):
@@ -408,16 +413,18 @@ def repeated_lines(docs: DataFrame, num: int = 4, den: int = 5, id_col: str = "d
         group = ["token", "low", "high"]
         dealt = lines.select(*("key", "n", "fp1", "bits", "prefix", "at")).mapInArrow(_dealt(counts, asked, words_asked), _DEALT)
         met = dealt.repartition(*group).sortWithinPartitions(*group, "key")
-        found = met.mapInArrow(_candidates(num, den, asked is not None), f"a {_KEY}, b {_KEY}, more boolean")
-        return stash(found.groupBy("a", "b").agg(F.max("more").alias("more")))
+        found = met.mapInArrow(_candidates(num, den, asked is not None), f"a {_KEY}, b {_KEY}, word bigint")
+        # a line has few prefix words, so the list is short
+        return stash(found.groupBy("a", "b").agg(F.collect_set("word").alias("words")))
 
     tried = candidates()
     gone = stash(_verified(tried.select("a", "b"), texts, num, den).select(F.col("b").alias("key")).distinct())
     removed = copies.union(gone)
-    open_ = tried.where("more").select(F.col("b").alias("key")).distinct().join(gone, "key", "left_anti")
-    open_ = stash(open_.join(nodes, "key").select("key", "fp1"))
+    open_ = tried.where("size(words) > 0").select(F.col("b").alias("key"), "words").join(gone, "key", "left_anti")
+    open_ = stash(open_.join(nodes, "key").select("key", "fp1", "words"))
     if not open_.isEmpty():
-        prefixes = lines.join(open_.select("key"), "key", "left_semi").select(F.explode("prefix").alias("token"))
+        # only in the groups of these words candidates are left
+        prefixes = open_.select(F.explode("words").alias("token"))
         rest = candidates(bitmap_of(open_.select("fp1")), bitmap_of(prefixes)).join(tried.select("a", "b"), ["a", "b"], "left_anti")
         removed = removed.union(_verified(rest.select("a", "b"), texts, num, den).select(F.col("b").alias("key")))
     removed = removed.distinct()
