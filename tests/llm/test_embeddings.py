@@ -3,6 +3,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
+from llm_fixtures import documents, shipped  # noqa: F401
 from cliplake.llm import embeddings as E
 
 

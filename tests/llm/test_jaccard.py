@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from llm_fixtures import documents, shipped  # noqa: F401
 from cliplake.llm import jaccard as J
 from cliplake.llm.components import components
 from cliplake.llm.text import shingle_sets, slices

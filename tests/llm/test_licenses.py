@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 
+from llm_fixtures import documents, shipped  # noqa: F401
 from cliplake.llm import licenses as C
 
 

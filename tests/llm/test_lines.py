@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 import re
 
+from llm_fixtures import documents, shipped  # noqa: F401
 from cliplake.llm import lines as L
 
 LOWER = {i: i + 32 for i in range(65, 91)}

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from llm_fixtures import documents, shipped  # noqa: F401
 from cliplake.llm import mixing as M
 
 

@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from llm_fixtures import documents, shipped  # noqa: F401
 from cliplake.llm import pieces as P
 from cliplake.llm.queries import tokenizer
 

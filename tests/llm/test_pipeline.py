@@ -3,6 +3,7 @@ from __future__ import annotations
 import duckdb
 import pytest
 
+from llm_fixtures import documents, shipped  # noqa: F401
 import corpus_pipeline
 from __spark_entry__ import queries
 from cliplake.llm import jaccard, lines, mixing, toxicity

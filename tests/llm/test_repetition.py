@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+from llm_fixtures import documents, shipped  # noqa: F401
 from cliplake.llm import repetition as R
 
 

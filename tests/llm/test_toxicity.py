@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from llm_fixtures import documents, shipped  # noqa: F401
 from cliplake.llm import toxicity as X
 from cliplake.llm.tables import table
 from cliplake.llm.text import slices

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+from llm_fixtures import documents, shipped  # noqa: F401
 from cliplake.llm import urls as U
 
 

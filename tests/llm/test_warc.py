@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+from llm_fixtures import documents, shipped  # noqa: F401
 from cliplake.llm import warc as W
 
 SCHEMA = "record_id bigint, url string, at bigint, kind string, headers map<string,string>, status string, canonical int"
