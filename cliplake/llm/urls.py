@@ -1,12 +1,14 @@
 """URL filters by rules and a path-template tree (DataFrame functions only).
 
 Per host the path segments form a tree. From the root down a segment becomes a wildcard
-where its position varies: segments with digits are grouped by their shape (``12.html``
-and ``7.html`` by ``#.html``), plain ones by position; a group with at least ``variety``
-different values, most of them rare, is one wildcard branch. Branches below the same
-parent whose labelled purity does not differ significantly from that of all siblings are
-merged. A branch is rejected if its share of good labels, smoothed towards its host and
-the host towards all pages, is below ``purity``.
+where its position varies: segments with digits always by their shape (``12.html`` and
+``7.html`` are ``#.html``), plain ones if at least ``variety`` different ones stand at a
+position, of which none has more than ``2 / variety`` of the different paths there (those
+that have more stay literal). Neither repeated rows nor more pages of the same kind turn a
+wildcard back into literals. Branches below the same parent whose labelled purity does not
+differ significantly from that of all siblings are merged; a labelled page counts once per
+path template, however often its row is repeated. A branch is rejected if its share of good
+labels, smoothed towards its host and the host towards all pages, is below ``purity``.
 """
 
 from __future__ import annotations
@@ -50,7 +52,7 @@ def matching_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]] =
 
 
 def templates(pages: DataFrame, variety: int = 10) -> DataFrame:
-    """Replace ``segments`` by ``parent`` and ``template`` for rows with ``host``."""
+    """Replace ``segments`` by ``parent`` and ``template`` for rows with ``host`` and ``path``."""
     depth = min(pages.agg(F.max(F.size("segments"))).first()[0] or 0, MAX_DEPTH)
     rows = pages.withColumn("parent", F.lit("")).withColumn("template", F.lit(""))
     for at in range(depth):
@@ -61,20 +63,28 @@ def templates(pages: DataFrame, variety: int = 10) -> DataFrame:
             "shape", F.when(F.col("segment").rlike("[0-9]"), F.regexp_replace("segment", "[0-9]+", "#")).otherwise("")
         )
         rows = stash(rows)
-        keys = ["host", "template", "shape"]
-        groups = (
-            rows.where("segment is not null and segment <> ''")
+        keys = ["host", "template"]
+        plain = (
+            rows.where("shape = '' and segment <> ''")
+            .groupBy(*keys, "segment", "path").agg(F.lit(1).alias("one"))
             .groupBy(*keys, "segment").agg(F.count("*").alias("n"))
-            .groupBy(*keys).agg(F.count("*").alias("different"), F.sum("n").alias("all"))
-            .where(f"different >= {variety} and different * 2 >= all")
-            .select(*keys, F.lit(True).alias("varies"))
         )
-        label = F.when(F.col("varies"), F.when(F.col("shape") == "", "*").otherwise(F.col("shape"))).otherwise(
+        plain = stash(plain)
+        paths = plain.groupBy(*keys).agg(F.sum("n").alias("paths"))
+        # few per position: a value with more than its share of the paths stays literal
+        rare = plain.join(paths, keys).where(f"n * {variety} <= 2 * paths")
+        varied = rare.groupBy(*keys).agg(F.count("*").alias("different")).where(f"different >= {variety}")
+        frequent = plain.join(paths, keys).where(f"n * {variety} > 2 * paths")
+        listed = frequent.groupBy(*keys).agg(F.collect_list("segment").alias("literal"))  # less than variety / 2
+        groups = varied.join(listed, keys, "left").select(*keys, F.lit(True).alias("varied"), "literal")
+        kept = F.coalesce(F.array_contains("literal", F.col("segment")), F.lit(False))
+        varies = F.coalesce(F.col("varied"), F.lit(False)) & (F.col("segment") != "") & ~kept
+        label = F.when(F.col("shape") != "", F.col("shape")).when(varies, "*").otherwise(
             # a literal that looks like a wildcard stays apart from it
             F.regexp_replace("segment", r"([*#~\\])", r"\\$1")
         )
         rows = rows.join(groups, keys, "left").select(
-            *[c for c in rows.columns if c not in ("parent", "template", "segment", "shape")],
+            *[c for c in rows.columns if c not in ("parent", "template", "segment", "shape", "varied", "literal")],
             F.when(F.col("segment").isNull(), F.col("parent")).otherwise(F.col("template")).alias("parent"),
             F.when(F.col("segment").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), label)).alias("template"),
         )
@@ -122,8 +132,8 @@ def judge_urls(
     ``labels`` has ``doc_id`` (the page) and ``quality`` (1 good, 0 bad); several labels of
     a page count as their minimum, null ones not at all. Null, empty and malformed urls
     have empty host and path and form a branch of their own. A null page id has no label.
-    Repeated rows all count and get equal verdicts; templates are learnt from all pages,
-    also those that a rule decides. Without any label nothing is rejected by the tree.
+    Repeated rows all stay and get equal verdicts, as evidence they count once; templates are
+    learnt from all pages, also those that a rule decides. Without any label nothing is rejected by the tree.
     """
     url = F.col("url")
     parsed = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"))
@@ -133,7 +143,9 @@ def judge_urls(
     marks = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("good"))
     rows = templates(split, variety).join(marks.withColumnRenamed("doc_id", "page_id"), "page_id", "left")
     rows = stash(rows.select("page_id", "host", "path", "parent", "template", "good"))
-    judged = judged_templates(rows, strength, purity)
+    # a page is evidence once per template; unlabelled rows only name their templates
+    labelled = F.when(F.col("good").isNotNull(), F.col("page_id")).alias("page")
+    judged = judged_templates(rows.select(labelled, "host", "parent", "template", "good").distinct(), strength, purity)
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
     return (
         rows.join(judged, ["host", "template"], "left")

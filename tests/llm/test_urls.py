@@ -57,3 +57,27 @@ def test_similar_branches_are_merged(spark):
     df = spark.createDataFrame(rows, "host string, parent string, template string, good int")
     got = {r.template: (r.branch, r.rejected) for r in U.judged_templates(df).collect()}
     assert got["/p/bad"] == ("/p/bad", True) and got["/p/new"] == ("/p/~", False)
+
+
+def test_more_pages_or_repeated_rows_keep_templates_and_verdicts(spark):
+    # numbers repeat 11 times: '#' good, '#.html' bad; 30 users with many posts each, few sections
+    few = [(i, f"http://h.org/en/{i}{'.html' if i % 2 else ''}") for i in range(2_000)]
+    few += [(10_000 + i, f"http://h.org/{w}{x}/2024-01-{i:02d}/p") for i, (w, x) in enumerate((a, b) for a in "abcdef" for b in "vwxyz")]
+    labels = [(i, int(i % 2 == 0)) for i in range(0, 2_000, 7)]
+    once = verdicts(spark, few, labels)
+    by = {r[0]: r for r in once}
+    assert by[0][5] == "/en/#" and by[0][4] == "allow" and by[1][5] == "/en/#.html" and by[1][4] == "block"
+    assert by[10_003][5] == "/*/#-#-#/p"
+    assert verdicts(spark, few * 10, labels) == sorted(once * 10, key=repr)
+    more = few + [(20_000 + i, f"http://h.org/en/{i % 9_000}{'.html' if i % 2 else ''}") for i in range(100_000)]
+    more += [(200_000 + i, f"http://h.org/{a}{b}/2023-{i:03d}-01/p") for i in range(40) for a in "abcdef" for b in "vwxyz"]
+    got = {r[0]: r for r in verdicts(spark, more, labels)}
+    assert all((got[i][4], got[i][5]) == (by[i][4], by[i][5]) for i in by)
+    assert {(got[20_000 + i][4], got[20_000 + i][5]) for i in range(100_000)} == {("allow", "/en/#"), ("block", "/en/#.html")}
+
+
+def test_little_evidence_is_not_multiplied_by_repeated_rows(spark):
+    rows = [(i, f"http://h.org/{'a' if i < 6 else 'b'}/x{'y' * i}") for i in range(12)]
+    labels = [(i, int(i not in (0, 1, 2, 7))) for i in range(12)]
+    once = verdicts(spark, rows, labels)
+    assert verdicts(spark, rows * 10, labels) == sorted(once * 10, key=repr)
