@@ -67,3 +67,35 @@ def test_own_templates_and_bounds(documents):
     assert spans(documents, rows, templates={"t": "beta gamma delta epsilon"}) == [(1, "t", 6, 30, 4, 1.0)]
     with pytest.raises(ValueError):
         C.Index({})
+
+
+def test_every_template_is_found_in_its_own_text(documents):
+    names = list(C.TEMPLATES)
+    got = spans(documents, [(i, "x y. " + C.TEMPLATES[n] + " z") for i, n in enumerate(names)])
+    assert [(g[0], g[1], g[5]) for g in sorted(got)] == [(i, n, 1.0) for i, n in enumerate(names)]
+
+
+def test_notices_of_other_licenses_and_versions(documents):
+    gpl = C.TEMPLATES["GPL-3.0 notice"]
+    cases = {
+        "Licensed under CC BY 4.0.": ["CC-BY-4.0 notice"],
+        "Licensed under CC BY-NC 4.0.": ["CC-BY-NC-4.0 notice"],
+        "Licensed under CC BY-SA 4.0.": ["CC-BY-SA-4.0 notice"],
+        "Licensed under CC BY-NC-ND 4.0.": ["CC-BY-NC-ND-4.0 notice"],
+        "Licensed under CC BY 3.0.": [],
+        "This work is licensed under GNU General Public License, version 2.": ["GPL-2.0 notice"],
+        gpl.replace("3", "2"): ["GPL-2.0 notice"],
+        gpl.replace("GNU General", "GNU Lesser General"): ["LGPL-3.0 notice"],
+        gpl.replace("General Public", "Free Documentation"): [],
+        "Released under the BSD 2-Clause License.": ["BSD-2-Clause notice"],
+        "Released under the BSD 4-Clause License.": [],
+        "Released under the ISC License.": [],
+        "Released under the MIT licence.": ["MIT notice"],
+        "Licensed under the Apache License, Version 2.": ["Apache-2.0 notice"],
+        "Licensed under the Apache License, Version 1.1.": [],
+    }
+    got = spans(documents, list(enumerate(cases)))
+    assert {t: [g[1] for g in got if g[0] == i] for i, t in enumerate(cases)} == cases
+    # without the deciding words the nearer template still wins, and none passes for a known other one
+    both = {"three": gpl, "two": gpl.replace("3", "2")}
+    assert [g[1] for g in spans(documents, [(1, gpl.replace("3", "2")), (2, gpl), (3, gpl.replace("3", "4"))], templates=both)] == ["two", "three"]
