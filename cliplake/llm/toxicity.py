@@ -22,10 +22,10 @@ from cliplake.llm.tables import crc_fold
 from cliplake.llm.text import LOWER, SEPARATOR, Texts, slices
 
 BUCKETS = 1 << 18
-LENGTHS = (3, 4, 5)
+LENGTHS = (3, 5, 8)  # bytes: every word has one, and starts of longer words
 PER_CLASS = 1_500
 THRESHOLD = 0.7
-LEAST_RATIO = 0.4
+LEAST_RATIO = 1.5
 
 
 def presence(texts: Texts) -> Iterator[np.ndarray]:
@@ -61,11 +61,12 @@ class Model:
 
 
 def fit(features: list[np.ndarray], toxic: np.ndarray, alpha: float = 1.0, ridge: float = 1e-3, rounds: int = 150) -> Model:
-    """Both labels count alike. With one label only the score is constant: 1, 0, or 0 without rows."""
+    """Both labels count alike. Where either label is missing nothing can be told
+    apart and every score is 0."""
     toxic = np.asarray(toxic, np.float64)
     n1, n0 = int(toxic.sum()), int((1 - toxic).sum())
     if not n1 or not n0:
-        return Model(np.zeros(BUCKETS, np.float32), 60.0 if n1 else -60.0)
+        return Model(np.zeros(BUCKETS, np.float32), -60.0)
     p, q = np.full(BUCKETS, alpha), np.full(BUCKETS, alpha)
     for f, t in zip(features, toxic):  # a text has every feature once
         (p if t else q)[f] += 1
@@ -131,8 +132,8 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, per_
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, score)``, a row for each row; null texts count as empty, which get the
-    model's bias."""
+    """``(doc_id, score)``, a row for each row; null texts count as empty, and texts
+    without words score 0."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,7 +143,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(texts.first, len(texts)),
-                        pa.array([fitted.score(f) for f in presence(texts)], pa.float64()),
+                        pa.array(list(scores(texts, fitted)), pa.float64()),
                     ],
                     ["doc_id", "score"],
                 )
@@ -150,6 +151,13 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return docs.select(F.col(id_col).cast("bigint"), F.col(text_col)).mapInArrow(run, "doc_id bigint, score double")
 
 
+def scores(texts: Texts, model: Model) -> Iterator[float]:
+    """Per text the score; 0 for texts without words, which the bias says nothing about."""
+    letters = np.concatenate(([0], np.cumsum(~SEPARATOR[texts.data])))[texts.offsets]
+    for features, n in zip(presence(texts), np.diff(letters)):
+        yield model.score(features) if n else 0.0
+
+
 def held_out(doc_id: Column) -> Column:
     """crc32(doc_id as text) mod 3 is 1; a null id is not held out."""
     return F.coalesce(crc_fold(doc_id) == 1, F.lit(False))
@@ -168,7 +176,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, thr
 
 
 def clean_documents(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic, all columns unchanged."""
+    """The rows of ``docs`` that are not predicted toxic, all columns unchanged; null texts and
+    texts without words always stay."""
     model = train(docs, labels, ~held_out(F.col("doc_id")), per_class)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     columns = docs.columns
@@ -177,7 +186,7 @@ def clean_documents(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLA
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = shared.value
         for batch in batches:
-            keep = [fitted.score(f) < threshold for texts in slices(batch.column(at)) for f in presence(texts)]
+            keep = [x == 0 or x < threshold for texts in slices(batch.column(at)) for x in scores(texts, fitted)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

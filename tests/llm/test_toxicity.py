@@ -56,3 +56,17 @@ def test_presence_is_that_of_all_grams():
     for text, f in zip(texts, got):
         x = b" " + text.encode().replace(b"\n", b" ").lower() + b" " if text else b""
         assert f == sorted({code(x[i : i + n]) for n in X.LENGTHS for i in range(len(x) - n + 1)})
+
+
+def test_nothing_is_rejected_without_both_labels_or_without_words(spark, documents):
+    # ids 2, 3 and 5 are held out: only a toxic label is left to learn from
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0), (5, 1)], "doc_id bigint, toxic int")
+    rows = [(1, "bad"), (2, "good"), (3, None), (None, ""), (4, " \n\t"), (5, "bad")]
+    kept = [(r.doc_id, r.text) for r in X.clean_documents(documents(rows), labels).collect()]
+    assert {"good", None, ""} <= {t for _, t in kept} and len(kept) == len(rows)
+    assert {r.predicted for r in X.toxicity(documents(rows), labels).collect()} == {0}
+
+
+def test_texts_without_words_pass_any_model(spark, documents):
+    texts = next(slices(pa.array(["", None, " \n\t", "word"]), 1 << 62))
+    assert [x > 0.9 for x in X.scores(texts, X.Model(np.zeros(X.BUCKETS, np.float32), 60.0))] == [False, False, False, True]
