@@ -10,8 +10,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cliplake.llm import embeddings, jaccard, licenses, lines, mixing, pieces, repetition, toxicity, urls, warc
-from cliplake.llm.tables import table
+from cliplake.llm import conversations, embeddings, fingerprints, interactions, jaccard, licenses, lines, mixing, pieces, repetition, toxicity, urls, warc
+from cliplake.llm.tables import stash, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -288,3 +288,145 @@ def sentencepiece(spark, sf_dir):
 def license_scan(spark, sf_dir):
     """License notices in all documents with their spans."""
     return licenses.license_spans(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op12_filter_interactions",
+    f"""
+    WITH w AS (
+        SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, {_WORDS.format("coalesce(text, '')")} AS w FROM documents
+    ), k AS (SELECT doc_id, max(quality) AS good, max(toxic) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+    f AS (
+        SELECT part, coalesce(good, 0) = 1 AS good, coalesce(k.toxic, 0) = 1 AS toxic, {{
+            'A': len(w) < 100, 'B': 100 * len(list_distinct(w)) < 80 * len(w),
+            'C': 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t), 'D': regexp_matches(t, '[#$%&*|]'),
+            'E': coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)}} AS f
+        FROM w LEFT JOIN k USING (doc_id)
+    ), c AS (
+        SELECT part, good, toxic, list_concat(CASE WHEN f.A THEN ['A'] ELSE [] END, CASE WHEN f.B THEN ['B'] ELSE [] END,
+            CASE WHEN f.C THEN ['C'] ELSE [] END, CASE WHEN f.D THEN ['D'] ELSE [] END, CASE WHEN f.E THEN ['E'] ELSE [] END) AS fails, count(*) AS n
+        FROM f GROUP BY ALL
+    ), l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+    o AS (
+        SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM l a, l b, l c, l d, l e
+        WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+    ), r AS (  -- the step that removes, 6 for none
+        SELECT part, good, toxic, fails, n, filter_order,
+            coalesce(list_min(list_transform(fails, lambda x: instr(filter_order, x))), 6) AS gone FROM c, o
+    ), s AS (
+        SELECT part, filter_order, step, substr(filter_order, step, 1) AS letter, good, toxic, fails, n, gone,
+            list_contains(fails, substr(filter_order, step, 1)) AS failing
+        FROM r, (SELECT unnest(range(1, 6)) AS step)
+    ), g AS (
+        SELECT part, filter_order, step, letter,
+            sum(n * (gone > step)::INT)::BIGINT AS kept, sum(n * (gone = step)::INT)::BIGINT AS removed,
+            sum(n * (failing AND gone < step)::INT)::BIGINT AS redundant, sum(n * (failing AND len(fails) = 1)::INT)::BIGINT AS unique_fails,
+            sum(n * (gone = step AND good)::INT)::BIGINT AS good_lost, sum(n * (gone = step AND toxic)::INT)::BIGINT AS toxic_lost
+        FROM s GROUP BY ALL
+    )
+    SELECT part, filter_order, step::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+        sum(removed) OVER (PARTITION BY part, letter)::BIGINT AS shapley
+    FROM g
+    """,
+)
+def filter_interactions(spark, sf_dir):
+    """Outcomes of five filters in all their orders, per language."""
+    return interactions.filter_interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op13_document_fingerprints")
+def document_fingerprints(spark, sf_dir):
+    """Fingerprints of all documents and of their edited texts; for every twentieth document
+    also how many others lie within three bits."""
+    found = stash(fingerprints.fingerprints(table(spark, sf_dir, "documents")))
+    found = fingerprints.near_counts(found, F.coalesce(F.col("id") % 20 == 0, F.lit(False)))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_chars",
+        "edited_sha256",
+        fingerprints.as_hex(F.col("fingerprint")).alias("fingerprint"),
+        fingerprints.as_hex(F.col("edited_fingerprint")).alias("edited_fingerprint"),
+        fingerprints.likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
+        fingerprints.likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+        "n_near",
+    )
+
+
+def _states(initial: str, extra: str) -> str:
+    """The four best (cost, audit) labels after one live row: Delete, Rerole, Keep.
+
+    ``w`` holds them before it, insertions included."""
+    label = lambda q, cost, letter: f"{{'c': w[{q}].c + {cost}, 'a': w[{q}].a || '{letter}'}}"
+    kept = lambda q, to: f"CASE WHEN {initial} = '{to}' THEN {label(q, extra, 'K')} ELSE {label(q, 1000000000, 'K')} END"
+    rerole = lambda q: label(q, f"1 + {extra}", "R")
+    user = ", ".join([label(3, 2, "D"), *[f(q) for q in (1, 2, 4) for f in (rerole, lambda q: kept(q, "u"))]])
+    return f"""[{label(1, 2, "D")}, list_min([{label(2, 2, "D")}, {kept(1, "s")}]), list_min([{user}]),
+        list_min([{label(4, 2, "D")}, {rerole(3)}, {kept(3, "a")}])]"""
+
+
+def _inserted(v: str) -> str:
+    """Labels with insertions before the next row: at most one user, then one assistant."""
+    more = lambda x: f"{{'c': {x}.c + 5, 'a': {x}.a || 'I'}}"
+    user = f"list_min([{v}[3], {more(f'{v}[1]')}, {more(f'{v}[2]')}, {more(f'{v}[4]')}])"
+    return f"[{v}[1], {v}[2], {user}, list_min([{v}[4], {more(f'{v}[3]')}, {more(f'{user}')}])]"
+
+
+@query(
+    "op11_conversation_repair",
+    rf"""
+    WITH RECURSIVE crc AS (  -- table of the checksum, one entry per byte
+        SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], [0, 0, 0, 0, 0, 0, 0, 0]),
+            lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+    ), k AS (
+        SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+            coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations
+    ), x AS (
+        SELECT k.*, xor(4294967295, list_reduce(list_concat([4294967295], list_transform(range(1, length(key) + 1), lambda i: ord(substr(key, i, 1))::BIGINT)),
+            lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) % 20 AS code FROM k, crc
+    ), d AS (
+        SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role,
+            CASE code WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+            unnest(range(CASE WHEN code = 3 THEN 2 ELSE 1 END)) AS copy
+        FROM x WHERE code <> 0
+    ), o AS (
+        SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i FROM d
+    ), f AS (
+        SELECT conv_id, turn, role, text, i, role[:1] AS x, lag(role[:1]) OVER (PARTITION BY conv_id ORDER BY i) AS px,
+            CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+                WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+                WHEN regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault
+        FROM o
+    ), s AS (
+        SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+            count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+            count(*) FILTER (px IS NOT NULL AND px || x NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n
+        FROM f GROUP BY conv_id
+    ), r AS (  -- best labels per state: nothing yet, after s, after u, after a
+        SELECT conv_id, 0 AS i, [{{'c': 0, 'a': ''}}, {{'c': 1000000000, 'a': ''}}, {{'c': 1000000000, 'a': ''}}, {{'c': 1000000000, 'a': ''}}] AS v FROM s
+        UNION ALL
+        SELECT conv_id, i, CASE WHEN fault IN ('blank', 'duplicate') THEN list_transform(w, lambda q: {{'c': q.c + 2, 'a': q.a || 'D'}})
+            ELSE {_states("x", "(CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END)")} END
+        FROM (SELECT f.conv_id, f.i, f.fault, f.x, {_inserted("r.v")} AS w FROM r JOIN f ON f.conv_id IS NOT DISTINCT FROM r.conv_id AND f.i = r.i + 1)
+    ), e AS (
+        SELECT s.*, list_min([w[1], w[4]]) AS best FROM (SELECT r.conv_id, r.i, {_inserted("r.v")} AS w FROM r) r
+        JOIN s ON s.conv_id IS NOT DISTINCT FROM r.conv_id AND s.n = r.i
+    ), l AS (  -- letters with the row they consume
+        SELECT conv_id, j, substr(best.a, j, 1) AS x, length(replace(substr(best.a, 1, j), 'I', '')) AS i
+        FROM (SELECT conv_id, best, unnest(range(1, length(best.a) + 1)) AS j FROM e)
+    ), m AS (
+        SELECT l.*, f.role, f.text, row_number() OVER (PARTITION BY l.conv_id ORDER BY j) AS k,
+            first_value(CASE WHEN l.x = 'K' THEN f.x END) OVER (PARTITION BY l.conv_id ORDER BY j) = 's' AS led
+        FROM l LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM l.conv_id AND f.i = l.i AND l.x <> 'I' WHERE l.x <> 'D'
+    ), t AS (
+        SELECT conv_id, sha256(string_agg(CASE WHEN x = 'K' THEN role WHEN (k % 2 = 1) <> coalesce(led, false) THEN 'user' ELSE 'assistant' END
+            || ':' || coalesce(text, ''), chr(10) ORDER BY j)) AS repaired FROM m GROUP BY conv_id
+    )
+    SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+        coalesce(illegal, 0) AS illegal, coalesce(e.best.c, 0)::BIGINT AS cost, coalesce(e.best.a, '') AS audit, coalesce(repaired, sha256('')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM c.conv_id
+    """,
+)
+def conversation_repair(spark, sf_dir):
+    """Faults of all damaged conversations and their cheapest repair."""
+    given = table(spark, sf_dir, "conversations")
+    return conversations.with_lost(conversations.reports(conversations.repair(conversations.damage(given))), given)
