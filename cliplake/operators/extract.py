@@ -15,12 +15,11 @@ from cliplake.functions.labels import clock_label, subtitle_clock
 from cliplake.functions.media import is_portrait, progress_percent
 from cliplake.functions.predicates import needs_device_scan
 from cliplake.functions.specs import frame_rate
-from cliplake.operators.ordered import group_values, number_rows
+from cliplake.operators.ordered import group_values, number_rows, position_block
 from cliplake.operators.sequences import (
     chapters,
     device_line,
     number_subtitles,
-    position_block,
     silence_pairs,
 )
 from cliplake.operators.state import CLIPS_PER_DOCUMENT

@@ -119,14 +119,14 @@ def match_recordings(
         ["folder"],
         ["length", "kind", "id"],
         F.floor(F.col("length") / 10).cast("bigint"),
-        near=("max", F.when(is_rec, F.struct(F.col("length").alias("k"), value.alias("v")))),
+        near=("last", F.when(is_rec, F.struct(F.col("length").alias("k"), value.alias("v")))),
     )
     above = scan(
         mixed,
         ["folder"],
         ["down", "kind", "id"],
         F.floor(F.col("down") / 10).cast("bigint"),
-        near=("max", F.when(is_rec, F.struct(F.col("down").alias("k"), value.alias("v")))),
+        near=("last", F.when(is_rec, F.struct(F.col("down").alias("k"), value.alias("v")))),
     )
     by_length = (
         below.unionByName(above)

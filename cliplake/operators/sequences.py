@@ -1,8 +1,7 @@
 """Timelines, recording sessions, chapters and positions in ordered lists.
 
 All running computations go through :mod:`cliplake.operators.ordered`, so a batch
-or merge of any size is spread over many tasks. Chains of scans over the same keys
-measure the largest group once.
+or merge of any size is spread over many tasks; what runs along one order is one pass.
 """
 
 from __future__ import annotations
@@ -14,14 +13,14 @@ from pyspark.sql import functions as F
 
 from cliplake.functions.labels import clock_label, file_stem
 from cliplake.operators.ordered import (
-    BLOCK,
+    fused,
     group_values,
     micros,
     number_rows,
+    position_block,
     previous_row,
     scan,
     seconds_between,
-    with_block,
 )
 
 # File-name patterns and session rules of the cameras.
@@ -35,13 +34,6 @@ SPLIT_SIZES = (4 * 1024**3, 16 * 1024**3)
 SPLIT_TOLERANCE = 0.05
 MAX_GAP_SECONDS = 3 * 60 * 60
 
-POSITIONS_PER_BLOCK = 4096
-
-
-def position_block(column: str | Column = "position") -> Column:
-    c = F.col(column) if isinstance(column, str) else column
-    return F.floor(c / F.lit(POSITIONS_PER_BLOCK)).cast("bigint")
-
 
 # ------------------------------------------------------------------ timelines
 def timeline(
@@ -56,38 +48,47 @@ def timeline(
     return out.withColumn("end_s", start + F.col(length)).withColumn("start_s", start)
 
 
-def merge_runs(
-    clips: DataFrame, keys: Sequence[str], group: str = "grp"
-) -> DataFrame:
-    """Collapse consecutive clips of one group; clips without a group stand alone.
-
-    A group that comes back later starts a new run. One row per run, numbered from 1.
-    """
-    rows = previous_row(
-        with_block(clips, position_block()), keys, ["position"], None, [group], "__prev"
-    )
+def _runs(clips: DataFrame, keys: Sequence[str], group: str) -> DataFrame:
+    """Number of the run and seconds before the clip, both from one pass."""
     starts = ~F.coalesce(F.col(f"__prev.{group}") == F.col(group), F.lit(False))
-    numbered = scan(
-        rows,
+    return fused(
+        clips,
         keys,
         ["position"],
-        None,
-        inclusive=True,
+        position_block(),
+        previous=[group],
+        name="__prev",
+        uses=[group, "duration"],
         run=("sum", starts.cast("bigint")),
+        __before=("sum_before", F.col("duration")),
     )
-    return numbered.groupBy(*keys, "run").agg(
+
+
+def merge_runs(clips: DataFrame, keys: Sequence[str], group: str = "grp") -> DataFrame:
+    """Collapse consecutive clips of one group; clips without a group stand alone.
+
+    A group that comes back later starts a new run. One row per run, numbered from 1.
+    """
+    return _runs(clips, keys, group).groupBy(*keys, "run").agg(
         F.min_by("name", "position").alias("name"),
         F.sum("duration").alias("duration"),
         F.count(F.lit(1)).alias("clip_count"),
     )
 
 
-def chapters(
-    clips: DataFrame, keys: Sequence[str], group: str = "grp"
-) -> DataFrame:
+def timed_runs(clips: DataFrame, keys: Sequence[str], group: str = "grp") -> DataFrame:
+    """Runs (run, name) with ``start_s`` and ``end_s``: lengths laid end to end."""
+    before = F.coalesce("__before", F.lit(0.0))
+    return _runs(clips, keys, group).groupBy(*keys, "run").agg(
+        F.min_by("name", "position").alias("name"),
+        F.min_by(before, "position").alias("start_s"),
+        F.max_by(before + F.col("duration"), "position").alias("end_s"),
+    )
+
+
+def chapters(clips: DataFrame, keys: Sequence[str], group: str = "grp") -> DataFrame:
     """Start offset, clock label and title of every run."""
-    runs = timeline(merge_runs(clips, keys, group), keys, "run")
-    return runs.select(
+    return timed_runs(clips, keys, group).select(
         *keys,
         "run",
         "start_s",
@@ -106,9 +107,7 @@ def split_parts(parts: DataFrame, title: Column) -> DataFrame:
     )
 
 
-def overlap_parts(
-    clips: DataFrame, parts: DataFrame, seconds_per_block: float = 600.0
-) -> DataFrame:
+def overlap_parts(clips: DataFrame, parts: DataFrame) -> DataFrame:
     """Clips (merge_id, run, name, start_s, end_s) that share time with parts (merge_id, part_no, ...).
 
     Parts follow each other without gaps, so the parts a clip touches are a range of
@@ -136,10 +135,10 @@ def overlap_parts(
         both,
         ["merge_id"],
         ["at", "kind", "no"],
-        F.floor(F.col("at") / F.lit(seconds_per_block)).cast("bigint"),
+        F.floor(F.col("at") / F.lit(600.0)).cast("bigint"),
         ended=("sum", (kind == 0).cast("bigint")),
         begun=("sum", (kind == 3).cast("bigint")),
-        edge=("max", F.when(kind == 0, F.col("at"))),
+        edge=("last", F.when(kind == 0, F.col("at"))),
     )
     span = (
         counted.filter(kind.isin(1, 2))
@@ -208,15 +207,6 @@ def sessions(files: DataFrame, grouping: bool = True) -> DataFrame:
     )
     at = F.when(dji, micros(F.coalesce("__clock", F.col("creation_time").cast("timestamp")))).otherwise(F.lit(0))
     rows = rows.withColumn("__at", at)
-    block = F.struct(
-        F.floor(F.col("__at") / F.lit(3_600_000_000)).cast("bigint").alias("hour"),
-        F.when(dji, F.lit(0)).otherwise(F.col("__seq")).alias("chapter"),
-        F.when(dji, F.lit(0).cast("bigint")).otherwise(position_block("idx")).alias("stretch"),
-    )
-    keys, order = ["batch", "__family"], ["__at", "__seq", "idx"]
-    rows = previous_row(
-        with_block(rows, block), keys, order, None, ["__seq", "__clock", "size_bytes"], "__prev"
-    )
     near = F.lit(False)
     for size in SPLIT_SIZES:
         near = near | (F.abs(F.col("__prev.size_bytes") - F.lit(size)) <= size * SPLIT_TOLERANCE)
@@ -226,28 +216,26 @@ def sessions(files: DataFrame, grouping: bool = True) -> DataFrame:
         & near
         & F.coalesce(gap.between(0, MAX_GAP_SECONDS), F.lit(True))
     )
-    rows = number_rows(rows, keys, order, None, "__no").withColumn(
-        "__starts", F.col("__prev").isNull() | (dji & ~follows)
-    )
-    lead = F.when(
-        F.col("__starts"),
-        F.struct(*order, F.col("__no").alias("no"), F.date_format("__clock", "yyyyMMddHHmmss").alias("stamp")),
-    )
-    rows = scan(
+    starts = F.col("__prev").isNull() | (dji & ~follows)
+    rows = fused(
         rows,
-        keys,
-        order,
-        None,
-        inclusive=True,
-        __island=("sum", F.col("__starts").cast("bigint")),
-        __lead=("max", lead),
+        ["batch", "__family"],
+        ["__at", "__seq", "idx"],
+        previous=["__seq", "__clock", "size_bytes"],
+        name="__prev",
+        uses=["__seq", "__clock"],
+        __no=("sum", F.lit(1).cast("bigint")),
+        __island=("sum", starts.cast("bigint")),
+        __member=("since", starts),
+        # a struct, so that an unknown clock of a new island hides the one before
+        __lead=("last", F.when(starts, F.struct(F.date_format("__clock", "yyyyMMddHHmmss").alias("stamp")))),
     )
     group = (
         F.when(dji, F.concat_ws("_", "__family", "__lead.stamp", F.col("__island").cast("string")))
         .when(single, F.concat(F.lit("s_"), "__no"))
         .otherwise(F.col("__family"))
     )
-    member = F.when(single, F.lit(1).cast("bigint")).otherwise(F.col("__no") - F.col("__lead.no") + 1)
+    member = F.when(single, F.lit(1).cast("bigint")).otherwise(F.col("__member"))
     return rows.select(*files.columns, group.alias("group_id"), member.alias("member"))
 
 
@@ -290,12 +278,9 @@ def reorder(grouped: DataFrame) -> DataFrame:
     rows = rows.withColumns(
         {c: F.when(~alone, F.col(c)) for c in ("__first", "__end")}
     )
-    rows = with_block(rows, position_block("idx"))
-    reached = scan(rows, ["batch"], ["idx"], None, __reach=("max", F.col("__end")))
+    reached = scan(rows, ["batch"], ["idx"], position_block("idx"), __reach=("max", F.col("__end")))
     opens = F.when(F.coalesce(F.col("idx") > F.col("__reach"), F.lit(True)), F.col("idx"))
-    placed = scan(
-        reached, ["batch"], ["idx"], None, inclusive=True, __stretch=("max", opens)
-    ).drop(BLOCK)
+    placed = scan(reached, ["batch"], ["idx"], position_block("idx"), inclusive=True, __stretch=("last", opens))
     placed = placed.withColumns(
         {
             "__phase": F.col("__first").isNull().cast("int"),
@@ -304,9 +289,7 @@ def reorder(grouped: DataFrame) -> DataFrame:
         }
     )
     block = F.struct("__phase", "__lead", position_block("__rank"))
-    ranked = number_rows(
-        placed, ["batch", "__stretch"], ["__phase", "__lead", "__rank"], block, "__no"
-    )
+    ranked = number_rows(placed, ["batch", "__stretch"], ["__phase", "__lead", "__rank"], block, "__no")
     return ranked.select(*grouped.columns, (F.col("__stretch") + F.col("__no") - 1).alias("new_idx"))
 
 
@@ -426,9 +409,7 @@ def silence_pairs(lines: DataFrame) -> DataFrame:
         (start != "").alias("is_start"),
         F.when(start != "", start).otherwise(end).try_cast("double").alias("at"),
     ).filter(F.col("at").isNotNull())
-    rows = previous_row(
-        marks, ["media_id"], ["line_no"], position_block("line_no"), ["is_start", "at"], "prev"
-    )
+    rows = previous_row(marks, ["media_id"], ["line_no"], position_block("line_no"), ["is_start", "at"])
     return rows.filter(~F.col("is_start") & F.col("prev.is_start")).select(
         "media_id",
         "line_no",

@@ -11,8 +11,8 @@ from pyspark.sql import types as T
 
 from cliplake.functions.labels import clock_label, file_stem
 from cliplake.functions.specs import duration_spec, size_spec
-from cliplake.operators.ordered import number_rows, scan, top_rows
-from cliplake.operators.sequences import position_block, timeline
+from cliplake.operators.ordered import number_rows, position_block, scan, top_rows
+from cliplake.operators.sequences import timeline
 from cliplake.schemas import (
     ALLOWED,
     IMPORT_ORDER,

@@ -147,7 +147,7 @@ def _parts(clips):
 def part_chapters(spark, sf):
     clips = V.clips(spark, sf)
     parts = E.timeline(_parts(clips), ["merge_id"], "part_no", "length")
-    runs = E.timeline(E.merge_runs(clips, ["merge_id"], "grp"), ["merge_id"], "run")
+    runs = E.timed_runs(clips, ["merge_id"], "grp")
     return E.overlap_parts(runs, parts)
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cliplake.operators.ordered import hour_of, number_rows, scan
@@ -237,8 +237,9 @@ def links(spark: SparkSession, sf: str) -> DataFrame:
 def clips(spark: SparkSession, sf: str) -> DataFrame:
     order = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity"]
     rows = load(spark, sf, "lineitem").select("l_orderkey", "l_returnflag", *order)
-    block = F.expr("struct(l_linenumber, l_partkey div 4096)")
-    return number_rows(rows, ["l_orderkey"], order, block, "position").selectExpr(
+    # an order has a handful of lines, so a plain window serves
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*order)).cast("bigint")
+    return rows.withColumn("position", place).selectExpr(
         "l_orderkey AS merge_id",
         "position",
         "l_partkey AS video_id",
@@ -252,9 +253,7 @@ def clips(spark: SparkSession, sf: str) -> DataFrame:
 
 def ranked_events(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
     rows = load(spark, sf, "events").select("event_id", "ts", "user_id", *columns)
-    return number_rows(
-        rows, ["user_id"], ["ts", "event_id"], hour_of(F.col("ts")), "rn"
-    )
+    return number_rows(rows, ["user_id"], ["ts", "event_id"], hour_of(F.col("ts")), "rn")
 
 
 _SIZE = "CASE WHEN value > 30 THEN 4294967296 - (event_id % 1000) * 1000 ELSE 2147483648 END AS size_bytes"

@@ -11,7 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from cliplake.functions.labels import file_name, file_suffix
 from cliplake.functions.predicates import VIDEO_EXTENSIONS
-from cliplake.operators.ordered import BLOCK, hour_of, number_rows, previous_row, scan, with_block
+from cliplake.operators.ordered import fused, hour_of
 
 
 def wanted_files(events: DataFrame) -> DataFrame:
@@ -50,16 +50,9 @@ def stable_batch(observations: DataFrame, checks: int) -> DataFrame:
     """
     if checks <= 0:
         return observations.filter("size IS NOT NULL").select("path", "seq", "size", "at")
-    keys, order = ["path"], ["at", "seq"]
-    rows = with_block(observations, hour_of(F.col("at")))
-    rows = previous_row(rows, keys, order, None, ["size"], "prev")
     starts = ~F.coalesce(F.col("size") == F.col("prev.size"), F.lit(False))
-    rows = number_rows(rows, keys, order, None, "n").withColumn("starts", starts)
-    rows = scan(
-        rows, keys, order, None, inclusive=True, first=("max", F.when(F.col("starts"), F.col("n")))
-    ).drop(BLOCK)
-    count = F.col("n") - F.col("first") + 1
-    return rows.filter(F.col("size").isNotNull() & (count % checks == 0)).select("path", "seq", "size", "at")
+    rows = fused(observations, ["path"], ["at", "seq"], hour_of(F.col("at")), previous=["size"], uses=["size"], count=("since", starts))
+    return rows.filter(F.col("size").isNotNull() & (F.col("count") % checks == 0)).select("path", "seq", "size", "at")
 
 
 def stable_stream(
