@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cliplake.operators.ordered import previous_row, scan
+from cliplake.operators.ordered import scan
 
 # Detector and matcher settings.
 FLOOR_MINIMUM = 1e-6
@@ -25,11 +25,11 @@ FLAT_DEVIATION = 1e-9
 MIN_CONFIDENCE = 0.35
 TEMPO_RANGE = (0.5, 2.0)
 
-SAMPLES_PER_BLOCK = 1 << 16
 FRAMES_PER_CHUNK = 1024
+LOUD_BLOCK = 1 << 18  # samples of a recording that one task looks at together
 
 
-def _block(c: str = "idx", size: int = SAMPLES_PER_BLOCK) -> Column:
+def _block(c: str, size: int) -> Column:
     return F.floor(F.col(c) / F.lit(size)).cast("bigint")
 
 
@@ -64,6 +64,74 @@ def noise_floor(samples: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def _window_peaks(idx: np.ndarray, m: np.ndarray, window: int) -> np.ndarray:
+    """For every sample the place of the first maximum among those less than ``window`` after it.
+
+    Maxima of stretches of 1, 2, 4, .. samples are built one from the other; the two longest
+    that fit into a window cover it.
+    """
+    n = len(idx)
+    ends = np.searchsorted(idx, idx + window)
+    best, at = np.arange(n), np.arange(n)
+    out, length = at.copy(), 1
+    spans = ends - at
+    while True:
+        fits = (spans >= length) & (spans < 2 * length)
+        head, tail = best[at[fits]], best[ends[fits] - length]
+        out[fits] = np.where(m[tail] > m[head], tail, head)
+        length *= 2
+        if length > spans.max(initial=0):
+            return out
+        reach = n - length + 1
+        first, second = best[:reach], best[length // 2 : length // 2 + reach]
+        best = np.where(m[second] > m[first], second, first)
+
+
+def _successors(idx: np.ndarray, m: np.ndarray, own: int, window: int, gap: int) -> tuple[np.ndarray, np.ndarray]:
+    """Peak of each of the first ``own`` samples as a start, and the start after it (itself, if
+    that one lies behind them)."""
+    peaks = _window_peaks(idx, m, window)[:own]
+    following = np.searchsorted(idx[:own], idx[peaks] + gap)
+    return peaks, np.where(following < own, following, np.arange(own))
+
+
+def _groups(pdf: pd.DataFrame, names: list[str]) -> np.ndarray:
+    """Where the rows of a sorted frame change in ``names``, with both ends."""
+    fresh = np.zeros(len(pdf), bool)
+    for c in names:
+        v = pdf[c]
+        fresh |= (v != v.shift()).to_numpy() & ~(v.isna() & v.shift().isna()).to_numpy()
+    fresh[:1] = True
+    return np.append(np.flatnonzero(fresh), len(pdf))
+
+
+def _whole_groups(frames: Iterator[pd.DataFrame], names: list[str]) -> Iterator[pd.DataFrame]:
+    """Frames cut anew, so that none ends inside a group of ``names``."""
+    held: list[pd.DataFrame] = []
+    for pdf in frames:
+        if pdf.empty:
+            continue
+        cuts = _groups(pdf, names)
+        same = bool(held) and len(_groups(pd.concat([held[-1].tail(1), pdf.head(1)]), names)) == 2
+        if held and not same:
+            yield pd.concat(held)
+            held = []
+        if len(cuts) == 2:
+            held.append(pdf)
+            continue
+        split = cuts[1] if same else cuts[-2]
+        if same:
+            yield pd.concat([*held, pdf.iloc[:split]])
+            held = []
+            if cuts[-2] > split:
+                yield pdf.iloc[split : cuts[-2]]
+        elif split:
+            yield pdf.iloc[:split]
+        held = [pdf.iloc[cuts[-2] :]]
+    if held:
+        yield pd.concat(held)
+
+
 def transient_peaks(
     samples: DataFrame,
     keys: Sequence[str],
@@ -71,13 +139,16 @@ def transient_peaks(
     threshold_ratio: float = THRESHOLD_RATIO,
     min_gap_seconds: float = MIN_GAP_SECONDS,
     window_ms: float = PEAK_WINDOW_MS,
+    block: int = LOUD_BLOCK,
 ) -> DataFrame:
     """Peaks that stand out from the noise floor, at least a minimum gap apart.
 
-    Only samples over the threshold can open or win a window, so the rest is dropped
-    first. A pause of at least the minimum gap always starts afresh; the samples
-    between two pauses are folded in order, one such island at a time, while they
-    stream through the task.
+    Every sample over the threshold could start a window; its peak tells the next start, so
+    starts form chains. A recording is cut into blocks of ``block`` samples. A chain can enter a
+    block only within a gap and a window from its beginning: pointer doubling tells for each
+    of these entries where its chain leaves the block. These short tables are read once along
+    the recording, which fixes the entry of every block, and the blocks then list their
+    peaks. No task holds more than a block.
     """
     if rate <= 0:
         raise ValueError("rate must be positive")
@@ -86,46 +157,92 @@ def transient_peaks(
     window = max(1, int(rate * window_ms / 1000))
     if window > gap:
         raise ValueError("the peak window must not exceed the minimum gap")
+    block = max(block, gap + window)
     floors = noise_floor(samples, keys).select(*keys, "noise_floor")
+    m, at = F.abs("sample"), F.col("idx")
+    number = F.floor(at / F.lit(block)).cast("bigint")
+    # windows look into the next block, so its first samples are lent to the one before
+    homes = F.when(at % block < window, F.array(number, number - 1)).otherwise(F.array(number))
     loud = (
         samples.join(floors, keys)
-        .withColumn("m", F.abs("sample"))
-        .filter(F.col("m") >= F.col("noise_floor") * threshold_ratio)
-        .select(*keys, "idx", "m", "noise_floor")
+        .where(m >= F.col("noise_floor") * threshold_ratio)
+        .select(*keys, F.explode(homes).alias("block"), "idx", m.cast("double").alias("m"), "noise_floor")
     )
-    loud = previous_row(loud, keys, ["idx"], _block(), ["idx"], "prev")
-    fresh = F.coalesce(F.col("idx") - F.col("prev.idx") >= gap, F.lit(True)).cast("bigint")
-    islands = scan(loud, keys, ["idx"], _block(), inclusive=True, island=("sum", fresh))
-    ordered = (
-        islands.select(*keys, "island", "idx", "m", "noise_floor")
-        .repartition(*keys, "island")
-        .sortWithinPartitions(*keys, "island", "idx")
+    kb = [*keys, "block"]
+    dealt = loud.repartition(*kb)
+    key_fields = [samples.schema[k] for k in keys]
+    table_type = T.StructType(
+        [*key_fields, T.StructField("block", T.LongType()), T.StructField("bounds", T.ArrayType(T.LongType())), T.StructField("leaves", T.ArrayType(T.LongType()))]
     )
-    out = T.StructType(
-        [*[samples.schema[k] for k in keys], T.StructField("idx", T.LongType()), T.StructField("score", T.DoubleType())]
-    )
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        owner, opened, best_idx, best, floor = None, 0, 0, 0.0, 1.0
-        for pdf in batches:
-            peaks: list[tuple] = []
-            columns = [pdf[k].tolist() for k in (*keys, "island")]
-            for who, idx, m, f in zip(zip(*columns), pdf["idx"].tolist(), pdf["m"].tolist(), pdf["noise_floor"].tolist()):
-                if who == owner and idx < opened + window:
-                    if m > best:
-                        best_idx, best = idx, m
+    entry_type = T.StructType([*key_fields, T.StructField("block", T.LongType()), T.StructField("entry", T.LongType())])
+    out = T.StructType([*key_fields, T.StructField("idx", T.LongType()), T.StructField("score", T.DoubleType())])
+
+    def one_block(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
+        idx, values, number = pdf["idx"].to_numpy(np.int64), pdf["m"].to_numpy(np.float64), int(pdf["block"].iloc[0])
+        return idx, values, number, int(np.searchsorted(idx, (number + 1) * block))
+
+    def tables(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in _whole_groups(frames, kb):
+            rows, cuts = [], _groups(pdf, kb)
+            for a, b in zip(cuts, cuts[1:]):
+                part = pdf.iloc[a:b]
+                idx, values, number, own = one_block(part)
+                if not own:
                     continue
-                if who == owner and idx - best_idx < gap:
+                peaks, following = _successors(idx, values, own, window, gap)
+                # pointer doubling up to the last start inside the block
+                while True:
+                    further = following[following]
+                    if (further == following).all():
+                        break
+                    following = further
+                leaves = idx[peaks[following]] + gap
+                entries = min(own, int(np.searchsorted(idx, number * block + window + gap)) + 1)
+                last = np.append(leaves[1:entries] != leaves[: entries - 1], True)  # of entries with one way out
+                rows.append((*part[keys].iloc[0], number, idx[:entries][last], leaves[:entries][last]))
+            yield pd.DataFrame(rows, columns=table_type.names)
+
+    def entries(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        owner, at = None, 0
+        for pdf in frames:
+            rows = []
+            for who, number, bounds, leaves in zip(zip(*[pdf[k].tolist() for k in keys]), pdf["block"], pdf["bounds"], pdf["leaves"]):
+                if who != owner:
+                    owner, at = who, np.iinfo(np.int64).min
+                place = int(np.searchsorted(bounds, at))
+                if place < len(bounds):
+                    rows.append((*who, number, at))
+                    at = int(leaves[place])
+            yield pd.DataFrame(rows, columns=entry_type.names)
+
+    def chains(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in _whole_groups(frames, kb):
+            found, cuts = [], _groups(pdf, kb)
+            for a, b in zip(cuts, cuts[1:]):
+                part = pdf.iloc[a:b]
+                idx, values, _, own = one_block(part)
+                first = int(np.searchsorted(idx[:own], int(part["entry"].iloc[0])))
+                if first >= own:
                     continue
-                if owner is not None:
-                    peaks.append((*owner[:-1], best_idx, best / floor))
-                owner, opened, best_idx, best, floor = who, idx, idx, m, f
-            if peaks:
-                yield pd.DataFrame(peaks, columns=out.names)
-        if owner is not None:
-            yield pd.DataFrame([(*owner[:-1], best_idx, best / floor)], columns=out.names)
-
-    return ordered.mapInPandas(fold, out).withColumn("time_s", F.col("idx") / F.lit(float(rate)))
+                peaks, following = _successors(idx, values, own, window, gap)
+                reached, jump = np.array([first]), following
+                while True:  # each doubling of the jump doubles the part of the chain that is known
+                    more = np.unique(np.append(reached, jump[reached]))
+                    if len(more) == len(reached):
+                        break
+                    reached, jump = more, jump[jump]
+                top = peaks[reached]
+                frame = part.iloc[top][keys].copy()
+                frame["idx"], frame["score"] = idx[top], values[top] / part["noise_floor"].iloc[0]
+                found.append(frame)
+            if found:
+                yield pd.concat(found)
+
+    ordered = dealt.sortWithinPartitions(*kb, "idx")
+    ways = ordered.mapInPandas(tables, table_type)
+    known = ways.repartition(*keys).sortWithinPartitions(*kb).mapInPandas(entries, entry_type)
+    lists = dealt.join(known, kb).sortWithinPartitions(*kb, "idx").mapInPandas(chains, out)
+    return lists.withColumn("time_s", F.col("idx") / F.lit(float(rate)))
 
 
 def clap_offset(peaks: DataFrame, keys: Sequence[str], role: str = "role") -> DataFrame:
@@ -213,10 +330,27 @@ def _chunks(frames: DataFrame, keys: list[str], prefix: str) -> DataFrame:
     )
 
 
+def _padded(chunks: list, width: int) -> np.ndarray:
+    out = np.zeros((len(chunks), width))
+    for row, chunk in zip(out, chunks):
+        row[: len(chunk)] = chunk
+    return out
+
+
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _correlate(ext: pd.Series, ref: pd.Series) -> pd.Series:
-    """Dot products of two chunks for every shift of one against the other."""
-    return pd.Series([np.correlate(np.asarray(e), np.asarray(r), "full") for e, r in zip(ext, ref)])
+    """Dot products of two chunks for every shift of one against the other, by Fourier transform.
+
+    Padded to the sum of both lengths, the circular products are the plain ones.
+    """
+    out = []
+    for a in range(0, len(ext), 256):
+        es, rs = list(ext[a : a + 256]), list(ref[a : a + 256])
+        width = 1 << (max(map(len, es)) + max(map(len, rs)) - 1).bit_length()
+        spectrum = np.fft.rfft(_padded(es, width)) * np.conj(np.fft.rfft(_padded(rs, width)))
+        for row, e, r in zip(np.fft.irfft(spectrum, width), es, rs):
+            out.append(np.concatenate([row[width - len(r) + 1 :], row[: len(e)]]))
+    return pd.Series(out)
 
 
 def lag_correlation(
@@ -225,13 +359,23 @@ def lag_correlation(
     """Correlation of a reference envelope with a recording at every full overlap.
 
     Inputs are normal envelopes. ``keys`` pair a recording with its references, which
-    ``ref_keys`` tell apart. Both sides are cut into chunks; each pair of chunks gives
-    partial dot products that are summed per lag, so no envelope has to fit into a task.
+    ``ref_keys`` tell apart. Both sides are cut into chunks; every chunk is sent to the pairs that it
+    belongs to, so that pairs of one session are dealt over all tasks, and each pair gives
+    partial dot products that are summed per lag.
     """
     keys, ref_keys = list(keys), list(ref_keys)
     ref = _chunks(reference.filter("z IS NOT NULL"), [*keys, *ref_keys], "r")
     ext = _chunks(external.filter("z IS NOT NULL"), keys, "e")
-    pairs = ref.join(ext.hint("shuffle_hash"), keys).filter("e_frames >= r_frames AND r_frames >= 2")
+    chunks = lambda frames: F.ceil(F.col(frames) / F.lit(FRAMES_PER_CHUNK)).cast("bigint")
+    numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1))
+    e_sizes = ext.groupBy(*keys).agg(F.max("e_frames").alias("e_frames"))
+    r_sizes = ref.groupBy(*keys, *ref_keys, "r_frames").agg(F.lit(1).alias("one")).drop("one")
+    fitting = r_sizes.join(e_sizes, keys).filter("e_frames >= r_frames AND r_frames >= 2")
+    sent_ref = ref.drop("r_frames").join(fitting, [*keys, *ref_keys]).select("*", numbers(chunks("e_frames")).alias("e_chunk"))
+    sent_ext = ext.drop("e_frames").join(fitting.select(*keys, *ref_keys, "r_frames"), keys).select(
+        *keys, *ref_keys, "e_chunk", "e_v", numbers(chunks("r_frames")).alias("r_chunk")
+    )
+    pairs = sent_ref.join(sent_ext, [*keys, *ref_keys, "r_chunk", "e_chunk"])
     shift = (F.col("e_chunk") - F.col("r_chunk")) * FRAMES_PER_CHUNK - (F.size("r_v") - 1)
     parts = pairs.select(
         *keys,

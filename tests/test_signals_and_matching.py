@@ -55,6 +55,20 @@ def test_peaks_match_the_walk(spark):
     assert sorted((r.session, r.idx, round(r.score, 6)) for r in got.collect()) == sorted(want)
 
 
+@pytest.mark.parametrize("loud", [0.15, 0.6, 1.0])
+def test_one_recording_over_many_blocks(spark, loud):
+    """A recording without a pause, cut into blocks a little longer than a gap."""
+    rng = random.Random(int(loud * 100))
+    wave = [rng.choice([1.0, 2.0, 3.0, 4.0]) * (20 if rng.random() < loud else 1) for _ in range(6000)]
+    data = [(7, "r", i, v) for i, v in enumerate(wave)] + [(8, "r", i, v) for i, v in enumerate(wave[:50])]
+    ratio = 1.0 if loud == 1.0 else 3.0 if loud < 0.5 else 0.4
+    want = [(s, i, x) for s, w in ((7, wave), (8, wave[:50])) for i, x in peaks_of(w, 100, ratio, 0.3, 120.0)]
+    got = S.transient_peaks(
+        spark.createDataFrame(data, SAMPLES), ["session", "role"], 100, ratio, min_gap_seconds=0.3, window_ms=120.0, block=64
+    )
+    assert sorted((r.session, r.idx, round(r.score, 6)) for r in got.collect()) == sorted(want)
+
+
 def test_no_peak_gives_a_reason(spark):
     peaks = spark.createDataFrame([(1, "reference", 5, 9.0, 0.5)], "session bigint, role string, idx bigint, score double, time_s double")
     assert S.clap_offset(peaks, ["session"]).first().reason == "no clear peak"
