@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cliplake.functions.labels import UNKNOWN_DATE, UNKNOWN_DEVICE
 from cliplake.functions.predicates import period_filter
 from cliplake.operators.catalog import project_members
-from cliplake.operators.ordered import seconds_between
+from cliplake.operators.ordered import number_rows, seconds_between
 
 # Chart widths, document and packing sizes.
 BAR_WIDTH = 30
@@ -175,22 +175,33 @@ def project_detail(projects: DataFrame, links: DataFrame, merges: DataFrame) ->
     )
 
 
+def pages(rows: DataFrame, keys: list[str], order: list[str], per_page: int) -> DataFrame:
+    """Add ``part``: the rank of a row within its keys, in pages of ``per_page`` rows.
+
+    Ranks come from range blocks, so a key of any size is ranked by many tasks.
+    """
+    if per_page < 1:
+        raise ValueError("a page needs at least one row")
+    ranked = number_rows(rows, keys, order, None, "__rank")
+    return ranked.withColumn("part", F.floor((F.col("__rank") - 1) / F.lit(per_page)).cast("bigint")).drop("__rank")
+
+
 def project_dates(
     links: DataFrame, merges: DataFrame, ids_per_row: int = IDS_PER_ROW
 ) -> DataFrame:
     """Merge ids of a project by date, packed into rows of bounded size.
 
-    A date with few merges is one row (``part`` 0); a date with very many is cut
-    into several parts, so no array grows with the data. Parts follow the merge id.
+    The ids of a date are ranked; each row (``part`` 0, 1, ..) holds the next ``ids_per_row`` of
+    them, whatever the ids look like, so no array grows with the data.
     """
     items = merges.select(
         F.col("id").alias("merge_job_id"),
         F.when(F.coalesce("date", F.lit("")) == "", F.lit(UNKNOWN_DATE)).otherwise(F.col("date")).alias("date"),
     )
     rows = links.select("project_id", "merge_job_id").join(items, "merge_job_id")
-    part = F.floor(F.col("merge_job_id") / F.lit(1_000_000)).cast("bigint")
     return (
-        rows.groupBy("project_id", "date", part.alias("part"))
+        pages(rows, ["project_id", "date"], ["merge_job_id"], ids_per_row)
+        .groupBy("project_id", "date", "part")
         .agg(
             F.count(F.lit(1)).alias("merge_count"),
             F.array_sort(F.collect_list("merge_job_id")).alias("merge_ids"),

@@ -363,12 +363,12 @@ def d10(spark, sf):
 
 @query(
     "D10_project_dates",
-    """SELECT l.project_id, coalesce(m.date, '날짜 미상') AS date, l.merge_job_id // 1000000 AS part, count(*) AS merge_count,
-    '[' || string_agg(CAST(l.merge_job_id AS VARCHAR), ',' ORDER BY l.merge_job_id) || ']' AS merge_ids
-    FROM links l JOIN merges m ON m.id = l.merge_job_id GROUP BY 1, 2, 3""",
+    """SELECT project_id, date, (r - 1) // 2 AS part, count(*) AS merge_count, '[' || string_agg(CAST(merge_job_id AS VARCHAR), ',' ORDER BY merge_job_id) || ']' AS merge_ids
+    FROM (SELECT l.project_id, coalesce(m.date, '날짜 미상') AS date, l.merge_job_id, row_number() OVER (PARTITION BY l.project_id, coalesce(m.date, '날짜 미상') ORDER BY l.merge_job_id) AS r
+      FROM links l JOIN merges m ON m.id = l.merge_job_id) GROUP BY 1, 2, 3""",
 )
 def d10d(spark, sf):
-    return D.project_dates(V.links(spark, sf), V.merges(spark, sf))
+    return D.project_dates(V.links(spark, sf), V.merges(spark, sf), ids_per_row=2)
 
 
 @query(

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cliplake.operators.stats import project_dates, project_detail, project_rollup
+from cliplake.functions.labels import UNKNOWN_DATE
+from cliplake.operators.stats import pages, project_detail, project_rollup
 
 # Column order of the catalogue report.
 CSV_COLUMNS = (
@@ -73,12 +74,14 @@ def project_list_json(projects: DataFrame, links: DataFrame, merges: DataFrame)
     )
 
 
-def project_detail_json(projects: DataFrame, links: DataFrame, merges: DataFrame) -> DataFrame:
+def project_detail_json(
+    projects: DataFrame, links: DataFrame, merges: DataFrame, per_document: int = MERGES_PER_DOCUMENT
+) -> DataFrame:
     """Detail of every project as (project_id, section, part, body) documents.
 
-    Sections: the summary, the merges, and the merge ids per date. Merges and ids are
-    packed into documents that cover a bounded id range each, so that a project with
-    very many merges becomes many documents and no row grows without limit.
+    Sections: the summary, the merges by id, and the merge ids by date. Documents hold
+    ``per_document`` merges each, so that a project with very many becomes many documents
+    and no row grows without limit; a date that goes on in the next document is named in both.
     """
     detail = project_detail(projects, links, merges).select(
         F.col("id").alias("project_id"),
@@ -86,11 +89,10 @@ def project_detail_json(projects: DataFrame, links: DataFrame, merges: DataFrame
         F.lit(0).cast("bigint").alias("part"),
         F.to_json(F.struct("id", "name", "total_count", "uploaded_count", "total_size_bytes")).alias("body"),
     )
-    part = F.floor(F.col("merge_job_id") / F.lit(1_000_000)).cast("bigint")
+    linked = links.select("project_id", "merge_job_id").join(merges.withColumnRenamed("id", "merge_job_id"), "merge_job_id")
     listed = (
-        links.select("project_id", "merge_job_id")
-        .join(merges.withColumnRenamed("id", "merge_job_id"), "merge_job_id")
-        .groupBy("project_id", part.alias("part"))
+        pages(linked, ["project_id"], ["merge_job_id"], per_document)
+        .groupBy("project_id", "part")
         .agg(
             F.array_sort(
                 F.collect_list(
@@ -102,8 +104,11 @@ def project_detail_json(projects: DataFrame, links: DataFrame, merges: DataFrame
         )
         .select("project_id", F.lit("merge_jobs").alias("section"), "part", F.to_json("m", KEEP_NULLS).alias("body"))
     )
+    day = F.when(F.coalesce("date", F.lit("")) == "", F.lit(UNKNOWN_DATE)).otherwise(F.col("date"))
     dates = (
-        project_dates(links, merges)
+        pages(linked.select("project_id", day.alias("date"), "merge_job_id"), ["project_id"], ["date", "merge_job_id"], per_document)
+        .groupBy("project_id", "part", "date")
+        .agg(F.array_sort(F.collect_list("merge_job_id")).alias("merge_ids"))
         .groupBy("project_id", "part")
         .agg(F.array_sort(F.collect_list(F.struct("date", "merge_ids"))).alias("d"))
         .select(
