@@ -130,19 +130,24 @@ def l5(spark, sf):
     return D.status_counts(jobs)
 
 
+_RULE_TYPE = "CASE (event_id {0} 40) % 4 WHEN 0 THEN 'on_transcode_complete' WHEN 1 THEN 'on_merge_complete' WHEN 2 THEN 'on_upload_complete' ELSE 'on_error' END"
+
+
 @query(
     "L6_rule_reload",
-    f"""WITH n AS (SELECT event_id, {_TYPES_SQL} AS event_type, event_id % 3 AS batch FROM events) SELECT event_id, event_type, batch FROM n
-    WHERE event_type <> 'on_other' AND NOT (batch = 1 AND event_type = 'on_error') AND NOT (batch = 2 AND event_type IN ('on_error', 'on_merge_complete'))""",
+    f"""WITH n AS (SELECT event_id, {_TYPES_SQL} AS event_type, ts FROM events),
+    r AS (SELECT {_RULE_TYPE.format('//')} AS event_type, ts AS valid_from, max_by(CASE WHEN event_id % 7 = 0 THEN NULL ELSE event_id % 3 > 0 END, event_id) AS enabled, max(event_id) FROM events WHERE event_id % 40 = 7 GROUP BY 1, 2),
+    s AS (SELECT n.event_id, n.event_type, coalesce(r.enabled, true) AS sent FROM n ASOF LEFT JOIN r ON n.event_type = r.event_type AND n.ts >= r.valid_from)
+    SELECT event_id, event_type, channel FROM s, (SELECT unnest(['macos', 'telegram', 'discord']) AS channel) WHERE sent AND event_type <> 'on_other'""",
 )
 def l6(spark, sf):
-    """Each batch is routed with the rules as they stand when it starts."""
-    notices = _notices(spark, sf).withColumn("batch", c("event_id") % 3)
-    one_channel = _channels(spark).filter("channel = 'macos'")
-    versions = [{}, {"on_error": False}, {"on_error": False, "on_merge_complete": False}]
-    out = None
-    for batch, enabled in enumerate(versions):
-        active = _rules(spark, **enabled)
-        routed = R.route(notices.filter(c("batch") == batch), R.subscriptions(active, one_channel)).drop("channel")
-        out = routed if out is None else out.unionByName(routed)
-    return out
+    """Every fortieth event changes a rule; each event goes by the rules of its moment."""
+    events = V.load(spark, sf, "events")
+    changes = events.where("event_id % 40 = 7").selectExpr(
+        "event_id AS rule_id",
+        f"{_RULE_TYPE.format('div')} AS event_type",
+        "CASE WHEN event_id % 7 = 0 THEN NULL ELSE event_id % 3 > 0 END AS enabled",
+        "ts AS valid_from",
+    )
+    notices = events.selectExpr("event_id", f"{_TYPES_SQL} AS event_type", "ts AS at")
+    return R.route_as_of(notices, changes, _channels(spark)).drop("at")

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cliplake.operators.ordered import fused
+
 # Event types and the settings every channel needs.
 EVENT_TYPES = ("on_transcode_complete", "on_merge_complete", "on_upload_complete", "on_error")
 CHANNEL_SETTINGS = {
@@ -42,6 +44,26 @@ def route(events: DataFrame, subscribed: DataFrame) -> DataFrame:
     return events.join(subscribed, "event_type")
 
 
+def route_as_of(events: DataFrame, rule_log: DataFrame, channels: DataFrame) -> DataFrame:
+    """Events (event_id, event_type, at) routed by the rules as they stood at that moment.
+
+    ``rule_log`` holds changes (rule_id, event_type, enabled, valid_from). A change holds from its
+    moment on, also for events of that very moment; of changes at one moment the last by id
+    counts. A type is on before its first change and where a change says nothing. Changes
+    and events are read along time in one ordered scan, in range blocks, as there are
+    few types and each may have any number of events.
+    """
+    none = F.lit(None)
+    changes = rule_log.select(
+        "event_type", F.col("valid_from").alias("at"), F.lit(0).alias("kind"), F.col("rule_id").cast("bigint").alias("no"),
+        F.coalesce("enabled", F.lit(True)).alias("on"),
+    )
+    asked = events.select("event_type", "at", F.lit(1).alias("kind"), F.col("event_id").cast("bigint").alias("no"), none.cast("boolean").alias("on"))
+    known = fused(changes.unionByName(asked), ["event_type"], ["at", "kind", "no"], now=("last", F.col("on")))
+    sent = known.where(F.col("event_type").isin(*EVENT_TYPES) & (F.col("kind") == 1) & F.coalesce("now", F.lit(True)))
+    return sent.select(F.col("no").alias("event_id"), "event_type", "at").crossJoin(ready_channels(channels))  # four channels at most
+
+
 def outbox_writer(
     folder: str,
     read_rules: Callable[[], DataFrame],
