@@ -9,6 +9,7 @@ from cliplake.operators import sequences as E
 from cliplake.operators import state as K
 from cliplake.plans import views as V
 from cliplake.plans.registry import query, ts
+from cliplake.schemas import ALLOWED, PARENTS, PATH_COLUMNS, TABLES, UNIQUE_KEYS
 from cliplake.sources import inventory as INV
 from cliplake.sources import reports as R
 from cliplake.sources import snapshot as SNAP
@@ -35,33 +36,97 @@ def _tables(spark, sf):
     }
 
 
+# columns of every table as the views have them; t marks times, d doubles, in the order of the layout
+_COLUMNS = {
+    "projects": ("projects", "id name description created_at:t updated_at:t"),
+    "videos": ("videos", "id original_path creation_time:t duration_seconds:d device_model is_portrait"),
+    "transcoding_jobs": ("jobs", "id video_id temp_file_path status progress_percent started_at:t completed_at:t error_message created_at:t"),
+    "merge_jobs": ("merges", "id output_path video_ids status youtube_id title date total_duration_seconds:d total_size_bytes created_at:t"),
+    "split_jobs": ("splits", "id merge_job_id split_criterion output_files youtube_ids status created_at:t"),
+    "archive_history": ("archive_history", "id video_id operation original_path destination_path archived_at:t"),
+    "backup_history": ("backup_history", "id merge_job_id source_path remote source_type success error_message backed_up_at:t"),
+    "project_merge_jobs": ("links", "project_id merge_job_id added_at:t"),
+}
+
+
+def _fields(table):
+    return [f.partition(":")[::2] for f in _COLUMNS[table][1].split()]
+
+
+def _keyed(tables, *more):
+    """Every row of every table as one text of all its columns."""
+
+    def text(name, kind):
+        value = F.date_format(name, "yyyy-MM-dd HH:mm:ss.SSSSSS") if kind == "t" else F.round(c(name) * 1000).cast("bigint") if kind == "d" else c(name)
+        return F.coalesce(value.cast("string"), F.lit("~"))
+
+    out = None
+    for table, df in tables.items():
+        rows = df.select(F.lit(table).alias("tbl"), F.concat_ws("|", *[text(*f) for f in _fields(table)]).alias("row"), *more)
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def _keyed_sql(sources, **more):
+    """The same in SQL; ``sources`` gives what follows FROM, where it is not the whole view."""
+    parts = []
+    for table, (view, _) in _COLUMNS.items():
+        if sources.get(table, view) is None:
+            continue
+        texts = [f"coalesce(CAST({ts(n) if k == 't' else f'CAST(round({n} * 1000) AS BIGINT)' if k == 'd' else n} AS VARCHAR), '~')" for n, k in _fields(table)]
+        extra = "".join(f", {m[table]} AS {n}" for n, m in more.items())
+        parts.append(f"SELECT '{table}' AS tbl, concat_ws('|', {', '.join(texts)}) AS row{extra} FROM {sources.get(table, view)}")
+    return " UNION ALL ".join(parts)
+
+
 # ----------------------------------------------------------------------- A
-@query(
-    "A1_violations",
-    """SELECT 'projects' AS tbl, 'unique id' AS rule, count(*) AS offending FROM (SELECT id FROM projects GROUP BY 1 HAVING count(*) > 1)
-    UNION ALL SELECT 'projects', 'unique name', count(*) FROM (SELECT name FROM projects GROUP BY 1 HAVING count(*) > 1)
-    UNION ALL SELECT 'videos', 'unique id', count(*) FROM (SELECT id FROM videos GROUP BY 1 HAVING count(*) > 1)
-    UNION ALL SELECT 'videos', 'unique original_path', count(*) FROM (SELECT original_path FROM videos GROUP BY 1 HAVING count(*) > 1)
-    UNION ALL SELECT 'transcoding_jobs', 'unique id', count(*) FROM (SELECT id FROM jobs GROUP BY 1 HAVING count(*) > 1)
-    UNION ALL SELECT 'transcoding_jobs', 'allowed status', 0
-    UNION ALL SELECT 'transcoding_jobs', 'range progress_percent', count(*) FROM jobs WHERE progress_percent NOT BETWEEN 0 AND 100
-    UNION ALL SELECT 'merge_jobs', 'unique id', count(*) FROM (SELECT id FROM merges GROUP BY 1 HAVING count(*) > 1)
-    UNION ALL SELECT 'merge_jobs', 'allowed status', 0
-    UNION ALL SELECT 'split_jobs', 'unique id', 0 UNION ALL SELECT 'split_jobs', 'allowed status', 0 UNION ALL SELECT 'split_jobs', 'allowed split_criterion', 0
-    UNION ALL SELECT 'archive_history', 'unique id', count(*) FROM (SELECT id FROM archive_history GROUP BY 1 HAVING count(*) > 1)
-    UNION ALL SELECT 'archive_history', 'allowed operation', 0
-    UNION ALL SELECT 'backup_history', 'unique id', count(*) FROM (SELECT id FROM backup_history GROUP BY 1 HAVING count(*) > 1)
-    UNION ALL SELECT 'backup_history', 'allowed source_type', 0
-    UNION ALL SELECT 'project_merge_jobs', 'unique project_id,merge_job_id', 0
-    UNION ALL SELECT 'transcoding_jobs', 'parent video_id', count(*) FROM jobs WHERE video_id NOT IN (SELECT id FROM videos)
-    UNION ALL SELECT 'split_jobs', 'parent merge_job_id', count(*) FROM splits WHERE merge_job_id NOT IN (SELECT id FROM merges)
-    UNION ALL SELECT 'archive_history', 'parent video_id', count(*) FROM archive_history WHERE video_id NOT IN (SELECT id FROM videos)
-    UNION ALL SELECT 'backup_history', 'parent merge_job_id', count(*) FROM backup_history WHERE merge_job_id NOT IN (SELECT id FROM merges)
-    UNION ALL SELECT 'project_merge_jobs', 'parent project_id', count(*) FROM links WHERE project_id NOT IN (SELECT id FROM projects)
-    UNION ALL SELECT 'project_merge_jobs', 'parent merge_job_id', count(*) FROM links WHERE merge_job_id NOT IN (SELECT id FROM merges)""",
-)
+# what is wrong with the tables of A1: rows lost, rows met twice, values out of range
+_LOST = {"projects": "id % 25 = 0", "videos": "id % 20 = 0", "merge_jobs": "id % 33 = 0"}
+_TWICE = {
+    "projects": "id % 90 = 1", "videos": "id % 70 = 3", "transcoding_jobs": "id % 110 = 5", "merge_jobs": "id % 130 = 2", "split_jobs": "id % 60 = 4",
+    "archive_history": "id % 300 = 8", "backup_history": "id % 500 = 3", "project_merge_jobs": "merge_job_id % 150 = 6",
+}
+_WRONG = {
+    "transcoding_jobs": {"status": "CASE WHEN id % 100 = 0 THEN 'lost' ELSE status END", "progress_percent": "CASE WHEN id % 120 = 7 THEN 101 ELSE progress_percent END"},
+    "merge_jobs": {"status": "CASE WHEN id % 50 = 0 THEN 'merged' ELSE status END"},
+    "split_jobs": {"status": "CASE WHEN id % 40 = 1 THEN NULL ELSE status END", "split_criterion": "CASE WHEN id % 45 = 2 THEN 'bytes' ELSE split_criterion END"},
+    "archive_history": {"operation": "CASE WHEN id % 77 = 1 THEN 'copy' ELSE operation END"},
+    "backup_history": {"source_type": "CASE WHEN id % 88 = 2 THEN 'tape' ELSE source_type END"},
+}
+
+
+def _broken_sql():
+    out = []
+    for table, (view, _) in _COLUMNS.items():
+        new = ", ".join(f"{e} AS {n}" for n, e in _WRONG.get(table, {}).items())
+        kept = f"(SELECT * FROM {view} WHERE NOT ({_LOST[table]}))" if table in _LOST else view
+        out.append(f"b_{table} AS (SELECT *{f' REPLACE ({new})' if new else ''} FROM (SELECT * FROM {kept} UNION ALL SELECT * FROM {kept} WHERE {_TWICE[table]}))")
+    return ", ".join(out)
+
+
+def _rules_sql():
+    def row(table, rule, source):
+        return f"SELECT '{table}' AS tbl, '{rule}' AS rule, count(*) AS offending FROM {source}"
+
+    parts = []
+    for table, keys in UNIQUE_KEYS.items():
+        parts += [row(table, f"unique {','.join(k)}", f"(SELECT 1 FROM b_{table} WHERE {' AND '.join(f'{x} IS NOT NULL' for x in k)} GROUP BY {', '.join(k)} HAVING count(*) > 1)") for k in keys]
+    for (table, column), allowed in ALLOWED.items():
+        listed = ", ".join(f"'{x}'" for x in allowed)
+        parts.append(row(table, f"allowed {column}", f"b_{table} WHERE coalesce({column} NOT IN ({listed}), true)"))
+    parts.append(row("transcoding_jobs", "range progress_percent", "b_transcoding_jobs WHERE progress_percent NOT BETWEEN 0 AND 100"))
+    parts += [row(child, f"parent {column}", f"b_{child} WHERE {column} NOT IN (SELECT id FROM b_{parent})") for (child, column), parent in PARENTS.items()]
+    return f"WITH {_broken_sql()} " + " UNION ALL ".join(parts)
+
+
+@query("A1_violations", _rules_sql())
 def a1(spark, sf):
-    return T.violations(_tables(spark, sf))
+    """All rules on tables in which each of them is broken."""
+    broken = {}
+    for name, df in _tables(spark, sf).items():
+        kept = df.where(f"NOT ({_LOST[name]})") if name in _LOST else df
+        broken[name] = kept.unionByName(kept.where(_TWICE[name])).withColumns({n: F.expr(e) for n, e in _WRONG.get(name, {}).items()})
+    return T.violations(broken)
 
 
 @query(
@@ -106,28 +171,29 @@ def a4(spark, sf):
     return SNAP.manifest(_tables(spark, sf))
 
 
+# rows that the current catalogue lacks before the import, by table
+_LACKING = {
+    "projects": "id % 7 = 0", "videos": "device_model IS NULL", "transcoding_jobs": "id % 3 = 0", "merge_jobs": "id % 2 = 1",
+    "split_jobs": "id % 5 = 0", "archive_history": "id % 4 = 1", "backup_history": "id % 2 = 0", "project_merge_jobs": "project_id % 3 = 0",
+}
+_UNSENT = "device_model IS NULL AND original_path LIKE '%/ECONOMY/%'"
+
+
 @query(
     "A5_snapshot_import",
-    """SELECT 'projects' AS tbl, 0 AS inserted, count(*) AS total FROM projects
-    UNION ALL SELECT 'videos', (SELECT count(*) FROM videos WHERE device_model IS NULL AND original_path NOT LIKE '%/ECONOMY/%'), (SELECT count(*) FROM videos WHERE NOT (device_model IS NULL AND original_path LIKE '%/ECONOMY/%'))
-    UNION ALL SELECT 'merge_jobs', count(*) FILTER (id % 2 = 1), count(*) FROM merges""",
+    _keyed_sql({"videos": f"videos WHERE NOT ({_UNSENT})"}, inserted={t: f"({x})" for t, x in _LACKING.items()}),
 )
 def a5(spark, sf):
-    tables = {k: v for k, v in _tables(spark, sf).items() if k in ("projects", "videos", "merge_jobs")}
+    """All tables are imported into a catalogue that lacks some rows of each."""
+    tables = _tables(spark, sf)
     rows = SNAP.snapshot_rows(tables)
-    # the current catalogue lacks videos without a device and every other merge
-    current = {
-        "projects": tables["projects"],
-        "videos": tables["videos"].filter("device_model IS NOT NULL"),
-        "merge_jobs": tables["merge_jobs"].filter("id % 2 = 0"),
-    }
     merged = {}
-    for name in tables:
+    for name, df in tables.items():
         incoming = SNAP.table_from_rows(rows, name)
         if name == "videos":
-            incoming = incoming.filter("NOT (device_model IS NULL AND original_path LIKE '%/ECONOMY/%')")
-        merged[name] = SNAP.merge_table(current[name], incoming, name, None, None, False)
-    return SNAP.inserted_counts(merged)
+            incoming = incoming.filter(f"NOT ({_UNSENT})")
+        merged[name] = SNAP.merge_table(df.filter(f"NOT coalesce({_LACKING[name]}, false)"), incoming, name, None, None, False)
+    return _keyed(merged, "inserted")
 
 
 @query(
@@ -163,15 +229,16 @@ def a7(spark, sf):
 
 @query(
     "A7_project_detail",
-    """WITH j AS (SELECT l.project_id, l.merge_job_id, m.* FROM links l JOIN merges m ON m.id = l.merge_job_id)
+    """WITH j AS (SELECT l.project_id, l.merge_job_id, m.*, coalesce(date, '날짜 미상') AS day, (row_number() OVER (PARTITION BY project_id ORDER BY id) - 1) // 5 AS page,
+      (row_number() OVER (PARTITION BY project_id ORDER BY coalesce(date, '날짜 미상'), id) - 1) // 5 AS day_page FROM links l JOIN merges m ON m.id = l.merge_job_id)
     SELECT p.id AS project_id, 'summary' AS section, 0 AS part, CAST(json_object('id', p.id, 'name', p.name, 'total_count', count(j.id), 'uploaded_count', count(j.youtube_id), 'total_size_bytes', CAST(coalesce(sum(j.total_size_bytes), 0) AS BIGINT)) AS VARCHAR) AS body
       FROM projects p LEFT JOIN j ON j.project_id = p.id GROUP BY p.id, p.name
-    UNION ALL SELECT project_id, 'merge_jobs', merge_job_id // 1000000, '[' || string_agg(CAST(json_object('id', id, 'title', title, 'date', date, 'size_bytes', total_size_bytes, 'youtube_id', youtube_id, 'output_path', output_path) AS VARCHAR), ',' ORDER BY id) || ']' FROM j GROUP BY 1, 3
+    UNION ALL SELECT project_id, 'merge_jobs', page, '[' || string_agg(CAST(json_object('id', id, 'title', title, 'date', date, 'size_bytes', total_size_bytes, 'youtube_id', youtube_id, 'output_path', output_path) AS VARCHAR), ',' ORDER BY id) || ']' FROM j GROUP BY 1, 3
     UNION ALL SELECT project_id, 'date_groups', part, '{' || string_agg('"' || date || '":' || ids, ',' ORDER BY date) || '}' FROM
-      (SELECT project_id, coalesce(date, '날짜 미상') AS date, merge_job_id // 1000000 AS part, '[' || string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) || ']' AS ids FROM j GROUP BY 1, 2, 3) GROUP BY 1, 3""",
+      (SELECT project_id, day AS date, day_page AS part, '[' || string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) || ']' AS ids FROM j GROUP BY 1, 2, 3) GROUP BY 1, 3""",
 )
 def a7d(spark, sf):
-    return R.project_detail_json(V.projects(spark, sf), V.links(spark, sf), V.merges(spark, sf))
+    return R.project_detail_json(V.projects(spark, sf), V.links(spark, sf), V.merges(spark, sf), per_document=5)
 
 
 # ----------------------------------------------------------------------- G
@@ -199,20 +266,22 @@ def g1(spark, sf):
     return K.backup_targets(outputs, splits, lapses, inventory, originals)
 
 
-@query(
-    "G2s_snapshot_rows",
-    """SELECT 'projects' AS tbl, CAST(json_object('id', id, 'name', name) AS VARCHAR) AS row FROM projects
-    UNION ALL SELECT 'merge_jobs', CAST(json_object('id', id, 'output_path', output_path, 'youtube_id', youtube_id) AS VARCHAR) FROM merges
-    UNION ALL SELECT 'backup_history', CAST(json_object('id', id, 'source_path', source_path, 'success', success) AS VARCHAR) FROM backup_history""",
-)
+def _json_sql():
+    parts = []
+    for table, (view, _) in _COLUMNS.items():
+        have = dict(_fields(table))
+        pairs = []
+        for column in (f.split()[0] for f in TABLES[table].split(", ")):
+            value = "NULL" if column not in have else f"strftime({column}, '%Y-%m-%dT%H:%M:%S.%f')" if have[column] == "t" else column
+            pairs.append(f"'{column}', {value}")
+        parts.append(f"SELECT '{table}' AS tbl, CAST(json_object({', '.join(pairs)}) AS VARCHAR) AS row FROM {view}")
+    return " UNION ALL ".join(parts)
+
+
+@query("G2s_snapshot_rows", _json_sql())
 def g2(spark, sf):
-    return SNAP.snapshot_rows(
-        {
-            "projects": V.projects(spark, sf).select("id", "name"),
-            "merge_jobs": V.merges(spark, sf).select("id", "output_path", "youtube_id"),
-            "backup_history": V.backup_history(spark, sf).select("id", "source_path", "success"),
-        }
-    )
+    """Every column of every row of every table."""
+    return SNAP.snapshot_rows(_tables(spark, sf))
 
 
 @query(
@@ -330,46 +399,32 @@ def k6(spark, sf):
     return out.select("id", "status", "progress_percent", "error_message", "started_at", "completed_at")
 
 
-def _sizes(tables):
-    out = None
-    for name, df in tables.items():
-        key = "merge_job_id" if name == "project_merge_jobs" else "id"
-        row = df.agg(F.lit(name).alias("tbl"), F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(key), F.lit(0)).alias("id_sum"))
-        out = row if out is None else out.unionByName(row)
-    return out
-
-
-def _sizes_sql(parts):
-    return " UNION ALL ".join(
-        f"SELECT '{name}' AS tbl, count(*) AS rows, CAST(coalesce(sum({key}), 0) AS BIGINT) AS id_sum FROM {src}" for name, src, key in parts
-    )
-
-
 @query(
     "K7_cascade_delete",
     """WITH dv AS (SELECT id FROM videos WHERE device_model IS NULL), dm AS (SELECT id FROM merges WHERE status = 'failed'), dp AS (SELECT c_custkey AS id FROM customer WHERE c_acctbal < 0) """
-    + _sizes_sql(
-        [
-            ("projects", "projects WHERE id NOT IN (SELECT id FROM dp)", "id"),
-            ("videos", "videos WHERE id NOT IN (SELECT id FROM dv)", "id"),
-            ("transcoding_jobs", "jobs WHERE video_id NOT IN (SELECT id FROM dv)", "id"),
-            ("merge_jobs", "merges WHERE id NOT IN (SELECT id FROM dm)", "id"),
-            ("split_jobs", "splits WHERE merge_job_id NOT IN (SELECT id FROM dm)", "id"),
-            ("archive_history", "archive_history WHERE video_id NOT IN (SELECT id FROM dv)", "id"),
-            ("backup_history", "backup_history WHERE merge_job_id NOT IN (SELECT id FROM dm)", "id"),
-            ("project_merge_jobs", "links WHERE merge_job_id NOT IN (SELECT id FROM dm) AND project_id NOT IN (SELECT id FROM dp)", "merge_job_id"),
-        ]
+    + _keyed_sql(
+        {
+            "projects": "projects WHERE id NOT IN (SELECT id FROM dp)",
+            "videos": "videos WHERE id NOT IN (SELECT id FROM dv)",
+            "transcoding_jobs": "jobs WHERE video_id NOT IN (SELECT id FROM dv)",
+            "merge_jobs": "merges WHERE id NOT IN (SELECT id FROM dm)",
+            "split_jobs": "splits WHERE merge_job_id NOT IN (SELECT id FROM dm)",
+            "archive_history": "archive_history WHERE video_id NOT IN (SELECT id FROM dv)",
+            "backup_history": "backup_history WHERE merge_job_id NOT IN (SELECT id FROM dm)",
+            "project_merge_jobs": "links WHERE merge_job_id NOT IN (SELECT id FROM dm) AND project_id NOT IN (SELECT id FROM dp)",
+        }
     ),
 )
 def k7(spark, sf):
     tables = _tables(spark, sf)
-    gone = K.cascade_delete(
-        tables,
-        videos=tables["videos"].filter("device_model IS NULL").select("id"),
-        merge_jobs=tables["merge_jobs"].filter("status = 'failed'").select("id"),
-        projects=V.load(spark, sf, "customer").filter("c_acctbal < 0").select(c("c_custkey").alias("id")),
+    return _keyed(
+        K.cascade_delete(
+            tables,
+            videos=tables["videos"].filter("device_model IS NULL").select("id"),
+            merge_jobs=tables["merge_jobs"].filter("status = 'failed'").select("id"),
+            projects=V.load(spark, sf, "customer").filter("c_acctbal < 0").select(c("c_custkey").alias("id")),
+        )
     )
-    return _sizes(gone)
 
 
 @query(
@@ -377,19 +432,22 @@ def k7(spark, sf):
     """WITH p AS (SELECT DISTINCT output_path FROM merges WHERE youtube_id IS NOT NULL), hit AS (SELECT * FROM merges WHERE output_path IN (SELECT output_path FROM p)),
     nw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY output_path ORDER BY created_at DESC, id DESC) AS r FROM hit) WHERE r = 1),
     dv AS (SELECT DISTINCT unnest(CAST(json_extract(video_ids, '$') AS BIGINT[])) AS id FROM nw WHERE json_valid(video_ids)) """
-    + _sizes_sql(
-        [
-            ("videos", "videos WHERE id NOT IN (SELECT id FROM dv)", "id"),
-            ("transcoding_jobs", "jobs WHERE video_id NOT IN (SELECT id FROM dv)", "id"),
-            ("merge_jobs", "merges WHERE id NOT IN (SELECT id FROM hit)", "id"),
-            ("split_jobs", "splits WHERE merge_job_id NOT IN (SELECT id FROM hit)", "id"),
-        ]
+    + _keyed_sql(
+        {
+            "videos": "videos WHERE id NOT IN (SELECT id FROM dv)",
+            "transcoding_jobs": "jobs WHERE video_id NOT IN (SELECT id FROM dv)",
+            "merge_jobs": "merges WHERE id NOT IN (SELECT id FROM hit)",
+            "split_jobs": "splits WHERE merge_job_id NOT IN (SELECT id FROM hit)",
+            "archive_history": "archive_history WHERE video_id NOT IN (SELECT id FROM dv)",
+            "backup_history": "backup_history WHERE merge_job_id NOT IN (SELECT id FROM hit)",
+            "project_merge_jobs": "links WHERE merge_job_id NOT IN (SELECT id FROM hit)",
+        }
     ),
 )
 def k8(spark, sf):
-    tables = {k: v for k, v in _tables(spark, sf).items() if k in ("videos", "transcoding_jobs", "merge_jobs", "split_jobs")}
+    tables = _tables(spark, sf)
     paths = tables["merge_jobs"].filter("youtube_id IS NOT NULL").select("output_path")
-    return _sizes(K.reset_build(tables, paths))
+    return _keyed(K.reset_build(tables, paths))
 
 
 @query(
@@ -426,20 +484,28 @@ def k9s(spark, sf):
     return K.append_split_uploads(splits, uploads).select("id", "youtube_ids")
 
 
-@query(
-    "K10_rewrite_paths",
-    """SELECT 'videos' AS tbl, id, replace(original_path, '/media', '/vol/new') AS path FROM videos UNION ALL SELECT 'split_jobs', id, CASE WHEN json_valid(output_files) THEN replace(output_files, '/out', '/vol/out') ELSE output_files END FROM splits
-    UNION ALL SELECT 'archive_history', id, replace(original_path, '/m', '/m/m') || '|' || coalesce(replace(destination_path, '/m', '/m/m'), '') FROM archive_history""",
-)
+# what is replaced by what in the paths of each table
+_MOVED = {
+    "videos": ("/media", "/vol/new"), "transcoding_jobs": ("/work", "/w/work"), "merge_jobs": ("/out", "/o"),
+    "split_jobs": ("/out", "/vol/out"), "archive_history": ("/m", "/m/m"), "backup_history": ("/out/", "/b/"),
+}
+
+
+def _moved_sql():
+    sources = {t: None for t in _COLUMNS}
+    for table, (old, new) in _MOVED.items():
+        changed = [
+            f"CASE WHEN json_valid({x}) THEN replace({x}, '{old}', '{new}') ELSE {x} END AS {x}" if x == "output_files" else f"replace({x}, '{old}', '{new}') AS {x}"
+            for x in PATH_COLUMNS[table]
+        ]
+        sources[table] = f"(SELECT * REPLACE ({', '.join(changed)}) FROM {_COLUMNS[table][0]})"
+    return _keyed_sql(sources)
+
+
+@query("K10_rewrite_paths", _moved_sql())
 def k10(spark, sf):
-    videos = K.rewrite_paths(V.videos(spark, sf), "videos", "/media", "/vol/new")
-    splits = K.rewrite_paths(V.splits(spark, sf), "split_jobs", "/out", "/vol/out")
-    archive = K.rewrite_paths(V.archive_history(spark, sf), "archive_history", "/m", "/m/m")
-    return (
-        videos.select(F.lit("videos").alias("tbl"), "id", c("original_path").alias("path"))
-        .union(splits.select(F.lit("split_jobs"), "id", "output_files"))
-        .union(archive.select(F.lit("archive_history"), "id", F.concat("original_path", F.lit("|"), F.coalesce("destination_path", F.lit("")))))
-    )
+    tables = _tables(spark, sf)
+    return _keyed({name: K.rewrite_paths(tables[name], name, old, new) for name, (old, new) in _MOVED.items()})
 
 
 # incoming videos: known ids with known or new paths, and new ids with known or new paths

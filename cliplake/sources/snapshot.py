@@ -13,12 +13,16 @@ from pyspark.sql import functions as F
 from cliplake.operators.state import conform, rewrite_paths, upsert
 from cliplake.schemas import FORMAT_VERSION, IMPORT_ORDER, UNIQUE_KEYS, schema
 
+# the default format would cut times to milliseconds
+TIMES = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
 
 def snapshot_rows(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """(tbl, row) for all tables in dependency order; absent tables simply add nothing."""
+    """(tbl, row) for all tables in dependency order, with every column of the layout; absent
+    tables simply add nothing. Times keep their microseconds."""
     parts = [
-        tables[name].select(
-            F.lit(name).alias("tbl"), F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("row")
+        conform(tables[name], name).select(
+            F.lit(name).alias("tbl"), F.to_json(F.struct("*"), {"ignoreNullFields": "false", **TIMES}).alias("row")
         )
         for name in IMPORT_ORDER
         if name in tables
@@ -27,7 +31,7 @@ def snapshot_rows(tables: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def table_from_rows(rows: DataFrame, table: str) -> DataFrame:
-    parsed = F.from_json("row", schema(table))
+    parsed = F.from_json("row", schema(table), TIMES)
     return rows.filter(F.col("tbl") == table).select(parsed.alias("r")).select("r.*")
 
 
@@ -59,7 +63,9 @@ def export_snapshot(
     for name in IMPORT_ORDER:
         df = conform(tables.get(name), name, spark)
         seen = Observation(f"rows_{name}")
-        df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("errorifexists").json(f"{folder}/{name}")
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("errorifexists").options(**TIMES).json(
+            f"{folder}/{name}"
+        )
         counts[name] = int(seen.get["n"])
     when = (exported_at or datetime.now(timezone.utc)).isoformat()
     header = {"format_version": FORMAT_VERSION, "exported_at": when, "tables": counts}
@@ -97,7 +103,7 @@ def import_snapshot(
     read_header(spark, folder)
     out = {}
     for name in IMPORT_ORDER:
-        rows = spark.read.schema(schema(name)).json(f"{folder}/{name}")
+        rows = spark.read.schema(schema(name)).options(**TIMES).json(f"{folder}/{name}")
         out[name] = merge_table(current.get(name), rows, name, src, dst, replace)
     return out
 
