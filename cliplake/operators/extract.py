@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cliplake.functions.labels import clock_label, subtitle_clock
+from cliplake.functions.labels import clock_label, file_name, file_stem, file_suffix, parent_folder, size_label, subtitle_clock
 from cliplake.functions.media import is_portrait, progress_percent
 from cliplake.functions.predicates import needs_device_scan
 from cliplake.functions.specs import frame_rate
@@ -21,8 +21,9 @@ from cliplake.operators.sequences import (
     device_line,
     number_subtitles,
     silence_pairs,
+    timeline,
 )
-from cliplake.operators.state import CLIPS_PER_DOCUMENT
+from cliplake.operators.state import CLIPS_PER_DOCUMENT, merge_records
 
 # Layout of the probe output, tag names, patterns and maker names.
 STREAMS = (
@@ -579,6 +580,80 @@ def descriptions(clips: DataFrame) -> DataFrame:
     return pack_lines(lines, ["merge_id"], ["block", "pos"], tail=_device_tail())
 
 
+# Headings and phrases of the summary document.
+SUMMARY_LABELS = {"date": "**촬영일**: ", "length": "**총 길이**: ", "size": "**파일 크기**: ", "name": "**파일명**: "}
+SUMMARY_CHAPTERS = ("", "## YouTube 챕터", "", "```")
+SUMMARY_CLIPS = ("```", "", "## 클립 목록", "", "| # | 클립명 | 길이 | 시작 시간 |", "|---|--------|------|-----------|")
+SUMMARY_TEMPLATE = ("", "## YouTube 설명 템플릿", "", "```")
+SUMMARY_SENTENCE = ("에 촬영한 ", " 영상입니다.")
+SUMMARY_PLACES = ("", "📍 장소: ", "📷 장비: ", "", "⏱️ 타임라인")
+SUMMARY_END = ("", "#vlog #여행 #일상", "```")
+
+
+def summary_documents(outputs: DataFrame, clips: DataFrame) -> DataFrame:
+    """The summary of every output (merge_id, title, date, size_bytes, output_path) as a document.
+
+    Title, date (unless there is none), length, size and name; chapters, one per clip; the
+    table of clips; a template of a description with the chapters once more. Outputs
+    without clips have empty lists. Documents are packed as in :func:`pack_lines`.
+    """
+    sums = clips.groupBy("merge_id").agg(F.sum("duration").alias("length"))
+    known = outputs.select("merge_id", "title", F.nullif("date", F.lit("")).alias("date"), "size_bytes", "output_path")
+    known = known.join(sums, "merge_id", "left")
+    label = {k: F.lit(v) for k, v in SUMMARY_LABELS.items()}
+    fixed = lambda texts: [F.lit(t) for t in texts]
+    about, ending = (F.lit(t) for t in SUMMARY_SENTENCE)
+    head = [
+        F.concat(F.lit("# "), "title"), F.lit(""),
+        F.concat(label["date"], "date"),
+        F.concat(label["length"], clock_label(F.coalesce("length", F.lit(0.0)), half_even=True)),
+        F.concat(label["size"], size_label(F.col("size_bytes"))),
+        F.concat(label["name"], file_name(F.col("output_path"))),
+        *fixed(SUMMARY_CHAPTERS),
+    ]
+    sentence = F.coalesce(F.concat("date", about, "title", ending), F.concat("title", ending))
+    blocks = {0: head, 2: fixed(SUMMARY_CLIPS), 4: [*fixed(SUMMARY_TEMPLATE), sentence, *fixed(SUMMARY_PLACES)], 6: fixed(SUMMARY_END)}
+    frame = [
+        known.select("merge_id", F.lit(block).alias("block"), F.posexplode(F.array_compact(F.array(*texts))).alias("pos", "line"))
+        for block, texts in blocks.items()
+    ]
+    laid = timeline(clips, ["merge_id"]).join(known.select("merge_id"), "merge_id", "left_semi")
+    start, name = clock_label(F.col("start_s"), half_even=True), file_stem(F.col("name"))
+    chapter = F.concat(start, F.lit(" "), name)
+    row = F.concat_ws(" | ", F.concat(F.lit("| "), "position"), name, clock_label(F.col("duration"), half_even=True), F.concat(start, F.lit(" |")))
+    kinds = F.array(*[F.struct(F.lit(b).alias("block"), line.alias("line")) for b, line in ((1, chapter), (3, row), (5, chapter))])
+    listed = laid.select("merge_id", "position", F.inline(kinds)).select("merge_id", "block", F.col("position").alias("pos"), "line")
+    lines = listed
+    for part in frame:
+        lines = lines.unionByName(part.withColumn("pos", F.col("pos").cast("bigint")))
+    return pack_lines(lines, ["merge_id"], ["block", "pos"])
+
+
+def merge_jobs(outputs: DataFrame, clips: DataFrame) -> DataFrame:
+    """Rows to be stored for finished merges (merge_id, output_path, target, size_bytes, date).
+
+    The title is the folder of the first target (itself, if it is no file), or the stem of
+    the output where that has no name; a size that is not known is 0. Lists and the
+    description come in parts as in :func:`merge_records`, all else stands in every part.
+    """
+    target = F.col("target")
+    folder = F.when(file_suffix(target) != "", parent_folder(target)).otherwise(file_name(target))
+    named = F.coalesce(F.when(~folder.isin("", "."), folder), file_stem(F.col("output_path")))
+    title = F.when(target.isNotNull(), named)
+    about = outputs.select("merge_id", "output_path", title.alias("title"), "date", F.coalesce("size_bytes", F.lit(0)).cast("bigint").alias("total_size_bytes"))
+    texts = descriptions(clips).withColumnRenamed("body", "summary_markdown")
+    return (
+        merge_records(clips)
+        .join(about, "merge_id")
+        .join(texts, ["merge_id", "part"], "left")
+        .select(
+            "merge_id", "part", "output_path", "video_ids", "title", "date",
+            F.col("total_duration").alias("total_duration_seconds"), "total_size_bytes", "clips_info_json",
+            F.coalesce("summary_markdown", F.lit("")).alias("summary_markdown"),
+        )
+    )
+
+
 def part_descriptions(parts: DataFrame, clips: DataFrame) -> DataFrame:
     """Description per split part, from its chapters (merge_id, part_no, run, clock, title)."""
     lines = parts.select("merge_id", "part_no", "run", F.concat("clock", F.lit(" "), "title").alias("line"))

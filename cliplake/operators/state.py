@@ -564,14 +564,15 @@ def append_backups(history: DataFrame, results: DataFrame, now: Column) -> DataF
 def merge_records(
     clips: DataFrame, clips_per_row: int = CLIPS_PER_DOCUMENT
 ) -> DataFrame:
-    """Totals and timeline JSON per merge from its clips (merge_id, position, ...).
+    """Totals, timeline and video id JSON per merge from its clips (merge_id, position, video_id, ...).
 
-    The timeline is a table of parts of ``clips_per_row`` clips, numbered from 0; every
+    The lists are a table of parts of ``clips_per_row`` clips, numbered from 0; every
     part carries the totals of the whole merge.
     """
     laid = timeline(clips, ["merge_id"])
     item = F.struct(
         "position",
+        "video_id",
         F.struct("name", "duration", F.col("start_s").alias("start"), F.col("end_s").alias("end"), "device", "shot_time").alias("clip"),
     )
     part = F.floor((F.col("position") - 1) / clips_per_row).cast("bigint")
@@ -585,6 +586,7 @@ def merge_records(
         "clip_count",
         "total_duration",
         F.to_json(F.transform("items", lambda x: x["clip"]), {"ignoreNullFields": "false"}).alias("clips_info_json"),
+        F.to_json(F.transform("items", lambda x: x["video_id"])).alias("video_ids"),
     )
 
 

@@ -268,6 +268,25 @@ def i11d(spark, sf):
     return I.descriptions(V.clips(spark, sf))
 
 
+_SUMMARY_SIZE = """CASE WHEN total_size_bytes < 1024 THEN total_size_bytes || ' B' WHEN total_size_bytes < 1024^2 THEN printf('%.1f', total_size_bytes / 1024) || ' KB' WHEN total_size_bytes < 1024^3 THEN printf('%.1f', total_size_bytes / 1024^2) || ' MB' ELSE printf('%.1f', total_size_bytes / 1024^3) || ' GB' END"""
+
+
+@query(
+    "I11_summary_document",
+    f"""WITH t AS (SELECT merge_id, position, replace(name, '.mp4', '') AS stem, duration, coalesce(sum(duration) OVER (PARTITION BY merge_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM clips),
+    g AS (SELECT merge_id, string_agg({clock_sql('s')} || ' ' || stem || {_NL}, '' ORDER BY position) AS ch,
+      string_agg('| ' || position || ' | ' || stem || ' | ' || {clock_sql('duration')} || ' | ' || {clock_sql('s')} || ' |' || {_NL}, '' ORDER BY position) AS tab, sum(duration) AS total FROM t GROUP BY 1)
+    SELECT id AS merge_id, 0 AS part, concat('# ', title, {_NL}, {_NL}, CASE WHEN date IS NOT NULL THEN '**촬영일**: ' || date || {_NL} END, '**총 길이**: ', {clock_sql('coalesce(total, 0)')}, {_NL},
+      '**파일 크기**: ', {_SUMMARY_SIZE}, {_NL}, '**파일명**: ', regexp_extract(output_path, '[^/]*$'), {_NL}, {_NL}, '## YouTube 챕터', {_NL}, {_NL}, '```', {_NL}, ch, '```', {_NL}, {_NL},
+      '## 클립 목록', {_NL}, {_NL}, '| # | 클립명 | 길이 | 시작 시간 |', {_NL}, '|---|--------|------|-----------|', {_NL}, tab, {_NL}, '## YouTube 설명 템플릿', {_NL}, {_NL}, '```', {_NL},
+      CASE WHEN date IS NOT NULL THEN date || '에 촬영한 ' END, title, ' 영상입니다.', {_NL}, {_NL}, '📍 장소: ', {_NL}, '📷 장비: ', {_NL}, {_NL}, '⏱️ 타임라인', {_NL}, ch, {_NL}, '#vlog #여행 #일상', {_NL}, '```') AS body
+    FROM merges LEFT JOIN g ON g.merge_id = id""",
+)
+def i11doc(spark, sf):
+    outputs = V.merges(spark, sf).select(c("id").alias("merge_id"), "title", "date", c("total_size_bytes").alias("size_bytes"), "output_path")
+    return I.summary_documents(outputs, V.clips(spark, sf))
+
+
 @query(
     "I11_part_description",
     f"""WITH {runs_sql()}, {PARTS_SQL}, {_DEV}, o AS (SELECT l.merge_id, l.run, p.part_no, {clock_sql('greatest(0, l.start_s - p.ps)')} || ' ' || replace(l.name, '.mp4', '') AS line

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cliplake.operators import catalog as C
+from cliplake.operators import extract as I
 from cliplake.operators import sequences as E
 from cliplake.operators import state as K
 from cliplake.plans import views as V
+from cliplake.plans.queries_sequences import clock_sql, runs_sql
 from cliplake.plans.registry import query, ts
 from cliplake.schemas import ALLOWED, PARENTS, PATH_COLUMNS, TABLES, UNIQUE_KEYS
 from cliplake.sources import inventory as INV
@@ -690,12 +692,37 @@ def k15(spark, sf):
 @query(
     "K16_merge_records",
     """WITH t AS (SELECT *, coalesce(sum(duration) OVER (PARTITION BY merge_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS s, count(*) OVER (PARTITION BY merge_id) AS n, sum(duration) OVER (PARTITION BY merge_id) AS total FROM clips)
-    SELECT merge_id, (position - 1) // 1000 AS part, any_value(n) AS clip_count, any_value(total) AS total_duration, '[' || string_agg(CAST(json_object('name', name, 'duration', duration, 'start', s, 'end', s + duration, 'device', device, 'shot_time', shot_time) AS VARCHAR), ',' ORDER BY position) || ']' AS clips_info_json FROM t GROUP BY 1, 2""",
+    SELECT merge_id, (position - 1) // 1000 AS part, any_value(n) AS clip_count, any_value(total) AS total_duration, '[' || string_agg(CAST(json_object('name', name, 'duration', duration, 'start', s, 'end', s + duration, 'device', device, 'shot_time', shot_time) AS VARCHAR), ',' ORDER BY position) || ']' AS clips_info_json,
+      '[' || string_agg(video_id, ',' ORDER BY position) || ']' AS video_ids FROM t GROUP BY 1, 2""",
 )
 def k16(spark, sf):
     return K.merge_records(V.clips(spark, sf))
 
 
+@query(
+    "K16_merge_jobs",
+    f"""WITH {runs_sql()}, t AS (SELECT *, coalesce(sum(duration) OVER (PARTITION BY merge_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS s, sum(duration) OVER (PARTITION BY merge_id) AS total FROM clips),
+    j AS (SELECT merge_id, any_value(total) AS total, '[' || string_agg(CAST(json_object('name', name, 'duration', duration, 'start', s, 'end', s + duration, 'device', device, 'shot_time', shot_time) AS VARCHAR), ',' ORDER BY position) || ']' AS clips_info_json,
+      '[' || string_agg(video_id, ',' ORDER BY position) || ']' AS video_ids FROM t GROUP BY 1),
+    h AS (SELECT merge_id, string_agg({clock_sql('start_s')} || ' ' || replace(name, '.mp4', ''), chr(10) ORDER BY run) AS body FROM laid GROUP BY 1),
+    dev AS (SELECT merge_id, string_agg(device, ', ' ORDER BY pos) AS devices FROM (SELECT merge_id, device, min(position) AS pos FROM clips WHERE coalesce(device, '') <> '' GROUP BY 1, 2) GROUP BY 1)
+    SELECT j.merge_id, 0 AS part, output_path, j.video_ids, CASE m.id % 4 WHEN 0 THEN 'Trip ' || (m.id % 50) WHEN 1 THEN 'day' || (m.id % 9) WHEN 2 THEN regexp_extract(output_path, '([^/]*)[.]mp4$', 1) END AS title,
+      strftime(m.created_at, '%Y-%m-%d') AS date, total AS total_duration_seconds, CASE WHEN m.id % 6 = 0 THEN 0 ELSE m.total_size_bytes END AS total_size_bytes, clips_info_json,
+      h.body || CASE WHEN devices IS NULL THEN '' ELSE chr(10) || chr(10) || '이 영상은 ' || devices || '로 촬영됨' END AS summary_markdown
+    FROM j JOIN merges m ON m.id = j.merge_id JOIN h ON h.merge_id = j.merge_id LEFT JOIN dev ON dev.merge_id = j.merge_id""",
+)
+def k16m(spark, sf):
+    """Folders, files and nameless folders as targets; some outputs without a size."""
+    outputs = V.merges(spark, sf).selectExpr(
+        "id AS merge_id",
+        "output_path",
+        "CASE id % 4 WHEN 0 THEN concat('/m/Trip ', id % 50) WHEN 1 THEN concat('/m/day', id % 9, '/a.mov') WHEN 2 THEN 'a.mov' END AS target",
+        "CASE WHEN id % 6 > 0 THEN total_size_bytes END AS size_bytes",
+        "date_format(created_at, 'yyyy-MM-dd') AS date",
+    )
+    return I.merge_jobs(outputs, V.clips(spark, sf))
+
+
 @query(
     "K17_split_plan",
     """WITH m AS (SELECT id, total_duration_seconds AS t, CASE WHEN id % 10 = 0 THEN 0 ELSE 8000000 END AS br, CASE WHEN id % 3 = 0 THEN 3600 WHEN id % 7 = 0 THEN 5400 END AS d, CASE WHEN id % 2 = 0 THEN 2147483648 END AS sz FROM merges),
