@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cliplake.functions.labels import UNTRACKED, capture_date, device_label
@@ -90,6 +90,19 @@ def lookup(df: DataFrame, order: Sequence[Column] = (), **equals: object) -> Dat
     return df.orderBy(*order) if order else df
 
 
+def lookup_many(df: DataFrame, wanted: DataFrame, on: str, order: Sequence[Column] = ()) -> DataFrame:
+    """Rows whose ``on`` is among the wanted values, with their ``place`` per value.
+
+    ``wanted`` has one column; repeats and nulls ask nothing. Without an order every row has
+    place 1. The answer to many single lookups, as one join.
+    """
+    asked = wanted.select(F.col(wanted.columns[0]).alias(on)).dropna().distinct()
+    found = df.join(asked, on, "left_semi")
+    if not order:
+        return found.withColumn("place", F.lit(1))
+    return found.withColumn("place", F.row_number().over(Window.partitionBy(on).orderBy(*order)))
+
+
 def newest_per(df: DataFrame, key: str) -> DataFrame:
     return top_rows(df, [key], newest())
 

@@ -125,6 +125,15 @@ def dashboard(
     )
 
 
+def dashboard_devices(videos: DataFrame, period: str | None = None) -> DataFrame:
+    """The device list of the dashboard: (place, device, cnt), most videos first, then by name.
+
+    A row for each device, as a list in one row would grow with the table.
+    """
+    counted = device_distribution(videos, period).withColumn("__less", -F.col("cnt"))
+    return number_rows(counted, [], ["__less", "device"], None, "place").select("place", "device", "cnt")
+
+
 def project_rollup(projects: DataFrame, links: DataFrame, merges: DataFrame) -> DataFrame:
     """Counts, length, size and uploads per project; empty projects stay.
 

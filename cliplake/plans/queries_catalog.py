@@ -140,6 +140,58 @@ def b10n(spark, sf):
     )
 
 
+_ASKED = "SELECT event_id * 7 % 5000 AS k FROM events WHERE event_id % 5 = 0"
+_ASKED_NAMES = """SELECT 'Customer#' || lpad(CAST(event_id % 900 AS VARCHAR), 9, '0') AS k FROM events WHERE event_id % 5 = 0"""
+
+
+def _asked(spark, sf, key="event_id * 7 % 5000"):
+    return V.load(spark, sf, "events").where("event_id % 5 = 0").selectExpr(f"{key} AS k")
+
+
+@query("B10_video_by_id", f"SELECT id, original_path, device_model FROM videos WHERE id IN ({_ASKED})")
+def b10v(spark, sf):
+    return C.lookup_many(V.videos(spark, sf), _asked(spark, sf), "id").select("id", "original_path", "device_model")
+
+
+@query("B10_video_by_path", f"SELECT id, original_path FROM videos WHERE original_path IN (SELECT original_path FROM videos WHERE id IN ({_ASKED}))")
+def b10p(spark, sf):
+    videos = V.videos(spark, sf)
+    paths = videos.join(_asked(spark, sf), F.col("id") == F.col("k"), "left_semi").select("original_path")
+    return C.lookup_many(videos, paths, "original_path").select("id", "original_path")
+
+
+@query("B10_project_by_name", f"SELECT id, name FROM projects WHERE name IN ({_ASKED_NAMES})")
+def b10m(spark, sf):
+    names = _asked(spark, sf, "concat('Customer#', lpad(event_id % 900, 9, '0'))")
+    return C.lookup_many(V.projects(spark, sf), names, "name").select("id", "name")
+
+
+@query("B10_splits_of_merge", f"SELECT merge_job_id, id, status, row_number() OVER (PARTITION BY merge_job_id ORDER BY id) AS place FROM splits WHERE merge_job_id IN ({_ASKED})")
+def b10s(spark, sf):
+    found = C.lookup_many(V.splits(spark, sf), _asked(spark, sf), "merge_job_id", [F.col("id")])
+    return found.select("merge_job_id", "id", "status", "place")
+
+
+@query(
+    "B10_archive_of_video",
+    f"SELECT video_id, id, operation, row_number() OVER (PARTITION BY video_id ORDER BY archived_at DESC, id DESC) AS place FROM archive_history WHERE video_id IN ({_ASKED})",
+)
+def b10a(spark, sf):
+    order = [F.desc("archived_at"), F.desc("id")]
+    found = C.lookup_many(V.archive_history(spark, sf), _asked(spark, sf), "video_id", order)
+    return found.select("video_id", "id", "operation", "place")
+
+
+@query(
+    "B10_backups_of_merge",
+    f"SELECT merge_job_id, id, success, row_number() OVER (PARTITION BY merge_job_id ORDER BY backed_up_at DESC, id DESC) AS place FROM backup_history WHERE merge_job_id IN ({_ASKED})",
+)
+def b10b(spark, sf):
+    order = [F.desc("backed_up_at"), F.desc("id")]
+    found = C.lookup_many(V.backup_history(spark, sf), _asked(spark, sf), "merge_job_id", order)
+    return found.select("merge_job_id", "id", "success", "place")
+
+
 @query(
     "B11_upload_limits",
     """WITH m AS (SELECT id, total_size_bytes * 700 AS size, CASE WHEN id % 10 = 0 THEN 0.0 ELSE total_duration_seconds END AS dur FROM merges),
@@ -418,6 +470,15 @@ def d12a(spark, sf):
     )
 
 
+@query(
+    "D12_dashboard_devices",
+    """SELECT row_number() OVER (ORDER BY cnt DESC, device) AS place, device, cnt FROM
+    (SELECT coalesce(device_model, '미상') AS device, count(*) AS cnt FROM videos WHERE creation_time < TIMESTAMP '2024-02-01' GROUP BY 1)""",
+)
+def d12d(spark, sf):
+    return D.dashboard_devices(V.videos(spark, sf), "2024-01")
+
+
 @query(
     "D13_table_counts",
     """SELECT (SELECT count(*) FROM videos) AS videos, (SELECT count(*) FROM merges) AS merges,
