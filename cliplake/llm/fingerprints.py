@@ -193,6 +193,11 @@ def next_ids(docs: DataFrame) -> DataFrame:
     return chained.select("id", F.col("n.id").alias("next_id"), F.col("n.key").alias("next_key"), "need")
 
 
+def _key(id_col: str) -> Column:
+    """An id as a join key that is never null."""
+    return F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, next_fingerprint)``, a row
     for each row of ``docs``; fingerprints are bigints.
@@ -206,19 +211,21 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Texts move once, by id. The next document sends only as much of its start as is asked for.
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    links = stash(next_ids(rows))
-    texts = rows.withColumn("fp", simhash(F.col("text"))).repartition("id")
+    links = stash(next_ids(rows)).select(_key("id").alias("owner"), _key("next_id").alias("next_id"), "next_key", "need")
+    # both uses below read all these columns and no other, so that Spark deals the texts out once
+    texts = rows.select(_key("id").alias("k"), "text", simhash(F.col("text")).alias("fp")).repartition("k")
+    # the hash is tested beside the join, not by it, so that the texts stay where they are
+    chosen = F.xxhash64("text").bitwiseXOR(F.col("next_key")) == 0
     starts = (
-        texts.alias("t")
-        .join(links.alias("l"), F.col("t.id").eqNullSafe(F.col("l.next_id")) & (F.xxhash64("t.text") == F.col("l.next_key")))
-        .select(F.col("l.id").alias("owner"), F.struct(F.left("t.text", F.col("l.need")).alias("start"), F.col("t.fp").alias("fp")).alias("next"))
+        texts.join(links, (F.col("k") == F.col("next_id")) & chosen)
+        .select("owner", F.struct(F.left("text", F.col("need")).alias("start"), "fp").alias("next"))
         .groupBy("owner").agg(F.max("next").alias("next"))  # equal rows of one id give equal starts
     )
     n = F.length("text")
     quarter = F.floor(n / 4).cast("int")
     edited = F.concat(F.left("text", n - quarter), F.left("next.start", quarter))
-    both = texts.join(starts, F.col("id").eqNullSafe(F.col("owner")), "left").select(
-        "id", n.cast("bigint").alias("n_chars"), "fp", F.col("next.fp").alias("next_fp"), edited.alias("edited")
+    both = texts.join(starts, F.col("k") == F.col("owner"), "left").select(
+        F.when(F.col("k") != "null", F.col("k").cast("bigint")).alias("id"), n.cast("bigint").alias("n_chars"), "fp", F.col("next.fp").alias("next_fp"), edited.alias("edited")
     )
     return both.select(
         "id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.col("fp").alias("fingerprint"),
