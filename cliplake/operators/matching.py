@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from cliplake.functions.labels import file_suffix
 from cliplake.functions.predicates import AUDIO_EXTENSIONS
-from cliplake.operators.ordered import micros, scan
+from cliplake.operators.ordered import micros, number_rows, scan
+from cliplake.session import cut_lineage
 
 # White-balance presets in kelvin, default keywords, score weights.
 KELVIN_PRESETS = {
@@ -32,6 +33,8 @@ TIME_WEIGHT = 0.35
 MATCH_WINDOW_SECONDS = 300.0
 MIN_SCORE = 0.2
 
+TILE = 32  # recordings that are looked at together
+
 
 def keyword_value(device: Column, rules: Mapping[str, str]) -> Column:
     """Value of the longest rule keyword found in the device name, case ignored.
@@ -83,6 +86,82 @@ def match_score(video_len: Column, len_gap: Column, time_gap: Column, window: fl
     return by_length * F.lit(LENGTH_WEIGHT) + by_time * F.lit(TIME_WEIGHT)
 
 
+def _gaps() -> tuple[Column, Column]:
+    return F.abs(F.col("c_len") - F.col("v_len")), F.abs(F.col("c_us") - F.col("v_us")) / F.lit(1e6)
+
+
+def _best_of(found: str, window: float) -> Column:
+    """Best score among an array of (c_len, c_us) for the row's video."""
+
+    def score(x: Column) -> Column:
+        return match_score(F.col("length"), F.abs(x["c_len"] - F.col("length")), F.abs(x["c_us"] - F.col("us")) / F.lit(1e6), window)
+
+    return F.array_max(F.transform(found, score))
+
+
+def _tiles(sound: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Recordings of a folder in strips along time, cut into tiles along length: the tiles with
+    their points, the boxes of the tiles of every strip, and those of the strips of every folder.
+
+    A folder of n recordings has about as many strips as a strip has tiles, the root of
+    n / ``TILE``, and so long is the longest list.
+    """
+    counts = sound.groupBy("folder").agg(F.count(F.lit(1)).alias("n"))
+    ranked = number_rows(sound, ["folder"], ["us", "length"], None, "r").join(counts, "folder")
+    per_strip = F.ceil(F.sqrt(F.col("n") / F.lit(float(TILE)))) * TILE
+    strips = ranked.withColumn("strip", F.floor((F.col("r") - 1) / per_strip).cast("bigint")).drop("r", "n")
+    placed = number_rows(strips, ["folder", "strip"], ["length", "us"], None, "r")
+    # the index is stored, as six joins read it
+    placed = cut_lineage(placed.withColumn("tile", F.floor((F.col("r") - 1) / TILE).cast("bigint")))
+    box = [f(c).alias(f"{n}_{c}") for c in ("us", "length") for n, f in (("lo", F.min), ("hi", F.max))]
+    tiles = placed.groupBy("folder", "strip", "tile").agg(F.collect_list(F.struct("length", "us", "path")).alias("points"), *box)
+    boxed = placed.groupBy("folder", "strip", "tile").agg(*box)
+    whole = [f(f"{n}_{c}").alias(f"{n}_{c}") for c in ("us", "length") for n, f in (("lo", F.min), ("hi", F.max))]
+    area = ["lo_us", "hi_us", "lo_length", "hi_length"]
+    by_strip = boxed.groupBy("folder", "strip").agg(F.collect_list(F.struct("tile", *area)).alias("boxes"), *whole)
+    by_folder = by_strip.groupBy("folder").agg(F.collect_list(F.struct("strip", *area)).alias("boxes"))
+    return tiles.select("folder", "strip", "tile", "points"), by_strip.select("folder", "strip", "boxes"), by_folder
+
+
+def _candidates(asking: DataFrame, tiles: tuple[DataFrame, DataFrame, DataFrame], window: float, nearest: bool) -> DataFrame:
+    """``(id, v_len, v_us, c_len, c_us, path)``: the best point of every tile that a video looks at.
+
+    With ``nearest`` that is the strip and tile whose box has the best bound, else all whose
+    bound reaches ``least`` inside the window.
+    """
+    points, by_strip, by_folder = tiles
+    zero = F.lit(0.0)
+
+    def bound(b: Column) -> Column:
+        time = F.greatest(b["lo_us"] - F.col("us"), F.col("us") - b["hi_us"], F.lit(0).cast("bigint")) / F.lit(1e6)
+        gap = F.greatest(b["lo_length"] - F.col("length"), F.col("length") - b["hi_length"], zero)
+        return F.when(time < window, match_score(F.col("length"), gap, time, window)).otherwise(F.lit(-1.0))
+
+    def chosen(kind: str) -> Column:
+        if nearest:
+            rated = F.transform("boxes", lambda b: F.struct(bound(b).alias("s"), b[kind].alias(kind)))
+            best = F.array_max(rated)
+            return F.when(best["s"] > 0, F.array(best[kind]))
+        # a little below, as bounds and scores are rounded apart
+        return F.transform(F.filter("boxes", lambda b: bound(b) >= F.col("least") - 1e-12), lambda b: b[kind])
+
+    v = ["id", "folder", "length", "us", "least"]
+    # small rows with much work each: kept on all tasks
+    n = int(asking.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    in_strip = asking.select(*v).repartition(n, "id").join(by_folder, "folder").select(*v, F.explode(chosen("strip")).alias("strip"))
+    in_tile = in_strip.join(by_strip, ["folder", "strip"]).select(*v, "strip", F.explode(chosen("tile")).alias("tile"))
+    met = in_tile.repartition(n, "folder", "strip", "tile").join(points, ["folder", "strip", "tile"])
+
+    def rated(p: Column) -> Column:
+        score = match_score(F.col("length"), F.abs(p["length"] - F.col("length")), F.abs(p["us"] - F.col("us")) / F.lit(1e6), window)
+        return F.struct((-score).alias("s"), p["path"].alias("path"), p["length"].alias("length"), p["us"].alias("us"))
+
+    top = F.array_min(F.transform("points", rated))
+    return met.select("id", F.col("length").alias("v_len"), F.col("us").alias("v_us"), top.alias("p")).select(
+        "id", "v_len", "v_us", F.col("p.length").alias("c_len"), F.col("p.us").alias("c_us"), F.col("p.path").alias("path")
+    )
+
+
 def match_recordings(
     videos: DataFrame,
     recordings: DataFrame,
@@ -93,9 +172,12 @@ def match_recordings(
 
     The score adds closeness in length and in time. A recording outside the time
     window scores on length alone, so among those only the two neighbours in length
-    can win: they come from ordered scans. Recordings inside the window are met in
-    an equi-join on (folder, time bucket). The better of both is the exact optimum;
-    ties go to the first path.
+    can win: they come from ordered scans. For recordings inside the window the search
+    branches and bounds: recordings lie in tiles of some dozen neighbours in time and
+    length, a tile's box tells the best score it could hold, and what a video has already
+    found rules tiles out. The tile next to a video is looked at first, then those that may
+    still hold a better one, or one as good with an earlier path. The result is the exact
+    optimum; ties go to the first path.
     """
     if min_score <= 0 or window <= 0:
         raise ValueError("min_score and window must be positive")
@@ -134,20 +216,14 @@ def match_recordings(
         .select("id", F.col("near.v.length").alias("c_len"), F.col("near.v.rec.path").alias("path"), F.col("near.v.rec.us").alias("c_us"))
     )
 
-    # inside the time window
-    span = int(window * 1_000_000)
-    bucket = F.floor(F.col("us") / span).cast("bigint")
-    near_time = (
-        usable.withColumn("bucket", F.explode(F.array(bucket - 1, bucket, bucket + 1)))
-        .withColumnRenamed("us", "v_us")
-        .drop("length")
-        .join(
-            sound.select("folder", "path", F.col("length").alias("c_len"), F.col("us").alias("c_us"), bucket.alias("bucket")),
-            ["folder", "bucket"],
-        )
-        .filter(F.abs(F.col("c_us") - F.col("v_us")) < span)
-        .select("id", "c_len", "path", "c_us")
-    )
+    # inside the time window: tiles of recordings that can still beat what is known
+    known = by_length.groupBy("id").agg(F.collect_list(F.struct("c_len", "c_us")).alias("found"))  # two at most
+    asking = cut_lineage(usable.join(known, "id").withColumn("least", _best_of("found", window)))
+    tiles = _tiles(sound)
+    first = _candidates(asking, tiles, window, nearest=True)
+    better = first.groupBy("id").agg(F.max(match_score(F.col("v_len"), *_gaps(), window)).alias("__score"))
+    asking = asking.join(better, "id", "left").withColumn("least", F.greatest("least", "__score")).drop("__score")
+    near_time = _candidates(asking, tiles, window, nearest=False).select("id", "c_len", "path", "c_us")
     pairs = by_length.unionByName(near_time).join(
         usable.select("id", F.col("length").alias("v_len"), F.col("us").alias("v_us")), "id"
     )

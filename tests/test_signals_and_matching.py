@@ -124,6 +124,26 @@ def test_scored_match_is_the_optimum(spark, seed):
     assert got == {video[0]: best_match(video, recs, 300.0, 0.6) for video in videos}
 
 
+@pytest.mark.parametrize("spread", [0, 200, 4000])
+def test_many_recordings_in_one_window(spark, spread):
+    """All at one moment, all within the window, and wider: few tiles per video, the exact best."""
+    rng = random.Random(spread)
+    when = lambda: 1_000_000 + rng.randint(0, spread)
+    videos = [(i, when(), float(rng.randint(50, 400))) for i in range(250)]
+    recs = [(f"/f/{i:04}.wav", when(), rng.randint(30, 500) + rng.choice([0.0, 0.25])) for i in range(700)]
+    at = lambda c: F.timestamp_seconds(c)
+    v = spark.createDataFrame(videos, "id bigint, s bigint, length double").select("id", F.lit("f").alias("folder"), at("s").alias("at"), "length")
+    r = spark.createDataFrame(recs, "path string, s bigint, length double").select(F.lit("f").alias("folder"), "path", at("s").alias("at"), "length")
+    got = {x.id: (x.recording, round(x.score, 6)) for x in M.match_recordings(v, r, min_score=0.6).collect()}
+    assert got == {video[0]: best_match(video, recs, 300.0, 0.6) for video in videos}
+    sound = r.select("folder", "path", "length", M.micros(F.col("at")).alias("us"))
+    asked = v.select("id", "folder", "length", M.micros(F.col("at")).alias("us")).withColumn("least", F.lit(0.0))
+    best = {x.id: x.score for x in M.match_recordings(v, r, min_score=0.6).select("id", "score").collect()}
+    scores = spark.createDataFrame(list(best.items()), "id bigint, s double")
+    asked = asked.join(scores, "id").withColumn("least", F.col("s")).drop("s")
+    assert M._candidates(asked, M._tiles(sound), 300.0, nearest=False).count() <= 8 * len(videos)
+
+
 def test_unmatched_videos_carry_a_reason(spark):
     v = spark.sql("SELECT 1L id, 'f' folder, timestamp'2025-01-01 00:00:00' at, 10.0D length UNION ALL SELECT 2, 'f', timestamp'2025-01-01 00:00:00', 0.0D UNION ALL SELECT 3, 'g', timestamp'2025-01-01 00:00:00', 5.0D")
     r = spark.sql("SELECT 'f' folder, '/f/a.wav' path, timestamp'2025-01-02 00:00:00' at, 900.0D length UNION ALL SELECT 'f', '/f/b.txt', timestamp'2025-01-01 00:00:00', 10.0D")
