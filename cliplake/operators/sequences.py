@@ -107,7 +107,9 @@ def split_parts(parts: DataFrame, title: Column) -> DataFrame:
     )
 
 
-def overlap_parts(clips: DataFrame, parts: DataFrame) -> DataFrame:
+def overlap_parts(
+    clips: DataFrame, parts: DataFrame, seconds_per_block: float = 600.0
+) -> DataFrame:
     """Clips (merge_id, run, name, start_s, end_s) that share time with parts (merge_id, part_no, ...).
 
     Parts follow each other without gaps, so the parts a clip touches are a range of
@@ -135,7 +137,7 @@ def overlap_parts(clips: DataFrame, parts: DataFrame) -> DataFrame:
         both,
         ["merge_id"],
         ["at", "kind", "no"],
-        F.floor(F.col("at") / F.lit(600.0)).cast("bigint"),
+        F.floor(F.col("at") / F.lit(seconds_per_block)).cast("bigint"),
         ended=("sum", (kind == 0).cast("bigint")),
         begun=("sum", (kind == 3).cast("bigint")),
         edge=("last", F.when(kind == 0, F.col("at"))),

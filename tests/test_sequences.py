@@ -42,6 +42,43 @@ def test_scan_matches_a_plain_loop(spark):
     assert {tuple(r) for r in out.select("k", "total").collect()} == {(k, sum(v)) for k, v in seen.items()}
 
 
+@pytest.mark.parametrize("block", ["pos div 7", "pos div 1000", None])
+def test_chained_values_match_a_plain_loop(spark, block):
+    """Values that depend on the row before, over many blocks, one block and range blocks."""
+    rng = random.Random(8)
+    data = [(rng.choice([1, 2, None]), i, rng.choice(["a", "b", None]), float(rng.randrange(9))) for i in range(500)]
+    df = spark.createDataFrame(data, "k int, pos bigint, g string, v double").where("k IS NOT NULL")
+    starts = ~F.coalesce(F.col("prev.g") == F.col("g"), F.lit(False))
+    out = O.fused(
+        df, ["k"], ["pos"], None if block is None else F.expr(block), previous=["g"],
+        run=("sum", starts.cast("bigint")), before=("sum_before", F.col("v")), top=("max", F.when(starts, F.col("v"))),
+        lead=("last", F.when(starts, F.struct("pos"))), place=("since", starts), behind=("last_before", F.col("g")),
+    )
+    want, state = [], {}
+    for k, pos, g, v in data:
+        if k is None:
+            continue
+        s = state.setdefault(k, dict(prev=None, run=0, sum=None, top=None, lead=None, place=0, behind=None))
+        first = s["prev"] is None or g is None or s["prev"][0] != g
+        s["run"] += first
+        s["place"] = 1 if first else s["place"] + 1
+        if first:
+            s["lead"], s["top"] = pos, v if s["top"] is None else max(s["top"], v)
+        want.append((k, pos, None if s["prev"] is None else s["prev"][0], s["run"], s["sum"], s["top"], s["lead"], s["place"], s["behind"]))
+        s["prev"], s["sum"] = (g,), (s["sum"] or 0) + v
+        s["behind"] = g if g is not None else s["behind"]
+    got = rows(out, "k", "pos", "prev.g", "run", "before", "top", "lead.pos", "place", "behind")
+    assert got == sorted(want, key=repr)
+
+
+def test_numbering_without_keys_and_at_one_moment(spark):
+    df = spark.range(3000).selectExpr("id", "cast(0 AS bigint) AS at", "(id * 7919) % 3000 AS idx")
+    out = O.number_rows(df, [], ["at", "idx"], None, "n")
+    assert {(r.idx, r.n) for r in out.collect()} == {(i, i + 1) for i in range(3000)}
+    sizes = [r[0] for r in O._range_blocks(df, ["at", "idx"]).groupBy(O.BLOCK).count().select("count").collect()]
+    assert len(sizes) > 3 and max(sizes) < 1500
+
+
 def test_near_split_size_keeps_one_session(spark):
     names = [f"DJI_20250920194830_000{i}_D.MP4" for i in (1, 2, 3)]
     one = E.sessions(files(spark, names, [int(0.98 * 16 * GIB)] * 2 + [2 * GIB]))
