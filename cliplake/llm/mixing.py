@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from cliplake.llm.tables import stash, word_count
 
 GROUP = 64
+REPEATS = 1000  # repeats of one row that are dealt out together
 _DONE = "array<struct<doc_id:bigint,size:bigint,up:boolean>>"
 _UNIT = "struct<doc_id:bigint,size:bigint,weight:double,p:double,u:double>"
 
@@ -103,22 +104,11 @@ def _fold(units: DataFrame, level: int) -> DataFrame:
     )
 
 
-def mix_sources(
-    docs: DataFrame, max_copies: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"
-) -> DataFrame:
-    """``(doc_id, source, size, source_size, target, copies)``, a row for each row of ``docs``.
-
-    ``size`` counts words, 0 for null or empty texts; such rows move no words and are taken
-    by an own draw. Null is a source of its own, the last. Rows that agree in id, source
-    and size are one document: they share one decision (a null id is an id too). Copies
-    never exceed ``max_copies``. The words taken of a source miss its target by less than
-    the size of one document. An empty table gives an empty result; other columns are not
-    read.
-    """
-    sized = docs.select(
-        F.col(id_col).cast("bigint").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size")
-    )
-    units = stash(sized.groupBy("source", "doc_id", "size").agg(F.count("*").alias("repeats")))
+def _decided(sized: DataFrame, max_copies: int) -> DataFrame:
+    """``(source, doc_id, size, repeats, source_size, target, whole, extra)`` of ``(doc_id,
+    source, size, rows)``: each of a document's ``repeats`` is taken ``whole`` times, and
+    ``extra`` of them once more."""
+    units = stash(sized.groupBy("source", "doc_id", "size").agg(F.sum("rows").alias("repeats")))
     sources = units.groupBy("source").agg(F.sum(F.col("size") * F.col("repeats")).alias("source_size"), F.count("*").alias("n"))
     sources = stash(
         sources.join(
@@ -131,11 +121,16 @@ def mix_sources(
     shares = sources.withColumn("rho", F.when(F.abs(rho - near) < 1e-12, near).otherwise(rho)).select(
         F.col("source").alias("s"), "source_size", "target", "n", "rho", F.floor("rho").alias("whole")
     )
+    # of the repeats a whole number takes one more; what is left is the fraction of one row
+    share = F.col("repeats") * (F.col("rho") - F.col("whole"))
+    share = F.when(F.abs(share - F.round(share)) < 1e-9, F.round(share)).otherwise(share)
     placed = stash(
         units.join(shares, F.col("source").eqNullSafe(F.col("s")))
-        .drop("s")
-        .withColumn("weight", (F.col("size") * F.col("repeats")).cast("double"))
-        .withColumn("p", F.col("rho") - F.col("whole"))
+        .withColumn("share", share)
+        .withColumn("certain", F.floor("share"))
+        .withColumn("weight", F.col("size").cast("double"))
+        .withColumn("p", F.col("share") - F.col("certain"))
+        .drop("s", "rho", "share")
     )
     groups = F.ceil(F.col("n") / GROUP)
     level = 0
@@ -160,26 +155,78 @@ def mix_sources(
     chosen = ups.where("up").select(F.col("source").alias("s"), F.col("doc_id").alias("d"), F.col("size").alias("z"), F.lit(1).alias("up"))
     same = F.col("source").eqNullSafe(F.col("s")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("size") == F.col("z"))
     empty = (F.col("weight") == 0) & (_uniform(F.lit("empty"), F.col("source"), F.col("doc_id")) < F.col("p"))
-    counted = placed.join(chosen, same, "left").select(
-        F.col("source").alias("s"), F.col("doc_id").alias("d"), F.col("size").alias("z"), "source_size", "target",
-        (F.col("whole") + F.when(F.col("up").isNotNull() | empty, 1).otherwise(0)).cast("bigint").alias("copies"),
+    return stash(
+        placed.join(chosen, same, "left").select(
+            "source", "doc_id", "size", "repeats", "source_size", "target", F.col("whole").cast("bigint").alias("whole"),
+            (F.col("certain") + F.when(F.col("up").isNotNull() | empty, 1).otherwise(0)).cast("bigint").alias("extra"),
+        )
+    )
+
+
+def mix_sources(
+    docs: DataFrame, max_copies: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"
+) -> DataFrame:
+    """``(doc_id, source, size, source_size, target, copies)``, a row for each row of ``docs``.
+
+    ``size`` counts words, 0 for null or empty texts; such rows move no words and are taken
+    by an own draw. Null is a source of its own, the last. Rows that agree in id, source
+    and size are repeats of one document (a null id is an id too): their copies differ by
+    one at most and add up to the document's share, rounded to one row. Copies never exceed
+    ``max_copies``. The words taken of a source miss its target by less than the size of
+    one row. An empty table gives an empty result; other columns are not read.
+    """
+    sized = docs.select(
+        F.col(id_col).cast("bigint").alias("doc_id"), F.col(source_col).cast("string").alias("source"),
+        word_count(F.col(text_col)).alias("size"), F.lit(1).cast("bigint").alias("rows"),
+    )
+    block = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("repeats") - 1) / REPEATS)))
+    end = F.least(F.col("repeats"), (F.col("block") + 1) * REPEATS) - 1
+    return (
+        _decided(sized, max_copies)
+        .withColumn("block", block)
+        .repartition("source", "doc_id", "size", "block")  # a document with many repeats is many blocks
+        .withColumn("at", F.explode(F.sequence(F.col("block") * REPEATS, end)))
+        .select(
+            "doc_id", "source", "size", "source_size", "target",
+            (F.col("whole") + F.when(F.col("at") < F.col("extra"), 1).otherwise(0)).cast("bigint").alias("copies"),
+        )
     )
-    return sized.join(stash(counted), same).select("doc_id", "source", "size", "source_size", "target", "copies")
 
 
 def mixed_documents(docs: DataFrame, max_copies: int = 3) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it, with the same columns."""
-    plan = (
-        mix_sources(docs, max_copies)
-        .select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("size").alias("__z"), F.col("copies").alias("__copies"))
-        .distinct()
+    """The rows of ``docs``, each as often as the mix takes it, with the same columns.
+
+    Rows equal in every column are interchangeable: one of them stands for the copies of
+    all. Of repeats that differ in other columns those with smaller hashes come first, so
+    reruns agree. Column names of ``docs`` cannot clash with those used here.
+    """
+    nulls = [F.col(f"`{c}`").isNull() for c in docs.columns]
+    rows = docs.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"),
+        word_count(F.col("text")).alias("size"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns], *nulls).alias("print"),
+        F.struct("*").alias("row"),
+    )
+    groups = stash(rows.groupBy("doc_id", "source", "size", "print").agg(F.count("*").alias("rows")))
+    plan = _decided(groups, max_copies).select(
+        F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("size").alias("z"), "whole", "extra"
+    )
+    same = F.col("source").eqNullSafe(F.col("s")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("size") == F.col("z"))
+    earlier = Window.partitionBy("doc_id", "source", "size").orderBy("print").rowsBetween(Window.unboundedPreceding, -1)
+    left = F.col("extra") - F.coalesce(F.sum("rows").over(earlier), F.lit(0))
+    copies = F.col("rows") * F.col("whole") + F.greatest(F.lit(0), F.least(F.col("rows"), left))
+    taken = (
+        groups.join(plan, same)
+        .withColumn("copies", copies.cast("bigint"))
+        .where("copies > 0")
+        .select(F.col("doc_id").alias("d"), F.col("print").alias("h"), "copies")
     )
+    # equal rows are folded before the shuffle, so a row repeated often is one row a task
+    once = rows.groupBy("doc_id", "print").agg(F.first("row").alias("row"))
+    block = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("copies") - 1) / REPEATS)))
+    size = F.least(F.lit(REPEATS).cast("bigint"), F.col("copies") - F.col("block") * REPEATS)
     return (
-        docs.join(
-            plan,
-            F.col("doc_id").eqNullSafe(F.col("__d")) & F.col("source").eqNullSafe(F.col("__s")) & (word_count(F.col("text")) == F.col("__z")),
-        )
-        .where("__copies > 0")
-        .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-        .select(*docs.columns)
+        once.join(taken, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("print") == F.col("h")))
+        .withColumn("block", block)
+        .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), size)))
+        .select("row.*")
     )

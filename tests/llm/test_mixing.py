@@ -76,5 +76,34 @@ def test_expected_copies(documents):
 def test_repeated_rows_and_empty_tables(documents):
     assert M.mix_sources(documents([])).count() == 0
     got = M.mix_sources(documents([(1, "a b", "x")] * 5 + [(2, "c", "y")] * 3)).collect()
-    assert len(got) == 8 and len({(r.doc_id, r.copies) for r in got}) == 2
+    # 10 and 3 words at weights 1 and 2: y stops at 9 words, x shares the other 4
+    assert sorted((r.doc_id, r.copies) for r in got) == [(1, 0)] * 3 + [(1, 1)] * 2 + [(2, 3)] * 3
     assert {r.copies for r in M.mix_sources(documents([(1, None, None), (2, "", "q")])).collect()} == {0}
+
+
+def test_many_repeats_of_one_document(documents):
+    """Copies are spread over the repeats, so a source meets its target to within a row."""
+    rows = [(1, "w " * 7, "a")] * 2500 + [(i, "w " * (1 + i % 9), "b") for i in range(10, 900)] + [(2, None, "a")] * 3
+    df = documents(rows)
+    got = M.mix_sources(df).collect()
+    assert len(got) == len(rows)
+    for source, most in (("a", 7), ("b", 9)):
+        mine = [r for r in got if r.source == source]
+        assert abs(sum(r.size * r.copies for r in mine) - mine[0].target) <= most
+    assert len({r.copies for r in got if r.doc_id == 1}) == 2
+    out = M.mixed_documents(df).groupBy("source").count().collect()
+    assert {r.source: r["count"] for r in out} == {s: sum(r.copies for r in got if r.source == s) for s in "ab"}
+
+
+def test_repeats_with_other_texts_and_clashing_names(documents):
+    df = documents([(1, f"w {i}", "a") for i in range(40)] + [(1, "w w", "a")] * 40 + [(9, "w " * 400, "b")])
+    df = df.withColumn("row", F.lit(1)).withColumn("print", F.lit(None).cast("string")).withColumn("copies", F.lit("x"))
+    key = lambda r: repr(tuple(r))
+    got = sorted(M.mixed_documents(df).collect(), key=key)
+    assert got == sorted(M.mixed_documents(df.repartition(5, F.rand())).collect(), key=key)
+    assert M.mixed_documents(df).columns == df.columns
+    copies = {}
+    for r in got:
+        copies[r.text] = copies.get(r.text, 0) + 1
+    assert sum(copies.values()) == sum(r.copies for r in M.mix_sources(df).collect())
+    assert all(copies.get(f"w {i}", 0) <= 3 for i in range(40)) and copies.get("w w", 0) <= 120
