@@ -1,14 +1,20 @@
 """URL filters by rules and a path-template tree (DataFrame functions only).
 
-Per host the path segments form a tree. From the root down a segment becomes a wildcard
-where its position varies: segments with digits always by their shape (``12.html`` and
-``7.html`` are ``#.html``), plain ones if at least ``variety`` different ones stand at a
-position, of which none has more than ``2 / variety`` of the different paths there (those
-that have more stay literal). Neither repeated rows nor more pages of the same kind turn a
-wildcard back into literals. Branches below the same parent whose labelled purity does not
-differ significantly from that of all siblings are merged; a labelled page counts once per
-path template, however often its row is repeated. A branch is rejected if its share of good
-labels, smoothed towards its host and the host towards all pages, is below ``purity``.
+Per host the path segments form a tree over the different paths. From the root down a
+segment becomes a wildcard where its position varies: segments with digits always by their
+shape (``12.html`` and ``7.html`` are ``#.html``), plain ones if at least ``variety``
+different ones stand at a position, of which none has more than ``2 / variety`` of the
+paths there. Those that have more stay literal, and so does every name with ``ENOUGH``
+labels or more whose purity differs significantly from that of the other names there, so
+one bad section among many is not lost in a wildcard. Neither repeated rows nor more pages
+of the same kind turn a wildcard back into literals.
+
+Subtrees below the same parent whose labelled purity does not differ significantly from
+that of all their siblings are merged, level by level, so a leaf is compared with the
+leaves of all merged subtrees; a leaf that differs from those stands alone. A branch is
+rejected if its share of good labels, smoothed towards its host and the host towards all
+pages, is below ``purity``. The tree has as many rounds as the deepest segment up to which
+two paths of a merged branch go together; there is no limit of depth.
 """
 
 from __future__ import annotations
@@ -20,7 +26,8 @@ from pyspark.sql import functions as F
 
 from cliplake.llm.tables import stash
 
-MAX_DEPTH = 8  # the rest of a deeper path is one segment
+ENOUGH = 5  # labels of a name below which it is not told apart from its wildcard
+CHANCE = 0.05  # that any name of a position is told apart without reason, about
 RULES = (  # the contract's rules, fixed values
     ("com/", "allow"),
     ("example.com/en/", "block"),
@@ -51,44 +58,84 @@ def matching_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]] =
     return name, verdict
 
 
-def templates(pages: DataFrame, variety: int = 10) -> DataFrame:
-    """Replace ``segments`` by ``parent`` and ``template`` for rows with ``host`` and ``path``."""
-    depth = min(pages.agg(F.max(F.size("segments"))).first()[0] or 0, MAX_DEPTH)
-    rows = pages.withColumn("parent", F.lit("")).withColumn("template", F.lit(""))
-    for at in range(depth):
-        last = at == MAX_DEPTH - 1
-        rest = F.array_join(F.slice("segments", at + 1, F.greatest(F.size("segments") - at, F.lit(0))), "/")
-        segment = F.when(F.size("segments") > at, rest if last else F.get("segments", F.lit(at)))
-        rows = rows.withColumn("segment", segment).withColumn(
-            "shape", F.when(F.col("segment").rlike("[0-9]"), F.regexp_replace("segment", "[0-9]+", "#")).otherwise("")
+def _apart(n: Column, good: Column, all_n: Column, all_good: Column, z: Column) -> Column:
+    """Whether ``good`` of ``n`` differs from the rest of ``all_good`` of ``all_n``; false
+    without labels on either side."""
+    rest, pooled = all_n - n, F.try_divide(all_good, all_n)
+    spread = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1.0), n) + F.try_divide(F.lit(1.0), rest)))
+    return F.coalesce(F.abs(F.try_divide(good, n) - F.try_divide(all_good - good, rest)) > z * spread, F.lit(False))
+
+
+def _label(segment: Column) -> Column:
+    """The shape of a segment with digits; others as they are, apart from wildcards."""
+    return F.when(segment.rlike("[0-9]"), F.regexp_replace(segment, "[0-9]+", "#")).otherwise(
+        F.regexp_replace(segment, r"([*#~\\])", r"\\$1")
+    )
+
+
+def _wildcards(rows: DataFrame, variety: int) -> DataFrame:
+    """``(host, template, segment)`` of the plain names that a wildcard replaces."""
+    keys = ["host", "template"]
+    names = stash(
+        rows.where("segment <> '' and not segment rlike '[0-9]'")
+        .groupBy(*keys, "segment")
+        .agg(F.count("*").alias("paths"), F.sum("n").alias("n"), F.sum("good").alias("good"))
+    )
+    places = names.groupBy(*keys).agg(
+        F.sum("paths").alias("all_paths"), F.sum("n").alias("all_n"), F.sum("good").alias("all_good"),
+        F.count_if(F.col("n") >= ENOUGH).alias("told"),
+    )
+    z = F.sqrt(2 * F.log(F.greatest("told", F.lit(1)) / CHANCE))
+    rare = names.join(places, keys).where(f"paths * {variety} <= 2 * all_paths")
+    literal = (F.col("n") >= ENOUGH) & _apart(F.col("n"), F.col("good"), F.col("all_n"), F.col("all_good"), z)
+    varied = rare.groupBy(*keys).agg(F.count("*").alias("different")).where(f"different >= {variety}")
+    return rare.where(~literal).select(*keys, "segment").join(varied.select(*keys), keys, "left_semi")
+
+
+def templates(paths: DataFrame, variety: int = 10, z_limit: float = 1.96) -> DataFrame:
+    """``(host, path, n, good, parent, template)`` of different ``(host, path, segments)`` with
+    ``n`` labelled pages, ``good`` of them good. ``parent`` is the merged branch of the leaf's parent."""
+    out = ["host", "path", "n", "good", "parent", "template"]
+    rows = paths.select(*out[:4], F.lit("").alias("parent"), F.lit("").alias("template"), "segments", F.lit("").alias("branch"))
+    done, at = [], 0
+    while True:
+        ended = F.size("segments") <= at
+        # without siblings in its branch a path has no wildcards but shapes, and merges all the way
+        alone = rows.where(~ended).groupBy("host", "branch").agg(F.count("*").alias("paths")).where("paths = 1").drop("paths")
+        single = rows.where(~ended).join(alone, ["host", "branch"], "left_semi")
+        left = F.slice("segments", at + 1, F.greatest(F.size("segments") - at, F.lit(1)))
+        done.append(rows.where(ended).select(*out))
+        done.append(
+            single.withColumn("parent", F.concat("branch", F.repeat(F.lit("/~"), F.size("segments") - at - 1)))
+            .withColumn("template", F.concat("template", F.lit("/"), F.array_join(F.transform(left, _label), "/")))
+            .select(*out)
         )
-        rows = stash(rows)
-        keys = ["host", "template"]
-        plain = (
-            rows.where("shape = '' and segment <> ''")
-            .groupBy(*keys, "segment", "path").agg(F.lit(1).alias("one"))
-            .groupBy(*keys, "segment").agg(F.count("*").alias("n"))
-        )
-        plain = stash(plain)
-        paths = plain.groupBy(*keys).agg(F.sum("n").alias("paths"))
-        # few per position: a value with more than its share of the paths stays literal
-        rare = plain.join(paths, keys).where(f"n * {variety} <= 2 * paths")
-        varied = rare.groupBy(*keys).agg(F.count("*").alias("different")).where(f"different >= {variety}")
-        frequent = plain.join(paths, keys).where(f"n * {variety} > 2 * paths")
-        listed = frequent.groupBy(*keys).agg(F.collect_list("segment").alias("literal"))  # less than variety / 2
-        groups = varied.join(listed, keys, "left").select(*keys, F.lit(True).alias("varied"), "literal")
-        kept = F.coalesce(F.array_contains("literal", F.col("segment")), F.lit(False))
-        varies = F.coalesce(F.col("varied"), F.lit(False)) & (F.col("segment") != "") & ~kept
-        label = F.when(F.col("shape") != "", F.col("shape")).when(varies, "*").otherwise(
-            # a literal that looks like a wildcard stays apart from it
-            F.regexp_replace("segment", r"([*#~\\])", r"\\$1")
+        rows = rows.where(~ended).join(alone, ["host", "branch"], "left_anti")
+        rows = stash(rows.withColumn("segment", F.get("segments", F.lit(at))))
+        if rows.isEmpty():
+            break
+        wild = _wildcards(rows, variety).withColumn("wild", F.lit(True))
+        rows = stash(
+            rows.join(wild, ["host", "template", "segment"], "left").withColumn("label", F.when(F.col("wild"), "*").otherwise(_label(F.col("segment"))))
         )
-        rows = rows.join(groups, keys, "left").select(
-            *[c for c in rows.columns if c not in ("parent", "template", "segment", "shape", "varied", "literal")],
-            F.when(F.col("segment").isNull(), F.col("parent")).otherwise(F.col("template")).alias("parent"),
-            F.when(F.col("segment").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), label)).alias("template"),
+        below = rows.groupBy("host", "branch", "label").agg(F.sum("n").alias("kn"), F.sum("good").alias("kgood"))
+        family = below.groupBy("host", "branch").agg(F.sum("kn").alias("fn"), F.sum("kgood").alias("fgood"))
+        differs = _apart(F.col("kn"), F.col("kgood"), F.col("fn"), F.col("fgood"), F.lit(z_limit))
+        own = below.join(family, ["host", "branch"]).where(differs).select("host", "branch", "label", F.lit(True).alias("own"))
+        rows = stash(
+            rows.join(own, ["host", "branch", "label"], "left").select(
+                *out[:4],
+                F.col("branch").alias("parent"),
+                F.concat("template", F.lit("/"), "label").alias("template"),
+                "segments",
+                F.concat("branch", F.lit("/"), F.when(F.col("own"), F.col("label")).otherwise("~")).alias("branch"),
+            )
         )
-    return rows.drop("segments")
+        at += 1
+    found = done[0]
+    for part in done[1:]:
+        found = found.unionByName(part)
+    return found
 
 
 def judged_templates(
@@ -99,16 +146,16 @@ def judged_templates(
     leaves = labelled.groupBy("host", "parent", "template").agg(
         F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("good")
     )
+    return judged_leaves(leaves, strength, purity, z_limit)
+
+
+def judged_leaves(leaves: DataFrame, strength: float = 5.0, purity: float = 0.5, z_limit: float = 1.96) -> DataFrame:
+    """As :func:`judged_templates`, from one row ``(host, parent, template, n, good)`` a template."""
     families = leaves.groupBy("host", "parent").agg(F.sum("n").alias("fn"), F.sum("good").alias("fgood"))
-    n, good, fn, fgood = F.col("n"), F.col("good"), F.col("fn"), F.col("fgood")
-    rest = fn - n
-    pooled = F.try_divide(fgood, fn)
-    spread = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1.0), n) + F.try_divide(F.lit(1.0), rest)))
-    # null, so not apart, without labels on either side
-    apart = F.abs(F.try_divide(good, n) - F.try_divide(fgood - good, rest)) > z_limit * spread
+    apart = _apart(F.col("n"), F.col("good"), F.col("fn"), F.col("fgood"), F.lit(z_limit))
     # a branch that stands apart keeps its name, all others below a parent share one
     placed = leaves.join(families, ["host", "parent"]).withColumn(
-        "branch", F.when(F.coalesce(apart, F.lit(False)), F.col("template")).otherwise(F.concat("parent", F.lit("/~")))
+        "branch", F.when(apart, F.col("template")).otherwise(F.concat("parent", F.lit("/~")))
     )
     branches = placed.groupBy("host", "branch").agg(F.sum("n").alias("bn"), F.sum("good").alias("bgood"))
     hosts = leaves.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("good").alias("hgood"))
@@ -135,23 +182,23 @@ def judge_urls(
     Repeated rows all stay and get equal verdicts, as evidence they count once; templates are
     learnt from all pages, also those that a rule decides. Without any label nothing is rejected by the tree.
     """
-    url = F.col("url")
-    parsed = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"))
-    split = parsed.withColumn("segments", F.when(F.col("path") == "", F.array().cast("array<string>")).otherwise(
-        F.slice(F.split("path", "/"), 2, F.greatest(F.size(F.split("path", "/")), F.lit(1)))
-    ))
+    parsed = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     marks = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("good"))
-    rows = templates(split, variety).join(marks.withColumnRenamed("doc_id", "page_id"), "page_id", "left")
-    rows = stash(rows.select("page_id", "host", "path", "parent", "template", "good"))
-    # a page is evidence once per template; unlabelled rows only name their templates
-    labelled = F.when(F.col("good").isNotNull(), F.col("page_id")).alias("page")
-    judged = judged_templates(rows.select(labelled, "host", "parent", "template", "good").distinct(), strength, purity)
+    marked = parsed.join(marks.withColumnRenamed("doc_id", "page_id"), "page_id", "left")
+    # a page is evidence once per path; unlabelled rows only name their paths
+    evidence = marked.select("host", "path", F.when(F.col("good").isNotNull(), F.col("page_id")).alias("page"), "good").distinct()
+    paths = stash(
+        evidence.groupBy("host", "path").agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"))
+    )
+    parts = F.split("path", "/")
+    segments = F.when(F.col("path") == "", F.array().cast("array<string>")).otherwise(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))))
+    tree = stash(templates(paths.withColumn("segments", segments), variety))
+    leaves = tree.groupBy("host", "parent", "template").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
+    judged = judged_leaves(leaves, strength, purity)
+    found = stash(tree.join(judged, ["host", "template"]).select("host", "path", "template", "smoothed", "rejected"))
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
-    return (
-        rows.join(judged, ["host", "template"], "left")
-        .select(
-            "page_id", "host", "path", rule.alias("rule"),
-            F.coalesce(verdict, F.when(F.col("rejected"), "block").otherwise("allow")).alias("verdict"),
-            "template", "smoothed",
-        )
+    return parsed.join(found, ["host", "path"], "left").select(
+        "page_id", "host", "path", rule.alias("rule"),
+        F.coalesce(verdict, F.when(F.col("rejected"), "block").otherwise("allow")).alias("verdict"),
+        "template", "smoothed",
     )
