@@ -10,7 +10,7 @@ whole sets.
 * Lines with equal sets are one node, represented by its first line; the later ones go
   without any join of pairs.
 * Lines that share a prefix word meet in one group. Each takes the earliest line of the
-  group that passes the filters, among them the Hamming distance of 64 parity bits, which
+  group that passes the filters, among them the Hamming distance of 128 parity bits, which
   never exceeds the symmetric difference; so a group of near copies gives as many pairs as
   lines. A line whose first candidates fail the exact test, and that had more, asks for
   all of them in a second pass over the groups of its words.
@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cliplake.llm.groups import starts, whole_groups
@@ -132,22 +132,9 @@ def _prints(token: np.ndarray, first: np.ndarray) -> list[pa.Array]:
     ]
 
 
-def _outlines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, n, fp1, fp2) of every line with a word."""
-    for batch in batches:
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
-        for texts in slices(batch.column(1)):
-            doc, number, token, line, _ = _line_sets(texts, None)
-            if len(doc):
-                n = np.bincount(line, minlength=len(doc))
-                yield pa.RecordBatch.from_arrays(
-                    [_keys(ids[texts.first + doc], number), pa.array(n, pa.int32()), *_prints(token, np.cumsum(n) - n)],
-                    ["key", "n", "fp1", "fp2"],
-                )
-
-
 def _described(counts: Broadcast, num: int, den: int):
-    """As :func:`_outlines`, with parity bits and the prefix: words and their positions."""
+    """(key, n, fp1, fp2) of every line with a word, parity bits and the prefix: words and
+    their positions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rarity = counts.value
@@ -163,17 +150,19 @@ def _described(counts: Broadcast, num: int, den: int):
                 # a word that occurs once in all texts is in no other line
                 prefix = (at < (n - needed(n, num, den) + 1)[line]) & (seen > 1)
                 sizes = np.concatenate(([0], np.cumsum(np.bincount(line[prefix], minlength=len(doc)))))
-                bits = np.bitwise_xor.reduceat(U(1) << (mix(token, 9) & U(63)), first)
+                place = mix(token, 9) & U(127)
+                bit = U(1) << (place & U(63))
+                half = place < U(64)
                 yield pa.RecordBatch.from_arrays(
                     [
                         _keys(ids[texts.first + doc], number),
                         pa.array(n, pa.int32()),
                         *_prints(token, first),
-                        pa.array(bits.view(np.int64)),
+                        *(pa.array(np.bitwise_xor.reduceat(np.where(h, bit, U(0)), first).view(np.int64)) for h in (half, ~half)),
                         pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(token[prefix].view(np.int64))),
                         pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(at[prefix], pa.int32())),
                     ],
-                    ["key", "n", "fp1", "fp2", "bits", "prefix", "at"],
+                    ["key", "n", "fp1", "fp2", "bits", "bits2", "prefix", "at"],
                 )
 
     return run
@@ -209,15 +198,16 @@ def _dealt(counts: Broadcast, asked: Broadcast | None, words_asked: Broadcast |
                     pa.array(at, pa.int32()),
                     pa.array(own, pa.int32()),
                     batch.column("bits").take(take),
+                    batch.column("bits2").take(take),
                     pa.array(ask),
                 ],
-                ["token", "low", "high", "key", "n", "at", "own", "bits", "ask"],
+                ["token", "low", "high", "key", "n", "at", "own", "bits", "bits2", "ask"],
             )
 
     return run
 
 
-_DEALT = f"token bigint, low int, high int, key {_KEY}, n int, at int, own int, bits bigint, ask boolean"
+_DEALT = f"token bigint, low int, high int, key {_KEY}, n int, at int, own int, bits bigint, bits2 bigint, ask boolean"
 
 
 def _passes(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -250,7 +240,7 @@ class _Rows:
         self.batch = batch
         self.low, self.high = col("low"), col("high")
         self.n, self.at, self.own, self.ask = col("n").astype(np.int64), col("at").astype(np.int64), col("own"), col("ask")
-        self.bits = col("bits").view(U)
+        self.bits, self.bits2 = col("bits").view(U), col("bits2").view(U)
         key = batch.column("key")
         self.key = np.frombuffer(key.buffers()[1], np.int64).reshape(-1, 2)[key.offset : key.offset + len(key)]
 
@@ -261,8 +251,11 @@ class _Rows:
         ok &= np.minimum(self.n[a] - self.at[a], self.n[b] - self.at[b]) >= -(-total * num // (num + den))
         ok &= (self.low[a] == self.high[a]) | (self.own[a] != self.own[b])
         ok &= (self.key[a] != self.key[b]).any(1)
-        near = np.bitwise_count(self.bits[a] ^ self.bits[b]).astype(np.int64)
-        return ok & (near <= total * (den - num) // (den + num))
+        left = np.flatnonzero(ok)
+        a, b = a[left], b[left]
+        near = np.bitwise_count(self.bits[a] ^ self.bits[b]).astype(np.int64) + np.bitwise_count(self.bits2[a] ^ self.bits2[b])
+        ok[left] = near <= total[left] * (den - num) // (den + num)
+        return ok
 
 
 def _small_groups(rows: _Rows, start: np.ndarray, later: np.ndarray, num: int, den: int):
@@ -280,15 +273,17 @@ def _small_groups(rows: _Rows, start: np.ndarray, later: np.ndarray, num: int, d
 
 
 def _large_group(rows: _Rows, first: int, end: int, everything: bool, num: int, den: int):
-    """The first passing pair of every row of a group, or all pairs with rows that ask."""
-    for at in range(first, end, 512):
-        b = np.arange(at, min(end, at + 512))
-        for low in range(first, end if everything else b[-1] + 1, 4096):
-            a = np.arange(low, min(low + 4096, end if everything else b[-1]))
+    """The first passing pair of every row of a group, or all pairs whose later row asks."""
+    for at in range(first, end, 256):
+        b = np.arange(at, min(end, at + 256))
+        if everything:
+            b = b[rows.ask[b]]
+            if not len(b):
+                continue
+        for low in range(first, b[-1], 1024):
+            a = np.arange(low, min(low + 1024, b[-1]))
             x, y = np.tile(a, len(b)), np.repeat(b, len(a))
             chosen = x < y
-            if everything:
-                chosen &= rows.ask[x] | rows.ask[y]
             x, y = x[chosen], y[chosen]
             ok = rows.fit(x, y, num, den)
             x, y = x[ok], y[ok]
@@ -312,7 +307,8 @@ def _candidates(num: int, den: int, everything: bool):
         begin, size = edges[:-1], np.diff(edges)
         start = np.repeat(begin, size)
         small = np.repeat(size <= SMALL, size)
-        later = np.flatnonzero(small & (np.arange(n) > start))
+        chosen = small & (np.arange(n) > start)
+        later = np.flatnonzero(chosen & rows.ask if everything else chosen)
         found = list(_small_groups(rows, start[later], later, num, den))
         for g in np.flatnonzero(size > SMALL):
             found += _large_group(rows, int(begin[g]), int(begin[g] + size[g]), everything, num, den)
@@ -320,8 +316,7 @@ def _candidates(num: int, den: int, everything: bool):
             return
         a, b = (np.concatenate(x) for x in zip(*found))
         if everything:
-            keep = rows.ask[a] | rows.ask[b]
-            a, b, more = a[keep], b[keep], np.zeros(int(keep.sum()), bool)
+            more = np.zeros(len(b), bool)
         else:
             order = np.lexsort((a, b))
             a, b = a[order], b[order]
@@ -402,16 +397,16 @@ def repeated_lines(docs: DataFrame, num: int = 4, den: int = 5, id_col: str = "d
     """
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     counts = word_counts(texts, "text")
-    outlines = stash(texts.mapInArrow(_outlines, f"key {_KEY}, n int, fp1 bigint, fp2 bigint"))
+    full = f"key {_KEY}, n int, fp1 bigint, fp2 bigint, bits bigint, bits2 bigint, prefix array<bigint>, at array<int>"
+    described = stash(texts.mapInArrow(_described(counts, num, den), full))
     same = ["n", "fp1", "fp2"]
-    nodes = stash(outlines.groupBy(*same).agg(F.min("key").alias("key"), F.count("*").alias("lines")))
-    copies = outlines.join(nodes.where("lines > 1").withColumnRenamed("key", "first"), same).where("key > first").select("key")
-    full = f"key {_KEY}, n int, fp1 bigint, fp2 bigint, bits bigint, prefix array<bigint>, at array<int>"
-    lines = texts.mapInArrow(_described(counts, num, den), full).join(nodes.select(*same, "key"), [*same, "key"], "left_semi")
+    nodes = stash(described.groupBy(*same).agg(F.min("key").alias("key"), F.count("*").alias("lines")))
+    copies = described.join(nodes.where("lines > 1").select(*same, F.col("key").alias("first")), same).where("key > first").select("key")
+    lines = stash(described.join(nodes.select(*same, "key"), [*same, "key"], "left_semi"))
 
     def candidates(asked: Broadcast | None = None, words_asked: Broadcast | None = None) -> DataFrame:
         group = ["token", "low", "high"]
-        dealt = lines.select(*("key", "n", "fp1", "bits", "prefix", "at")).mapInArrow(_dealt(counts, asked, words_asked), _DEALT)
+        dealt = lines.select("key", "n", "fp1", "bits", "bits2", "prefix", "at").mapInArrow(_dealt(counts, asked, words_asked), _DEALT)
         met = dealt.repartition(*group).sortWithinPartitions(*group, "key")
         found = met.mapInArrow(_candidates(num, den, asked is not None), f"a {_KEY}, b {_KEY}, word bigint")
         # a line has few prefix words, so the list is short
@@ -448,11 +443,21 @@ def line_report(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
 def dedup_lines(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
     """``docs`` without the repeated lines, the same columns; ``n_chars``, where present,
     follows the text. Documents that lose all their words go; those without any stay."""
-    gone = repeated_lines(docs, num, den).groupBy(F.col("doc_id").alias("__d")).agg(F.collect_set("line").alias("__gone"))
-    kept = F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains(F.col("__gone"), i.cast("bigint")))
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    out = docs.join(gone, F.col("doc_id") == F.col("__d"), "left").withColumn("text", text)
-    out = out.where("__gone is null or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
+    gone = repeated_lines(docs, num, den).groupBy(F.col("doc_id").alias("d")).agg(F.collect_set("line").alias("gone"))
+    rows = docs.select(F.struct("*").alias("row")).join(gone, F.col("row.doc_id") == F.col("d"), "left")
+
+    def left_of(text: Column) -> Column:
+        # by hash, so linear in the lines of a text
+        stay = F.array_except(F.sequence(F.lit(0).cast("bigint"), F.size(text["parts"]).cast("bigint") - 1), text["gone"])
+        return F.array_join(F.transform(stay, lambda i: F.get(text["parts"], i.cast("int"))), "\n")
+
+    # an argument of a lambda is computed once, wherever the optimizer moves the expression
+    split = F.array(F.struct(F.split("row.text", "\n").alias("parts"), "gone"))
+    joined = F.get(F.transform(split, left_of), F.lit(0))
+    cut = rows.select("row", F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(joined).alias("text"), F.col("gone").isNotNull().alias("cut"))
+    cut = cut.where("not cut or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns)
+        n_chars = F.length("text").cast(docs.schema["n_chars"].dataType)
+        new["n_chars"] = F.when(F.col("cut"), n_chars).otherwise(F.col("row.n_chars"))
+    return cut.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

@@ -180,13 +180,10 @@ def clean_documents(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLA
     texts without words always stay."""
     model = train(docs, labels, ~held_out(F.col("doc_id")), per_class)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    columns = docs.columns
-    at = columns.index("text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("boolean")
+    def stays(column: pa.Array) -> pa.Array:
         fitted = shared.value
-        for batch in batches:
-            keep = [x == 0 or x < threshold for texts in slices(batch.column(at)) for x in scores(texts, fitted)]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+        return pa.array([x == 0 or x < threshold for texts in slices(column) for x in scores(texts, fitted)], pa.bool_())
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(stays("text"))  # only the texts go to Python, and none comes back

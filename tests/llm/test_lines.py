@@ -68,3 +68,15 @@ def test_repeated_and_negative_ids_and_empty_tables(documents):
     assert found(L.repeated_lines(documents([(big, "x y z"), (big + 1, "k\nx y z"), (-big, "u")]))) == [(big + 1, 1)]
     long = " ".join(f"t{i}" for i in range(40_000))
     assert found(L.repeated_lines(documents([(1, long), (2, "other " + long)]))) == [(2, 0)]
+
+
+def test_many_lines_of_one_text_and_clashing_names(documents):
+    """Linear in the lines of a text: half of 40,000 lines repeat."""
+    long = "\n".join(f"line number{i // 2} of{i // 2} a{i // 2} log{i // 2}" for i in range(40_000))
+    df = documents([(1, long), (2, "kept as it is\n\n kept too"), (3, None)])
+    df = df.selectExpr("*", "1 AS row", "2 AS gone", "'x' AS d", "3 AS parts", "4 AS cut")
+    out = L.dedup_lines(df)
+    assert out.columns == df.columns
+    got = {r.doc_id: r for r in out.collect()}
+    assert got[1].text == "\n".join(long.split("\n")[::2]) and got[2].text == "kept as it is\n\n kept too" and got[3].text is None
+    assert (got[1].row, got[1].gone, got[1].d, got[1].parts, got[1].cut) == (1, 2, "x", 3, 4)
