@@ -132,9 +132,22 @@ def _prints(token: np.ndarray, first: np.ndarray) -> list[pa.Array]:
     ]
 
 
+def _outlines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, n, fp1, fp2) of every line with a word."""
+    for batch in batches:
+        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        for texts in slices(batch.column(1)):
+            doc, number, token, line, _ = _line_sets(texts, None)
+            if len(doc):
+                n = np.bincount(line, minlength=len(doc))
+                yield pa.RecordBatch.from_arrays(
+                    [_keys(ids[texts.first + doc], number), pa.array(n, pa.int32()), *_prints(token, np.cumsum(n) - n)],
+                    ["key", "n", "fp1", "fp2"],
+                )
+
+
 def _described(counts: Broadcast, num: int, den: int):
-    """(key, n, fp1, fp2) of every line with a word, parity bits and the prefix: words and
-    their positions."""
+    """As :func:`_outlines`, with parity bits and the prefix: words and their positions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rarity = counts.value
@@ -397,12 +410,13 @@ def repeated_lines(docs: DataFrame, num: int = 4, den: int = 5, id_col: str = "d
     """
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     counts = word_counts(texts, "text")
-    full = f"key {_KEY}, n int, fp1 bigint, fp2 bigint, bits bigint, bits2 bigint, prefix array<bigint>, at array<int>"
-    described = stash(texts.mapInArrow(_described(counts, num, den), full))
+    outlines = stash(texts.mapInArrow(_outlines, f"key {_KEY}, n int, fp1 bigint, fp2 bigint"))
     same = ["n", "fp1", "fp2"]
-    nodes = stash(described.groupBy(*same).agg(F.min("key").alias("key"), F.count("*").alias("lines")))
-    copies = described.join(nodes.where("lines > 1").select(*same, F.col("key").alias("first")), same).where("key > first").select("key")
-    lines = stash(described.join(nodes.select(*same, "key"), [*same, "key"], "left_semi"))
+    nodes = stash(outlines.groupBy(*same).agg(F.min("key").alias("key"), F.count("*").alias("lines")))
+    copies = outlines.join(nodes.where("lines > 1").withColumnRenamed("key", "first"), same).where("key > first").select("key")
+    # described again from the texts where needed: stored prefixes take more disk than the texts
+    full = f"key {_KEY}, n int, fp1 bigint, fp2 bigint, bits bigint, bits2 bigint, prefix array<bigint>, at array<int>"
+    lines = texts.mapInArrow(_described(counts, num, den), full).join(nodes.select(*same, "key"), [*same, "key"], "left_semi")
 
     def candidates(asked: Broadcast | None = None, words_asked: Broadcast | None = None) -> DataFrame:
         group = ["token", "low", "high"]
