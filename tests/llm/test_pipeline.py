@@ -22,7 +22,7 @@ def test_registered():
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_against_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages", "labels"):
+    for t in ("documents", "embeddings", "pages", "labels", "conversations"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = QUERIES[name](spark, SF)
     rel = con.sql(ORACLE[name])
