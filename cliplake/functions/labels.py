@@ -50,8 +50,17 @@ def clock_label(seconds: Column, half_even: bool = False) -> Column:
 
 
 def one_decimal(value: Column) -> Column:
-    """One decimal, ties to even as for exact binary fractions."""
-    return F.format_string("%.1f", F.rint(value * 10) / 10)
+    """One decimal of the exact binary fraction, as ``printf`` gives it; real ties go to even.
+
+    Ten times a value can round onto a half that the value itself is not; what the product
+    lost (eight times plus two times the value, less the rounded sum) tells the side.
+    """
+    most, rest = value * 8, value * 2
+    total = most + rest
+    lost = rest - (total - most)
+    tie = total - F.floor(total) == 0.5
+    tenths = F.when(tie & (lost > 0), F.ceil(total)).when(tie & (lost < 0), F.floor(total)).otherwise(F.rint(total))
+    return F.format_string("%.1f", tenths.cast("double") / 10)
 
 
 def size_label(size: Column) -> Column:

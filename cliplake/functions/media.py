@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cliplake.functions.labels import file_stem
+from cliplake.functions.labels import file_stem, one_decimal
 
 # Constants that decide results.
 NOMINAL_FPS = 29.97
@@ -125,6 +125,5 @@ def speed_chain(speed: Column) -> Column:
         (F.when(speed > 2**k, F.lit(1)).otherwise(F.lit(0)) for k in range(1, 6)), F.lit(0)
     )
     rest = speed / F.pow(F.lit(2.0), doublings)
-    text = F.format_string("%.1f", F.rint(rest * 10) / 10)
-    chain = F.concat(F.array_repeat(F.lit("2.0"), doublings), F.array(text))
+    chain = F.concat(F.array_repeat(F.lit("2.0"), doublings), F.array(one_decimal(rest)))
     return F.when(valid, chain)

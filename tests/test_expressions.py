@@ -37,6 +37,11 @@ def test_labels(spark):
     ]
 
 
+def test_one_decimal_is_that_of_printf(spark):
+    values = [n / 100 for n in range(-300, 20000)] + [n / 3600 for n in range(0, 7200, 90)] + [0.25, 0.35, 1.15, 2.675]
+    assert each(spark, L.one_decimal, values, "double") == [f"{v:.1f}" for v in values]
+
+
 def test_descriptions_end_at_a_line(spark):
     long = "x" * 4000 + "\n" + "y" * 2000
     plain = "z" * 6000
