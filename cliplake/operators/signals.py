@@ -263,7 +263,7 @@ def clap_offset(peaks: DataFrame, keys: Sequence[str], role: str = "role") -> Da
 
 
 def clap_drift(peaks: DataFrame, keys: Sequence[str], role: str = "role") -> DataFrame:
-    """Shift and tempo ratio from the first and last peak of either side."""
+    """Shift and tempo ratio from the first and last peak of either side, with their peak counts."""
     point = F.struct("time_s", "score")
     aggs = [F.count_if(F.col(role) == side).alias(f"n_{side[0]}") for side in ("reference", "external")]
     for side in ("reference", "external"):
@@ -287,6 +287,8 @@ def clap_drift(peaks: DataFrame, keys: Sequence[str], role: str = "role") -> Dat
         F.when(ok, tempo).alias("tempo_ratio"),
         F.when(ok, F.least(F.lit(1.0), weakest / 10.0)).alias("confidence"),
         reason.alias("reason"),
+        F.col("n_r").alias("n_reference"),
+        F.col("n_e").alias("n_external"),
     )
 
 

@@ -159,3 +159,20 @@ def test_keywords(spark):
     assert [r[0] for r in df.select(M.white_balance(F.col("d"))).collect()][:2] == [5500, 5500]
     tie = {"nik": "a", "kon": "b"}
     assert df.select(M.keyword_value(F.col("d"), tie)).first()[0] == "a"
+
+
+def test_drift_of_a_session_without_a_reference_peak_is_that_of_its_sql(spark, tmp_path):
+    import duckdb
+
+    from __spark_entry__ import oracle_sql, queries
+
+    loud = [0.1] * 10 + [5.0] + [0.1] * 30 + [4.0] + [0.1] * 22
+    data = [(n, [0.1] * 64 if n == 4 else loud) for n in range(8)]
+    spark.createDataFrame(data, "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    df = queries()["J4_clap_drift"](spark, str(tmp_path))
+    want = con.sql(oracle_sql()["J4_clap_drift"])
+    got = rows(df.select(*want.columns))
+    assert got == sorted(want.fetchall(), key=repr)
+    assert [r[0] for r in got].count(None) == 1
