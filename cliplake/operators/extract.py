@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cliplake.functions.labels import clock_label, file_name, file_stem, file_suffix, parent_folder, size_label, subtitle_clock
@@ -19,11 +19,12 @@ from cliplake.operators.ordered import group_values, number_rows, position_block
 from cliplake.operators.sequences import (
     chapters,
     device_line,
+    list_runs,
     number_subtitles,
     silence_pairs,
     timeline,
 )
-from cliplake.operators.state import CLIPS_PER_DOCUMENT, merge_records
+from cliplake.operators.state import CLIPS_PER_DOCUMENT, clip_item, clip_lists, in_parts, merge_records
 
 # Layout of the probe output, tag names, patterns and maker names.
 STREAMS = (
@@ -501,6 +502,22 @@ def pack_lines(
     return packed.select(*key, "part", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("body"))
 
 
+def _documents(
+    lists: DataFrame, key: Sequence[str], head: Column | None = None, tail: Column | None = None, per_row: int = LINES_PER_DOCUMENT
+) -> DataFrame:
+    """:func:`pack_lines` of short documents, whose ``lines`` are one array already."""
+    lines, last = F.col("lines"), F.size("lines")
+
+    def ends(x: Column, i: Column) -> Column:
+        x = x if head is None else F.when(i == 0, F.concat(head, x)).otherwise(x)
+        return x if tail is None else F.when(i + 1 == last, F.concat(x, tail)).otherwise(x)
+
+    full = lines if head is None and tail is None else F.transform(lines, ends)
+    bodies = F.transform(in_parts(F.col("full"), per_row), lambda x: F.array_join(x, "\n"))
+    cut = lists.select(*key, full.alias("full")).select(*key, F.posexplode(bodies).alias("part", "body"))
+    return cut.select(*key, F.col("part").cast("bigint").alias("part"), "body")
+
+
 def subtitle_lines(segments: DataFrame, kind: str = "srt") -> DataFrame:
     """Cues (media_id, number, line) of subtitle segments; blank ones are dropped."""
     mark = "," if kind == "srt" else "."
@@ -547,13 +564,11 @@ def _device_tail() -> Column:
     )
 
 
-def clip_summaries(clips: DataFrame) -> DataFrame:
-    """Clip table and chapter list of every merge as a document."""
-
+def _table_row() -> Column:
     def shown(c: str) -> Column:
         return F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("-"))
 
-    row = F.concat_ws(
+    return F.concat_ws(
         " | ",
         F.concat(F.lit("| "), "position"),
         F.col("name"),
@@ -561,7 +576,47 @@ def clip_summaries(clips: DataFrame) -> DataFrame:
         shown("shot_time"),
         F.concat(clock_label(F.col("duration"), half_even=True), F.lit(" |")),
     )
-    table = clips.select("merge_id", F.lit(0).alias("block"), F.col("position").alias("pos"), row.alias("line"))
+
+
+def _lines_of(listed: str, field: str = "line") -> Column:
+    return F.transform(listed, lambda x: x[field])
+
+
+def _run_rows(clips: DataFrame) -> DataFrame:
+    """Clips of short lists with the line of their chapter where a run begins."""
+    rows = list_runs(clips, ["merge_id"], short=True)
+    before = F.lag("run").over(Window.partitionBy("merge_id").orderBy("position"))
+    start = clock_label(F.coalesce("__before", F.lit(0.0)), half_even=True)
+    rows = rows.withColumn("opens", F.coalesce(before != F.col("run"), F.lit(True)))
+    return rows.withColumn("chapter", F.concat(start, F.lit(" "), file_stem(F.col("name"))))
+
+
+def _chapter_list() -> Column:
+    return F.array_sort(F.collect_list(F.when(F.col("opens"), F.struct("run", F.col("chapter").alias("line")))))
+
+
+def _device_list() -> Column:
+    return F.array_sort(F.collect_list(F.when(F.col("device") != "", F.struct("position", "device"))))
+
+
+def _device_text() -> Column:
+    """Of the column ``devices``, as :func:`device_line` writes it."""
+    names = F.array_distinct(_lines_of("devices", "device"))
+    return F.when(F.size(names) > 0, F.array_join(names, ", "))
+
+
+def clip_summaries(clips: DataFrame, short: bool = False) -> DataFrame:
+    """Clip table and chapter list of every merge as a document."""
+    if short:
+        table = F.struct("position", _table_row().alias("line"))
+        lists = _run_rows(clips).groupBy("merge_id").agg(
+            F.array_sort(F.collect_list(table)).alias("rows"), _chapter_list().alias("chapters")
+        )
+        lines = F.concat(_lines_of("rows"), _lines_of("chapters"))
+        first = F.size("rows") + 1
+        lines = F.transform(lines, lambda x, i: F.when(i + 1 == first, F.concat(F.lit(CHAPTER_HEAD), x)).otherwise(x))
+        return _documents(lists.select("merge_id", lines.alias("lines")), ["merge_id"], F.lit(CLIP_HEAD), F.lit(CHAPTER_TAIL))
+    table = clips.select("merge_id", F.lit(0).alias("block"), F.col("position").alias("pos"), _table_row().alias("line"))
     listed = _chapter_lines(clips).withColumn(
         "line", F.when(F.col("pos") == 1, F.concat(F.lit(CHAPTER_HEAD), "line")).otherwise(F.col("line"))
     )
@@ -574,8 +629,12 @@ def clip_summaries(clips: DataFrame) -> DataFrame:
     )
 
 
-def descriptions(clips: DataFrame) -> DataFrame:
+def descriptions(clips: DataFrame, short: bool = False) -> DataFrame:
     """Chapter list of every merge, followed by the line naming its devices."""
+    if short:
+        lists = _run_rows(clips).groupBy("merge_id").agg(_chapter_list().alias("chapters"), _device_list().alias("devices"))
+        lists = lists.select("merge_id", _lines_of("chapters").alias("lines"), _device_text().alias("devices"))
+        return _documents(lists, ["merge_id"], None, _device_tail())
     lines = _chapter_lines(clips).join(device_line(clips, ["merge_id"]), "merge_id", "left")
     return pack_lines(lines, ["merge_id"], ["block", "pos"], tail=_device_tail())
 
@@ -590,16 +649,23 @@ SUMMARY_PLACES = ("", "📍 장소: ", "📷 장비: ", "", "⏱️ 타임라인
 SUMMARY_END = ("", "#vlog #여행 #일상", "```")
 
 
-def summary_documents(outputs: DataFrame, clips: DataFrame) -> DataFrame:
+def summary_documents(outputs: DataFrame, clips: DataFrame, short: bool = False) -> DataFrame:
     """The summary of every output (merge_id, title, date, size_bytes, output_path) as a document.
 
     Title, date (unless there is none), length, size and name; chapters, one per clip; the
     table of clips; a template of a description with the chapters once more. Outputs
     without clips have empty lists. Documents are packed as in :func:`pack_lines`.
     """
-    sums = clips.groupBy("merge_id").agg(F.sum("duration").alias("length"))
+    start, name = clock_label(F.col("start_s"), half_even=True), file_stem(F.col("name"))
+    chapter = F.concat(start, F.lit(" "), name)
+    row = F.concat_ws(" | ", F.concat(F.lit("| "), "position"), name, clock_label(F.col("duration"), half_even=True), F.concat(start, F.lit(" |")))
+    laid = timeline(clips, ["merge_id"], short=short)
+    sums = (laid if short else clips).groupBy("merge_id").agg(
+        F.sum("duration").alias("length"),
+        *([F.array_sort(F.collect_list(F.struct("position", chapter.alias("chapter"), row.alias("row")))).alias("clips")] if short else []),
+    )
     known = outputs.select("merge_id", "title", F.nullif("date", F.lit("")).alias("date"), "size_bytes", "output_path")
-    known = known.join(sums, "merge_id", "left")
+    known = known.join(sums, "merge_id", "left")  # with ``short`` the lines of the clips come along
     label = {k: F.lit(v) for k, v in SUMMARY_LABELS.items()}
     fixed = lambda texts: [F.lit(t) for t in texts]
     about, ending = (F.lit(t) for t in SUMMARY_SENTENCE)
@@ -613,14 +679,16 @@ def summary_documents(outputs: DataFrame, clips: DataFrame) -> DataFrame:
     ]
     sentence = F.coalesce(F.concat("date", about, "title", ending), F.concat("title", ending))
     blocks = {0: head, 2: fixed(SUMMARY_CLIPS), 4: [*fixed(SUMMARY_TEMPLATE), sentence, *fixed(SUMMARY_PLACES)], 6: fixed(SUMMARY_END)}
+    if short:
+        none = F.array().cast("array<string>")
+        lists = {b: F.coalesce(_lines_of("clips", kind), none) for b, kind in ((1, "chapter"), (3, "row"), (5, "chapter"))}
+        laid_out = [lists[b] if b in lists else F.array_compact(F.array(*blocks[b])) for b in range(7)]
+        return _documents(known.select("merge_id", F.concat(*laid_out).alias("lines")), ["merge_id"])
     frame = [
         known.select("merge_id", F.lit(block).alias("block"), F.posexplode(F.array_compact(F.array(*texts))).alias("pos", "line"))
         for block, texts in blocks.items()
     ]
-    laid = timeline(clips, ["merge_id"]).join(known.select("merge_id"), "merge_id", "left_semi")
-    start, name = clock_label(F.col("start_s"), half_even=True), file_stem(F.col("name"))
-    chapter = F.concat(start, F.lit(" "), name)
-    row = F.concat_ws(" | ", F.concat(F.lit("| "), "position"), name, clock_label(F.col("duration"), half_even=True), F.concat(start, F.lit(" |")))
+    laid = laid.join(known.select("merge_id"), "merge_id", "left_semi")
     kinds = F.array(*[F.struct(F.lit(b).alias("block"), line.alias("line")) for b, line in ((1, chapter), (3, row), (5, chapter))])
     listed = laid.select("merge_id", "position", F.inline(kinds)).select("merge_id", "block", F.col("position").alias("pos"), "line")
     lines = listed
@@ -629,7 +697,7 @@ def summary_documents(outputs: DataFrame, clips: DataFrame) -> DataFrame:
     return pack_lines(lines, ["merge_id"], ["block", "pos"])
 
 
-def merge_jobs(outputs: DataFrame, clips: DataFrame) -> DataFrame:
+def merge_jobs(outputs: DataFrame, clips: DataFrame, short: bool = False) -> DataFrame:
     """Rows to be stored for finished merges (merge_id, output_path, target, size_bytes, date).
 
     The title is the folder of the first target (itself, if it is no file), or the stem of
@@ -641,22 +709,41 @@ def merge_jobs(outputs: DataFrame, clips: DataFrame) -> DataFrame:
     named = F.coalesce(F.when(~folder.isin("", "."), folder), file_stem(F.col("output_path")))
     title = F.when(target.isNotNull(), named)
     about = outputs.select("merge_id", "output_path", title.alias("title"), "date", F.coalesce("size_bytes", F.lit(0)).cast("bigint").alias("total_size_bytes"))
-    texts = descriptions(clips).withColumnRenamed("body", "summary_markdown")
-    return (
-        merge_records(clips)
-        .join(about, "merge_id")
-        .join(texts, ["merge_id", "part"], "left")
-        .select(
-            "merge_id", "part", "output_path", "video_ids", "title", "date",
-            F.col("total_duration").alias("total_duration_seconds"), "total_size_bytes", "clips_info_json",
-            F.coalesce("summary_markdown", F.lit("")).alias("summary_markdown"),
-        )
+    if short:
+        stored = _short_merges(clips).join(about, "merge_id")
+    else:
+        texts = descriptions(clips).withColumnRenamed("body", "summary_markdown")
+        stored = merge_records(clips).join(about, "merge_id").join(texts, ["merge_id", "part"], "left")
+    return stored.select(
+        "merge_id", "part", "output_path", "video_ids", "title", "date",
+        F.col("total_duration").alias("total_duration_seconds"), "total_size_bytes", "clips_info_json",
+        F.coalesce("summary_markdown", F.lit("")).alias("summary_markdown"),
+    )
+
+
+def _short_merges(clips: DataFrame) -> DataFrame:
+    """Records and descriptions of short merges from one pass over their clips."""
+    start = F.coalesce("__before", F.lit(0.0))
+    rows = _run_rows(clips).withColumns({"start_s": start, "end_s": start + F.col("duration")})
+    lists = rows.groupBy("merge_id").agg(
+        F.sum("duration").alias("total_duration"), F.array_sort(F.collect_list(clip_item())).alias("items"),
+        _chapter_list().alias("chapters"), _device_list().alias("devices"),
     )
+    lines = lists.select("*", _lines_of("chapters").alias("lines"), _device_text().alias("text")).drop("devices").withColumnRenamed("text", "devices")
+    tail, last = _device_tail(), F.size("lines")
+    full = F.transform("lines", lambda x, i: F.when(i + 1 == last, F.concat(x, tail)).otherwise(x))
+    cut = lines.select("merge_id", "total_duration", full.alias("full"), F.posexplode(in_parts(F.col("items"), CLIPS_PER_DOCUMENT)).alias("part", "items"))
+    text = F.array_join(F.slice("full", F.col("part") * LINES_PER_DOCUMENT + 1, F.lit(LINES_PER_DOCUMENT)), "\n")
+    return cut.select("merge_id", F.col("part").cast("bigint").alias("part"), "total_duration", *clip_lists("items"), text.alias("summary_markdown"))
 
 
-def part_descriptions(parts: DataFrame, clips: DataFrame) -> DataFrame:
+def part_descriptions(parts: DataFrame, clips: DataFrame, short: bool = False) -> DataFrame:
     """Description per split part, from its chapters (merge_id, part_no, run, clock, title)."""
     lines = parts.select("merge_id", "part_no", "run", F.concat("clock", F.lit(" "), "title").alias("line"))
+    if short:
+        lists = lines.groupBy("merge_id", "part_no").agg(F.array_sort(F.collect_list(F.struct("run", "line"))).alias("l"))
+        named = lists.join(device_line(clips, ["merge_id"]), "merge_id", "left")
+        return _documents(named.withColumn("lines", _lines_of("l")), ["merge_id", "part_no"], None, _device_tail())
     lines = lines.join(device_line(clips, ["merge_id"]), "merge_id", "left")
     return pack_lines(lines, ["merge_id", "part_no"], ["run"], tail=_device_tail())
 

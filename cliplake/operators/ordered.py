@@ -14,6 +14,9 @@ keys at all, or many rows at one moment), leave it out: blocks are then ranges b
 quantiles of the rows with the smallest hashes, found inside the plan. Blocks always follow
 from the rows alone, so it does not matter how often Spark computes them. ``order`` must be
 unique per key.
+
+``WHOLE`` as the block says that keys are short lists: plain windows per key, without summaries
+or a join, and without an exchange where the rows already lie by key. Rows beyond memory spill.
 """
 
 from __future__ import annotations
@@ -26,7 +29,9 @@ from pyspark.sql import functions as F
 BLOCK = "__block"
 BLOCKS_PER_PARTITION, ROWS_PER_BOUND = 2, 16
 KINDS = ("sum", "max", "last", "since")
+WHOLE = "whole"
 Value = tuple[str, Column]
+Block = Column | str | None
 
 
 def _range_blocks(df: DataFrame, ranges: list[str]) -> DataFrame:
@@ -71,7 +76,7 @@ def fused(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    block: Column | None = None,
+    block: Block = None,
     previous: Sequence[str] = (),
     name: str = "prev",
     uses: Sequence[str] | None = None,
@@ -89,6 +94,10 @@ def fused(
     keys, order, previous = list(keys), list(order), list(previous)
     if any(how.removesuffix("_before") not in KINDS or how == "since_before" for how, _ in values.values()):
         raise ValueError(f"kinds are {KINDS} or .._before")
+    if isinstance(block, str):
+        if block != WHOLE:
+            raise ValueError("block is a column, None or WHOLE")
+        return _whole(df, keys, order, previous, name, values)
     dealt = _range_blocks(df, [*keys, *order]) if block is None else df.withColumn(BLOCK, block)
     kb = [*keys, BLOCK]
     # a fixed number: the work per row is in the windows, so small inputs should not be packed together
@@ -135,6 +144,28 @@ def fused(
     return joined.select(*out)
 
 
+def _whole(df: DataFrame, keys: list[str], order: list[str], previous: list[str], name: str, values: dict[str, Value]) -> DataFrame:
+    """:func:`fused` by one window per key."""
+    along = Window.partitionBy(*keys).orderBy(*order)
+    upto, before = along.rowsBetween(Window.unboundedPreceding, 0), along.rowsBetween(Window.unboundedPreceding, -1)
+    out = [F.col(c) for c in df.columns]
+    rows = df
+    if previous:
+        rows = rows.withColumn(name, F.lag(F.struct(*previous)).over(along))
+        out.append(F.col(name))
+    rows = rows.withColumns({f"__v_{n}": column for n, (_, column) in values.items()})
+    number = F.row_number().over(along).cast("bigint")
+    for n, (how, _) in values.items():
+        kind, held = how.removesuffix("_before"), F.col(f"__v_{n}")
+        if kind == "since":
+            rows = rows.withColumn("__rn", number) if "__rn" not in rows.columns else rows
+            value = F.col("__rn") - F.coalesce(F.max(F.when(held, F.col("__rn"))).over(upto), F.lit(1)) + 1
+        else:
+            value = _running(kind, held, upto if how == kind else before)
+        out.append(value.alias(n))
+    return rows.select(*out)
+
+
 def _carry(
     rows: DataFrame, keys: list[str], at: Column, previous: list[str], name: str, uses: Sequence[str],
     values: dict[str, Value], kinds: dict[str, str], held: dict[str, Column],
@@ -182,7 +213,7 @@ def _carry(
 
 
 def scan(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column | None = None, *, inclusive: bool = False, **values: Value
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Block = None, *, inclusive: bool = False, **values: Value
 ) -> DataFrame:
     """Running ``sum``, ``max`` or ``last`` per key for every named value; exclusive by default."""
     end = "" if inclusive else "_before"
@@ -190,7 +221,7 @@ def scan(
 
 
 def number_rows(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column | None = None, name: str = "number"
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Block = None, name: str = "number"
 ) -> DataFrame:
     """1-based dense numbering along ``order``."""
     return fused(df, keys, order, block, **{name: ("sum", F.lit(1).cast("bigint"))})

@@ -2,6 +2,7 @@
 
 All running computations go through :mod:`cliplake.operators.ordered`, so a batch
 or merge of any size is spread over many tasks; what runs along one order is one pass.
+With ``short`` the caller states that lists are short: plain windows per list.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from cliplake.functions.labels import clock_label, file_stem
 from cliplake.operators.ordered import (
+    WHOLE,
     fused,
     group_values,
     micros,
@@ -41,21 +43,22 @@ def timeline(
     keys: Sequence[str],
     position: str = "position",
     length: str = "duration",
+    short: bool = False,
 ) -> DataFrame:
     """Add ``start_s`` and ``end_s``: lengths laid end to end in list order."""
-    out = scan(df, keys, [position], position_block(position), start_s=("sum", F.col(length)))
+    out = scan(df, keys, [position], WHOLE if short else position_block(position), start_s=("sum", F.col(length)))
     start = F.coalesce("start_s", F.lit(0.0))
     return out.withColumn("end_s", start + F.col(length)).withColumn("start_s", start)
 
 
-def _runs(clips: DataFrame, keys: Sequence[str], group: str) -> DataFrame:
-    """Number of the run and seconds before the clip, both from one pass."""
+def list_runs(clips: DataFrame, keys: Sequence[str], group: str = "grp", short: bool = False) -> DataFrame:
+    """Clips with ``run``, its number, and ``__before``, the seconds before the clip, from one pass."""
     starts = ~F.coalesce(F.col(f"__prev.{group}") == F.col(group), F.lit(False))
     return fused(
         clips,
         keys,
         ["position"],
-        position_block(),
+        WHOLE if short else position_block(),
         previous=[group],
         name="__prev",
         uses=[group, "duration"],
@@ -64,31 +67,31 @@ def _runs(clips: DataFrame, keys: Sequence[str], group: str) -> DataFrame:
     )
 
 
-def merge_runs(clips: DataFrame, keys: Sequence[str], group: str = "grp") -> DataFrame:
+def merge_runs(clips: DataFrame, keys: Sequence[str], group: str = "grp", short: bool = False) -> DataFrame:
     """Collapse consecutive clips of one group; clips without a group stand alone.
 
     A group that comes back later starts a new run. One row per run, numbered from 1.
     """
-    return _runs(clips, keys, group).groupBy(*keys, "run").agg(
+    return list_runs(clips, keys, group, short).groupBy(*keys, "run").agg(
         F.min_by("name", "position").alias("name"),
         F.sum("duration").alias("duration"),
         F.count(F.lit(1)).alias("clip_count"),
     )
 
 
-def timed_runs(clips: DataFrame, keys: Sequence[str], group: str = "grp") -> DataFrame:
+def timed_runs(clips: DataFrame, keys: Sequence[str], group: str = "grp", short: bool = False) -> DataFrame:
     """Runs (run, name) with ``start_s`` and ``end_s``: lengths laid end to end."""
     before = F.coalesce("__before", F.lit(0.0))
-    return _runs(clips, keys, group).groupBy(*keys, "run").agg(
+    return list_runs(clips, keys, group, short).groupBy(*keys, "run").agg(
         F.min_by("name", "position").alias("name"),
         F.min_by(before, "position").alias("start_s"),
         F.max_by(before + F.col("duration"), "position").alias("end_s"),
     )
 
 
-def chapters(clips: DataFrame, keys: Sequence[str], group: str = "grp") -> DataFrame:
+def chapters(clips: DataFrame, keys: Sequence[str], group: str = "grp", short: bool = False) -> DataFrame:
     """Start offset, clock label and title of every run."""
-    return timed_runs(clips, keys, group).select(
+    return timed_runs(clips, keys, group, short).select(
         *keys,
         "run",
         "start_s",
@@ -98,9 +101,9 @@ def chapters(clips: DataFrame, keys: Sequence[str], group: str = "grp") -> DataF
     )
 
 
-def split_parts(parts: DataFrame, title: Column) -> DataFrame:
+def split_parts(parts: DataFrame, title: Column, short: bool = False) -> DataFrame:
     """Boundaries and titles of the parts (merge_id, part_no, length) of a split."""
-    laid = timeline(parts, ["merge_id"], "part_no", "length")
+    laid = timeline(parts, ["merge_id"], "part_no", "length", short)
     laid = group_values(laid, ["merge_id"], parts=F.count(F.lit(1)))
     return laid.withColumn(
         "title", F.concat(title, F.lit(" (Part "), "part_no", F.lit("/"), "parts", F.lit(")"))
@@ -108,7 +111,7 @@ def split_parts(parts: DataFrame, title: Column) -> DataFrame:
 
 
 def overlap_parts(
-    clips: DataFrame, parts: DataFrame, seconds_per_block: float = 600.0
+    clips: DataFrame, parts: DataFrame, seconds_per_block: float = 600.0, short: bool = False
 ) -> DataFrame:
     """Clips (merge_id, run, name, start_s, end_s) that share time with parts (merge_id, part_no, ...).
 
@@ -137,7 +140,7 @@ def overlap_parts(
         both,
         ["merge_id"],
         ["at", "kind", "no"],
-        F.floor(F.col("at") / F.lit(seconds_per_block)).cast("bigint"),
+        WHOLE if short else F.floor(F.col("at") / F.lit(seconds_per_block)).cast("bigint"),
         ended=("sum", (kind == 0).cast("bigint")),
         begun=("sum", (kind == 3).cast("bigint")),
         edge=("last", F.when(kind == 0, F.col("at"))),

@@ -561,33 +561,49 @@ def append_backups(history: DataFrame, results: DataFrame, now: Column) -> DataF
 
 
 # ------------------------------------------------------------------ merges
+def clip_item() -> Column:
+    """What a stored merge keeps of a clip that is laid on its timeline."""
+    return F.struct(
+        "position",
+        "video_id",
+        F.struct("name", "duration", F.col("start_s").alias("start"), F.col("end_s").alias("end"), "device", "shot_time").alias("clip"),
+    )
+
+
+def clip_lists(items: str) -> tuple[Column, Column]:
+    """The JSON lists (``clips_info_json``, ``video_ids``) of an array of clips in order."""
+    return (
+        F.to_json(F.transform(items, lambda x: x["clip"]), {"ignoreNullFields": "false"}).alias("clips_info_json"),
+        F.to_json(F.transform(items, lambda x: x["video_id"])).alias("video_ids"),
+    )
+
+
+def in_parts(values: Column, size: int) -> Column:
+    """An array cut into arrays of at most ``size``; an empty one has no parts."""
+    starts = F.filter(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / F.lit(size)).cast("int")), lambda _: F.size(values) > 0)
+    return F.transform(starts, lambda i: F.slice(values, i * size + 1, F.lit(size)))
+
+
 def merge_records(
-    clips: DataFrame, clips_per_row: int = CLIPS_PER_DOCUMENT
+    clips: DataFrame, clips_per_row: int = CLIPS_PER_DOCUMENT, short: bool = False
 ) -> DataFrame:
     """Totals, timeline and video id JSON per merge from its clips (merge_id, position, video_id, ...).
 
     The lists are a table of parts of ``clips_per_row`` clips, numbered from 0; every
-    part carries the totals of the whole merge.
+    part carries the totals of the whole merge. With ``short`` positions must be dense and
+    the clips of a merge are gathered at once.
     """
-    laid = timeline(clips, ["merge_id"])
-    item = F.struct(
-        "position",
-        "video_id",
-        F.struct("name", "duration", F.col("start_s").alias("start"), F.col("end_s").alias("end"), "device", "shot_time").alias("clip"),
-    )
+    laid = timeline(clips, ["merge_id"], short=short)
+    count, total = F.count(F.lit(1)).alias("clip_count"), F.sum("duration").alias("total_duration")
+    if short:
+        gathered = laid.groupBy("merge_id").agg(count, total, F.array_sort(F.collect_list(clip_item())).alias("items"))
+        cut = in_parts(F.col("items"), clips_per_row)
+        parts = gathered.select("merge_id", "clip_count", "total_duration", F.posexplode(cut).alias("part", "items"))
+        return parts.select("merge_id", F.col("part").cast("bigint").alias("part"), "clip_count", "total_duration", *clip_lists("items"))
     part = F.floor((F.col("position") - 1) / clips_per_row).cast("bigint")
-    packed = laid.groupBy("merge_id", part.alias("part")).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    totals = clips.groupBy("merge_id").agg(
-        F.count(F.lit(1)).alias("clip_count"), F.sum("duration").alias("total_duration")
-    )
-    return packed.join(totals, "merge_id").select(
-        "merge_id",
-        "part",
-        "clip_count",
-        "total_duration",
-        F.to_json(F.transform("items", lambda x: x["clip"]), {"ignoreNullFields": "false"}).alias("clips_info_json"),
-        F.to_json(F.transform("items", lambda x: x["video_id"])).alias("video_ids"),
-    )
+    packed = laid.groupBy("merge_id", part.alias("part")).agg(F.array_sort(F.collect_list(clip_item())).alias("items"))
+    totals = clips.groupBy("merge_id").agg(count, total)
+    return packed.join(totals, "merge_id").select("merge_id", "part", "clip_count", "total_duration", *clip_lists("items"))
 
 
 def split_plan(merges: DataFrame) -> DataFrame:

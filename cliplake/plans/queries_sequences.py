@@ -71,7 +71,7 @@ def e1(spark, sf):
     sum(duration) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS end_s FROM clips WINDOW w AS (PARTITION BY merge_id ORDER BY position)""",
 )
 def e2(spark, sf):
-    return E.timeline(V.clips(spark, sf), ["merge_id"]).select("merge_id", "position", "name", "start_s", "end_s")
+    return E.timeline(V.clips(spark, sf), ["merge_id"], short=True).select("merge_id", "position", "name", "start_s", "end_s")
 
 
 @query("E3_sequence_sessions", f"WITH {islands_sql('seqfiles')} SELECT * FROM seq_groups")
@@ -121,7 +121,7 @@ def e7(spark, sf):
 
 @query("E8_merge_runs", f"WITH {runs_sql()} SELECT merge_id, run, name, duration, clip_count FROM runs")
 def e8(spark, sf):
-    return E.merge_runs(V.clips(spark, sf), ["merge_id"])
+    return E.merge_runs(V.clips(spark, sf), ["merge_id"], short=True)
 
 
 @query(
@@ -129,7 +129,7 @@ def e8(spark, sf):
     f"WITH {runs_sql()} SELECT merge_id, run, start_s, start_s + duration AS end_s, {clock_sql('start_s')} AS clock, replace(name, '.mp4', '') AS title FROM laid",
 )
 def e9(spark, sf):
-    return E.chapters(V.clips(spark, sf), ["merge_id"])
+    return E.chapters(V.clips(spark, sf), ["merge_id"], short=True)
 
 
 # parts of a merge: its clips cut again at every second clip's length plus ten
@@ -146,9 +146,9 @@ def _parts(clips):
 
 def part_chapters(spark, sf):
     clips = V.clips(spark, sf)
-    parts = E.timeline(_parts(clips), ["merge_id"], "part_no", "length")
-    runs = E.timed_runs(clips, ["merge_id"], "grp")
-    return E.overlap_parts(runs, parts)
+    parts = E.timeline(_parts(clips), ["merge_id"], "part_no", "length", short=True)
+    runs = E.timed_runs(clips, ["merge_id"], "grp", short=True)
+    return E.overlap_parts(runs, parts, short=True)
 
 
 @query(
@@ -156,7 +156,7 @@ def part_chapters(spark, sf):
     f"WITH {PARTS_SQL} SELECT merge_id, part_no, ps AS start_s, pe AS end_s, parts, 'Trip ' || merge_id || ' (Part ' || part_no || '/' || parts || ')' AS title FROM part_spans",
 )
 def e10(spark, sf):
-    out = E.split_parts(_parts(V.clips(spark, sf)), F.concat(F.lit("Trip "), "merge_id"))
+    out = E.split_parts(_parts(V.clips(spark, sf)), F.concat(F.lit("Trip "), "merge_id"), short=True)
     return out.select("merge_id", "part_no", "start_s", "end_s", "parts", "title")
 
 
