@@ -284,7 +284,7 @@ _SUMMARY_SIZE = """CASE WHEN total_size_bytes < 1024 THEN total_size_bytes || '
 )
 def i11doc(spark, sf):
     outputs = V.merges(spark, sf).select(c("id").alias("merge_id"), "title", "date", c("total_size_bytes").alias("size_bytes"), "output_path")
-    return I.summary_documents(outputs, V.clips(spark, sf))
+    return I.summary_documents(outputs, V.clips(spark, sf), short=True)
 
 
 @query(
