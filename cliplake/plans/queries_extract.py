@@ -297,7 +297,7 @@ def i11p(spark, sf):
     chapters = part_chapters(spark, sf).select(
         "merge_id", "part_no", "run", clock_label(c("relative_s"), True).alias("clock"), file_stem(c("name")).alias("title")
     )
-    out = I.part_descriptions(chapters, V.clips(spark, sf))
+    out = I.part_descriptions(chapters, V.clips(spark, sf), short=True)
     return out.select(F.concat_ws("/", "merge_id", "part_no").alias("doc"), "part", "body")
 
 
