@@ -720,7 +720,7 @@ def k16m(spark, sf):
         "CASE WHEN id % 6 > 0 THEN total_size_bytes END AS size_bytes",
         "date_format(created_at, 'yyyy-MM-dd') AS date",
     )
-    return I.merge_jobs(outputs, V.clips(spark, sf))
+    return I.merge_jobs(outputs, V.clips(spark, sf), short=True)
 
 
 @query(
