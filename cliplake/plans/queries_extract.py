@@ -265,7 +265,7 @@ def i11(spark, sf):
     SELECT k.merge_id, 0 AS part, k.body || CASE WHEN devices IS NULL THEN '' ELSE {_NL} || {_NL} || '이 영상은 ' || devices || '로 촬영됨' END AS body FROM k LEFT JOIN dev ON dev.merge_id = k.merge_id""",
 )
 def i11d(spark, sf):
-    return I.descriptions(V.clips(spark, sf))
+    return I.descriptions(V.clips(spark, sf), short=True)
 
 
 _SUMMARY_SIZE = """CASE WHEN total_size_bytes < 1024 THEN total_size_bytes || ' B' WHEN total_size_bytes < 1024^2 THEN printf('%.1f', total_size_bytes / 1024) || ' KB' WHEN total_size_bytes < 1024^3 THEN printf('%.1f', total_size_bytes / 1024^2) || ' MB' ELSE printf('%.1f', total_size_bytes / 1024^3) || ' GB' END"""
