@@ -256,7 +256,7 @@ _DEV = """dev AS (SELECT merge_id, string_agg(device, ', ' ORDER BY pos) AS devi
     FROM t JOIN k USING (merge_id)""",
 )
 def i11(spark, sf):
-    return I.clip_summaries(V.clips(spark, sf))
+    return I.clip_summaries(V.clips(spark, sf), short=True)
 
 
 @query(
