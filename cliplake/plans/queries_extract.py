@@ -209,7 +209,7 @@ def i8(spark, sf):
     "SELECT merge_id, position, name, duration, coalesce(device, '-') AS device, shot_time FROM clips WHERE merge_id % 10 < 9",
 )
 def i9(spark, sf):
-    records = K.merge_records(V.clips(spark, sf))
+    records = K.merge_records(V.clips(spark, sf), short=True)
     merges = records.select(
         c("merge_id").alias("id"),
         "part",

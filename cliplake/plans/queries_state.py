@@ -696,7 +696,7 @@ def k15(spark, sf):
       '[' || string_agg(video_id, ',' ORDER BY position) || ']' AS video_ids FROM t GROUP BY 1, 2""",
 )
 def k16(spark, sf):
-    return K.merge_records(V.clips(spark, sf))
+    return K.merge_records(V.clips(spark, sf), short=True)
 
 
 @query(
