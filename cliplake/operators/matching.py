@@ -99,37 +99,47 @@ def _best_of(found: str, window: float) -> Column:
     return F.array_max(F.transform(found, score))
 
 
-def _tiles(sound: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Recordings of a folder in strips along time, cut into tiles along length: the tiles with
-    their points, the boxes of the tiles of every strip, and those of the strips of every folder.
+def _cell(window: float) -> Column:
+    """Number of the stretch of time, as long as the window, that ``us`` lies in."""
+    return F.floor(F.col("us") / F.lit(window * 1e6)).cast("bigint")
 
-    A folder of n recordings has about as many strips as a strip has tiles, the root of
-    n / ``TILE``, and so long is the longest list.
+
+def _tiles(sound: DataFrame, window: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Recordings of a folder and cell of time in strips along time, cut into tiles along length:
+    the tiles with their points, the boxes of the tiles of every strip, and those of the strips
+    of every cell.
+
+    A cell of n recordings has about as many strips as a strip has tiles, the root of
+    n / ``TILE``, and so long is the longest list. A folder that covers more time has more cells,
+    not longer lists.
     """
-    counts = sound.groupBy("folder").agg(F.count(F.lit(1)).alias("n"))
-    ranked = number_rows(sound, ["folder"], ["us", "length"], None, "r").join(counts, "folder")
+    cell = ["folder", "cell"]
+    sound = sound.withColumn("cell", _cell(window))
+    counts = sound.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"))
+    ranked = number_rows(sound, cell, ["us", "length"], None, "r").join(counts, cell)
     per_strip = F.ceil(F.sqrt(F.col("n") / F.lit(float(TILE)))) * TILE
     strips = ranked.withColumn("strip", F.floor((F.col("r") - 1) / per_strip).cast("bigint")).drop("r", "n")
-    placed = number_rows(strips, ["folder", "strip"], ["length", "us"], None, "r")
+    placed = number_rows(strips, [*cell, "strip"], ["length", "us"], None, "r")
     # the index is stored, as six joins read it
     placed = cut_lineage(placed.withColumn("tile", F.floor((F.col("r") - 1) / TILE).cast("bigint")))
     box = [f(c).alias(f"{n}_{c}") for c in ("us", "length") for n, f in (("lo", F.min), ("hi", F.max))]
-    tiles = placed.groupBy("folder", "strip", "tile").agg(F.collect_list(F.struct("length", "us", "path")).alias("points"), *box)
-    boxed = placed.groupBy("folder", "strip", "tile").agg(*box)
+    tiles = placed.groupBy(*cell, "strip", "tile").agg(F.collect_list(F.struct("length", "us", "path")).alias("points"), *box)
+    boxed = placed.groupBy(*cell, "strip", "tile").agg(*box)
     whole = [f(f"{n}_{c}").alias(f"{n}_{c}") for c in ("us", "length") for n, f in (("lo", F.min), ("hi", F.max))]
     area = ["lo_us", "hi_us", "lo_length", "hi_length"]
-    by_strip = boxed.groupBy("folder", "strip").agg(F.collect_list(F.struct("tile", *area)).alias("boxes"), *whole)
-    by_folder = by_strip.groupBy("folder").agg(F.collect_list(F.struct("strip", *area)).alias("boxes"))
-    return tiles.select("folder", "strip", "tile", "points"), by_strip.select("folder", "strip", "boxes"), by_folder
+    by_strip = boxed.groupBy(*cell, "strip").agg(F.collect_list(F.struct("tile", *area)).alias("boxes"), *whole)
+    by_cell = by_strip.groupBy(*cell).agg(F.collect_list(F.struct("strip", *area)).alias("boxes"))
+    return tiles.select(*cell, "strip", "tile", "points"), by_strip.select(*cell, "strip", "boxes"), by_cell
 
 
 def _candidates(asking: DataFrame, tiles: tuple[DataFrame, DataFrame, DataFrame], window: float, nearest: bool) -> DataFrame:
     """``(id, v_len, v_us, c_len, c_us, path)``: the best point of every tile that a video looks at.
 
-    With ``nearest`` that is the strip and tile whose box has the best bound, else all whose
+    With ``nearest`` that is, in each of the three cells around the video, the strip and tile whose
+    box has the best bound, else all whose
     bound reaches ``least`` inside the window.
     """
-    points, by_strip, by_folder = tiles
+    points, by_strip, by_cell = tiles
     zero = F.lit(0.0)
 
     def bound(b: Column) -> Column:
@@ -145,12 +155,14 @@ def _candidates(asking: DataFrame, tiles: tuple[DataFrame, DataFrame, DataFrame]
         # a little below, as bounds and scores are rounded apart
         return F.transform(F.filter("boxes", lambda b: bound(b) >= F.col("least") - 1e-12), lambda b: b[kind])
 
-    v = ["id", "folder", "length", "us", "least"]
+    cell, v = ["folder", "cell"], ["id", "folder", "cell", "length", "us", "least"]
     # small rows with much work each: kept on all tasks
     n = int(asking.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    in_strip = asking.select(*v).repartition(n, "id").join(by_folder, "folder").select(*v, F.explode(chosen("strip")).alias("strip"))
-    in_tile = in_strip.join(by_strip, ["folder", "strip"]).select(*v, "strip", F.explode(chosen("tile")).alias("tile"))
-    met = in_tile.repartition(n, "folder", "strip", "tile").join(points, ["folder", "strip", "tile"])
+    around = F.explode(F.sequence(_cell(window) - 1, _cell(window) + 1)).alias("cell")
+    in_cell = asking.select("id", "folder", "length", "us", "least", around).repartition(n, *cell)
+    in_strip = in_cell.join(by_cell, cell).select(*v, F.explode(chosen("strip")).alias("strip"))
+    in_tile = in_strip.join(by_strip, [*cell, "strip"]).select(*v, "strip", F.explode(chosen("tile")).alias("tile"))
+    met = in_tile.repartition(n, *cell, "strip", "tile").join(points, [*cell, "strip", "tile"])
 
     def rated(p: Column) -> Column:
         score = match_score(F.col("length"), F.abs(p["length"] - F.col("length")), F.abs(p["us"] - F.col("us")) / F.lit(1e6), window)
@@ -173,9 +185,9 @@ def match_recordings(
     The score adds closeness in length and in time. A recording outside the time
     window scores on length alone, so among those only the two neighbours in length
     can win: they come from ordered scans. For recordings inside the window the search
-    branches and bounds: recordings lie in tiles of some dozen neighbours in time and
-    length, a tile's box tells the best score it could hold, and what a video has already
-    found rules tiles out. The tile next to a video is looked at first, then those that may
+    branches and bounds: only cells of time next to a video can hold one; in them recordings
+    lie in tiles of some dozen neighbours in time and length, a tile's box tells the best
+    score it could hold, and what a video has already found rules tiles out. The tile next to a video is looked at first, then those that may
     still hold a better one, or one as good with an earlier path. The result is the exact
     optimum; ties go to the first path.
     """
@@ -219,7 +231,7 @@ def match_recordings(
     # inside the time window: tiles of recordings that can still beat what is known
     known = by_length.groupBy("id").agg(F.collect_list(F.struct("c_len", "c_us")).alias("found"))  # two at most
     asking = cut_lineage(usable.join(known, "id").withColumn("least", _best_of("found", window)))
-    tiles = _tiles(sound)
+    tiles = _tiles(sound, window)
     first = _candidates(asking, tiles, window, nearest=True)
     better = first.groupBy("id").agg(F.max(match_score(F.col("v_len"), *_gaps(), window)).alias("__score"))
     asking = asking.join(better, "id", "left").withColumn("least", F.greatest("least", "__score")).drop("__score")
