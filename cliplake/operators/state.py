@@ -181,11 +181,16 @@ def resume_plan(videos: DataFrame, jobs: DataFrame, inventory: DataFrame) -> Dat
 
 
 # ------------------------------------------------------------------ deletes
-def cascade_delete(tables: Mapping[str, DataFrame], **deleted: DataFrame) -> dict[str, DataFrame]:
-    """Delete parent rows by id (``videos=ids`` ...) together with their child rows."""
+def cascade_delete(tables: Mapping[str, DataFrame], many: bool = False, **deleted: DataFrame) -> dict[str, DataFrame]:
+    """Delete parent rows by id (``videos=ids`` ...) together with their child rows.
+
+    With ``many`` the ids are a share of the table: they are dealt out with its rows and hashed, so
+    that rows are neither sorted nor spilled. Few ids are best sent to all tasks, as Spark does.
+    """
     out = dict(tables)
     for parent, ids in deleted.items():
         keys = ids.select(ids[ids.columns[0]].alias("id"))
+        keys = keys.hint("shuffle_hash") if many else keys
         if parent in out:
             out[parent] = out[parent].join(keys, "id", "left_anti")
         for (child, column), owner in PARENTS.items():
@@ -194,7 +199,7 @@ def cascade_delete(tables: Mapping[str, DataFrame], **deleted: DataFrame) -> dic
     return out
 
 
-def reset_build(tables: Mapping[str, DataFrame], paths: DataFrame) -> dict[str, DataFrame]:
+def reset_build(tables: Mapping[str, DataFrame], paths: DataFrame, many: bool = False) -> dict[str, DataFrame]:
     """Forget the builds of some output paths.
 
     The newest merge of a path names the videos to delete (with their jobs); every
@@ -208,7 +213,8 @@ def reset_build(tables: Mapping[str, DataFrame], paths: DataFrame) -> dict[str,
         [F.desc("created_at"), F.desc("id")],
     )
     videos = newest.select(F.explode(F.from_json("video_ids", "array<bigint>")).alias("id")).distinct()
-    return cascade_delete(tables, videos=videos, merge_jobs=hit.select("id"))
+    # the ids are stored, as several tables are compared with them
+    return cascade_delete(tables, many, videos=cut_lineage(videos), merge_jobs=cut_lineage(hit.select("id")))
 
 
 # ------------------------------------------------------------------ uploads
@@ -475,13 +481,8 @@ def number_destinations(requests: DataFrame, existing: DataFrame) -> DataFrame:
             skipped=("sum", (F.col("kind") == 0).cast("bigint")),
         ).filter("kind = 1")
         slot = F.col("at") + F.coalesce("skipped", F.lit(0).cast("bigint"))
-        final = placed.select(
-            *family,
-            F.col("tie").alias("order_no"),
-            "name",
-            slot.alias("slot"),
-            F.when(slot == 0, F.col("name")).otherwise(F.concat("stem", F.lit("_"), slot, "suffix")).alias("final_name"),
-        )
+        final_name = F.when(slot == 0, F.col("name")).otherwise(F.concat("stem", F.lit("_"), slot, "suffix"))
+        final = placed.select(*family, F.col("tie").alias("order_no"), "name", slot.alias("slot"), final_name.alias("final_name"))
         clashes = (
             final.groupBy("dest", "final_name")
             .agg(F.min("order_no").alias("winner"), F.count(F.lit(1)).alias("n"))

@@ -422,6 +422,7 @@ def k7(spark, sf):
     return _keyed(
         K.cascade_delete(
             tables,
+            many=True,
             videos=tables["videos"].filter("device_model IS NULL").select("id"),
             merge_jobs=tables["merge_jobs"].filter("status = 'failed'").select("id"),
             projects=V.load(spark, sf, "customer").filter("c_acctbal < 0").select(c("c_custkey").alias("id")),
@@ -449,7 +450,7 @@ def k7(spark, sf):
 def k8(spark, sf):
     tables = _tables(spark, sf)
     paths = tables["merge_jobs"].filter("youtube_id IS NOT NULL").select("output_path")
-    return _keyed(K.reset_build(tables, paths))
+    return _keyed(K.reset_build(tables, paths, many=True))
 
 
 @query(
