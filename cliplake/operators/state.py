@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -330,6 +330,15 @@ def upsert(
     waiting = numbered
     for key in unique:
         waiting = waiting.join(current.select(*key).dropna(), list(key), "left_anti")
+    if len(unique) == 1:
+        # the rows behind the first one of a key are all in conflict with it; null keys are free.
+        # One window along the join's partitioning, so a row is dealt out once.
+        free = F.when(~reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in first]), F.col("__order"))
+        rank = F.rank().over(Window.partitionBy(*first, free).orderBy("__order"))
+        accepted = waiting.withColumn("__rank", rank).filter("__rank = 1")
+        return current.withColumn("inserted", F.lit(False)).unionByName(
+            accepted.select(*current.columns, F.lit(True).alias("inserted"))
+        )
     accepted = None
     while True:
         ranked = waiting
@@ -341,8 +350,6 @@ def upsert(
         )
         leaders = ranked.filter(lead).select(*waiting.columns)
         accepted = leaders if accepted is None else accepted.unionByName(leaders)
-        if len(unique) == 1:
-            break  # with one key the rows behind a leader are all in conflict with it
         behind = ranked.filter(~lead).select(*waiting.columns)
         for key in unique:
             behind = behind.join(leaders.select(*key).dropna(), list(key), "left_anti")
