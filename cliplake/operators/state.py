@@ -444,7 +444,7 @@ def number_destinations(requests: DataFrame, existing: DataFrame) -> DataFrame:
 
     ``requests`` (order_no, dest, name) are served in order; ``existing`` (dest, name) is
     taken. The i-th request for a name gets the i-th number not taken, found with one
-    running count. Two different names can still meet (``a.mp4`` numbered, and a file
+    running count. Every round is stored, as its clashes and the result are read from it. Two different names can still meet (``a.mp4`` numbered, and a file
     really called ``a_1.mp4``): the earlier request keeps the name, the number counts
     as taken for the other, and its requests are served again until nothing clashes.
     """
@@ -490,6 +490,7 @@ def number_destinations(requests: DataFrame, existing: DataFrame) -> DataFrame:
         slot = F.col("at") + F.coalesce("skipped", F.lit(0).cast("bigint"))
         final_name = F.when(slot == 0, F.col("name")).otherwise(F.concat("stem", F.lit("_"), slot, "suffix"))
         final = placed.select(*family, F.col("tie").alias("order_no"), "name", slot.alias("slot"), final_name.alias("final_name"))
+        final = cut_lineage(final)
         clashes = (
             final.groupBy("dest", "final_name")
             .agg(F.min("order_no").alias("winner"), F.count(F.lit(1)).alias("n"))
