@@ -24,6 +24,7 @@ from cliplake.operators.ordered import (
     scan,
     seconds_between,
 )
+from cliplake.session import cut_lineage
 
 # File-name patterns and session rules of the cameras.
 CHAPTER_PATTERNS = (
@@ -283,9 +284,10 @@ def reorder(grouped: DataFrame) -> DataFrame:
     rows = rows.withColumns(
         {c: F.when(~alone, F.col(c)) for c in ("__first", "__end")}
     )
-    reached = scan(rows, ["batch"], ["idx"], position_block("idx"), __reach=("max", F.col("__end")))
+    # the scans read their rows twice and build on each other, so what they give is stored
+    reached = cut_lineage(scan(rows, ["batch"], ["idx"], position_block("idx"), __reach=("max", F.col("__end"))))
     opens = F.when(F.coalesce(F.col("idx") > F.col("__reach"), F.lit(True)), F.col("idx"))
-    placed = scan(reached, ["batch"], ["idx"], position_block("idx"), inclusive=True, __stretch=("last", opens))
+    placed = cut_lineage(scan(reached, ["batch"], ["idx"], position_block("idx"), inclusive=True, __stretch=("last", opens)))
     placed = placed.withColumns(
         {
             "__phase": F.col("__first").isNull().cast("int"),
