@@ -9,6 +9,11 @@ whole sets.
 
 * Lines with equal sets are one node, represented by its first line; the later ones go
   without any join of pairs.
+* Texts are cut into words once for the counts and once for all lines: sizes, bits and prefix
+  words are stored, four bytes a word. Words whose hashes agree in these 32 bits share a
+  group, which costs pairs to look at and loses none.
+* Groups are dealt out by hash into buckets of about ``BUCKET`` lines, as many as the input
+  needs; the rows of a bucket travel packed, some dozens in one value.
 * Lines that share a prefix word meet in one group. Each takes the earliest line of the
   group that passes the filters, among them the Hamming distance of 128 parity bits, which
   never exceeds the symmetric difference; so a group of near copies gives as many pairs as
@@ -29,15 +34,22 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cliplake.llm.groups import starts, whole_groups
-from cliplake.llm.tables import sieve, stash
+from cliplake.llm.groups import whole_groups
+from cliplake.llm.tables import stash
 from cliplake.llm.text import U, Texts, mix, runs, slices, words
 
 BITS = 22  # buckets of the word counts: 16 megabytes travel with a task, whatever the input
 PIECE = 1 << 12  # buckets in a row
 CHUNK = 50_000  # lines of a word in one chunk, about
 SMALL = 64  # lines of a group that is compared all at once
+MARKS = 1 << 24  # bits of a bitmap of hashed keys: two megabytes, whatever the input
+WIDE = 1 << 19  # rows of groups dealt out at a time
+BUCKET = 2_500  # lines for every bucket of groups
+PACK = 80  # rows in one value at most, 4 kB
 _KEY = "decimal(38,0)"  # doc_id * 2**32 + number of the line, so keys are in text order
+#: A line in a group, which is named by the word (upper half) and the pair of chunks. own: 4 * number of the line's chunk,
+#: 2 if it asks for all candidates, 1 if the group is no pair of chunks.
+_ROW = np.dtype([("group", "<u8"), ("key", "<i8", 2), ("bits", "<u8", 2), ("n", "<i4"), ("at", "<i4"), ("own", "<i4")])
 
 
 def _keys(ids: np.ndarray, lines: np.ndarray) -> pa.Array:
@@ -48,6 +60,32 @@ def _keys(ids: np.ndarray, lines: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.decimal128(38), len(ids), [None, pa.py_buffer(both.tobytes())])
 
 
+def _key_words(keys: pa.Array) -> np.ndarray:
+    """The two words of every key, the lower one first."""
+    return np.frombuffer(keys.buffers()[1], np.int64).reshape(-1, 2)[keys.offset : keys.offset + len(keys)]
+
+
+def _key_hash(key: np.ndarray) -> np.ndarray:
+    return mix(key[:, 0].astype(U) ^ mix(key[:, 1].astype(U), 12), 11)
+
+
+def _id_hash(ids: np.ndarray) -> np.ndarray:
+    return mix(ids.astype(U), 13)
+
+
+def _packed(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Binary values: the bytes of ``values`` up to every end."""
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(np.append(0, ends).astype(np.int32)), pa.py_buffer(values.tobytes())])
+
+
+def _unpacked(column: pa.Array, kind) -> tuple[np.ndarray, np.ndarray]:
+    """All binary values as one array of ``kind``, and their offsets in it."""
+    column = column.cast(pa.large_binary())
+    where = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(column.buffers()[2], kind, (where[-1] - where[0]) // size, where[0]), (where - where[0]) // size
+
+
 def line_ranges(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Start, end, text and number (from 0, in its text) of every non-empty ``\\n``-split line."""
     breaks = texts.data == 10
@@ -113,12 +151,21 @@ def word_counts(docs: DataFrame, text_col: str) -> Broadcast:
     return docs.sparkSession.sparkContext.broadcast(total)
 
 
-def _line_sets(texts: Texts, rarity: np.ndarray | None):
+def _line_sets(texts: Texts, rarity: np.ndarray):
     """Text and number of every line with a word, and its distinct words: hash, line,
     occurrences; sorted by line, then rarest first."""
     doc, number, token, line = line_tokens(texts)
-    seen = np.zeros(len(token), np.int32) if rarity is None else rarity[(token >> U(64 - BITS)).astype(np.int64)]
-    order = np.lexsort((token, seen, line))
+    seen = np.minimum(rarity[(token >> U(64 - BITS)).astype(np.int64)], (1 << 24) - 1)
+    used = 24 + max(len(doc) - 1, 0).bit_length()
+    order = None
+    if used < 56:  # one sort of numbers; the last bits hold as much of the hash as there is room for
+        number_of = (line.astype(U) << U(64 + 24 - used) if used > 24 else U(0)) | (seen.astype(U) << U(64 - used)) | (token >> U(used))
+        order = np.argsort(number_of)
+        sorted_token, sorted_number = token[order], number_of[order]
+        if ((sorted_number[1:] == sorted_number[:-1]) & (sorted_token[1:] != sorted_token[:-1])).any():
+            order = None
+    if order is None:
+        order = np.lexsort((token, seen, line))
     token, line, seen = token[order], line[order], seen[order]
     fresh = np.ones(len(token), bool)
     fresh[1:] = (token[1:] != token[:-1]) | (line[1:] != line[:-1])
@@ -132,22 +179,9 @@ def _prints(token: np.ndarray, first: np.ndarray) -> list[pa.Array]:
     ]
 
 
-def _outlines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, n, fp1, fp2) of every line with a word."""
-    for batch in batches:
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
-        for texts in slices(batch.column(1)):
-            doc, number, token, line, _ = _line_sets(texts, None)
-            if len(doc):
-                n = np.bincount(line, minlength=len(doc))
-                yield pa.RecordBatch.from_arrays(
-                    [_keys(ids[texts.first + doc], number), pa.array(n, pa.int32()), *_prints(token, np.cumsum(n) - n)],
-                    ["key", "n", "fp1", "fp2"],
-                )
-
-
 def _described(counts: Broadcast, num: int, den: int):
-    """As :func:`_outlines`, with parity bits and the prefix: words and their positions."""
+    """(key, n, fp1, fp2, body) of every line with a word. The body is 128 parity bits and the
+    words of the prefix, the last ones of its positions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rarity = counts.value
@@ -160,151 +194,223 @@ def _described(counts: Broadcast, num: int, den: int):
                 n = np.bincount(line, minlength=len(doc))
                 first = np.cumsum(n) - n
                 at = np.arange(len(token)) - first[line]
-                # a word that occurs once in all texts is in no other line
+                # a word that occurs once in all texts is in no other line; such words come first
                 prefix = (at < (n - needed(n, num, den) + 1)[line]) & (seen > 1)
-                sizes = np.concatenate(([0], np.cumsum(np.bincount(line[prefix], minlength=len(doc)))))
                 place = mix(token, 9) & U(127)
                 bit = U(1) << (place & U(63))
                 half = place < U(64)
+                sizes = np.bincount(line[prefix], minlength=len(doc)) + 4
+                ends = np.cumsum(sizes)
+                body, head = np.empty(ends[-1], np.uint32), np.zeros(ends[-1], bool)
+                at = (ends - sizes)[:, None] + np.arange(4)
+                head[at] = True
+                bits = [np.bitwise_xor.reduceat(np.where(h, bit, U(0)), first) for h in (half, ~half)]
+                body[at] = np.stack(bits, 1).view(np.uint32)
+                body[~head] = token[prefix] >> U(32)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        _keys(ids[texts.first + doc], number),
-                        pa.array(n, pa.int32()),
-                        *_prints(token, first),
-                        *(pa.array(np.bitwise_xor.reduceat(np.where(h, bit, U(0)), first).view(np.int64)) for h in (half, ~half)),
-                        pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(token[prefix].view(np.int64))),
-                        pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(at[prefix], pa.int32())),
-                    ],
-                    ["key", "n", "fp1", "fp2", "bits", "bits2", "prefix", "at"],
+                    [_keys(ids[texts.first + doc], number), pa.array(n, pa.int32()), *_prints(token, first), _packed(body, ends * 4)],
+                    ["key", "n", "fp1", "fp2", "body"],
                 )
 
     return run
 
 
-def _dealt(counts: Broadcast, asked: Broadcast | None, words_asked: Broadcast | None):
-    """A row for every prefix word of a line and every group that it is in."""
+def _dealt(counts: Broadcast, num: int, den: int, asked: Broadcast | None, words_asked: Broadcast | None):
+    """Rows for every prefix word of a line and every group that it is in."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         rarity = counts.value
         for batch in batches:
-            prefix = batch.column("prefix")
-            row = np.repeat(np.arange(batch.num_rows), prefix.value_lengths().to_numpy(zero_copy_only=False))
-            token = prefix.flatten().to_numpy(zero_copy_only=False)
-            at = batch.column("at").flatten().to_numpy(zero_copy_only=False)
+            key, n = _key_words(batch.column("key")), batch.column("n").to_numpy().astype(np.int64)
+            flat, where = _unpacked(batch.column("body"), np.uint32)
+            inside = np.ones(len(flat), bool)
+            head = where[:-1, None] + np.arange(4)
+            inside[head] = False
+            bits = flat[head].view(U)
+            size = np.diff(where) - 4
+            row, token = np.repeat(np.arange(len(n)), size), flat[inside]
+            first = n - needed(n, num, den) + 1 - size - (np.cumsum(size) - size)
+            at = np.arange(len(row)) + first[row]
             if words_asked is not None:
-                keep = _passes(words_asked.value, token)
+                keep = _passes(words_asked.value, _id_hash(token))
                 row, token, at = row[keep], token[keep], at[keep]
-            chunks = rarity[(token.view(U) >> U(64 - BITS)).astype(np.int64)].astype(np.int64) // CHUNK + 1
-            fp = batch.column("fp1").to_numpy()
-            own = (mix(fp.view(U), 8) >> U(1)).astype(np.int64)[row] % chunks
-            other = np.arange(chunks.sum()) - np.repeat(np.cumsum(chunks) - chunks, chunks)
-            row, token, at, own = (np.repeat(x, chunks) for x in (row, token, at, own))
-            ask = np.zeros(len(row), bool) if asked is None else _passes(asked.value, fp)[row]
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(token),
-                    pa.array(np.minimum(own, other), pa.int32()),
-                    pa.array(np.maximum(own, other), pa.int32()),
-                    batch.column("key").take(take),
-                    batch.column("n").take(take),
-                    pa.array(at, pa.int32()),
-                    pa.array(own, pa.int32()),
-                    batch.column("bits").take(take),
-                    batch.column("bits2").take(take),
-                    pa.array(ask),
-                ],
-                ["token", "low", "high", "key", "n", "at", "own", "bits", "bits2", "ask"],
-            )
+            ask = np.zeros(len(n), bool) if asked is None else _passes(asked.value, _key_hash(key))
+            chunks = rarity[token >> np.uint32(32 - BITS)].astype(np.int64) // CHUNK + 1
+            mine = (mix(_key_hash(key), 8) >> U(1)).astype(np.int64)[row] % chunks
+            total = np.cumsum(chunks)
+            begin = 0
+            while begin < len(row):
+                end = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + WIDE, "right")))
+                part = np.repeat(np.arange(begin, end), chunks[begin:end])
+                other = np.arange(len(part)) - np.repeat(total[begin:end] - chunks[begin:end] - (total[begin - 1] if begin else 0), chunks[begin:end])
+                own = mine[part]
+                low, high = np.minimum(own, other), np.maximum(own, other)
+                r = row[part]
+                out = np.empty(len(part), _ROW)
+                out["key"], out["bits"], out["n"], out["at"] = key[r], bits[r], n[r], at[part]
+                out["own"] = own * 4 + ask[r] * 2 + (low == high)
+                pair = (low * 65536 + high) & 0xFFFFFFFF
+                out["group"] = (token[part].astype(U) << U(32)) | pair.astype(U)
+                yield out
+                begin = end
+
+    return rows
+
+
+def _in_buckets(rows, buckets: int):
+    """(bucket, rows) of the given rows, packed."""
+
+    def packed(kept: list[np.ndarray]) -> pa.RecordBatch:
+        out = np.concatenate(kept)
+        bucket = (mix(out["group"], 14) % U(buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        bucket = bucket[order]
+        first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+        place = np.arange(len(out)) - np.repeat(first, np.diff(np.append(first, len(out))))
+        begin = np.flatnonzero(place % PACK == 0)
+        ends = np.append(begin[1:], len(out)) * _ROW.itemsize
+        return pa.RecordBatch.from_arrays([pa.array(bucket[begin]), _packed(out[order], ends)], ["bucket", "lines"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[np.ndarray] = []
+        for out in rows(batches):
+            kept.append(out)
+            if sum(map(len, kept)) >= WIDE:
+                yield packed(kept)
+                kept = []
+        if kept:
+            yield packed(kept)
 
     return run
 
 
-_DEALT = f"token bigint, low int, high int, key {_KEY}, n int, at int, own int, bits bigint, bits2 bigint, ask boolean"
+def _passes(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
+    h = h & U(MARKS - 1)
+    return (bitmap[(h >> U(3)).astype(np.int64)] >> (h & U(7)).astype(np.uint8)) & 1 == 1
 
 
-def _passes(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    h = mix(keys.view(U), 11) & U(len(bitmap) * 8 - 1)
-    return (bitmap[(h >> U(3)).astype(np.int64)] >> (h & U(7)).astype(np.uint8)) & 1 == 1
+def _key_marks(column: pa.Array) -> np.ndarray:
+    return _key_hash(_key_words(column))
 
 
-def bitmap_of(keys: DataFrame, bits: int = 1 << 22) -> Broadcast:
-    """A bitmap of hashed keys (one bigint column), 512 kB whatever their number."""
+def _doc_marks(column: pa.Array) -> np.ndarray:
+    """Of the keys' documents."""
+    key = _key_words(column)
+    return _id_hash((key[:, 1] << 32) | (key[:, 0] >> 32 & 0xFFFFFFFF))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(bits // 8, np.uint8)
+
+def _word_marks(column: pa.Array) -> np.ndarray:
+    return _id_hash(column.to_numpy())
+
+
+def bitmap_of(keys: DataFrame, marks) -> Broadcast:
+    """A bitmap of hashed values (one column), ``MARKS`` bits whatever their number.
+
+    Tasks send their bits in pieces; those of a piece are joined where they meet.
+    """
+
+    def pieces(own: np.ndarray) -> pa.RecordBatch:
+        rows = own.reshape(-1, PIECE)
+        used = np.flatnonzero(rows.any(1))
+        return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([rows[i].tobytes() for i in used], pa.binary())], ["piece", "bits"])
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(MARKS // 8, np.uint8)
         for batch in batches:
-            h = mix(batch.column(0).to_numpy().view(U), 11) & U(bits - 1)
+            h = marks(batch.column(0)) & U(MARKS - 1)
             np.bitwise_or.at(own, (h >> U(3)).astype(np.int64), (U(1) << (h & U(7))).astype(np.uint8))
-        used = np.flatnonzero(own)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(own[used], pa.uint8()).cast(pa.int32())], ["at", "b"])
+        yield pieces(own)
 
-    out = np.zeros(bits // 8, np.uint8)
-    for at, b in keys.mapInArrow(run, "at int, b int").groupBy("at").agg(F.bit_or("b")).collect():
-        out[at] = b
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros((MARKS // 8 // PIECE, PIECE), np.uint8)
+        for batch in batches:
+            for piece, bits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                own[piece] |= np.frombuffer(bits, np.uint8)
+        yield pieces(own)
+
+    schema = "piece int, bits binary"
+    out = np.zeros(MARKS // 8, np.uint8)
+    for piece, bits in keys.mapInArrow(marked, schema).repartition("piece").mapInArrow(joined, schema).collect():
+        out[piece * PIECE : (piece + 1) * PIECE] = np.frombuffer(bits, np.uint8)
     return keys.sparkSession.sparkContext.broadcast(out)
 
 
 class _Rows:
-    """Columns of sorted rows in numpy; keys as two words."""
+    """Columns of the rows of whole groups in numpy, by group; keys as two words."""
 
     def __init__(self, batch: pa.RecordBatch):
-        col = lambda name: batch.column(name).to_numpy(zero_copy_only=False)
-        self.batch = batch
-        self.low, self.high = col("low"), col("high")
-        self.n, self.at, self.own, self.ask = col("n").astype(np.int64), col("at").astype(np.int64), col("own"), col("ask")
-        self.bits, self.bits2 = col("bits").view(U), col("bits2").view(U)
-        key = batch.column("key")
-        self.key = np.frombuffer(key.buffers()[1], np.int64).reshape(-1, 2)[key.offset : key.offset + len(key)]
+        rows, _ = _unpacked(batch.column("lines"), _ROW)
+        rows = rows[np.argsort(rows["group"], kind="stable")]
+        self.group = rows["group"].copy()
+        col = lambda name: np.ascontiguousarray(rows[name])
+        self.n, self.key, self.bits, self.bits2 = col("n").astype(np.int64), col("key"), col("bits")[:, 0].copy(), col("bits")[:, 1].copy()
+        self.high, self.low = self.key[:, 1].copy(), self.key[:, 0].astype(U)
+        self.rest = self.n - rows["at"]
+        self.own, self.ask, self.alone = rows["own"] >> 2, rows["own"] & 2 > 0, rows["own"] & 1 > 0
 
     def fit(self, a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
-        """Which of the pairs of rows pass all filters."""
-        total, less = self.n[a] + self.n[b], np.minimum(self.n[a], self.n[b])
-        ok = less * den >= (total - less) * num
-        ok &= np.minimum(self.n[a] - self.at[a], self.n[b] - self.at[b]) >= -(-total * num // (num + den))
-        ok &= (self.low[a] == self.high[a]) | (self.own[a] != self.own[b])
-        ok &= (self.key[a] != self.key[b]).any(1)
-        left = np.flatnonzero(ok)
-        a, b = a[left], b[left]
-        near = np.bitwise_count(self.bits[a] ^ self.bits[b]).astype(np.int64) + np.bitwise_count(self.bits2[a] ^ self.bits2[b])
-        ok[left] = near <= total[left] * (den - num) // (den + num)
-        return ok
-
-
-def _small_groups(rows: _Rows, start: np.ndarray, later: np.ndarray, num: int, den: int):
-    """All passing pairs of the rows ``later`` with the rows before them in their group."""
+        """Where the pairs of rows stand that pass all filters."""
+        na, nb = self.n[a], self.n[b]
+        total = na + nb
+        left = np.flatnonzero(np.minimum(na, nb) * (den + num) >= total * num)
+        for test in (self._enough, self._near, self._meet):
+            left = left[test(a[left], b[left], total[left], num, den)]
+        return left
+
+    def _enough(self, a, b, total, num, den):
+        return np.minimum(self.rest[a], self.rest[b]) * (num + den) >= total * num
+
+    def _near(self, a, b, total, num, den):
+        differ = np.bitwise_count(self.bits[a] ^ self.bits[b]).astype(np.int64) + np.bitwise_count(self.bits2[a] ^ self.bits2[b])
+        return differ * (den + num) <= total * (den - num)
+
+    def _meet(self, a, b, total, num, den):
+        return (self.alone[a] | (self.own[a] != self.own[b])) & ((self.low[a] != self.low[b]) | (self.high[a] != self.high[b]))
+
+    def after(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether the key of ``a`` is the greater one."""
+        return (self.high[a] > self.high[b]) | ((self.high[a] == self.high[b]) & (self.low[a] > self.low[b]))
+
+
+def _small_groups(rows: _Rows, start: np.ndarray, later: np.ndarray, everything: bool, num: int, den: int):
+    """All passing pairs of the rows ``later`` with the rows before them in their group; with
+    ``everything``, those whose later row asks."""
     width = later - start
-    cut = np.searchsorted(np.cumsum(width), np.arange(1 << 20, int(width.sum()) + (1 << 20), 1 << 20), "left") + 1
+    cut = np.searchsorted(np.cumsum(width), np.arange(1 << 18, int(width.sum()) + (1 << 18), 1 << 18), "left") + 1
     at = 0
     for end in np.unique(np.minimum(cut, len(later))):
         w, s = width[at:end], start[at:end]
         b = np.repeat(later[at:end], w)
-        a = np.arange(len(b)) - np.repeat(np.cumsum(w) - w, w) + np.repeat(s, w)
+        a = np.arange(len(b)) - np.repeat(np.cumsum(w) - w - s, w)
         ok = rows.fit(a, b, num, den)
-        yield a[ok], b[ok]
+        a, b = a[ok], b[ok]
+        swap = rows.after(a, b)
+        a, b = np.where(swap, b, a), np.where(swap, a, b)
+        yield (a[rows.ask[b]], b[rows.ask[b]]) if everything else (a, b)
         at = end
 
 
-def _large_group(rows: _Rows, first: int, end: int, everything: bool, num: int, den: int):
-    """The first passing pair of every row of a group, or all pairs whose later row asks."""
-    for at in range(first, end, 256):
-        b = np.arange(at, min(end, at + 256))
+def _large_group(rows: _Rows, index: np.ndarray, everything: bool, num: int, den: int):
+    """The first passing pair of every row of a group, or all pairs whose later row asks.
+    ``index`` holds its rows in the order of their keys."""
+    for at in range(0, len(index), 256):
+        b = np.arange(at, min(len(index), at + 256))
         if everything:
-            b = b[rows.ask[b]]
+            b = b[rows.ask[index[b]]]
             if not len(b):
                 continue
-        for low in range(first, b[-1], 1024):
+        for low in range(0, b[-1], 1024):
             a = np.arange(low, min(low + 1024, b[-1]))
             x, y = np.tile(a, len(b)), np.repeat(b, len(a))
             chosen = x < y
             x, y = x[chosen], y[chosen]
-            ok = rows.fit(x, y, num, den)
+            ok = rows.fit(index[x], index[y], num, den)
             x, y = x[ok], y[ok]
             if everything:
-                yield x, y
+                yield index[x], index[y]
                 continue
             y, where = np.unique(y, return_index=True)
-            yield x[where], y
+            yield index[x[where]], index[y]
             b = np.setdiff1d(b, y)
             if not len(b):
                 break
@@ -314,80 +420,77 @@ def _candidates(num: int, den: int, everything: bool):
     """(a, b, word): pairs of keys, ``a`` earlier; the group's word if ``b`` may have other
     candidates there, else null."""
 
-    def pairs(rows: _Rows) -> Iterator[pa.RecordBatch]:
-        n = rows.batch.num_rows
-        edges = starts(rows.batch, ("token", "low", "high"))
-        begin, size = edges[:-1], np.diff(edges)
+    def pairs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        rows = _Rows(batch)
+        begin = np.flatnonzero(np.append(True, rows.group[1:] != rows.group[:-1]))
+        size = np.diff(np.append(begin, len(rows.group)))
         start = np.repeat(begin, size)
         small = np.repeat(size <= SMALL, size)
-        chosen = small & (np.arange(n) > start)
-        later = np.flatnonzero(chosen & rows.ask if everything else chosen)
-        found = list(_small_groups(rows, start[later], later, num, den))
+        later = np.flatnonzero(small & (np.arange(len(start)) > start))
+        found = list(_small_groups(rows, start[later], later, everything, num, den))
         for g in np.flatnonzero(size > SMALL):
-            found += _large_group(rows, int(begin[g]), int(begin[g] + size[g]), everything, num, den)
+            index = np.arange(begin[g], begin[g] + size[g])
+            index = index[np.lexsort((rows.low[index], rows.high[index]))]
+            found += _large_group(rows, index, everything, num, den)
         if not found:
             return
         a, b = (np.concatenate(x) for x in zip(*found))
         if everything:
             more = np.zeros(len(b), bool)
         else:
-            order = np.lexsort((a, b))
+            order = np.lexsort((rows.low[a], rows.high[a], b))
             a, b = a[order], b[order]
             first = np.concatenate(([True], b[1:] != b[:-1])) if len(b) else np.zeros(0, bool)
             count = np.diff(np.append(np.flatnonzero(first), len(b)))
             a, b = a[first], b[first]
             more = (count > 1) | ~small[b]
-        key = rows.batch.column("key")
-        token = rows.batch.column("token").take(pa.array(b))
-        yield pa.RecordBatch.from_arrays(
-            [key.take(pa.array(a)), key.take(pa.array(b)), pc.if_else(pa.array(more), token, None)], ["a", "b", "word"]
-        )
+        word = (rows.group[b] >> U(32)).astype(np.int64)
+        keys = [pa.Array.from_buffers(pa.decimal128(38), len(x), [None, pa.py_buffer(rows.key[x].tobytes())]) for x in (a, b)]
+        yield pa.RecordBatch.from_arrays([*keys, pa.array(word, mask=~more)], ["a", "b", "word"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in whole_groups(batches, ("token", "low", "high")):
-            yield from pairs(_Rows(batch))
+        for batch in whole_groups(batches, ("bucket",)):
+            yield from pairs(batch)
 
     return run
 
 
-def _wanted_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, sorted distinct word hashes) of the wanted lines of (doc_id, text, wanted)."""
-    for batch in batches:
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
-        for texts in slices(batch.column(1)):
-            doc, number, token, line = line_tokens(texts)
-            want = batch.column(2).slice(texts.first, len(texts))
-            where = np.repeat(np.arange(len(texts)), want.value_lengths().to_numpy(zero_copy_only=False))
-            pick = np.isin((doc.astype(np.int64) << 32) | number, (where << 32) | want.flatten().to_numpy(zero_copy_only=False))
-            keep = pick[line]
-            token, line = token[keep], (np.cumsum(pick) - 1)[line[keep]]
-            order = np.lexsort((token, line))
-            token, line = token[order], line[order]
-            fresh = np.ones(len(token), bool)
-            fresh[1:] = (token[1:] != token[:-1]) | (line[1:] != line[:-1])
-            sizes = np.concatenate(([0], np.cumsum(np.bincount(line[fresh], minlength=int(pick.sum())))))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    _keys(ids[texts.first + doc[pick]], number[pick]),
-                    pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(token[fresh].view(np.int64))),
-                ],
-                ["key", "members"],
-            )
+def _wanted_sets(docs_wanted: Broadcast, wanted: Broadcast):
+    """(key, sorted distinct word hashes) of lines of (doc_id, text): all wanted ones, and some others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.array(_passes(docs_wanted.value, _id_hash(batch.column(0).to_numpy()))))
+            ids = batch.column(0).to_numpy()
+            for texts in slices(batch.column(1)):
+                start, end, doc, number = line_ranges(texts)
+                key = _keys(ids[texts.first + doc], number)
+                pick = np.flatnonzero(_passes(wanted.value, _key_marks(key)))
+                size = (end - start)[pick]
+                ends = np.cumsum(size)
+                # the bytes of these lines alone
+                where = np.arange(size.sum()) + np.repeat(start[pick] - (ends - size), size)
+                w = words(Texts(0, texts.data[where], np.append(0, ends)), lower=True)
+                token, line = w.hash, w.doc
+                order = np.lexsort((token, line))
+                token, line = token[order], line[order]
+                fresh = np.ones(len(token), bool)
+                fresh[1:] = (token[1:] != token[:-1]) | (line[1:] != line[:-1])
+                sizes = np.append(0, np.cumsum(np.bincount(line[fresh], minlength=len(pick))))
+                yield pa.RecordBatch.from_arrays(
+                    [key.take(pa.array(pick)), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(token[fresh].view(np.int64)))],
+                    ["key", "members"],
+                )
+
+    return run
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs ``(a, b)`` of keys, ``a`` earlier, whose lines match."""
-    pairs = stash(pairs.distinct())
-    keys = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
-    wanted = keys.select(
-        F.floor(F.col("key") / F.lit(2**32)).cast("bigint").alias("doc_id"), F.pmod("key", F.lit(2**32)).cast("bigint").alias("line")
-    ).groupBy("doc_id").agg(F.collect_list("line").alias("wanted"))
-    wanted = stash(wanted)
-    members = stash(
-        sieve(texts, wanted, "doc_id").join(wanted, "doc_id").select("doc_id", "text", "wanted")
-        .mapInArrow(_wanted_sets, f"key {_KEY}, members array<bigint>")
-        .dropDuplicates(["key"])
-    )
+    """The pairs ``(a, b)`` of stored keys, ``a`` earlier, whose lines match."""
+    keys = pairs.select(F.explode(F.array("a", "b")).alias("key"))
+    sets = _wanted_sets(bitmap_of(keys, _doc_marks), bitmap_of(keys, _key_marks))
+    # rows that repeat an id may give a key several sets
+    members = stash(texts.mapInArrow(sets, f"key {_KEY}, members array<bigint>").distinct())
     for end in "ba":
         pairs = pairs.join(members.select(F.col("key").alias(end), F.col("members").alias(f"m{end}")), end)
     both = F.size(F.array_intersect("ma", "mb")).cast("bigint")
@@ -410,32 +513,41 @@ def repeated_lines(docs: DataFrame, num: int = 4, den: int = 5, id_col: str = "d
     """
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     counts = word_counts(texts, "text")
-    outlines = stash(texts.mapInArrow(_outlines, f"key {_KEY}, n int, fp1 bigint, fp2 bigint"))
+    described = stash(texts.mapInArrow(_described(counts, num, den), f"key {_KEY}, n int, fp1 bigint, fp2 bigint, body binary"))
     same = ["n", "fp1", "fp2"]
-    nodes = stash(outlines.groupBy(*same).agg(F.min("key").alias("key"), F.count("*").alias("lines")))
-    copies = outlines.join(nodes.where("lines > 1").withColumnRenamed("key", "first"), same).where("key > first").select("key")
-    # described again from the texts where needed: stored prefixes take more disk than the texts
-    full = f"key {_KEY}, n int, fp1 bigint, fp2 bigint, bits bigint, bits2 bigint, prefix array<bigint>, at array<int>"
-    lines = texts.mapInArrow(_described(counts, num, den), full).join(nodes.select(*same, "key"), [*same, "key"], "left_semi")
+    sets = stash(described.groupBy(*same).agg(F.min("key").alias("first"), F.count("*").alias("lines")).where("lines > 1").drop("lines"))
+    copies = stash(described.select(*same, "key").join(sets, same).where("key > first").drop("first"))
+    marked = bitmap_of(copies.select("key"), _key_marks)
+
+    def among_copies(yes: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(_passes(marked.value, _key_marks(batch.column("key"))) == yes))
+
+        return run
+
+    # most lines are no copy by the bitmap and need no join
+    cleared = stash(described.mapInArrow(among_copies(True), described.schema).join(copies, [*same, "key"], "left_anti").select("key", "n", "body"))
+    buckets = max(1 << 10, described.count() // BUCKET)
 
     def candidates(asked: Broadcast | None = None, words_asked: Broadcast | None = None) -> DataFrame:
-        group = ["token", "low", "high"]
-        dealt = lines.select("key", "n", "fp1", "bits", "bits2", "prefix", "at").mapInArrow(_dealt(counts, asked, words_asked), _DEALT)
-        met = dealt.repartition(*group).sortWithinPartitions(*group, "key")
+        deal, schema = _in_buckets(_dealt(counts, num, den, asked, words_asked), buckets), "bucket int, lines binary"
+        single = described.select("key", "n", "body").mapInArrow(lambda batches: deal(among_copies(False)(batches)), schema)
+        met = single.union(cleared.mapInArrow(deal, schema)).repartition("bucket").sortWithinPartitions("bucket")
         found = met.mapInArrow(_candidates(num, den, asked is not None), f"a {_KEY}, b {_KEY}, word bigint")
         # a line has few prefix words, so the list is short
         return stash(found.groupBy("a", "b").agg(F.collect_set("word").alias("words")))
 
     tried = candidates()
     gone = stash(_verified(tried.select("a", "b"), texts, num, den).select(F.col("b").alias("key")).distinct())
-    removed = copies.union(gone)
-    open_ = tried.where("size(words) > 0").select(F.col("b").alias("key"), "words").join(gone, "key", "left_anti")
-    open_ = stash(open_.join(nodes, "key").select("key", "fp1", "words"))
+    removed = copies.select("key").union(gone)
+    open_ = stash(tried.where("size(words) > 0").select(F.col("b").alias("key"), "words").join(gone, "key", "left_anti"))
     if not open_.isEmpty():
         # only in the groups of these words candidates are left
         prefixes = open_.select(F.explode("words").alias("token"))
-        rest = candidates(bitmap_of(open_.select("fp1")), bitmap_of(prefixes)).join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        removed = removed.union(_verified(rest.select("a", "b"), texts, num, den).select(F.col("b").alias("key")))
+        rest = candidates(bitmap_of(open_.select("key"), _key_marks), bitmap_of(prefixes, _word_marks))
+        rest = stash(rest.select("a", "b").join(tried.select("a", "b"), ["a", "b"], "left_anti"))
+        removed = removed.union(_verified(rest, texts, num, den).select(F.col("b").alias("key")))
     removed = removed.distinct()
     return removed.select(
         F.floor(F.col("key") / F.lit(2**32)).cast("bigint").alias("doc_id"), F.pmod("key", F.lit(2**32)).cast("bigint").alias("line")
@@ -446,7 +558,8 @@ def line_report(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
     """``(doc_id, n_lines, n_removed, removed)`` per document id: ``\\n``-split lines, and
     the numbers of those that go. Null ids form one row without removals."""
     gone = repeated_lines(docs, num, den).groupBy("doc_id").agg(F.sort_array(F.collect_list("line")).alias("removed"))
-    count = F.when(F.col("text") == "", 0).otherwise(F.regexp_count("text", F.lit("\n")) + 1)
+    breaks = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
+    count = F.when(F.col("text") == "", 0).otherwise(breaks + 1)
     sizes = docs.select("doc_id", F.coalesce(count, F.lit(0)).cast("bigint").alias("n")).groupBy("doc_id").agg(F.max("n").alias("n_lines"))
     return sizes.join(gone, "doc_id", "left").select(
         "doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("bigint").alias("n_removed"),

@@ -3,6 +3,9 @@ from __future__ import annotations
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
+
 from llm_fixtures import documents, shipped  # noqa: F401
 from cliplake.llm import lines as L
 
@@ -80,3 +83,50 @@ def test_many_lines_of_one_text_and_clashing_names(documents):
     got = {r.doc_id: r for r in out.collect()}
     assert got[1].text == "\n".join(long.split("\n")[::2]) and got[2].text == "kept as it is\n\n kept too" and got[3].text is None
     assert (got[1].row, got[1].gone, got[1].d, got[1].parts, got[1].cut) == (1, 2, "x", 3, 4)
+
+
+def test_rows_that_repeat_an_id_keep_all_their_lines(documents):
+    rows = [(7, "a b c d e"), (7, "v w x y z"), (9, "a b c d e f"), (10, "v w x y z u")]
+    assert found(L.repeated_lines(documents(rows))) == [(9, 0), (10, 0)]
+
+
+class Held:
+    def __init__(self, value):
+        self.value = value
+
+
+def dealt(rows, monkeypatch):
+    """The rows of groups that the prefixes of the lines of ``rows`` are dealt out to."""
+    monkeypatch.setattr(L, "CHUNK", 3)
+    monkeypatch.setattr(L, "WIDE", 10)
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([t for _, t in rows])], ["doc_id", "text"])
+    counts = np.zeros(1 << L.BITS, np.int32)
+    for pieces in L._counts(iter([batch.select(["text"])])):
+        for piece, own in zip(pieces.column(0).to_pylist(), pieces.column(1).to_pylist()):
+            counts[piece * L.PIECE : (piece + 1) * L.PIECE] += np.frombuffer(own, np.int32)
+    lines = list(L._described(Held(counts), 4, 5)(iter([batch])))
+    return L._dealt(Held(counts), 4, 5, None, None), lines
+
+
+def test_lines_of_a_frequent_word_all_meet(monkeypatch):
+    """Chunks of three: each two lines meet in a group, and groups stay small."""
+    deal, lines = dealt([(i, "common") for i in range(20)], monkeypatch)
+    out = np.concatenate(list(deal(iter(lines))))
+    met, group = set(), {}
+    for r in out:
+        group.setdefault((int(r["group"])), []).append((int(r["key"][0]) >> 32, int(r["own"])))
+    for rows in group.values():
+        for a, own in rows:
+            met |= {(a, b) for b, other in rows if a < b and (own & 1 or own >> 2 != other >> 2)}
+    word = max(sum(1 for a, _ in rows) for rows in group.values())
+    assert met >= {(a, b) for a in range(20) for b in range(a + 1, 20)} and word < 20
+
+
+def test_rows_travel_packed(monkeypatch):
+    deal, lines = dealt([(i, " ".join(f"w{(i * 7 + j) % 50}" for j in range(30))) for i in range(200)], monkeypatch)
+    plain = np.concatenate(list(deal(iter(lines))))
+    monkeypatch.setattr(L, "WIDE", 1 << 19)
+    values = list(L._in_buckets(deal, 4)(iter(lines)))
+    assert sum(v.num_rows for v in values) <= len(plain) // L.PACK + 4
+    packed = np.concatenate([L._unpacked(v.column("lines"), L._ROW)[0] for v in values])
+    assert sorted(packed.tobytes()[i * 52 : i * 52 + 52] for i in range(len(packed))) == sorted(plain.tobytes()[i * 52 : i * 52 + 52] for i in range(len(plain)))
