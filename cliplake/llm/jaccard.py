@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from cliplake.llm.components import components
 from cliplake.llm.groups import starts, whole_groups
 from cliplake.llm.tables import sieve, stash
-from cliplake.llm.text import U, mix, shingle_sets, slices
+from cliplake.llm.text import U, mix, shingle_sets, slices, tidy
 
 CHUNK = 2_000  # members of a block in one chunk, about
 SPARE = 8  # one block in SPARE is added to M, so that poor blocks can be left out
@@ -197,7 +197,7 @@ def _crossing(shared: DataFrame, found: DataFrame, sketches: DataFrame, num: int
     )
     keys = ["block", "low", "high"]
     met = dealt.repartition(*keys).sortWithinPartitions(*keys, "id")
-    return met.mapInArrow(_across(num, den, everything), "a bigint, b bigint").distinct()
+    return met.mapInArrow(tidy(_across(num, den, everything)), "a bigint, b bigint").distinct()
 
 
 def _verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -207,10 +207,10 @@ def _verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, k: int, n
         own = s.select(F.col("id").alias(end), F.col("n_shingles").alias(f"n{end}"), F.col("sketch").alias(f"s{end}"))
         pairs = pairs.join(own, end)
     near = pairs.where(f"least(na, nb) * {den} >= greatest(na, nb) * {num}").select("a", "b", "na", "sa", "nb", "sb")
-    near = stash(near.mapInArrow(_near(num, den), "a bigint, b bigint").distinct())
+    near = stash(near.mapInArrow(tidy(_near(num, den)), "a bigint, b bigint").distinct())
     ends = near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct()
     ends = stash(ends)
-    members = stash(sieve(texts, ends, "id").join(ends, "id", "left_semi").select("id", "text").mapInArrow(_sets(k), "id bigint, members array<bigint>"))
+    members = stash(sieve(texts, ends, "id").join(ends, "id", "left_semi").select("id", "text").mapInArrow(tidy(_sets(k)), "id bigint, members array<bigint>"))
     for end in "ba":
         near = near.join(members.select(F.col("id").alias(end), F.col("members").alias(f"m{end}")), end)
     both = F.size(F.array_intersect("ma", "mb")).cast("bigint")
@@ -234,7 +234,7 @@ def jaccard_components(
     empty result.
     """
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    sketches = stash(texts.mapInArrow(_sketches(k, num, den), _SKETCH))
+    sketches = stash(texts.mapInArrow(tidy(_sketches(k, num, den)), _SKETCH))
     full = sketches.where("n_shingles > 0 and id is not null")
     classes = full.groupBy("n_shingles", "fp1", "fp2").agg(F.min("id").alias("rep"), F.max("id").alias("last"))
     copies = full.join(classes.where("rep < last"), ["n_shingles", "fp1", "fp2"]).select(

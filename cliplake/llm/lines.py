@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from cliplake.llm.groups import whole_groups
 from cliplake.llm.tables import stash
-from cliplake.llm.text import U, Texts, mix, runs, slices, words
+from cliplake.llm.text import U, Texts, mix, runs, slices, tidy, words
 
 BITS = 22  # buckets of the word counts: 16 megabytes travel with a task, whatever the input
 PIECE = 1 << 12  # buckets in a row
@@ -144,7 +144,7 @@ def word_counts(docs: DataFrame, text_col: str) -> Broadcast:
     Tasks send their counts in pieces; those of a piece are added where they meet.
     """
     schema = "piece int, counts binary"
-    rows = docs.select(text_col).mapInArrow(_counts, schema).repartition("piece").mapInArrow(_added, schema)
+    rows = docs.select(text_col).mapInArrow(tidy(_counts), schema).repartition("piece").mapInArrow(tidy(_added), schema)
     total = np.zeros(1 << BITS, np.int32)
     for piece, counts in rows.collect():
         total[piece * PIECE : (piece + 1) * PIECE] = np.frombuffer(counts, np.int32)
@@ -330,7 +330,7 @@ def bitmap_of(keys: DataFrame, marks) -> Broadcast:
 
     schema = "piece int, bits binary"
     out = np.zeros(MARKS // 8, np.uint8)
-    for piece, bits in keys.mapInArrow(marked, schema).repartition("piece").mapInArrow(joined, schema).collect():
+    for piece, bits in keys.mapInArrow(tidy(marked), schema).repartition("piece").mapInArrow(tidy(joined), schema).collect():
         out[piece * PIECE : (piece + 1) * PIECE] = np.frombuffer(bits, np.uint8)
     return keys.sparkSession.sparkContext.broadcast(out)
 
@@ -490,7 +490,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> DataFra
     keys = pairs.select(F.explode(F.array("a", "b")).alias("key"))
     sets = _wanted_sets(bitmap_of(keys, _doc_marks), bitmap_of(keys, _key_marks))
     # rows that repeat an id may give a key several sets
-    members = stash(texts.mapInArrow(sets, f"key {_KEY}, members array<bigint>").distinct())
+    members = stash(texts.mapInArrow(tidy(sets), f"key {_KEY}, members array<bigint>").distinct())
     for end in "ba":
         pairs = pairs.join(members.select(F.col("key").alias(end), F.col("members").alias(f"m{end}")), end)
     both = F.size(F.array_intersect("ma", "mb")).cast("bigint")
@@ -513,7 +513,7 @@ def repeated_lines(docs: DataFrame, num: int = 4, den: int = 5, id_col: str = "d
     """
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     counts = word_counts(texts, "text")
-    described = stash(texts.mapInArrow(_described(counts, num, den), f"key {_KEY}, n int, fp1 bigint, fp2 bigint, body binary"))
+    described = stash(texts.mapInArrow(tidy(_described(counts, num, den)), f"key {_KEY}, n int, fp1 bigint, fp2 bigint, body binary"))
     same = ["n", "fp1", "fp2"]
     sets = stash(described.groupBy(*same).agg(F.min("key").alias("first"), F.count("*").alias("lines")).where("lines > 1").drop("lines"))
     copies = stash(described.select(*same, "key").join(sets, same).where("key > first").drop("first"))
@@ -527,14 +527,14 @@ def repeated_lines(docs: DataFrame, num: int = 4, den: int = 5, id_col: str = "d
         return run
 
     # most lines are no copy by the bitmap and need no join
-    cleared = stash(described.mapInArrow(among_copies(True), described.schema).join(copies, [*same, "key"], "left_anti").select("key", "n", "body"))
+    cleared = stash(described.mapInArrow(tidy(among_copies(True)), described.schema).join(copies, [*same, "key"], "left_anti").select("key", "n", "body"))
     buckets = max(1 << 10, described.count() // BUCKET)
 
     def candidates(asked: Broadcast | None = None, words_asked: Broadcast | None = None) -> DataFrame:
-        deal, schema = _in_buckets(_dealt(counts, num, den, asked, words_asked), buckets), "bucket int, lines binary"
+        deal, schema = tidy(_in_buckets(_dealt(counts, num, den, asked, words_asked), buckets)), "bucket int, lines binary"
         single = described.select("key", "n", "body").mapInArrow(lambda batches: deal(among_copies(False)(batches)), schema)
         met = single.union(cleared.mapInArrow(deal, schema)).repartition("bucket").sortWithinPartitions("bucket")
-        found = met.mapInArrow(_candidates(num, den, asked is not None), f"a {_KEY}, b {_KEY}, word bigint")
+        found = met.mapInArrow(tidy(_candidates(num, den, asked is not None)), f"a {_KEY}, b {_KEY}, word bigint")
         # a line has few prefix words, so the list is short
         return stash(found.groupBy("a", "b").agg(F.collect_set("word").alias("words")))
 

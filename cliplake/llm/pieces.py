@@ -30,7 +30,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cliplake.llm.text import slices
+from cliplake.llm.text import slices, tidy
 
 MARK = "▁"
 MODEL = "piece_bpe_32k.model"
@@ -400,7 +400,7 @@ def encode(
                 yield pa.RecordBatch.from_arrays(out, names)
 
     schema = "doc_id bigint, ids array<int>" + ", decoded string" * round_trip
-    return docs.select(F.col(id_col).cast("bigint"), F.col(text_col)).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("bigint"), F.col(text_col)).mapInArrow(tidy(run), schema)
 
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:

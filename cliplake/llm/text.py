@@ -6,7 +6,8 @@ does not depend on how Spark cuts its batches. Words are ``[^\\x20\\x09-\\x0D]+`
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -73,6 +74,22 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Texts]:
         start = end
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run`` for ``mapInArrow``, after which the freed memory goes back to the system: Spark
+    keeps a task's Python process for later ones, beside those that are at work then."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+            if trim is not None:
+                trim(0)
+
+    return tidied
+
+
 @dataclass
 class Words:
     """Words of a slice: byte ranges, text number, 64-bit hash."""

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cliplake.llm.tables import crc_fold
-from cliplake.llm.text import LOWER, SEPARATOR, Texts, slices
+from cliplake.llm.text import LOWER, SEPARATOR, Texts, slices, tidy
 
 BUCKETS = 1 << 18
 LENGTHS = (3, 5, 8)  # bytes: every word has one, and starts of longer words
@@ -124,7 +124,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, per_
         docs.select("doc_id", "text")
         .join(F.broadcast(sample), "doc_id")  # two times per_class rows at most
         .select(F.col("toxic").cast("int"), "text")
-        .mapInArrow(run, "toxic int, features binary")
+        .mapInArrow(tidy(run), "toxic int, features binary")
         .collect()
     )
     rows.sort(key=lambda r: (r[0], bytes(r[1])))  # the fit does not depend on the order of tasks
@@ -148,7 +148,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                     ["doc_id", "score"],
                 )
 
-    return docs.select(F.col(id_col).cast("bigint"), F.col(text_col)).mapInArrow(run, "doc_id bigint, score double")
+    return docs.select(F.col(id_col).cast("bigint"), F.col(text_col)).mapInArrow(tidy(run), "doc_id bigint, score double")
 
 
 def scores(texts: Texts, model: Model) -> Iterator[float]:

@@ -12,6 +12,9 @@ stage is written as Parquet and read again as the next one's documents.
 * encode: ids by the tokenizer, and whether decoding gives the text back.
 
 Null and empty texts pass all filters; an empty table stays empty.
+
+Rows go to Python at most 4 MB at a time, unless the session sets its own limit; Spark has
+none by default but 10,000 rows, which are some 40 MB of texts in each of several buffers.
 """
 
 from __future__ import annotations
@@ -24,30 +27,39 @@ from cliplake.llm.queries import ship, tokenizer
 from cliplake.llm.tables import stash, table
 
 
-def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def ready(spark: SparkSession) -> None:
     ship(spark)
+    if spark.conf.get(BATCH, None) is None:
+        spark.conf.set(BATCH, "4m")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ready(spark)
     return toxicity.clean_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship(spark)
+    ready(spark)
     return lines.dedup_lines(docs)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship(spark)
+    ready(spark)
     found = jaccard.jaccard_components(docs, k=5, num=4, den=5)
     later = found.where("id <> component_id").select(F.col("id").alias("doc_id")).distinct()
     return docs.join(later, "doc_id", "left_anti").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship(spark)
+    ready(spark)
     return mixing.mixed_documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship(spark)
+    ready(spark)
     both = pieces.encode(docs, tokenizer(), round_trip=True)
     return both.select(
         "doc_id",

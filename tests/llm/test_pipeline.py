@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import duckdb
+import pyarrow as pa
 import pytest
 
 from llm_fixtures import documents, shipped  # noqa: F401
@@ -75,3 +76,18 @@ def test_stages_take_odd_tables(spark, documents):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_python_sees_few_megabytes_of_texts_at_a_time(spark):
+    had = spark.conf.get(corpus_pipeline.BATCH, None)
+    spark.conf.unset(corpus_pipeline.BATCH)
+    try:
+        texts = spark.range(0, 4000, 1, 1).selectExpr("id AS doc_id", "repeat('word ', 800) AS text")
+        corpus_pipeline.ready(spark)
+        sizes = texts.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["doc_id"]) for b in batches), "doc_id bigint")
+        assert max(r.doc_id for r in sizes.collect()) < 2000
+        spark.conf.set(corpus_pipeline.BATCH, "7m")
+        corpus_pipeline.ready(spark)
+        assert spark.conf.get(corpus_pipeline.BATCH) == "7m"
+    finally:
+        spark.conf.unset(corpus_pipeline.BATCH) if had is None else spark.conf.set(corpus_pipeline.BATCH, had)
